@@ -17,11 +17,21 @@ BATCH_ROWS = 500
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    plain_reads(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def plain_reads(spark: SparkSession) -> None:
+    """Read Parquet without vectored reads.
+
+    Those fill a buffer outside the heap for each thread of an unbounded pool, as large as its longest read, and keep it.
+    """
+    spark.conf.set("parquet.hadoop.vectored.io.enabled", "false")
+
+
 def short_batches(spark: SparkSession) -> None:
     """Keep Arrow batches of texts small unless the session already asks for smaller ones."""
+    plain_reads(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))

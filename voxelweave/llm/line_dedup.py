@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import BROADCAST_ROWS, bounded, cut, replace_columns, text_of
+from .common import BROADCAST_ROWS, bounded, cut, plain_reads, replace_columns, text_of
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACES = " \t\n\x0b\x0c\r"
@@ -33,6 +33,7 @@ def line_keys(docs: DataFrame, min_chars: int) -> DataFrame:
 
 def shared_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """__id, __h1, __h2 of the lines to drop, once for each document and key."""
+    plain_reads(docs.sparkSession)
     keys = line_keys(docs, min_chars)
     # Rows are counted first, for that can be summed before the shuffle; it can't miss a key in many documents.
     often = keys.groupBy("__h1", "__h2").agg(F.count(F.lit(1)).alias("n"), F.min("__id").alias("a"), F.max("__id").alias("b"))
