@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import line_dedup, packing, tokens
+from . import line_dedup, ngram_join, packing, tokens
 from .common import table
 
 
@@ -25,6 +25,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.round_trip(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_groups(table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary(), capacity=2048)
 
@@ -52,5 +56,26 @@ FROM marked GROUP BY doc_id
 """
 
 
+#: Words of a text, lower case for A-Z; then each document's distinct shingles.
+OP7 = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS ws
+  FROM documents),
+s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN []::VARCHAR[] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' ')) END) AS g FROM w),
+k AS (SELECT g, min(doc_id) AS node FROM (SELECT doc_id, list_sort(g) AS g FROM s) GROUP BY g),
+e AS (SELECT node, len(g) AS n, unnest(g) AS t FROM k),
+p AS MATERIALIZED (
+  SELECT a.node AS a, b.node AS b FROM e a JOIN e b ON a.t = b.t AND a.node <> b.node
+  GROUP BY a.node, b.node, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+r AS (SELECT a AS x, a AS y FROM p UNION SELECT r.x, p.b FROM r JOIN p ON r.y = p.a),
+c AS (SELECT x, min(y) AS least FROM r GROUP BY x)
+SELECT s.doc_id, len(s.g)::BIGINT AS n_shingles,
+  CASE WHEN len(s.g) = 0 THEN s.doc_id ELSE coalesce(c.least, k.node) END AS component_id
+FROM s JOIN k ON list_sort(s.g) = k.g LEFT JOIN c ON c.x = k.node
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1}
+    return {"op1_line_dedup": OP1, "op7_ngram_jaccard_join": OP7}
