@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import line_dedup, ngram_join, packing, tokens
+from . import line_dedup, ngram_join, packing, quality, tokens, transport
 from .common import table
 
 
@@ -25,6 +25,14 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.round_trip(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"))
+
+
+def op6_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transport.digests(table(spark, sf_dir, "documents"))
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_groups(table(spark, sf_dir, "documents"), width=4, percent=85)
 
