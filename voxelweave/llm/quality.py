@@ -15,16 +15,16 @@ from .common import cut, plain_reads, text_of
 
 SPACES = " \\t\\n\\x0B\\f\\r"
 WINDOW = 5
-#: Rule, expression, and the bounds below or above which it votes: bad if over `bad`, good if at most `good`.
+#: Rule, expression, and its votes: bad if the value is over the first bound, good if at most the second (None: never).
 RULES = {
-    "symbols": ("n_symbols / greatest(n_words, 1)", 0.10, 0.02),
-    "repeats": ("n_repeat_words / greatest(n_words, 1)", 0.15, 0.03),
-    "duplicate_lines": ("n_dup_lines / greatest(n_lines, 1)", 0.20, 0.0),
-    "capitals": ("n_capitals / greatest(word_chars, 1)", 0.30, 0.10),
-    "marks": ("n_marks / greatest(n_words, 1)", 0.15, 0.03),
-    "short": ("CASE WHEN n_words < 10 THEN 2.0 WHEN n_words < 30 THEN 0.5 ELSE 0.0 END", 1.0, 0.0),
+    "symbols": ("n_symbols / greatest(n_words, 1)", 0.10, None),
+    "repeats": ("n_repeat_words / greatest(n_words, 1)", 0.20, None),
+    "duplicate_lines": ("n_dup_lines / greatest(n_lines, 1)", 0.30, None),
+    "capitals": ("n_capitals / greatest(word_chars, 1)", 0.30, None),
+    "marks": ("n_marks / greatest(n_words, 1)", 0.20, None),
+    "digits": ("n_digits / greatest(word_chars, 1)", 0.25, None),
+    "length": ("CASE WHEN n_words < 10 THEN 2 WHEN n_words < 50 THEN 1 ELSE 0 END", 1, 0),
     "word_length": ("abs(word_chars / greatest(n_words, 1) - 6.0)", 5.0, 2.5),
-    "digits": ("n_digits / greatest(word_chars, 1)", 0.20, 0.05),
 }
 COLUMNS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 EXTRA = ["n_lines", "n_capitals", "n_marks", "n_digits"]
@@ -79,36 +79,52 @@ def features(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def votes(counted: DataFrame, rules: dict = RULES) -> DataFrame:
-    columns = {f"v_{name}": F.when(F.expr(x) > bad, -1).when(F.expr(x) <= good, 1).otherwise(0) for name, (x, bad, good) in rules.items()}
+    columns = {}
+    for name, (x, bad, good) in rules.items():
+        vote = F.when(F.expr(x) > bad, -1)
+        columns[f"v_{name}"] = (vote if good is None else vote.when(F.expr(x) <= good, 1)).otherwise(0)
     return counted.withColumns(columns)
 
 
-def fit(patterns: list[tuple[tuple[int, ...], int]], prior: float = 0.85, steps: int = 60) -> tuple[float, list[dict[int, tuple[float, float]]]]:
-    """Prior of good, and for each rule P(vote | good), P(vote | bad) by vote, from counted patterns of votes.
+#: What EM starts from: the share of good documents, and how often a vote for good or bad is right.
+PRIOR, RIGHT = 0.85, {1: 0.87, -1: 0.9}
 
-    It starts from rules that are right four times in five; a tenth of a document is added to each count, so that
-    nothing becomes impossible.
+
+def fit(patterns: list[tuple[tuple[int, ...], int]], weight: float = 0.5, steps: int = 50) -> tuple[float, list[dict[int, float]]]:
+    """The share of good documents and, for each rule and vote, P(good | vote), from counted patterns of votes.
+
+    The expectation step gives each pattern its posterior; the maximisation step sets P(good | vote) to the mean
+    posterior of the documents with that vote, drawn towards its start by `weight` times as many documents. A vote
+    multiplies the odds by its own odds over those of the prior; abstaining says nothing.
     """
     k = len(patterns[0][0]) if patterns else 0
-    table = [{1: (0.8, 0.2), 0: (0.5, 0.5), -1: (0.05, 0.5)} for _ in range(k)]
+    start = {1: RIGHT[1], -1: 1 - RIGHT[-1]}
+    prior, table = PRIOR, [dict(start) for _ in range(k)]
     total = sum(n for _, n in patterns)
     for _ in range(steps if total else 0):
-        sums = [{v: [0.1, 0.1] for v in (1, 0, -1)} for _ in range(k)]
+        sums = [{v: [0.0, 0.0] for v in start} for _ in range(k)]
         good = 0.0
         for votes_, n in patterns:
             p = posterior(votes_, prior, table)
             good += n * p
             for r, v in enumerate(votes_):
-                sums[r][v][0] += n * p
-                sums[r][v][1] += n * (1 - p)
-        prior = min(max(good / total, 0.01), 0.99)
-        table = [{v: (s[v][0] / sum(x[0] for x in s.values()), s[v][1] / sum(x[1] for x in s.values())) for v in s} for s in sums]
+                if v:
+                    sums[r][v][0] += n * p
+                    sums[r][v][1] += n
+        prior = min(max((good + weight * total * PRIOR) / (total + weight * total), 0.01), 0.99)
+        table = [{v: min(max((x + weight * n * start[v]) / (n + weight * n) if n else start[v], 0.001), 0.999) for v, (x, n) in s.items()} for s in sums]
     return prior, table
 
 
-def posterior(votes_: tuple[int, ...], prior: float, table: list[dict[int, tuple[float, float]]]) -> float:
-    x = math.log(prior / (1 - prior)) + sum(math.log(t[v][0] / t[v][1]) for t, v in zip(table, votes_, strict=True))
-    return 1 / (1 + math.exp(-min(max(x, -500), 500)))
+def weights(prior: float, table: list[dict[int, float]]) -> tuple[float, list[dict[int, float]]]:
+    """Log odds of the prior, and what each vote adds to them."""
+    base = math.log(prior / (1 - prior))
+    return base, [{v: math.log(p / (1 - p)) - base for v, p in t.items()} for t in table]
+
+
+def posterior(votes_: tuple[int, ...], prior: float, table: list[dict[int, float]]) -> float:
+    base, w = weights(prior, table)
+    return 1 / (1 + math.exp(-base - sum(t[v] for t, v in zip(w, votes_, strict=True) if v)))
 
 
 def quality(docs: DataFrame, rules: dict = RULES, least: float = 0.5) -> DataFrame:
@@ -123,10 +139,10 @@ def quality(docs: DataFrame, rules: dict = RULES, least: float = 0.5) -> DataFra
     names = [f"v_{name}" for name in rules]
     counts = voted.groupBy(*names).count().collect()  # 3 ** len(rules) rows at most
     prior, table = fit(sorted((tuple(r[:-1]), r[-1]) for r in counts))
-    logit = F.lit(math.log(prior / (1 - prior)))
-    for name, t in zip(names, table, strict=True):
-        w = {v: math.log(a / b) for v, (a, b) in t.items()}
-        logit = logit + F.when(F.col(name) == 1, w[1]).when(F.col(name) == -1, w[-1]).otherwise(w[0])
+    base, table = weights(prior, table)
+    logit = F.lit(base)
+    for name, w in zip(names, table, strict=True):
+        logit = logit + F.when(F.col(name) == 1, w[1]).when(F.col(name) == -1, w[-1]).otherwise(0.0)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     chance = 1 / (1 + F.exp(-logit))
     return voted.select("doc_id", *COLUMNS, failed.alias("base_failed"), (~failed & (chance >= least)).alias("kept"), chance.alias("quality"))
