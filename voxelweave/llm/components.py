@@ -8,35 +8,26 @@ from .common import cut
 
 
 def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
-    """node and comp of all nodes of the links (a, b: long), comp being one node of the component.
+    """node and comp of all nodes of the links (a, b: long), comp being the smallest node of the component.
 
-    Each round joins every part to the smallest part that it has a link with, and replaces the parts in the links;
-    at least half of the parts that have links go in a round. Only links between different parts are kept, so their
-    number shrinks as well. `labels` are the node, comp rows of earlier links, which stay joined. Nothing reaches the
-    driver but counts.
+    Each round gives every part the smallest part that it has a link with as its parent, and puts parents in place of
+    parts in the links; links within a part go. A part that has links and isn't the smallest of its neighbours goes in
+    each round, so rounds are about as many as the logarithm of a chain's length. `labels` are the node, comp rows of
+    earlier links, which stay joined. Nothing reaches the driver but a count for each round.
     """
-    ends = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).distinct()
+    ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     if labels is None:
         labels = ends.select("node", F.col("node").alias("comp"))
+        edges = links
     else:
+        at, to = labels.toDF("a", "x"), labels.toDF("b", "y")
+        edges = links.join(at, "a", "left").join(to, "b", "left").select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b"))
         labels = labels.unionByName(ends.join(labels, "node", "left_anti").select("node", F.col("node").alias("comp")))
-    labels = cut(labels)
-    at = labels.select(F.col("node").alias("a"), F.col("comp").alias("x"))
-    to = labels.select(F.col("node").alias("b"), F.col("comp").alias("y"))
-    edges = links.join(at, "a").join(to, "b").filter("x <> y")
-    edges = cut(edges.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
-    while edges.count():
+    edges = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    while edges.limit(1).count():
         parent = cut(edges.groupBy("a").agg(F.min("b").alias("up")))
-        # Parents form trees, for a parent is always smaller; two steps up at a time shorten them.
-        while True:
-            over = parent.select(F.col("a").alias("up"), F.col("up").alias("top"))
-            further = cut(parent.join(over, "up", "left").select("a", F.coalesce("top", "up").alias("up"), F.col("top").isNotNull().alias("moved")))
-            parent = further.select("a", "up")
-            if not further.filter("moved").limit(1).count():
-                break
-        top = parent.toDF("comp", "up")
-        labels = cut(labels.join(top, "comp", "left").select("node", F.coalesce("up", "comp").alias("comp")))
-        at, to = parent.select("a", F.col("up").alias("x")), parent.select(F.col("a").alias("b"), F.col("up").alias("y"))
-        edges = edges.join(at, "a", "left").join(to, "b", "left").select(F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y"))
+        labels = labels.join(parent.toDF("comp", "up"), "comp", "left").select("node", F.coalesce("up", "comp").alias("comp"))
+        at, to = parent.toDF("a", "x"), parent.toDF("b", "y")
+        edges = edges.join(at, "a").join(to, "b", "left").select("x", F.coalesce("y", "b").alias("y"))  # each a has a parent
         edges = cut(edges.filter("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
-    return labels
+    return cut(labels)

@@ -157,33 +157,26 @@ def divided(members: DataFrame, labels: DataFrame) -> DataFrame:
     return cut(now.join(several, "signature"))
 
 
-def node_components(members: DataFrame, best: DataFrame, stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """node, comp of all nodes that have a link. best, stars: pairs a, b to begin with."""
-    tested = cut(best)
+def node_components(members: DataFrame, stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """node, comp of all nodes that have a link. stars: the pairs a, b to begin with."""
+    tested = stars
     labels = components(cut(verified(tested, sets, percent)))
-    comp = lambda name, to: labels.select(F.col("node").alias(name), F.col("comp").alias(to))
-    apart = lambda p: p.join(comp("a", "x"), "a", "left").join(comp("b", "y"), "b", "left").filter(F.coalesce("x", "a") != F.coalesce("y", "b")).select("a", "b")
-    pairs = cut(apart(stars).join(tested, ["a", "b"], "left_anti"))
-    if pairs.count():
-        labels = components(cut(verified(pairs, sets, percent)), labels)
-        tested = cut(tested.union(pairs))
     for k in range(ROUNDS + 1):
         members = divided(members, labels)
-        if not (rows := members.count()):
+        sums = members.groupBy("signature", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("signature").agg(F.sum("k").alias("n"), (F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))).alias("p"))
+        rows, left = sums.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.col("p").cast("double")), F.lit(0.0)) / 2).first()
+        if not rows:
             break
-        sums = members.groupBy("signature", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("signature").agg((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))).alias("p"))
-        left = sums.agg(F.sum(F.col("p").cast("double"))).first()[0] / 2
-        if k == ROUNDS or left <= DENSE * rows:
+        if last := k == ROUNDS or left <= DENSE * rows:
             mine, other = members.toDF("signature", "a", "x"), members.toDF("signature", "b", "y")
             pairs = mine.join(other, "signature").filter("a < b AND x <> y").select("a", "b").distinct()
-            pairs = cut(pairs.join(tested, ["a", "b"], "left_anti"))
-            labels = components(cut(verified(pairs, sets, percent)), labels)
-            break
-        order = F.xxhash64("node", F.lit(k))
-        center = members.groupBy("signature").agg(F.min_by(F.struct("node", "comp"), order).alias("c"))
-        pairs = ordered(members.join(center, "signature").filter("comp <> c.comp").select("node", F.col("c.node").alias("center")), "node", "center")
+        else:
+            center = members.groupBy("signature").agg(F.min_by(F.struct("node", "comp"), F.xxhash64("node", F.lit(k))).alias("c"))
+            pairs = ordered(members.join(center, "signature").filter("comp <> c.comp").select("node", F.col("c.node").alias("center")), "node", "center")
         pairs = cut(pairs.join(tested, ["a", "b"], "left_anti"))
         labels = components(cut(verified(pairs, sets, percent)), labels)
+        if last:
+            break
         tested = cut(tested.union(pairs))
     return labels
 
@@ -210,12 +203,10 @@ def jaccard_groups(docs: DataFrame, width: int = 4, percent: int = 85, broadcast
     members = rows.filter(~F.col("edge")).select("signature", "node").union(joined.filter("center <> first").select("signature", F.col("center").alias("node")))
     members = members.union(joined.filter("center <> first").select("signature", F.col("first").alias("node"))).distinct()
     stars = rows.filter("NOT edge AND node <> center").select("node", "center").union(joined.filter("center <> first").select("center", "first"))
-    stars = cut(stars.groupBy(F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b")).agg(F.count(F.lit(1)).alias("n")))
-    ends_of = stars.select(F.col("a").alias("node"), "b", "n").union(stars.select(F.col("b").alias("node"), F.col("a").alias("b"), "n"))
-    best = ordered(ends_of.groupBy("node").agg(F.max_by("b", F.struct("n", "b")).alias("b")), "node", "b")
-    wanted = cut(ends_of.select("node").distinct().join(classes, "node").select("node", "first_id"))
+    stars = cut(ordered(stars, "node", "center"))
+    wanted = cut(stars.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes, "node").select("node", "first_id"))
     sets = cut(sets_of(docs, wanted, wanted.count(), width, seed, broadcast_rows))
-    labels = node_components(members, best, stars.select("a", "b"), sets, percent)
+    labels = node_components(members, stars, sets, percent)
     named = labels.join(classes, "node").groupBy("comp").agg(F.min("first_id").alias("least"))
     linked = labels.join(named, "comp").select("node", "least")
     top = classes.join(linked, "node", "left").select("node", F.coalesce("least", "first_id").alias("component"))
