@@ -1,9 +1,12 @@
 """Jaccard join of documents on word n-grams, and the groups that its links form.
 
-Exact copies of a set are one node. Nodes that share a signature (see `shingles.signatures`) are candidates. Within a
-signature's bucket every node is compared with the bucket's first node only, so a bucket of n nodes gives n pairs;
-what is linked thereby needs no further comparison. Pairs of nodes that share a bucket but are still in different
-components after that are compared as well, in rounds with other centres and then each with each, so that no link is lost.
+Exact copies of a set are one node. Nodes that share a signature (see `shingles.signatures`) are candidates. A similar
+set shares at least a known number of a node's signatures, and only those that several nodes have can be shared: a node
+with fewer of these has no similar one, and of the others only so many of its rarest signatures are searched that one of
+the shared ones must be among them. Within a bucket every node is compared with the bucket's centre first, so a bucket
+of n nodes gives n pairs; what is linked thereby needs no further comparison. Pairs that share a bucket but are in
+different components after that are compared too, in rounds with other centres and then each with each, so that no link
+between components is lost.
 """
 
 from __future__ import annotations
@@ -21,17 +24,17 @@ from .components import components
 #: Classes of copies that a task remembers so as to sign each of them once; forgetting one only repeats its rows.
 SEEN = 100_000
 #: Rounds with new centres, and the pairs left for each row of the buckets at which they end early.
-ROUNDS, DENSE = 6, 4
+ROUNDS, DENSE = 6, 8
 
 
 def sketches(docs: DataFrame, width: int, percent: int, seed: int) -> DataFrame:
-    """doc_id, n_shingles, node, check (128 bits of the set) and the set's signatures, once for each task and set."""
+    """doc_id, n_shingles, node, check (128 bits of the set), bounds, and the set's signatures, once for each task and set."""
     short_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, schemes, seen = shingles.Words(seed), shingles.Schemes(percent), set()
         for batch in batches:
-            sizes, nodes, checks, offsets, found = [], [], [], [0], []
+            sizes, nodes, checks, bounds, offsets, found = [], [], [], [], [0], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 hashes = shingles.shingle_set(text or b"", words, width)
                 sizes.append(len(hashes))
@@ -42,71 +45,80 @@ def sketches(docs: DataFrame, width: int, percent: int, seed: int) -> DataFrame:
                     if len(seen) >= SEEN:
                         seen.clear()
                     seen.add((node, check))
-                    found.append(shingles.signatures(hashes, schemes).view(np.int64))
+                    keys, least = shingles.signatures(hashes, schemes)
+                    found.append(keys.view(np.int64))
+                    bounds.append([k << 32 | n for k, n in least])
                     offsets.append(offsets[-1] + len(found[-1]))
                 else:
+                    bounds.append(None)
                     offsets.append(offsets[-1])
             flat = np.concatenate(found) if found else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(checks, pa.int64()), pa.ListArray.from_arrays(np.array(offsets, np.int32), flat)],
-                names=["doc_id", "n_shingles", "node", "check", "signatures"],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(checks, pa.int64()), pa.array(bounds, pa.list_(pa.int64())), pa.ListArray.from_arrays(np.array(offsets, np.int32), flat)],
+                names=["doc_id", "n_shingles", "node", "check", "bounds", "signatures"],
             )
 
     slim = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).cast("binary").alias("text"))
-    return slim.mapInArrow(run, "doc_id long, n_shingles long, node long, check long, signatures array<long>")
+    return slim.mapInArrow(run, "doc_id long, n_shingles long, node long, check long, bounds array<long>, signatures array<long>")
 
 
 def bucket_rows(signed: DataFrame) -> DataFrame:
-    """signature, node, center of buckets with several nodes, and the ends of each task's range (edge = true).
+    """signature, node of signatures that several nodes have, and of those at the ends of a task's range.
 
     Rows are dealt by ranges of (signature, node), so that a frequent signature is split among tasks, and each task
-    reads its sorted rows once with one row in memory. A bucket that goes over several tasks has a centre in each one.
+    reads its sorted rows once, with one row in memory besides the batch.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # signature, centre, whether the centre's own row is out
-        previous = None
-        names = ["signature", "node", "center", "edge"]
-        first_edge, tail = None, None
+        last, out, begun = None, False, False  # the row before, and whether it has been put out
+
+        def rows(s: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(s, pa.int64()), pa.array(x, pa.int64())], names=["signature", "node"])
+
         for batch in batches:
             s, x = (batch.column(k).to_numpy() for k in (0, 1))
-            if not len(s):
-                continue
-            same_row = np.zeros(len(s), bool)
-            same_row[1:] = (s[1:] == s[:-1]) & (x[1:] == x[:-1])
-            if previous is not None:
-                same_row[0] = (s[0], x[0]) == previous
-            s, x = s[~same_row], x[~same_row]
-            if not len(s):
-                continue
-            previous = (s[-1], x[-1])
-            if first_edge is None:
-                first_edge = (s[0], x[0])
-            new = np.ones(len(s), bool)
-            new[1:] = s[1:] != s[:-1]
-            if last is not None and s[0] == last[0]:
-                new[0] = False
-            starts = np.flatnonzero(new)
-            run_of = np.cumsum(new) - 1  # -1: goes on from the last batch
-            center = x[starts[np.maximum(run_of, 0)]] if len(starts) else np.full(len(s), 0, np.int64)
             if last is not None:
-                center = np.where(run_of < 0, last[1], center)
-            sizes = np.bincount(run_of + 1, minlength=len(starts) + 1)
-            multi = sizes[run_of + 1] > 1
-            multi[run_of < 0] = True
-            out_s, out_x, out_c = s[multi], x[multi], center[multi]
-            if last is not None and not new[0] and not last[2]:
-                out_s, out_x, out_c = (np.concatenate([[v], a]) for v, a in ((last[0], out_s), (last[1], out_x), (last[1], out_c)))
-            last = (s[-1], center[-1], bool(multi[-1]))
-            tail = (s[-1], center[-1])
-            if len(out_s):
-                yield pa.RecordBatch.from_arrays([pa.array(out_s, pa.int64()), pa.array(out_x, pa.int64()), pa.array(out_c, pa.int64()), pa.array(np.zeros(len(out_s), bool))], names=names)
-        if first_edge is not None:
-            s, x = zip(*{first_edge, tail}, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(s, pa.int64()), pa.array(x, pa.int64()), pa.array(x, pa.int64()), pa.array([True] * len(s))], names=names)
+                s, x = np.append(last[0], s), np.append(last[1], x)
+            new = np.ones(len(s), bool)
+            new[1:] = (s[1:] != s[:-1]) | (x[1:] != x[:-1])
+            s, x, old = s[new], x[new], last is not None
+            same = s[1:] == s[:-1]
+            keep = np.zeros(len(s), bool)
+            keep[1:] |= same
+            keep[:-1] |= same
+            if not begun and len(s):
+                keep[0], begun = True, True
+            if old and out:
+                put = keep.copy()
+                put[0] = False
+                keep[0] = True
+            else:
+                put = keep
+            if put.any():
+                yield rows(s[put], x[put])
+            if len(s):
+                last, out = (s[-1], x[-1]), bool(keep[-1])
+        if last is not None and not out:
+            yield rows(np.array([last[0]]), np.array([last[1]]))
 
     spread = signed.select("signature", "node").repartitionByRange("signature", "node").sortWithinPartitions("signature", "node")
-    return spread.mapInArrow(run, "signature long, node long, center long, edge boolean")
+    return spread.mapInArrow(run, "signature long, node long")
+
+
+def members_of(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """signature, node of the buckets to search.
+
+    Of each list of a node, v signatures are held by others too, and a similar set shares `least` of them at least.
+    In the order of bucket sizes, the first of the shared ones is then among the first v - least + 1 of either node.
+    """
+    sizes = rows.groupBy("signature").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    held = rows.join(sizes, "signature").withColumn("list", F.col("signature").bitwiseAND(0xFF))
+    bound = classes.select("node", F.explode("bounds").alias("b")).select("node", F.shiftright("b", 32).alias("list"), F.col("b").bitwiseAND(0xFFFFFFFF).alias("least"))
+    mine = Window.partitionBy("node", "list")  # the signatures of one set
+    ranked = held.join(bound, ["node", "list"]).withColumns({"v": F.count(F.lit(1)).over(mine), "r": F.row_number().over(mine.orderBy("size", "signature"))})
+    kept = cut(ranked.filter("r <= v - least + 1").select("signature", "node"))
+    again = kept.groupBy("signature").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("signature")
+    return cut(kept.join(again, "signature"))
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, n_wanted: int, width: int, seed: int, broadcast_rows: int) -> DataFrame:
@@ -150,6 +162,16 @@ def ordered(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.filter(F.col(a) != F.col(b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 
 
+def centers(members: DataFrame) -> DataFrame:
+    """signature, center: of each bucket the node that meets most others in all its buckets.
+
+    An original has its segments in common with all its copies, while two copies differ where either was changed.
+    """
+    sizes = members.groupBy("signature").agg(F.count(F.lit(1)).alias("size"))
+    scores = members.join(sizes, "signature").groupBy("node").agg(F.sum("size").alias("score"))
+    return members.join(scores, "node").groupBy("signature").agg(F.max_by("node", F.struct("score", "node")).alias("center"))
+
+
 def divided(members: DataFrame, labels: DataFrame) -> DataFrame:
     """signature, node, comp of the buckets whose nodes are in several components."""
     now = members.select("signature", "node").join(labels, "node", "left").select("signature", "node", F.coalesce("comp", "node").alias("comp"))
@@ -191,20 +213,15 @@ def jaccard_groups(docs: DataFrame, width: int = 4, percent: int = 85, broadcast
     """
     while True:
         known = cut(sketches(docs, width, percent, seed))
-        classes = known.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("check").alias("c1"), F.max("check").alias("c2"))
+        classes = known.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("check").alias("c1"), F.max("check").alias("c2"), F.max("bounds").alias("bounds"))
         classes = cut(classes)
         if not classes.filter("c1 <> c2").limit(1).count():
             break
         seed += 1  # two sets have one 64-bit hash: all hashes are drawn anew
     signed = known.select("node", F.explode("signatures").alias("signature"))
-    rows = cut(bucket_rows(signed))
-    ends = rows.filter("edge").select("signature", "center").distinct()
-    joined = ends.withColumn("first", F.min("center").over(Window.partitionBy("signature")))  # two rows for each task at most
-    members = rows.filter(~F.col("edge")).select("signature", "node").union(joined.filter("center <> first").select("signature", F.col("center").alias("node")))
-    members = members.union(joined.filter("center <> first").select("signature", F.col("first").alias("node"))).distinct()
-    stars = rows.filter("NOT edge AND node <> center").select("node", "center").union(joined.filter("center <> first").select("center", "first"))
-    stars = cut(ordered(stars, "node", "center"))
-    wanted = cut(stars.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes, "node").select("node", "first_id"))
+    members = members_of(cut(bucket_rows(signed).distinct()), classes)
+    stars = cut(ordered(members.join(centers(members), "signature"), "node", "center"))
+    wanted = cut(members.select("node").distinct().join(classes, "node").select("node", "first_id"))
     sets = cut(sets_of(docs, wanted, wanted.count(), width, seed, broadcast_rows))
     labels = node_components(members, stars, sets, percent)
     named = labels.join(classes, "node").groupBy("comp").agg(F.min("first_id").alias("least"))

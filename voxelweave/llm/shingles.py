@@ -86,42 +86,47 @@ class Schemes:
         return [(k, self.segments(high)) for k, (low, high) in enumerate(self.bands) if low <= size < high]
 
 
-def signatures(found: np.ndarray, schemes: Schemes) -> np.ndarray:
-    """Signatures such that any two similar sets have one in common.
-
-    In a band, segments of two similar sets differ in at most H places, so that of H + 1 chosen segments one is equal
-    if both sets choose by one order of segment contents. That order is by cost: full segments are rare and cheap, those
-    with one or no shingle are shared by many sets and dear. A set whose H + 1 segments come without dear ones is done.
-    Otherwise it allots two units of difference to each segment of two shingles or more, by the segment and all its
-    one-deletion neighbours, which finds any other such set, provided that more than H / 2 segments have three or
-    more; only where that fails too, the dear segments are indexed as well.
+def signatures(found: np.ndarray, schemes: Schemes) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Signatures of a set, and (list, least) of each list of them; the low byte of a signature is its list.
+
+    In a band, segments of two similar sets differ in at most H of m places. Segments with one shingle or none are
+    shared by many sets and dear; the others are indexed. A set with d dear segments then shares at least m - H - d
+    indexed ones with any similar set; this is the list's `least`. Where it isn't positive, the set allots two units of
+    difference to each segment of two shingles or more, by the segment and all its one-deletion neighbours (a list of
+    its own), which finds any other such set, provided that more than H / 2 segments have three or more; only where
+    that fails too, the dear segments are indexed as well.
     """
     n = len(found)
-    out = []
+    out, least = [], []
     values = mix(found ^ MULTIPLIERS[2])
     ahead = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values)])
     for band, m in schemes.of(n):
-        need = schemes.difference(n + schemes.partner(n)) + 1
+        h = schemes.difference(n + schemes.partner(n))
         segment = ((found >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)  # ranges of hashes: found is sorted
         edges = np.searchsorted(segment, np.arange(m + 1, dtype=np.uint64))
         size = np.diff(edges)
         total = ahead[edges[1:]] - ahead[edges[:-1]]
         tag = mix(np.arange(m, dtype=np.uint64) + np.uint64((band + 1) << 32))
-        exact = mix(total + tag)
-        order = np.lexsort((exact, -size))[: min(need, m)]
-        cheap = order[size[order] > 1]
-        out.append(exact[cheap])
-        if len(cheap) == len(order):
-            continue
         several = np.flatnonzero(size > 1)
+        sure = len(several) - h
+        out.append(_listed(mix(total[several] + tag[several]), 2 * band))
+        least.append((2 * band, max(sure, 1)))
+        if sure > 0:
+            continue
         near = mix(tag + MULTIPLIERS[3])
-        out.append(mix(total[several] + near[several]))
         where = segment.astype(np.int64)
         wide = size[where] > 2
-        out.append(mix(total[where[wide]] - values[wide] + near[where[wide]]))
-        if (size > 2).sum() <= (need - 1) // 2:
-            out.append(exact[order[size[order] < 2]])
-    return np.unique(np.concatenate(out)) if out else np.empty(0, np.uint64)
+        more = [mix(total[several] + near[several]), mix(total[where[wide]] - values[wide] + near[where[wide]])]
+        if (size > 2).sum() <= h // 2:
+            dear = np.flatnonzero(size < 2)
+            more.append(mix(total[dear] + tag[dear]))
+        out.append(_listed(np.concatenate(more), 2 * band + 1))
+        least.append((2 * band + 1, 1))
+    return (np.unique(np.concatenate(out)) if out else np.empty(0, np.uint64)), least
+
+
+def _listed(hashes: np.ndarray, number: int) -> np.ndarray:
+    return hashes & np.uint64(0xFFFFFFFFFFFFFF00) | np.uint64(number)
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
