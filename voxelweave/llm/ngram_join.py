@@ -3,10 +3,11 @@
 Exact copies of a set are one node. Nodes that share a signature (see `shingles.signatures`) are candidates. A similar
 set shares at least a known number of a node's signatures, and only those that several nodes have can be shared: a node
 with fewer of these has no similar one, and of the others only so many of its rarest signatures are searched that one of
-the shared ones must be among them. Within a bucket every node is compared with the bucket's centre first, so a bucket
-of n nodes gives n pairs; what is linked thereby needs no further comparison. Pairs that share a bucket but are in
-different components after that are compared too, in rounds with other centres and then each with each, so that no link
-between components is lost.
+the shared ones must be among them. Within a bucket every node is compared
+with the bucket's centre first, so a bucket of n nodes gives n pairs; what is linked thereby needs no further
+comparison. Nodes that share a bucket but are in different components after that are compared in blocks: each block of
+nodes meets each other block that it shares a bucket with once, and what is similar between them comes from one product
+of matrices. So no link between components is lost, and no pairs are listed.
 """
 
 from __future__ import annotations
@@ -23,8 +24,10 @@ from .components import components
 
 #: Classes of copies that a task remembers so as to sign each of them once; forgetting one only repeats its rows.
 SEEN = 100_000
-#: Rounds with new centres, and the pairs left for each row of the buckets at which they end early.
-ROUNDS, DENSE = 6, 8
+#: Nodes of a block, about, and of a component in a block's bucket from which it has blocks of its own.
+BLOCK, LARGE = 128, 64
+#: Cells of the matrix of a comparison that are held at once.
+CELLS = 4_000_000
 
 
 def sketches(docs: DataFrame, width: int, percent: int, seed: int) -> DataFrame:
@@ -174,33 +177,94 @@ def centers(members: DataFrame) -> DataFrame:
 
 def divided(members: DataFrame, labels: DataFrame) -> DataFrame:
     """signature, node, comp of the buckets whose nodes are in several components."""
-    now = members.select("signature", "node").join(labels, "node", "left").select("signature", "node", F.coalesce("comp", "node").alias("comp"))
+    now = members.join(labels, "node", "left").select("signature", "node", F.coalesce("comp", "node").alias("comp"))
     several = now.groupBy("signature").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("signature")
     return cut(now.join(several, "signature"))
 
 
+def similar_pairs(a: list[np.ndarray], b: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which of a are similar to which of b, as pairs of positions, from the sizes of all intersections.
+
+    Only hashes that both sides have matter; they are taken in slices, so that memory is bounded for long sets.
+    """
+    na, nb = np.array([len(x) for x in a]), np.array([len(x) for x in b])
+    fa, fb = np.concatenate(a), np.concatenate(b)
+    common = np.intersect1d(fa, fb)
+    both = np.zeros((len(a), len(b)), np.float32)
+    parts = []
+    for flat, sizes in ((fa, na), (fb, nb)):
+        at = np.minimum(np.searchsorted(common, flat), max(len(common) - 1, 0))
+        ok = common[at] == flat if len(common) else np.zeros(len(flat), bool)
+        order = np.argsort(at[ok], kind="stable")
+        parts.append((np.repeat(np.arange(len(sizes)), sizes)[ok][order], at[ok][order]))
+    step = max(1, CELLS // max(len(a) + len(b), 1))
+    for low in range(0, len(common), step):
+        cells = []
+        for (rows, columns), n in zip(parts, (len(a), len(b)), strict=True):
+            x, y = np.searchsorted(columns, [low, low + step])
+            m = np.zeros((n, min(step, len(common) - low)), np.float32)
+            m[rows[x:y], columns[x:y] - low] = 1
+            cells.append(m)
+        both += cells[0] @ cells[1].T
+    both = np.rint(both).astype(np.int64)
+    return np.argwhere(100 * both >= percent * (na[:, None] + nb[None, :] - both))
+
+
+def block_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links a, b between nodes of different components that share a bucket.
+
+    A node's home is its largest bucket, so that near copies have few homes. The nodes of a home are dealt into blocks
+    by hash; a component with many nodes there has blocks of its own, which needn't meet each other. Blocks that hold
+    nodes of one bucket meet: both send their sets to one task, which reads them in order of the meeting.
+    """
+    sizes = members.groupBy("signature").agg(F.count(F.lit(1)).alias("size"))
+    home = members.join(sizes, "signature").groupBy("node").agg(F.max_by("signature", F.struct("size", "signature")).alias("home"), F.first("comp").alias("comp"))
+    of = home.groupBy("home", "comp").agg(F.count(F.lit(1)).alias("k")).withColumn("own", F.when(F.col("k") >= LARGE, F.col("comp")))
+    many = of.groupBy("home", "own").agg(F.sum("k").alias("n"))
+    dealt = home.join(of.select("home", "comp", "own"), ["home", "comp"])
+    dealt = dealt.join(many.select("home", F.col("own").alias("o"), "n"), "home").filter(F.col("own").eqNullSafe(F.col("o")))
+    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK).cast("long"))
+    blocks = cut(dealt.select("node", "comp", "own", F.xxhash64("home", F.coalesce("own", F.lit(0)), part).alias("block")))
+    held = members.select("signature", "node").join(blocks, "node").select("signature", "block", "own").distinct()
+    x, y = held.toDF("signature", "x", "ox"), held.toDF("signature", "y", "oy")
+    meet = x.join(y, "signature").filter("x <= y AND (ox IS NULL OR oy IS NULL OR ox <> oy)").select("x", "y").distinct()
+    meet = cut(meet.withColumn("meeting", F.xxhash64("x", "y")))
+    first = meet.select("meeting", F.col("x").alias("block"), F.lit(0).alias("side"))
+    second = meet.select("meeting", F.col("y").alias("block"), F.lit(1).alias("side"))
+    sent = first.union(second).join(blocks.select("block", "node", "comp"), "block").join(sets.select("node", "set"), "node")
+    sent = sent.select("meeting", "side", "node", "comp", "set").repartition("meeting").sortWithinPartitions("meeting", "side")
+
+    def compare(rows: list[tuple]) -> pa.RecordBatch:
+        sides = [[r for r in rows if r[1] == k] for k in (0, 1)]
+        a, b = [], []
+        if all(sides):
+            found = similar_pairs(*[[np.frombuffer(r[4], np.uint64) for r in side] for side in sides], percent)
+            for i, j in found.tolist():
+                if sides[0][i][3] != sides[1][j][3]:
+                    a.append(sides[0][i][2])
+                    b.append(sides[1][j][2])
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        for batch in batches:
+            for row in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                if rows and row[0] != rows[0][0]:
+                    yield compare(rows)
+                    rows = []
+                rows.append(row)
+        if rows:
+            yield compare(rows)
+
+    return sent.mapInArrow(run, "a long, b long")
+
+
 def node_components(members: DataFrame, stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """node, comp of all nodes that have a link. stars: the pairs a, b to begin with."""
-    tested = stars
-    labels = components(cut(verified(tested, sets, percent)))
-    for k in range(ROUNDS + 1):
-        members = divided(members, labels)
-        sums = members.groupBy("signature", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("signature").agg(F.sum("k").alias("n"), (F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))).alias("p"))
-        rows, left = sums.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.col("p").cast("double")), F.lit(0.0)) / 2).first()
-        if not rows:
-            break
-        if last := k == ROUNDS or left <= DENSE * rows:
-            mine, other = members.toDF("signature", "a", "x"), members.toDF("signature", "b", "y")
-            pairs = mine.join(other, "signature").filter("a < b AND x <> y").select("a", "b").distinct()
-        else:
-            center = members.groupBy("signature").agg(F.min_by(F.struct("node", "comp"), F.xxhash64("node", F.lit(k))).alias("c"))
-            pairs = ordered(members.join(center, "signature").filter("comp <> c.comp").select("node", F.col("c.node").alias("center")), "node", "center")
-        pairs = cut(pairs.join(tested, ["a", "b"], "left_anti"))
-        labels = components(cut(verified(pairs, sets, percent)), labels)
-        if last:
-            break
-        tested = cut(tested.union(pairs))
-    return labels
+    labels = components(cut(verified(stars, sets, percent)))
+    members = divided(members, labels)
+    links = cut(block_links(members, sets, percent))
+    return components(links, labels)
 
 
 def jaccard_groups(docs: DataFrame, width: int = 4, percent: int = 85, broadcast_rows: int = BROADCAST_ROWS, seed: int = 0) -> DataFrame:
