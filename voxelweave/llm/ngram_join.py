@@ -166,13 +166,13 @@ def ordered(pairs: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def centers(members: DataFrame) -> DataFrame:
-    """signature, center: of each bucket the node that meets most others in all its buckets.
+    """signature, best (score, node): of each bucket the node that meets most others in all its buckets.
 
     An original has its segments in common with all its copies, while two copies differ where either was changed.
     """
     sizes = members.groupBy("signature").agg(F.count(F.lit(1)).alias("size"))
     scores = members.join(sizes, "signature").groupBy("node").agg(F.sum("size").alias("score"))
-    return members.join(scores, "node").groupBy("signature").agg(F.max_by("node", F.struct("score", "node")).alias("center"))
+    return members.join(scores, "node").groupBy("signature").agg(F.max(F.struct("score", "node")).alias("best"))
 
 
 def divided(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -213,12 +213,13 @@ def similar_pairs(a: list[np.ndarray], b: list[np.ndarray], percent: int) -> np.
 def block_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links a, b between nodes of different components that share a bucket.
 
-    A node's home is its largest bucket, so that near copies have few homes. The nodes of a home are dealt into blocks
-    by hash; a component with many nodes there has blocks of its own, which needn't meet each other. Blocks that hold
-    nodes of one bucket meet: both send their sets to one task, which reads them in order of the meeting.
+    A node's home is the centre that meets most nodes of those of its buckets, so that near copies have few homes. The
+    nodes of a home are dealt into blocks by hash; a component with many nodes there has blocks of its own, which
+    needn't meet each other. Blocks that hold nodes of one bucket meet: both send their sets to one task, which reads
+    them in order of the meeting.
     """
-    sizes = members.groupBy("signature").agg(F.count(F.lit(1)).alias("size"))
-    home = members.join(sizes, "signature").groupBy("node").agg(F.max_by("signature", F.struct("size", "signature")).alias("home"), F.first("comp").alias("comp"))
+    near = members.join(centers(members), "signature")
+    home = near.groupBy("node").agg(F.max("best").alias("best"), F.first("comp").alias("comp")).select("node", "comp", F.col("best.node").alias("home"))
     of = home.groupBy("home", "comp").agg(F.count(F.lit(1)).alias("k")).withColumn("own", F.when(F.col("k") >= LARGE, F.col("comp")))
     many = of.groupBy("home", "own").agg(F.sum("k").alias("n"))
     dealt = home.join(of.select("home", "comp", "own"), ["home", "comp"])
@@ -284,7 +285,7 @@ def jaccard_groups(docs: DataFrame, width: int = 4, percent: int = 85, broadcast
         seed += 1  # two sets have one 64-bit hash: all hashes are drawn anew
     signed = known.select("node", F.explode("signatures").alias("signature"))
     members = members_of(cut(bucket_rows(signed).distinct()), classes)
-    stars = cut(ordered(members.join(centers(members), "signature"), "node", "center"))
+    stars = cut(ordered(members.join(centers(members), "signature").select("node", F.col("best.node").alias("center")), "node", "center"))
     wanted = cut(members.select("node").distinct().join(classes, "node").select("node", "first_id"))
     sets = cut(sets_of(docs, wanted, wanted.count(), width, seed, broadcast_rows))
     labels = node_components(members, stars, sets, percent)
