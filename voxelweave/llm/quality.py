@@ -90,14 +90,14 @@ def votes(counted: DataFrame, rules: dict = RULES) -> DataFrame:
 PRIOR, RIGHT = 0.85, {1: 0.87, -1: 0.9}
 
 
-def fit(patterns: list[tuple[tuple[int, ...], int]], weight: float = 0.5, steps: int = 50) -> tuple[float, list[dict[int, float]]]:
+def fit(patterns: list[tuple[tuple[int, ...], int]], rules: int = 0, weight: float = 0.5, steps: int = 50) -> tuple[float, list[dict[int, float]]]:
     """The share of good documents and, for each rule and vote, P(good | vote), from counted patterns of votes.
 
     The expectation step gives each pattern its posterior; the maximisation step sets P(good | vote) to the mean
     posterior of the documents with that vote, drawn towards its start by `weight` times as many documents. A vote
     multiplies the odds by its own odds over those of the prior; abstaining says nothing.
     """
-    k = len(patterns[0][0]) if patterns else 0
+    k = len(patterns[0][0]) if patterns else rules
     start = {1: RIGHT[1], -1: 1 - RIGHT[-1]}
     prior, table = PRIOR, [dict(start) for _ in range(k)]
     total = sum(n for _, n in patterns)
@@ -138,7 +138,7 @@ def quality(docs: DataFrame, rules: dict = RULES, least: float = 0.5) -> DataFra
     voted = cut(votes(features(docs), rules))
     names = [f"v_{name}" for name in rules]
     counts = voted.groupBy(*names).count().collect()  # 3 ** len(rules) rows at most
-    prior, table = fit(sorted((tuple(r[:-1]), r[-1]) for r in counts))
+    prior, table = fit(sorted((tuple(r[:-1]), r[-1]) for r in counts), len(rules))
     base, table = weights(prior, table)
     logit = F.lit(base)
     for name, w in zip(names, table, strict=True):
