@@ -90,11 +90,14 @@ def test_pairs_by_matrix(monkeypatch):
 def test_components(spark):
     r = random.Random(0)
     edges = [(k, k + 1) for k in range(60)] + [(100 + r.randint(0, 40), 100 + r.randint(0, 40)) for _ in range(30)]
-    got = {x.node: x.comp for x in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    found = components.components(spark.createDataFrame(edges, "a long, b long"))
+    got = {x.node: x.comp for x in found.collect()}
     top = {n: n for e in edges for n in e}
     for _ in range(100):
         for a, b in edges:
             top[a] = top[b] = min(top[a], top[b])
-    assert got == top
-    more = components.components(spark.createDataFrame([(60, 100)], "a long, b long"), spark.createDataFrame(list(got.items()), "node long, comp long"))
-    assert {x.node: x.comp for x in more.collect()}.get(100) == 0
+    parts = lambda labels: {frozenset(n for n in labels if labels[n] == c) for c in labels.values()}
+    assert parts(got) == parts(top) and all(got[c] == c for c in got.values())
+    more = components.components(spark.createDataFrame([(60, edges[60][0])], "a long, b long"), found)
+    joined = {x.node: x.comp for x in more.collect()}
+    assert joined[0] == joined[edges[60][0]] and len(set(joined.values())) == len(set(got.values())) - 1
