@@ -24,8 +24,8 @@ from .components import components
 
 #: Classes of copies that a task remembers so as to sign each of them once; forgetting one only repeats its rows.
 SEEN = 100_000
-#: Nodes of a block, about, and of a component in a block's bucket from which it has blocks of its own.
-BLOCK, LARGE = 128, 64
+#: Nodes and hashes of a block, about, and nodes of a component in one home from which it has blocks of its own.
+BLOCK, BLOCK_HASHES, LARGE = 512, 500_000, 256
 #: Cells of the matrix of a comparison that are held at once.
 CELLS = 4_000_000
 
@@ -220,11 +220,13 @@ def block_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """
     near = members.join(centers(members), "signature")
     home = near.groupBy("node").agg(F.max("best").alias("best"), F.first("comp").alias("comp")).select("node", "comp", F.col("best.node").alias("home"))
-    of = home.groupBy("home", "comp").agg(F.count(F.lit(1)).alias("k")).withColumn("own", F.when(F.col("k") >= LARGE, F.col("comp")))
-    many = of.groupBy("home", "own").agg(F.sum("k").alias("n"))
+    home = home.join(sets.select("node", F.col("n").alias("hashes")), "node")
+    of = home.groupBy("home", "comp").agg(F.count(F.lit(1)).alias("k"), F.sum("hashes").alias("hashes")).withColumn("own", F.when(F.col("k") >= LARGE, F.col("comp")))
+    needed = F.greatest(F.sum("k") / BLOCK, F.sum("hashes") / BLOCK_HASHES)
+    many = of.groupBy("home", "own").agg(F.ceil(needed).cast("long").alias("parts"))
     dealt = home.join(of.select("home", "comp", "own"), ["home", "comp"])
-    dealt = dealt.join(many.select("home", F.col("own").alias("o"), "n"), "home").filter(F.col("own").eqNullSafe(F.col("o")))
-    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK).cast("long"))
+    dealt = dealt.join(many.select("home", F.col("own").alias("o"), "parts"), "home").filter(F.col("own").eqNullSafe(F.col("o")))
+    part = F.pmod(F.xxhash64("node"), F.col("parts"))
     blocks = cut(dealt.select("node", "comp", "own", F.xxhash64("home", F.coalesce("own", F.lit(0)), part).alias("block")))
     held = members.select("signature", "node").join(blocks, "node").select("signature", "block", "own").distinct()
     x, y = held.toDF("signature", "x", "ox"), held.toDF("signature", "y", "oy")
