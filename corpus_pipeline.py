@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from voxelweave.llm import line_dedup as lines, ngram_join, packing, pii, toxicity
-from voxelweave.llm.common import plain_reads, table
+from voxelweave.llm.common import bounded, cut, plain_reads, table
 from voxelweave.llm.queries import vocabulary
 
 
@@ -23,11 +23,15 @@ def _as_before(out: DataFrame, docs: DataFrame) -> DataFrame:
     return out.select(*docs.columns)
 
 
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs without the rows of these ids, which are sent to all tasks if counted few; rows without an id stay."""
+    ids = cut(ids.select("doc_id").distinct())
+    return docs.join(bounded(ids, ids.count()), "doc_id", "left_anti").select(*docs.columns)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
-    scored = toxicity.toxicity(docs, table(spark, sf_dir, "labels"))
-    rejected = scored.filter("predicted = 1").select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
+    return _without(docs, toxicity.toxicity(docs, table(spark, sf_dir, "labels")).filter("predicted = 1"))
 
 
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,9 +41,7 @@ def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest doc_id stays."""
-    groups = ngram_join.jaccard_groups(docs, width=5, percent=80)
-    copies = groups.filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    return _without(docs, ngram_join.jaccard_groups(docs, width=5, percent=80).filter("doc_id <> component_id"))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
