@@ -213,13 +213,16 @@ def similar_pairs(a: list[np.ndarray], b: list[np.ndarray], percent: int) -> np.
 def block_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links a, b between nodes of different components that share a bucket.
 
-    A node's home is the centre that meets most nodes of those of its buckets, so that near copies have few homes. The
-    nodes of a home are dealt into blocks by hash; a component with many nodes there has blocks of its own, which
-    needn't meet each other. Blocks that hold nodes of one bucket meet: both send their sets to one task, which reads
-    them in order of the meeting.
+    A node's home is the centre that meets most nodes of those of its buckets and of the buckets of its neighbours, so
+    that near copies have few homes. The nodes of a home are dealt into blocks by hash; a component with many nodes
+    there has blocks of its own, which needn't meet each other. Blocks that hold nodes of one bucket meet: both send
+    their sets to one task, which reads them in order of the meeting.
     """
-    near = members.join(centers(members), "signature")
-    home = near.groupBy("node").agg(F.max("best").alias("best"), F.first("comp").alias("comp")).select("node", "comp", F.col("best.node").alias("home"))
+    at = centers(members)
+    for _ in range(2):
+        home = cut(members.join(at, "signature").groupBy("node").agg(F.max("best").alias("best"), F.first("comp").alias("comp")))
+        at = members.join(home.select("node", "best"), "node").groupBy("signature").agg(F.max("best").alias("best"))
+    home = home.select("node", "comp", F.col("best.node").alias("home"))
     home = home.join(sets.select("node", F.col("n").alias("hashes")), "node")
     of = home.groupBy("home", "comp").agg(F.count(F.lit(1)).alias("k"), F.sum("hashes").alias("hashes")).withColumn("own", F.when(F.col("k") >= LARGE, F.col("comp")))
     needed = F.greatest(F.sum("k") / BLOCK, F.sum("hashes") / BLOCK_HASHES)
