@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import scale
-from ..operators import atlas, decompose, glm, masks, reductions, series, spatial, thresholds, windows
+from ..operators import atlas, decompose, glm, masks, reductions, series, spatial, thresholds, validate, windows
 from ..operators.layout import to_long, to_series
 from . import views
 from .views import B, E, G, H, P, R, V
@@ -631,6 +631,52 @@ def group_spans(spark, d):
     return masks.group_spans(views.table(spark, d, "events"), "event_id", "event_type")
 
 
+@query("mask_triangle", f"WITH {COV} SELECT i, j, round(value, 6) + 0.0 AS value FROM K WHERE i < j")
+def mask_triangle(spark, d):
+    k = reductions.covariance(_m(spark, d)).filter(scale.in_triangle(F.col("i"), F.col("j"), "upper"))
+    return k.select("i", "j", (F.round("value", 6) + 0.0).alias("value"))
+
+
+@query("threshold_slices", f"WITH {G} SELECT y_idx, x_idx, CASE WHEN abs(z) <= 2 THEN z END AS z FROM G")
+def threshold_slices(spark, d):
+    return views.grid(spark, d).select("y_idx", "x_idx", scale.threshold_value(F.col("z"), 2.0, "below").alias("z"))
+
+
+@query("trial_types", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN event_type ELSE 'dummy' END AS trial_type FROM events")
+def trial_types(spark, d):
+    raw = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit(" "), "event_type")).when(F.col("event_id") % 3 == 1, "n/a")
+    return views.table(spark, d, "events").select("event_id", scale.normalize_trial_type(raw).alias("trial_type"))
+
+
+COORDS = "C AS (SELECT l_linestatus AS dim, row_number() OVER (PARTITION BY l_linestatus ORDER BY d) - 1 AS idx, d::DOUBLE AS coord FROM (SELECT DISTINCT l_linestatus, floor(epoch(l_shipdate) / 86400)::BIGINT AS d FROM lineitem))"
+
+
+def _coords(spark, d):
+    from pyspark.sql import Window
+
+    day = F.floor(F.unix_timestamp(F.col("l_shipdate").cast("timestamp")) / 86400).cast("double")
+    c = views.table(spark, d, "lineitem").select(F.col("l_linestatus").alias("dim"), day.alias("coord")).distinct()
+    return c.withColumn("idx", F.row_number().over(Window.partitionBy("dim").orderBy("coord")) - 1)
+
+
+@query("spacings_origins", f"WITH {COORDS}, S AS (SELECT *, coord - lag(coord) OVER (PARTITION BY dim ORDER BY idx) AS s FROM C), M AS (SELECT dim, median(s) AS m, min(coord) AS origin FROM S GROUP BY 1) SELECT M.dim, CASE WHEN max(abs(s - m) > 0.01 * abs(m)) THEN NULL ELSE m END AS spacing, origin FROM S JOIN M USING (dim) GROUP BY M.dim, m, origin")
+def spacings_origins(spark, d):
+    return validate.spacings(_coords(spark, d)).select("dim", "spacing", "origin")
+
+
+@query("coordinate_problems", f"WITH {COORDS} SELECT DISTINCT dim, 'not increasing' AS rule FROM C WHERE idx > 0")
+def coordinate_problems(spark, d):
+    c = _coords(spark, d)
+    return validate.coordinate_problems(c.withColumn("coord", -F.col("coord"))).select("dim", "rule")
+
+
+@query("stack_lags", f"WITH {E}, S AS (SELECT 0.0 AS lag, t_idx, voxel_id, value FROM E UNION ALL SELECT 1.5, t_idx, voxel_id, -value FROM E) SELECT lag, voxel_id, round(avg(value), 6) + 0.0 AS value FROM S GROUP BY ALL")
+def stack_lags(spark, d):
+    m = _m(spark, d)
+    out = masks.stack_lags({0.0: m, 1.5: m.withColumn("value", -F.col("value"))})
+    return out.groupBy("lag", "voxel_id").agg(F.avg("value").alias("v")).select("lag", "voxel_id", (F.round("v", 6) + 0.0).alias("value"))
+
+
 @query("register_translation")
 def register_translation(spark, d):
     t = spark.range(3).withColumnRenamed("id", "t_idx")
