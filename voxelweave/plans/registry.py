@@ -319,8 +319,9 @@ def boxcar_regressor(spark, d):
 @query("active_events", f"WITH {X}, L AS (SELECT min(onset) AS lo FROM X) SELECT k AS frame_id, event_id FROM L, range(300) t(k), X WHERE CASE WHEN duration > 0 THEN onset < lo + k * 7200 + 7200 AND lo + k * 7200 < onset + duration ELSE lo + k * 7200 <= onset AND onset < lo + k * 7200 + 7200 END")
 def active_events(spark, d):
     e = _events(spark, d)
-    lo = e.agg(F.min("onset")).first()[0]
-    frames = spark.range(300).select(F.col("id").alias("frame_id"), (F.lit(lo) + F.col("id") * 7200).alias("start"), (F.lit(lo) + F.col("id") * 7200 + 7200).alias("end"))
+    lo, hi = e.agg(F.min("onset"), F.max(F.col("onset") + F.greatest("duration", F.lit(0.0)))).first()
+    count = 0 if lo is None else int((hi - lo) // 7200) + 1  # up to the last moment of any event
+    frames = spark.range(count).select(F.col("id").alias("frame_id"), (F.lit(lo) + F.col("id") * 7200).alias("start"), (F.lit(lo) + F.col("id") * 7200 + 7200).alias("end"))
     return glm.active_events(frames, e, 7200.0).select("frame_id", "event_id")
 
 
