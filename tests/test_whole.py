@@ -1,5 +1,7 @@
 """Registered queries against brute force on tables that reach beyond fixed ids, times and columns."""
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -25,3 +27,34 @@ def test_active_events(spark, tmp_path):
                 want.add((k, i))
     assert sorted(zip(got.frame_id, got.event_id, strict=True)) == sorted(want)
     assert set(got.event_id) == set(range(6))
+
+
+def test_thresholds_of_all_parts(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    key, size = np.arange(1, 1001), rng.integers(1, 51, 1000)
+    d = put(spark, tmp_path, "part", {"p_partkey": key, "p_size": size})
+    z = {(k // 20, k % 20): round((s - 25) / 5, 3) for k, s in zip(key.tolist(), size.tolist(), strict=True)}
+    run = lambda name: registry.queries()[name](spark, d).toPandas()
+    cells = lambda p: {(y, x): v for y, x, v in zip(p.y_idx, p.x_idx, p.z, strict=True)}
+    assert cells(run("threshold_fixed")) == {c: v if abs(v) > 2.5 else 0 for c, v in z.items()}
+    got = cells(run("threshold_slices"))
+    assert got.keys() == z.keys() and all(got[c] == v if abs(v) <= 2 else np.isnan(got[c]) for c, v in z.items())
+    large = {}
+    for c in z:
+        if c not in large and abs(z[c]) > 1:
+            seen, todo = {c}, [c]
+            while todo:
+                y, x = todo.pop()
+                for n in ((y - 1, x), (y + 1, x), (y, x - 1), (y, x + 1)):
+                    if n not in seen and abs(z.get(n, 0)) > 1 and z[n] * z[c] > 0:
+                        seen.add(n)
+                        todo.append(n)
+            large |= dict.fromkeys(seen, len(seen) >= 4)
+    assert cells(run("cluster_filter")) == {c: v if large.get(c) else 0 for c, v in z.items()}
+    p = np.array([math.erfc(abs(v) / math.sqrt(2)) for v in z.values()])
+    ranked = np.sort(p)
+    cut = ranked[np.flatnonzero(ranked <= 0.05 * np.arange(1, 1001) / 1000).max()]
+    want = {y * 20 + x: v if q <= cut else 0 for ((y, x), v), q in zip(z.items(), p, strict=True)}
+    got = run("threshold_fdr")
+    assert dict(zip(got.voxel_id, got.z, strict=True)) == want
+    assert set(got.threshold) == {min(abs(v) for v in want.values() if v)}
