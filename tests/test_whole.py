@@ -4,8 +4,10 @@ import math
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
+from voxelweave.operators import decompose, layout
 from voxelweave.plans import registry
 
 
@@ -58,3 +60,83 @@ def test_thresholds_of_all_parts(spark, tmp_path):
     got = run("threshold_fdr")
     assert dict(zip(got.voxel_id, got.z, strict=True)) == want
     assert set(got.threshold) == {min(abs(v) for v in want.values() if v)}
+
+
+def embeddings(spark, folder, n):
+    """n vectors of 64 columns, and where they are."""
+    rng = np.random.default_rng(2)
+    x = (rng.standard_normal((n, 3)) ** 3 @ rng.standard_normal((3, 64)) + 0.1 * rng.standard_normal((n, 64))).astype(np.float32).astype(float)
+    label = rng.integers(0, 3, n)
+    rows = spark.createDataFrame([(i, v.tolist(), int(y)) for i, (v, y) in enumerate(zip(x, label, strict=True))], "vec_id long, embedding array<float>, label int")
+    rows.write.parquet(f"{folder}/embeddings.parquet")
+    return x, label, str(folder)
+
+
+def by_voxel(df, k):
+    out = np.full((64, k), np.nan)
+    out[df.voxel_id, df.component] = df.value
+    return out
+
+
+def factors(x, k, steps, tolerance=1e-4):
+    """The rounds of nmf on voxels x time, with nothing spread."""
+    h, losses = np.random.default_rng(0).uniform(0.1, 1, (k, x.shape[1])), []
+
+    def weights(h):
+        w = np.maximum(x @ np.linalg.pinv(h), 1e-6)
+        for _ in range(60):
+            w = w * (x @ h.T) / np.maximum(w @ (h @ h.T), 1e-12)
+        return w
+
+    for _ in range(steps):
+        w = weights(h)
+        losses.append(((x - w @ h) ** 2).sum())
+        for _ in range(60):
+            h = h * (w.T @ x) / np.maximum(w.T @ w @ h, 1e-12)
+        if len(losses) > 1 and losses[-2] - losses[-1] <= tolerance * losses[0]:
+            break
+    return weights(h)
+
+
+def components(x, k, steps, tolerance=1e-4):
+    """The rounds of fast_ica on voxels x time, from a singular value decomposition."""
+    n, c = len(x), x - x.mean(0)
+    _, s, v = np.linalg.svd(c, full_matrices=False)
+    v = v[:k] * np.where(v[np.arange(k), np.abs(v[:k]).argmax(1)] < 0, -1, 1)[:, None]
+    white = c @ (v / s[:k, None] * np.sqrt(n)).T
+
+    def symmetric(w):
+        u, _, t = np.linalg.svd(w)
+        return u @ t
+
+    w = symmetric(np.random.default_rng(0).standard_normal((k, k)))
+    for _ in range(steps):
+        y = white @ w.T
+        new = symmetric((y**3).T @ white / n - (3 * y**2).mean(0)[:, None] * w)
+        moved = np.abs(np.abs((new * w).sum(1)) - 1).max()
+        w = new
+        if moved < tolerance:
+            break
+    return white @ w.T
+
+
+@pytest.mark.parametrize("n", [40, 150])
+def test_factors_of_all_times(spark, tmp_path, n):
+    x, _, d = embeddings(spark, tmp_path, n)
+    x = np.abs(x).T
+    got = by_voxel(registry.queries()["nmf"](spark, d).toPandas(), 3)
+    assert np.allclose(got, factors(x, 3, 10), atol=2e-3, rtol=1e-3)
+    got = by_voxel(registry.queries()["fast_ica"](spark, d).toPandas(), 3)
+    assert np.allclose(got, components(x, 3, 10), atol=2e-3)
+
+
+def test_spatial_gram_of_blocks(spark):
+    x = np.random.default_rng(3).standard_normal((5, 23))
+    s = spark.createDataFrame([(7 * i, v.tolist()) for i, v in enumerate(x)], "voxel_id long, series array<double>")
+    gram = layout.spatial_gram(s, x.mean(0), 10)
+    c = x - x.mean(0)
+    assert np.allclose(gram, c @ c.T)
+    _, values, v = np.linalg.svd(c, full_matrices=False)
+    fit = decompose.PCA(3, "spatial").fit(s)
+    assert np.allclose(fit.singular_values_, values[:3])
+    assert np.allclose(np.abs((fit.vectors_.T * v[:3]).sum(1)), 1)

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -98,6 +99,49 @@ def temporal_gram(series: DataFrame, center: bool = False) -> np.ndarray:
     return out
 
 
+def time_blocks(series: DataFrame, t: int, block: int):
+    """Groups of all voxels over a block of times: b, voxel_id, x."""
+    cut = F.transform(F.sequence(F.lit(0), F.lit((t - 1) // block)), lambda b: F.slice(SERIES, b * block + 1, F.lit(block)))
+    return series.select(VOXEL, F.posexplode(cut).alias("b", "x")).groupBy("b")
+
+
+def _block(frame: pd.DataFrame, mean: np.ndarray, block: int) -> np.ndarray:
+    x = np.array(frame.sort_values(VOXEL)["x"].tolist(), float)
+    start = int(frame["b"].iloc[0]) * block
+    return x - mean[start : start + x.shape[1]]
+
+
+def spatial_gram(series: DataFrame, mean: np.ndarray, block: int = 1024) -> np.ndarray:
+    """Sum over times of voxels outer voxels, less the mean of each time: voxels in order, on the driver.
+
+    For fewer voxels than times: the products of each block of times are added up by cell.
+    """
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        x = _block(frame, mean, block)
+        return pd.DataFrame({"i": np.arange(len(x)), "row": list(x @ x.T)})
+
+    parts = time_blocks(series, len(mean), block).applyInPandas(run, "i long, row array<double>")
+    found = parts.select("i", F.posexplode("row").alias("j", "x")).groupBy("i", "j").agg(F.sum("x").alias("x")).toPandas()
+    out = np.zeros((int(found["i"].max()) + 1,) * 2)
+    out[found["i"], found["j"]] = found["x"]
+    return out
+
+
+def weighted_sum(series: DataFrame, mean: np.ndarray, weights: np.ndarray, block: int = 1024) -> np.ndarray:
+    """Components x time: voxels in order, less the mean of each time, summed by weights (voxels x components)."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        rows = weights.T @ _block(frame, mean, block)
+        return pd.DataFrame({"b": frame["b"].iloc[0], "i": np.arange(len(rows)), "row": list(rows)})
+
+    found = time_blocks(series, len(mean), block).applyInPandas(run, "b int, i long, row array<double>").toPandas()
+    out = np.zeros((weights.shape[1], len(mean)))
+    for b, i, row in found.itertuples(index=False):
+        out[i, b * block : b * block + len(row)] = row
+    return out
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df written to the shared checkpoint folder that the session names; a private folder only where it names none."""
     import tempfile

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import scale
 from ..operators import atlas, decompose, glm, masks, reductions, series, spatial, thresholds, validate, windows
-from ..operators.layout import to_long, to_series
+from ..operators.layout import checkpointed, to_long, to_series
 from . import views
 from .views import B, E, G, H, P, R, V
 
@@ -450,7 +450,7 @@ def pca_scores(spark, d):
 
 
 def _positive(spark, d):
-    return to_series(views.matrix(spark, d).filter("t_idx < 60").select("voxel_id", "t_idx", F.abs("value").alias("value")))
+    return checkpointed(to_series(views.matrix(spark, d).select("voxel_id", "t_idx", F.abs("value").alias("value"))))  # read once in each round
 
 
 @query("nmf")
