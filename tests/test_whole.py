@@ -140,3 +140,22 @@ def test_spatial_gram_of_blocks(spark):
     fit = decompose.PCA(3, "spatial").fit(s)
     assert np.allclose(fit.singular_values_, values[:3])
     assert np.allclose(np.abs((fit.vectors_.T * v[:3]).sum(1)), 1)
+
+
+def test_searchlight_of_all_times(spark, tmp_path):
+    x, label, d = embeddings(spark, tmp_path, 150)
+    got = registry.queries()["searchlight"](spark, d).toPandas().set_index("voxel_id").score.sort_index()
+    fold = np.empty(150, int)
+    for y in range(3):
+        rows = np.flatnonzero(label == y)
+        fold[rows] = np.repeat(np.arange(5), np.diff(np.linspace(0, len(rows), 6).round().astype(int)))
+    want = []
+    for c in range(64):
+        near = [v for v in range(64) if (v % 8 - c % 8) ** 2 + (v // 8 - c // 8) ** 2 <= 1]
+        scores = []
+        for k in range(5):
+            train, test = x[fold != k][:, near], x[fold == k][:, near]
+            means = np.array([train[label[fold != k] == y].mean(0) for y in range(3)])
+            scores.append((((test[:, None] - means) ** 2).sum(2).argmin(1) == label[fold == k]).mean())
+        want.append(np.mean(scores))
+    assert list(got.index) == list(range(64)) and np.allclose(got, want, atol=1e-5)

@@ -490,10 +490,10 @@ def svd_clutter(spark, d):
 
 @query("searchlight")
 def searchlight(spark, d):
-    e = views.table(spark, d, "embeddings").filter("vec_id < 100")
+    e = views.table(spark, d, "embeddings")
     y = np.array([x[0] for x in e.orderBy("vec_id").select("label").collect()])  # a target by time
     v = spark.range(64).select(F.col("id").alias("voxel_id"), (F.col("id") % 8).cast("double").alias("x"), F.floor(F.col("id") / 8).cast("double").alias("y"), F.lit(0.0).alias("z"))
-    return decompose.searchlight(to_series(_m(spark, d).filter("t_idx < 100")), v, y, 1.0).select("voxel_id", r("score"))
+    return decompose.searchlight(to_series(_m(spark, d)), v, y, 1.0).select("voxel_id", r("score"))
 
 
 @query("searchlight_neighbourhoods", "WITH C AS (SELECT v AS voxel_id, (v % 8)::DOUBLE AS x, (v // 8)::DOUBLE AS y FROM range(64) t(v)) SELECT a.voxel_id AS center, b.voxel_id FROM C a JOIN C b ON (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 2.25")
