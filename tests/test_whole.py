@@ -159,3 +159,18 @@ def test_searchlight_of_all_times(spark, tmp_path):
             scores.append((((test[:, None] - means) ** 2).sum(2).argmin(1) == label[fold == k]).mean())
         want.append(np.mean(scores))
     assert list(got.index) == list(range(64)) and np.allclose(got, want, atol=1e-5)
+
+
+def test_connectivity_of_all_columns(spark, tmp_path):
+    x, _, d = embeddings(spark, tmp_path, 150)
+    inverse = [np.linalg.inv(decompose.shrunk_covariance(x[s::5])) for s in range(5)]
+    partial = [np.where(np.eye(64) > 0, 1, -m / np.sqrt(np.outer(np.diag(m), np.diag(m)))) for m in inverse]
+    for kind, want in (("precision", inverse), ("partial_correlation", partial), ("tangent", None)):
+        p = registry.queries()[f"connectivity_{kind}"](spark, d).toPandas()
+        got = np.full((5, 64, 64), np.nan)
+        got[p.subject, p.i, p.j] = p.value
+        assert len(p) == got.size and np.isfinite(got).all()
+        if want is not None:
+            assert np.allclose(got, want, atol=1e-4, rtol=1e-5)
+        else:  # the tangents of the subjects are around their mean
+            assert np.abs(got.mean(0)).max() < 1e-3

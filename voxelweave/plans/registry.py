@@ -427,7 +427,7 @@ def vectorize_triangle(spark, d):
 
 
 def _subjects(spark, d):
-    m = views.matrix(spark, d).filter("voxel_id < 8").select((F.col("t_idx") % 5).alias("subject"), F.col("voxel_id").alias("region"), "t_idx", "value")
+    m = views.matrix(spark, d).select((F.col("t_idx") % 5).alias("subject"), F.col("voxel_id").alias("region"), "t_idx", "value")
     return to_series(m, ("subject", "region"))
 
 
