@@ -87,10 +87,35 @@ def test_pairs_by_matrix(monkeypatch):
     assert {tuple(x) for x in ngram_join.similar_pairs(a, b, 80).tolist()} == want and want
 
 
-def test_components(spark):
+def test_chunks_keep_what_is_shared():
+    """What parts find from the chunks of several tasks, against counting all."""
+    rng = np.random.default_rng(3)
+    pool = rng.integers(0, 2**63, 400).astype(np.uint64) & np.uint64(0xFFFFFFFFFFFFFF00) | rng.integers(0, 5, 400).astype(np.uint64)
+    for bits in (0, 1, 4, 11):
+        want, rows = {}, []
+        for chunk in range(5):
+            nodes = [int(x) for x in rng.integers(-(2**62), 2**62, 30)] + [77]  # 77: an exact copy in every chunk
+            found = [np.unique(rng.choice(pool[: 300 if n != 77 else 400], 20)) if n != 77 else pool[300:320] for n in nodes]
+            for n, f in zip(nodes, found, strict=True):
+                for s in f.tolist():
+                    want.setdefault(s, set()).add(n)
+            rows += ngram_join.packed(nodes, found, bits)
+        code = lambda s: ((s >> (64 - bits)) << 40 | (s & 255) << 32 | ((s << bits) & (2**64 - 1)) >> 32) if bits else (s & 255) << 32 | s >> 32
+        got, parts = set(), {}
+        for r in rows:
+            parts.setdefault(r[0], []).append(r)
+        for part in parts.values():
+            out = ngram_join.meet(part)
+            got |= set(zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True))
+        assert got == {(np.uint64(code(s)).astype(np.int64).item(), n) for s, x in want.items() if len(x) > 1 for n in x}
+        assert all(len(r[4]) == (8 if r[1] else 5) * len(r[3]) // 2 for r in rows)
+
+
+@pytest.mark.parametrize("few", [0, 1000])
+def test_components(spark, few):
     r = random.Random(0)
     edges = [(k, k + 1) for k in range(60)] + [(100 + r.randint(0, 40), 100 + r.randint(0, 40)) for _ in range(30)]
-    found = components.components(spark.createDataFrame(edges, "a long, b long"))
+    found = components.components(spark.createDataFrame(edges, "a long, b long"), task_links=few)
     got = {x.node: x.comp for x in found.collect()}
     top = {n: n for e in edges for n in e}
     for _ in range(100):
@@ -98,6 +123,6 @@ def test_components(spark):
             top[a] = top[b] = min(top[a], top[b])
     parts = lambda labels: {frozenset(n for n in labels if labels[n] == c) for c in labels.values()}
     assert parts(got) == parts(top) and all(got[c] == c for c in got.values())
-    more = components.components(spark.createDataFrame([(60, edges[60][0])], "a long, b long"), found)
+    more = components.components(spark.createDataFrame([(60, edges[60][0])], "a long, b long"), found, few)
     joined = {x.node: x.comp for x in more.collect()}
     assert joined[0] == joined[edges[60][0]] and len(set(joined.values())) == len(set(got.values())) - 1

@@ -37,14 +37,23 @@ def short_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and forget its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``; a private one is used only where none is set.
+    Where none is set, local mode gets a private one; a cluster has no folder that all its machines see, so this raises.
     """
+    if place := spark.conf.get("spark.checkpoint.dir", None):
+        return place
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="shared-")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write df to the shared checkpoint folder and forget its lineage."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
@@ -57,6 +66,11 @@ def text_of(df: DataFrame, column: str = "text") -> Column:
     return F.coalesce(df[column].cast("string"), F.lit(""))
 
 
+def text_hash(df: DataFrame) -> Column:
+    """64 bits of a row's text; null counts as empty. With doc_id it tells rows apart that have one doc_id."""
+    return F.xxhash64(text_of(df))
+
+
 def replace_columns(df: DataFrame, **columns: Column) -> DataFrame:
     """df with these columns, in place of any that have the same names."""
     return df.withColumns(columns)

@@ -19,11 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from . import shingles
-from .common import BROADCAST_ROWS, bounded, cut, short_batches, text_of
+from .common import BROADCAST_ROWS, bounded, cut, short_batches, text_hash, text_of
 from .components import components
 
 #: Classes of copies that a task remembers so as to sign each of them once; forgetting one only repeats its rows.
 SEEN = 100_000
+#: Signatures of a chunk that a task sends at once, and what stands for "several nodes of the chunk" among their places.
+CHUNK, MARK = 1_000_000, 65_535
+#: Signatures of a part, about.
+PART = 1_000_000
 #: Nodes and hashes of a block, about, and nodes of a component in one home from which it has blocks of its own.
 BLOCK, BLOCK_HASHES, LARGE = 512, 500_000, 256
 #: Cells of the matrix of a comparison that are held at once.
@@ -31,13 +35,13 @@ CELLS = 4_000_000
 
 
 def sketches(docs: DataFrame, width: int, percent: int, seed: int) -> DataFrame:
-    """doc_id, n_shingles, node, check (128 bits of the set), bounds, and the set's signatures, once for each task and set."""
+    """doc_id, text_hash, n_shingles, node, check (128 bits of the set), and its bounds, once for each task and set."""
     short_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, schemes, seen = shingles.Words(seed), shingles.Schemes(percent), set()
         for batch in batches:
-            sizes, nodes, checks, bounds, offsets, found = [], [], [], [], [0], []
+            sizes, nodes, checks, bounds = [], [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 hashes = shingles.shingle_set(text or b"", words, width)
                 sizes.append(len(hashes))
@@ -48,64 +52,142 @@ def sketches(docs: DataFrame, width: int, percent: int, seed: int) -> DataFrame:
                     if len(seen) >= SEEN:
                         seen.clear()
                     seen.add((node, check))
-                    keys, least = shingles.signatures(hashes, schemes)
-                    found.append(keys.view(np.int64))
-                    bounds.append([k << 32 | n for k, n in least])
-                    offsets.append(offsets[-1] + len(found[-1]))
+                    bounds.append([k << 32 | n for k, n in shingles.bounds(hashes, schemes)])
                 else:
                     bounds.append(None)
-                    offsets.append(offsets[-1])
-            flat = np.concatenate(found) if found else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(checks, pa.int64()), pa.array(bounds, pa.list_(pa.int64())), pa.ListArray.from_arrays(np.array(offsets, np.int32), flat)],
-                names=["doc_id", "n_shingles", "node", "check", "bounds", "signatures"],
+                [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(checks, pa.int64()), pa.array(bounds, pa.list_(pa.int64()))],
+                names=["doc_id", "text_hash", "n_shingles", "node", "check", "bounds"],
             )
 
-    slim = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).cast("binary").alias("text"))
-    return slim.mapInArrow(run, "doc_id long, n_shingles long, node long, check long, bounds array<long>, signatures array<long>")
+    slim = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).cast("binary").alias("text"), text_hash(docs).alias("text_hash"))
+    return slim.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, node long, check long, bounds array<long>")
 
 
-def bucket_rows(signed: DataFrame) -> DataFrame:
-    """signature, node of signatures that several nodes have, and of those at the ends of a task's range.
+def packed(nodes: list[int], found: list[np.ndarray], bits: int) -> Iterator[tuple[int, int, bytes, bytes, bytes]]:
+    """(part, kind, nodes, places among them, signatures) of the signatures of a chunk of nodes, part by part.
 
-    Rows are dealt by ranges of (signature, node), so that a frequent signature is split among tasks, and each task
-    reads its sorted rows once, with one row in memory besides the batch.
+    A signature that the chunk has once is sent to its part with its node. One that it has more often is known to be
+    shared: its rows go out as they are (kind 1), and its part gets one mark, so that a part has at most one entry of
+    any signature from a chunk. Within a part a signature is 32 bits of its hash and its list, in the order of both.
+    """
+    if not sum(map(len, found)):
+        return
+    s = np.concatenate(found)
+    k = np.repeat(np.arange(len(nodes)), [len(x) for x in found])
+    part = s >> np.uint64(64 - bits) if bits else np.zeros(len(s), np.uint64)
+    offset = (s << np.uint64(bits)) >> np.uint64(32)
+    key = part << np.uint64(40) | (s & np.uint64(0xFF)) << np.uint64(32) | offset
+    order = np.argsort(key, kind="stable")
+    key, k = key[order], k[order]
+    first = np.ones(len(key), bool)
+    first[1:] = key[1:] != key[:-1]
+    last = np.ones(len(key), bool)
+    last[:-1] = first[1:]
+    shared = ~(first & last)
+    ids = np.array(nodes, np.int64)
+
+    def blob(part: int, kind: int, key: np.ndarray, k: np.ndarray) -> tuple[int, int, bytes, bytes, bytes]:
+        used, place = np.unique(k, return_inverse=True)
+        held = ids[used[used < MARK]]
+        place = np.where(k == MARK, MARK, place)
+        wide = key if kind else (key & np.uint64(0xFF00000000)) >> np.uint64(32)
+        # one plane for each byte: those of high bytes hardly change in sorted order, and so take little room
+        planes = (key & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.uint8).reshape(-1, 4).T
+        columns = wide.tobytes() if kind else wide.astype(np.uint8).tobytes() + planes.tobytes()
+        return part, kind, held.tobytes(), place.astype(np.uint16).tobytes(), columns
+
+    if shared.any():
+        yield blob(nodes[0] & (1 << bits) - 1, 1, key[shared], k[shared])
+    key, k = key[first], np.where(shared, MARK, k)[first]
+    parts = (key >> np.uint64(40)).astype(np.int64)
+    edges = np.flatnonzero(np.append(True, parts[1:] != parts[:-1]))
+    for a, b in zip(edges, np.append(edges[1:], len(parts)), strict=True):
+        yield blob(int(parts[a]), 0, key[a:b], k[a:b])
+
+
+def unpacked(part: int, kind: int, nodes: bytes, places: bytes, columns: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures, nodes, and whether the entry is a mark."""
+    ids, place = np.frombuffer(nodes, np.int64), np.frombuffer(places, np.uint16)
+    mark = place == MARK
+    if kind:
+        key = np.frombuffer(columns, np.uint64)
+    else:
+        n = len(place)
+        flat = np.frombuffer(columns, np.uint8)
+        offset = np.ascontiguousarray(flat[n:].reshape(4, n).T).view(np.uint32).ravel()
+        key = np.uint64(part << 40) | flat[:n].astype(np.uint64) << np.uint64(32) | offset
+    return key.view(np.int64), np.append(ids, 0)[np.where(mark, len(ids), place)], mark
+
+
+def meet(rows: list[tuple]) -> pa.RecordBatch:
+    """signature, node of what chunks have sent to one part, where several nodes have the signature."""
+    s, x, mark = (np.concatenate(c) for c in zip(*(unpacked(*r) for r in rows if not r[1]), strict=True)) if any(not r[1] for r in rows) else (np.empty(0, np.int64),) * 3
+    order = np.lexsort((x, s))
+    s, x, mark = s[order], x[order], mark[order].astype(bool)
+    new = np.ones(len(s), bool)
+    new[1:] = s[1:] != s[:-1]
+    group = np.cumsum(new) - 1
+    begin = np.flatnonzero(new)
+    marked = np.zeros(len(begin), bool)
+    marked[group[mark]] = True
+    end = np.append(begin[1:], len(s)) - 1
+    several = marked | (x[begin] != x[end]) if len(begin) else marked
+    again = ~new & np.append(False, x[1:] == x[:-1]) if len(s) else new
+    put = several[group] & ~mark & ~again if len(s) else new
+    direct = [unpacked(*r)[:2] for r in rows if r[1]]
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([a, *(d[i] for d in direct)]), pa.int64()) for i, a in enumerate((s[put], x[put]))], names=["signature", "node"])
+
+
+def bucket_rows(docs: DataFrame, width: int, percent: int, seed: int, bits: int) -> DataFrame:
+    """signature, node of signatures that several nodes have; a row may come more than once.
+
+    Tasks send the signatures of their sets in chunks to 2 ** bits parts by ranges of hashes. A part has at most one
+    entry of a signature from each chunk, so a frequent one costs no task more than there are chunks.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, out, begun = None, False, False  # the row before, and whether it has been put out
-
-        def rows(s: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(s, pa.int64()), pa.array(x, pa.int64())], names=["signature", "node"])
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, schemes, seen = shingles.Words(seed), shingles.Schemes(percent), set()
+        nodes: list[int] = []
+        found: list[np.ndarray] = []
+        held = 0
+
+        def flush() -> pa.RecordBatch:
+            rows = list(zip(*packed(nodes, found, bits), strict=True)) or [[]] * 5
+            nodes.clear()
+            found.clear()
+            if len(seen) >= SEEN:
+                seen.clear()
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()], strict=True)], names=["part", "kind", "nodes", "places", "columns"])
 
         for batch in batches:
-            s, x = (batch.column(k).to_numpy() for k in (0, 1))
-            if last is not None:
-                s, x = np.append(last[0], s), np.append(last[1], x)
-            new = np.ones(len(s), bool)
-            new[1:] = (s[1:] != s[:-1]) | (x[1:] != x[:-1])
-            s, x, old = s[new], x[new], last is not None
-            same = s[1:] == s[:-1]
-            keep = np.zeros(len(s), bool)
-            keep[1:] |= same
-            keep[:-1] |= same
-            if not begun and len(s):
-                keep[0], begun = True, True
-            if old and out:
-                put = keep.copy()
-                put[0] = False
-                keep[0] = True
-            else:
-                put = keep
-            if put.any():
-                yield rows(s[put], x[put])
-            if len(s):
-                last, out = (s[-1], x[-1]), bool(keep[-1])
-        if last is not None and not out:
-            yield rows(np.array([last[0]]), np.array([last[1]]))
-
-    spread = signed.select("signature", "node").repartitionByRange("signature", "node").sortWithinPartitions("signature", "node")
-    return spread.mapInArrow(run, "signature long, node long")
+            for text in batch.column(0).to_pylist():
+                hashes = shingles.shingle_set(text, words, width)
+                if not len(hashes) or (key := shingles.set_hash(hashes)) in seen:
+                    continue
+                seen.add(key)
+                nodes.append(key[0])
+                found.append(shingles.signatures(hashes, schemes)[0])
+                held += len(found[-1])
+                if held >= CHUNK or len(nodes) == MARK:
+                    yield flush()
+                    held = 0
+        yield flush()
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        for batch in batches:
+            for row in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                if rows and row[0] != rows[0][0]:
+                    yield meet(rows)
+                    rows = []
+                rows.append(row)
+        if rows:
+            yield meet(rows)
+
+    slim = docs.filter(docs["doc_id"].cast("long").isNotNull()).select(text_of(docs).cast("binary").alias("text"))
+    sent = slim.mapInArrow(send, "part long, kind long, nodes binary, places binary, columns binary")
+    return sent.repartition("part").sortWithinPartitions("part").mapInArrow(gather, "signature long, node long")
 
 
 def members_of(rows: DataFrame, classes: DataFrame) -> DataFrame:
@@ -115,7 +197,7 @@ def members_of(rows: DataFrame, classes: DataFrame) -> DataFrame:
     In the order of bucket sizes, the first of the shared ones is then among the first v - least + 1 of either node.
     """
     sizes = rows.groupBy("signature").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    held = rows.join(sizes, "signature").withColumn("list", F.col("signature").bitwiseAND(0xFF))
+    held = rows.join(sizes, "signature").withColumn("list", F.shiftright("signature", 32).bitwiseAND(0xFF))
     bound = classes.select("node", F.explode("bounds").alias("b")).select("node", F.shiftright("b", 32).alias("list"), F.col("b").bitwiseAND(0xFFFFFFFF).alias("least"))
     mine = Window.partitionBy("node", "list")  # the signatures of one set
     ranked = held.join(bound, ["node", "list"]).withColumns({"v": F.count(F.lit(1)).over(mine), "r": F.row_number().over(mine.orderBy("size", "signature"))})
@@ -273,29 +355,49 @@ def node_components(members: DataFrame, stars: DataFrame, sets: DataFrame, perce
     return components(links, labels)
 
 
+def part_bits(total: int, tasks: int) -> int:
+    """Bits of the number of parts: about PART signatures each, and twice as many as tasks at least."""
+    return min(20, max(total // PART, 2 * tasks, 1).bit_length())
+
+
+def with_components(known: DataFrame, top: DataFrame, rows: int) -> DataFrame:
+    """known with the component of its node, which top has (node, n rows of it, component).
+
+    Nodes with more than a thousandth of all rows, fewer than a thousand by that, are sent to all tasks, so that no
+    task gets all rows of one. Rows that need no other join meet by a key of their own, which no node has.
+    """
+    hot = top.filter(F.col("n") * 1000 > rows).select("node", F.col("component").alias("hot"))
+    out = known.join(F.broadcast(hot), "node", "left")
+    out = out.withColumn("key", F.when(F.col("hot").isNull() & F.col("node").isNotNull(), F.col("node")).otherwise(F.xxhash64("doc_id", F.lit(1))))
+    rest = top.filter(F.col("n") * 1000 <= rows).select(F.col("node").alias("key"), "component")
+    return out.join(rest, "key", "left").withColumn("component", F.coalesce("hot", "component"))
+
+
 def jaccard_groups(docs: DataFrame, width: int = 4, percent: int = 85, broadcast_rows: int = BROADCAST_ROWS, seed: int = 0) -> DataFrame:
-    """doc_id, n_shingles and component_id of each row of docs.
+    """doc_id, n_shingles, component_id, and text_hash of each row of docs.
 
     Two documents link when the Jaccard similarity of their sets of `width`-word shingles is percent / 100 or more;
     component_id is the smallest doc_id that links reach. A null text counts as empty; a document without words is
     linked with nothing. A row without a doc_id is linked with nothing and has no component. Rows with equal doc_ids
-    are separate documents. Other columns aren't looked at; no rows give no rows.
+    are separate documents, told apart by text_hash where their texts differ. Other columns aren't looked at; no rows
+    give no rows.
     """
     while True:
         known = cut(sketches(docs, width, percent, seed))
-        classes = known.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("check").alias("c1"), F.max("check").alias("c2"), F.max("bounds").alias("bounds"))
+        classes = known.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("check").alias("c1"), F.max("check").alias("c2"), F.max("bounds").alias("bounds"), F.first("n_shingles").alias("size"), F.count(F.lit(1)).alias("n"))
         classes = cut(classes)
-        if not classes.filter("c1 <> c2").limit(1).count():
+        total, rows, clash = classes.agg(F.sum("size"), F.sum("n"), F.max(F.col("c1") != F.col("c2"))).first()
+        if not clash:
             break
         seed += 1  # two sets have one 64-bit hash: all hashes are drawn anew
-    signed = known.select("node", F.explode("signatures").alias("signature"))
-    members = members_of(cut(bucket_rows(signed).distinct()), classes)
+    bits = part_bits(int(total or 0), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    members = members_of(cut(bucket_rows(docs, width, percent, seed, bits).distinct()), classes)
     stars = cut(ordered(members.join(centers(members), "signature").select("node", F.col("best.node").alias("center")), "node", "center"))
     wanted = cut(members.select("node").distinct().join(classes, "node").select("node", "first_id"))
     sets = cut(sets_of(docs, wanted, wanted.count(), width, seed, broadcast_rows))
     labels = node_components(members, stars, sets, percent)
     named = labels.join(classes, "node").groupBy("comp").agg(F.min("first_id").alias("least"))
     linked = labels.join(named, "comp").select("node", "least")
-    top = classes.join(linked, "node", "left").select("node", F.coalesce("least", "first_id").alias("component"))
-    out = known.select("doc_id", "n_shingles", "node").join(top, "node", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    top = classes.join(linked, "node", "left").filter("n > 1 OR least IS NOT NULL").select("node", "n", F.coalesce("least", "first_id").alias("component"))
+    out = with_components(known, cut(top), int(rows or 0))
+    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), "text_hash")

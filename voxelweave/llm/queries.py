@@ -42,11 +42,11 @@ def op6_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.jaccard_groups(table(spark, sf_dir, "documents"), width=4, percent=85)
+    return ngram_join.jaccard_groups(table(spark, sf_dir, "documents"), width=4, percent=85).drop("text_hash")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("text_hash")
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,8 +57,44 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.digests(table(spark, sf_dir, "pages"))
 
 
+def quoting(messages: DataFrame) -> DataFrame:
+    """messages with quotes: each but the first quotes one up to three turns before it, and what that one quotes.
+
+    The table's own messages quote nothing; with these the links of op3's operator can be held against SQL.
+    """
+    before = F.greatest(F.col("turn") - 1 - (F.col("conv_id") + F.col("turn")) % 3, F.lit(0))
+    m = messages.select("conv_id", "turn", "role", "text", F.when(F.col("turn") > 0, before).alias("p"))
+    said = m.select("conv_id", F.col("turn").alias("p"), F.col("text").alias("t1"), F.col("p").alias("pp"))
+    again = m.select("conv_id", F.col("turn").alias("pp"), F.col("text").alias("t2"))
+    both = m.join(said, ["conv_id", "p"], "left").join(again, ["conv_id", "pp"], "left")
+    marked = lambda t, mark: F.concat(F.lit(mark), F.regexp_replace(t, "\n", "\n" + mark), F.lit("\n"))
+    quote = F.concat(F.coalesce(marked("t2", "> > "), F.lit("")), F.coalesce(marked("t1", "> "), F.lit("")))
+    return both.select("conv_id", "turn", "role", F.concat(quote, "text").alias("text"))
+
+
+def chat_quoted_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op3's operator over messages that quote: who replies to whom, the reply order, and messages without quotes."""
+    return chat.digests(quoting(table(spark, sf_dir, "conversations"))).select("conv_id", "turn", "role", "parent_turn", "reply_path", "n_quoted", "chat_sha256")
+
+
+def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base counts and the base verdict of op5."""
+    return quality.quality(table(spark, sf_dir, "documents")).select("doc_id", *quality.COLUMNS, "base_failed")
+
+
+def pii_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many base spans of each kind op4 finds."""
+    return pii.find(table(spark, sf_dir, "documents")).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
+def transport_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes and digest of the payloads that op6 reads back."""
+    return transport.digests(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: f for k, f in sorted(globals().items()) if k.startswith("op") and callable(f)}
+    more = [chat_quoted_replies, quality_counts, pii_base_spans, transport_payloads]
+    return {k: f for k, f in sorted(globals().items()) if k.startswith("op") and callable(f)} | {f.__name__: f for f in more}
 
 
 #: White space at both ends, as a set of characters for DuckDB's trim.
@@ -101,5 +137,58 @@ FROM s JOIN k ON list_sort(s.g) = k.g LEFT JOIN c ON c.x = k.node
 """
 
 
+CHAT = """
+WITH RECURSIVE a AS (
+  SELECT conv_id, turn, role, text, CASE WHEN turn > 0 THEN greatest(turn - 1 - (conv_id + turn) % 3, 0) END AS p FROM conversations),
+m AS (
+  SELECT a.*, b.turn AS parent, len(string_split(b.text, chr(10))) AS n1, len(string_split(c.text, chr(10))) AS n2
+  FROM a LEFT JOIN a b ON b.conv_id = a.conv_id AND b.turn = a.p LEFT JOIN a c ON c.conv_id = b.conv_id AND c.turn = b.p),
+r AS (
+  SELECT conv_id, turn, turn::VARCHAR AS path FROM m WHERE parent IS NULL
+  UNION ALL SELECT m.conv_id, m.turn, r.path || '/' || m.turn FROM m JOIN r ON m.conv_id = r.conv_id AND m.parent = r.turn)
+SELECT m.conv_id, m.turn, m.role, m.parent AS parent_turn, r.path AS reply_path, (coalesce(n1, 0) + coalesce(n2, 0))::BIGINT AS n_quoted,
+  sha256('<|' || m.role || '|>' || chr(10) || m.text || chr(10)) AS chat_sha256
+FROM m JOIN r USING (conv_id, turn)
+"""
+
+_NOT = "[^ \\t\\n\\x0B\\f\\r]"
+#: Words of each text, its lines with a word, and the places of words in windows of five that come twice.
+QUALITY = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, regexp_extract_all(t, '{_NOT}+') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_NOT}')) AS ls FROM d),
+v AS (SELECT doc_id, unnest(ws) AS x, unnest(range(1, len(ws) + 1)) AS i FROM w),
+g AS (SELECT doc_id, i, x || ' ' || lead(x) OVER o || ' ' || lead(x, 2) OVER o || ' ' || lead(x, 3) OVER o || ' ' || lead(x, 4) OVER o AS five
+  FROM v WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+again AS (SELECT doc_id, five FROM g WHERE five IS NOT NULL GROUP BY ALL HAVING count(*) > 1),
+p AS (SELECT DISTINCT g.doc_id, g.i + k AS place FROM g JOIN again USING (doc_id, five), range(5) t(k)),
+n AS (SELECT doc_id, count(*) AS n FROM p GROUP BY 1)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
+  length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
+  coalesce(n.n, 0)::BIGINT AS n_repeat_words, len(ws) < 10 OR 100 * coalesce(n.n, 0) > 20 * len(ws) AS base_failed
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id
+"""
+
+_DIGITS = "regexp_replace(x, '[^0-9]', '', 'g')"
+#: The base patterns as they stand; matches that fail their rule are dropped.
+PII = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+k AS (SELECT doc_id, regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+') AS e,
+  regexp_extract_all(t, '[0-9]+(\\.[0-9]+)(\\.[0-9]+)(\\.[0-9]+)') AS i, regexp_extract_all(t, '[0-9]([ -]?[0-9])+') AS c,
+  regexp_extract_all(t, '\\+[0-9][ ().0-9-]+[0-9]') AS f FROM d)
+SELECT doc_id, len(e)::BIGINT AS n_email,
+  len(list_filter(i, lambda x: list_max(list_transform(string_split(x, '.'), lambda y: y::HUGEINT)) <= 255))::BIGINT AS n_ip,
+  len(list_filter(list_transform(c, lambda x: {_DIGITS}), lambda x: length(x) BETWEEN 13 AND 19 AND list_sum(list_transform(range(1, length(x) + 1),
+    lambda j: CASE WHEN (length(x) - j) % 2 = 0 THEN x[j]::INT WHEN x[j]::INT > 4 THEN 2 * x[j]::INT - 9 ELSE 2 * x[j]::INT END)) % 10 = 0))::BIGINT AS n_card,
+  len(list_filter(list_transform(f, lambda x: {_DIGITS}), lambda x: length(x) BETWEEN 9 AND 15))::BIGINT AS n_phone
+FROM k
+"""
+
+TRANSPORT = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+n AS (SELECT doc_id, b, octet_length(b)::BIGINT AS n, greatest(64, (octet_length(b) + 63) // 64 * 64)::BIGINT AS m FROM d)
+SELECT doc_id, n AS n_bytes, m AS payload_bytes, sha256(b || encode(repeat(chr(0), (m - n)::INT))) AS payload_sha256 FROM n
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1, "op7_ngram_jaccard_join": OP7}
+    return {"op1_line_dedup": OP1, "op7_ngram_jaccard_join": OP7, "chat_quoted_replies": CHAT, "quality_counts": QUALITY, "pii_base_spans": PII, "transport_payloads": TRANSPORT}

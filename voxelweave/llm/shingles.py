@@ -86,6 +86,25 @@ class Schemes:
         return [(k, self.segments(high)) for k, (low, high) in enumerate(self.bands) if low <= size < high]
 
 
+def bounds(found: np.ndarray, schemes: Schemes) -> list[tuple[int, int]]:
+    """(list, least) of each list of a set's signatures, without the signatures."""
+    out = []
+    for band, m in schemes.of(len(found)):
+        h = schemes.difference(len(found) + schemes.partner(len(found)))
+        several = int((_sizes(found, m)[1] > 1).sum())
+        out.append((2 * band, max(several - h, 1)))
+        if several <= h:
+            out.append((2 * band + 1, 1))
+    return out
+
+
+def _sizes(found: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the m segments of a sorted set begin and end, and their sizes."""
+    segment = ((found >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)  # ranges of hashes: found is sorted
+    edges = np.searchsorted(segment, np.arange(m + 1, dtype=np.uint64))
+    return edges, np.diff(edges)
+
+
 def signatures(found: np.ndarray, schemes: Schemes) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """Signatures of a set, and (list, least) of each list of them; the low byte of a signature is its list.
 
@@ -102,9 +121,7 @@ def signatures(found: np.ndarray, schemes: Schemes) -> tuple[np.ndarray, list[tu
     ahead = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values)])
     for band, m in schemes.of(n):
         h = schemes.difference(n + schemes.partner(n))
-        segment = ((found >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)  # ranges of hashes: found is sorted
-        edges = np.searchsorted(segment, np.arange(m + 1, dtype=np.uint64))
-        size = np.diff(edges)
+        edges, size = _sizes(found, m)
         total = ahead[edges[1:]] - ahead[edges[:-1]]
         tag = mix(np.arange(m, dtype=np.uint64) + np.uint64((band + 1) << 32))
         several = np.flatnonzero(size > 1)
@@ -114,7 +131,7 @@ def signatures(found: np.ndarray, schemes: Schemes) -> tuple[np.ndarray, list[tu
         if sure > 0:
             continue
         near = mix(tag + MULTIPLIERS[3])
-        where = segment.astype(np.int64)
+        where = np.repeat(np.arange(m), size)
         wide = size[where] > 2
         more = [mix(total[several] + near[several]), mix(total[where[wide]] - values[wide] + near[where[wide]])]
         if (size > 2).sum() <= h // 2:

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import cut, short_batches, strings, text_of
+from .common import cut, short_batches, strings, text_hash, text_of
 
 SHORTEST, LONGEST = 4, 8
 WORD = re.compile(r"[^\W\d_]+")
@@ -152,7 +152,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 25)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, label_rows: int = 40_000, entries: int = 128, threshold: float = 0.7) -> DataFrame:
-    """doc_id, held_out, score (0 to 1) and predicted (1 from the threshold on) of each row of docs.
+    """doc_id, held_out, score (0 to 1), predicted (1 from the threshold on) and text_hash of each row of docs.
 
     At most about `label_rows` labelled training rows, drawn by a hash of doc_id, give the lexicon and the share of
     toxic documents and are what the classifier is fitted on; labels of held-out rows are never read into anything.
@@ -165,7 +165,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, label_rows: int = 40_000, entri
     usable = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & is_training(F.col("doc_id"))).select("doc_id", F.col("toxic").cast("int").alias("toxic")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     part = min(1.0, label_rows / max(usable.count(), 1))
     drawn = cut(usable.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < part * (1 << 20)))  # bounded by label_rows
-    slim = docs.select("doc_id", text_of(docs).alias("text"))
+    slim = docs.select("doc_id", text_of(docs).alias("text"), text_hash(docs).alias("text_hash"))
     sizes = {r[0]: r[1] for r in drawn.groupBy("toxic").count().collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     of = lambda value: slim.join(F.broadcast(drawn.filter(F.col("toxic") == value).select("doc_id")), "doc_id")
@@ -177,17 +177,17 @@ def toxicity(docs: DataFrame, labels: DataFrame, label_rows: int = 40_000, entri
         lexicon = choose_entries([(w, n, other.get(w, 0)) for w, n in counted.items()], toxic, clean, entries)
     held_out = ~is_training(F.coalesce("doc_id", F.lit(0)))
     if not lexicon:
-        return docs.select("doc_id", held_out.alias("held_out"), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
+        return docs.select("doc_id", held_out.alias("held_out"), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), text_hash(docs).alias("text_hash"))
     size = len(lexicon) + len(PATTERNS)
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voters = Voters(lexicon)
         for batch in batches:
             found = [voters(text) for text in strings(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([bytes(v) for v, _ in found], pa.binary()), pa.array([x for _, x in found], pa.list_(pa.float64()))], names=["doc_id", "votes", "extra"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([bytes(v) for v, _ in found], pa.binary()), pa.array([x for _, x in found], pa.list_(pa.float64())), batch.column(2)], names=["doc_id", "votes", "extra", "text_hash"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    voted = cut(slim.mapInArrow(vote, f"doc_id {id_type}, votes binary, extra array<double>"))
+    voted = cut(slim.mapInArrow(vote, f"doc_id {id_type}, votes binary, extra array<double>, text_hash long"))
 
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, rows = np.zeros((size, size), np.int64), 0
@@ -215,7 +215,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, label_rows: int = 40_000, entri
         for batch in batches:
             v = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, size)
             z = np.hstack([v, np.array(batch.column(2).to_pylist(), float).reshape(-1, 2), np.ones((len(v), 1))]) @ w
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))), pa.float64())], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))), pa.float64()), batch.column(3)], names=["doc_id", "score", "text_hash"])
 
-    scored = voted.mapInArrow(score, f"doc_id {id_type}, score double")
-    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    scored = voted.mapInArrow(score, f"doc_id {id_type}, score double, text_hash long")
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "text_hash")
