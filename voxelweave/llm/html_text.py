@@ -7,6 +7,8 @@ nesting costs no recursion.
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -39,7 +41,12 @@ ENDS = {
 }
 CLOSES_P = BLOCK - {"body", "html", "option", "optgroup", "legend", "dialog"}
 SCOPE = {"table", "td", "th", "caption", "template", "button", "object"}
-UNSEEN_STYLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.IGNORECASE)
+SPACE = " \t\n\r\f"
+SPACES = re.compile("[ \t\n\r\f]+")
+#: Bounds that the standard gives for colspan and rowspan.
+MOST_COLUMNS, MOST_ROWS = 1000, 65534
+DECLARED = re.compile(r"(?:^|[;{\s])(display|visibility)\s*:\s*([a-z-]+)", re.IGNORECASE)
+SIMPLE = re.compile(r"[a-z][a-z0-9]*|(?:[a-z][a-z0-9]*)?[.#][\w-]+", re.IGNORECASE)
 HEAD_ONLY = {"base", "link", "meta", "noscript", "script", "style", "template", "title", "head", "html"}
 
 
@@ -65,14 +72,14 @@ class Buffer:
                 self.end_line(True)
                 self.put(x)
             return
-        words = data.split(None) if data.isascii() else re.split(r"[ \t\n\r\f]+", data.strip(" \t\n\r\f"))
-        if not words or words == [""]:
+        bare = SPACES.sub(" ", data.strip(SPACE))
+        if not bare:
             self.space = self.space or bool(data)
             return
-        if self.line and (self.space or data[0] in " \t\n\r\f"):
+        if self.line and (self.space or data[0] in SPACE):
             self.line.append(" ")
-        self.put(" ".join(words))
-        self.space = data[-1] in " \t\n\r\f"
+        self.put(bare)
+        self.space = data[-1] in SPACE
 
     def put(self, text: str) -> None:
         if text:
@@ -112,31 +119,85 @@ class Buffer:
         return lines
 
 
-def layout_table(rows: list[list[tuple[list[str], int]]], caption: list[str]) -> list[str]:
-    """Rows of cells (lines, columns spanned) with columns aligned two spaces apart; a lone column isn't padded."""
-    count = max((sum(s for _, s in r) for r in rows), default=0)
-    widths = [0] * count
-    for spans in (False, True):  # single cells first; cells over several columns widen the last of theirs
-        for r in rows:
-            at = 0
-            for lines, s in r:
-                need = max(map(width, lines), default=0)
-                if s == 1 and not spans:
-                    widths[at] = max(widths[at], need)
-                elif s > 1 and spans:
-                    have = sum(widths[at : at + s]) + 2 * (s - 1)
-                    widths[at + s - 1] += max(0, need - have)
-                at += s
-    out = [*caption]
+Cell = tuple[list[str], int, int]
+
+
+def declared(style: str) -> dict[str, str]:
+    """What declarations say of display and visibility; the last one counts."""
+    return {k.lower(): v.lower() for k, v in DECLARED.findall(style)}
+
+
+def style_rules(css: str) -> dict[str, dict[str, str]]:
+    """Display and visibility by simple selector: an element's name, .class, #id, or a name with one of these.
+
+    Other selectors and what stands in at-rules say nothing here.
+    """
+    out: dict[str, dict[str, str]] = {}
+    depth, start, head, skipped = 0, 0, "", 0
+    css = re.sub(r"/\*.*?(?:\*/|$)", " ", css, flags=re.DOTALL)
+    for m in re.finditer(r"[{};]", css):
+        if m.group() == "{":
+            if depth == 0:
+                head, skipped = css[start : m.start()].strip(), 0
+            depth += 1
+            skipped = max(skipped, depth - 1)
+            if depth == 1:
+                start = m.end()
+        elif m.group() == "}":
+            depth = max(depth - 1, 0)
+            if depth == 0:
+                if not head.startswith("@") and not skipped and (said := declared(css[start : m.start()])):
+                    for x in map(str.strip, head.split(",")):
+                        if SIMPLE.fullmatch(x):
+                            name, mark, rest = re.fullmatch(r"([^.#]*)([.#]?)(.*)", x).groups()
+                            out.setdefault(name.lower() + mark + rest, {}).update(said)
+                head, start = "", m.end()
+        elif depth == 0:
+            start = m.end()
+    return out
+
+
+def placed(rows: list[list[Cell]]) -> list[list[tuple[list[str], int, int]]]:
+    """Cells (lines, columns, rows spanned) as (lines, first column, column after); cells from above take their room."""
+    out, busy = [], []
     for r in rows:
-        for k in range(max((len(lines) for lines, _ in r), default=0)):
-            line, at = "", 0
-            for lines, s in r:
-                x = lines[k] if k < len(lines) else ""
-                room = sum(widths[at : at + s]) + 2 * (s - 1)
-                line += x + " " * (room - width(x) + 2)
-                at += s
-            out.append(line.rstrip(" "))
+        cells, more, at, k = [], [], 0, 0
+        for lines, columns, deep in r:
+            while k < len(busy) and busy[k][0] <= at:
+                at = max(at, busy[k][1])
+                k += 1
+            cells.append((lines, at, at + columns))
+            more.append((at, at + columns, deep))
+            at += columns
+        out.append(cells)
+        busy = sorted((a, b, n - 1) for a, b, n in busy + more if n > 1)
+    return out
+
+
+def layout_table(rows: list[list[Cell]], caption: list[str]) -> list[str]:
+    """Rows with their columns aligned, two spaces apart; columns in which no cell begins take no room."""
+    grid = placed(rows)
+    starts = sorted({a for r in grid for _, a, _ in r})
+    place = {a: k for k, a in enumerate(starts)}
+    widths = [0] * len(starts)
+    for several in (False, True):  # single cells first; cells over several columns widen the last of theirs
+        for r in grid:
+            for lines, a, b in r:
+                x, y = place[a], bisect.bisect_left(starts, b)
+                if (y - x > 1) == several:
+                    have = sum(widths[x:y]) + 2 * (y - x - 1)
+                    widths[y - 1] += max(0, max(map(width, lines), default=0) - have)
+    offsets = [0, *itertools.accumulate(w + 2 for w in widths)]
+    out = [*caption]
+    for r in grid:
+        for k in range(max((len(lines) for lines, _, _ in r), default=0)):
+            line, at = [], 0
+            for lines, a, _ in r:
+                if k < len(lines) and lines[k]:
+                    gap = max(offsets[place[a]] - at, 2 if at else 0)
+                    line += [" " * gap, lines[k]]
+                    at += gap + width(lines[k])
+            out.append("".join(line).rstrip(" "))
     return out
 
 
@@ -147,7 +208,10 @@ class Page(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool]] = []  # element, whether it is shown
+        # element, whether it is shown, whether its text is visible, and of a closed details 1, or 2 after its summary
+        self.open: list[list] = []
+        self.rules: dict[str, dict[str, str]] = {}
+        self.after_pre = False
         self.count: dict[str, int] = {}
         self.hidden = 0
         self.buffers = [Buffer()]
@@ -155,20 +219,35 @@ class Page(HTMLParser):
         self.tables: list[dict] = []
         self.pre = 0
 
+    def styled(self, tag: str, given: dict) -> dict[str, str]:
+        """Display and visibility that the page's own rules and the element's style give it, the closest last."""
+        out: dict[str, str] = {}
+        if self.rules:
+            names = [f".{c}" for c in (given.get("class") or "").split()] + ([f"#{given['id']}"] if given.get("id") else [])
+            for key in (tag, *(x for n in names for x in (n, tag + n))):
+                out |= self.rules.get(key, {})
+        return out | declared(given.get("style") or "")
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.imply(tag)
-        given = dict(attrs)
-        shown = tag not in HIDDEN and "hidden" not in given and not (tag == "input" or tag == "dialog" and "open" not in given) and not UNSEEN_STYLE.search(given.get("style") or "")
+        self.after_pre = False
+        given = dict(reversed(attrs))  # of attributes with one name the first counts
+        style = self.styled(tag, given)
+        shown = tag not in HIDDEN and "hidden" not in given and not (tag == "input" or tag == "dialog" and "open" not in given) and style.get("display") != "none"
+        visible = self.open[-1][2] if self.open else True
+        if style.get("visibility") in ("visible", "hidden", "collapse"):
+            visible = style["visibility"] == "visible"
+        if self.open and (state := self.open[-1][3]):  # in a closed details only the first summary is shown
+            shown = shown and tag == "summary" and state == 1
+            self.open[-1][3] = 2 if tag == "summary" else state
         if tag in VOID:
             if not self.hidden and shown:
                 if tag == "br":
                     self.buffers[-1].end_line(True)
                 elif tag == "hr":
                     self.buffers[-1].block(True)
-                elif tag == "wbr":
-                    pass
             return
-        self.open.append((tag, shown))
+        self.open.append([tag, shown, visible, int(tag == "details" and "open" not in given)])
         self.count[tag] = self.count.get(tag, 0) + 1
         self.hidden += not shown
         if not self.hidden:
@@ -189,7 +268,7 @@ class Page(HTMLParser):
             self.handle_starttag("tr", [])
 
     def within(self, tag: str, stop: set[str]) -> bool:
-        for name, _ in reversed(self.open):
+        for name, *_ in reversed(self.open):
             if name == tag:
                 return True
             if name in stop:
@@ -229,7 +308,7 @@ class Page(HTMLParser):
         self.close_to(tag)
 
     def pop(self) -> None:
-        tag, shown = self.open.pop()
+        tag, shown, *_ = self.open.pop()
         self.count[tag] -= 1
         if not self.hidden:
             self.end(tag)
@@ -243,13 +322,13 @@ class Page(HTMLParser):
             self.lists.append([tag, int(start) if re.fullmatch(r"-?[0-9]{1,9}", start) else 1])
         elif tag == "table":
             here.block(True)
-            self.tables.append({"rows": [], "caption": []})
+            self.tables.append({"rows": [], "caption": [], "spans": []})
         elif tag == "tr" and self.tables:
             self.tables[-1]["rows"].append([])
         elif tag in ("td", "th", "caption") and self.tables:
-            span = given.get("colspan") or "1"
-            self.tables[-1]["span"] = min(max(int(span), 1), 50) if re.fullmatch(r"[0-9]{1,9}", span) else 1
-            self.tables[-1].setdefault("spans", []).append(self.tables[-1]["span"])
+            number = lambda name, most: min(int(x), most) if re.fullmatch(r"[0-9]{1,9}", x := (given.get(name) or "1").strip(SPACE)) else 1
+            # a rowspan of 0 reaches to the end of the table
+            self.tables[-1]["spans"].append((max(number("colspan", MOST_COLUMNS), 1), number("rowspan", MOST_ROWS) or MOST_ROWS))
             self.buffers.append(Buffer())
         elif tag in ("li", "blockquote", "dd"):
             here.block(tag == "blockquote")
@@ -258,6 +337,7 @@ class Page(HTMLParser):
             here.block(tag in SPACED)
         if tag in ("pre", "textarea"):
             self.pre += 1
+            self.after_pre = True
 
     def end(self, tag: str) -> None:
         if tag in ("pre", "textarea"):
@@ -267,10 +347,10 @@ class Page(HTMLParser):
             self.buffers[-1].block(not self.lists)
         elif tag == "table":
             t = self.tables.pop()
-            self.buffers[-1].paste(layout_table([r for r in t["rows"] if r], t["caption"]), True)
+            self.buffers[-1].paste(layout_table(t["rows"], t["caption"]), True)
         elif tag in ("td", "th") and self.tables:
             lines, span = self.buffers.pop().done(), self.tables[-1]["spans"].pop()
-            self.tables[-1]["rows"][-1:] = [[*(self.tables[-1]["rows"] or [[]])[-1], (lines, span)]]
+            self.tables[-1]["rows"][-1:] = [[*(self.tables[-1]["rows"] or [[]])[-1], (lines, *span)]]
         elif tag == "caption" and self.tables:
             self.tables[-1]["spans"].pop()
             self.tables[-1]["caption"] += self.buffers.pop().done()
@@ -291,7 +371,12 @@ class Page(HTMLParser):
     def handle_data(self, data: str) -> None:
         if self.count.get("head") and data.strip() and not self.hidden_in_head():
             self.close_to("head")
-        if not self.hidden:
+        if self.open and self.open[-1][0] == "style":
+            for key, said in style_rules(data).items():
+                self.rules.setdefault(key, {}).update(said)
+        if self.after_pre:  # a line break right after the start of preformatted text isn't shown
+            data, self.after_pre = data.removeprefix("\r").removeprefix("\n"), False
+        if not self.hidden and not (self.open and (not self.open[-1][2] or self.open[-1][3])):
             self.buffers[-1].text(data, self.pre > 0)
 
     def hidden_in_head(self) -> bool:
@@ -338,5 +423,5 @@ def extract(pages: DataFrame) -> DataFrame:
 
 
 def digests(pages: DataFrame) -> DataFrame:
-    """page_id, n_lines, the text and its digest."""
+    """page_id, n_lines, the text and its digest, for each row of pages, repeated ones too; null html has an empty text."""
     return extract(pages).select("page_id", "n_lines", "text", F.sha2("text", 256).alias("text_sha256"))
