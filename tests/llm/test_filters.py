@@ -1,5 +1,6 @@
 """Quality rules, toxicity and personal data."""
 
+import math
 import random
 import re
 from collections import Counter
@@ -38,11 +39,47 @@ def test_quality(spark, docs_of):
     assert quality.quality(df.limit(0)).count() == 0
 
 
-def test_rules_that_agree_gain_weight():
-    patterns = [((1, 1), 900), ((-1, -1), 90), ((-1, 0), 10)]
-    prior, table = quality.fit(patterns)
-    assert quality.posterior((-1, -1), prior, table) < quality.posterior((-1, 0), prior, table) < 0.5 < quality.posterior((1, 1), prior, table)
-    assert quality.fit([]) == (quality.PRIOR, [])
+def drawn(good, bad, share, n, seed=0):
+    """Votes of n documents whose rules vote (bad, none, good) with these probabilities, and which are good."""
+    rng = np.random.default_rng(seed)
+    is_good = rng.random(n) < share
+    votes = [np.where(is_good, rng.choice([-1, 0, 1], n, p=g), rng.choice([-1, 0, 1], n, p=b)) for g, b in zip(good, bad, strict=True)]
+    return np.array(votes).T, is_good
+
+
+@pytest.mark.parametrize("n", [20_000, 200_000])
+def test_planted_accuracies_are_recovered(n):
+    """Also a rule that votes at random and one that abstains more on bad documents."""
+    good = [(0.02, 0.98, 0), (0.05, 0.25, 0.7), (0.01, 0.99, 0), (0.1, 0.6, 0.3), (0.03, 0.97, 0), (0.04, 0.16, 0.8)]
+    bad = [(0.6, 0.4, 0), (0.5, 0.3, 0.2), (0.45, 0.55, 0), (0.1, 0.6, 0.3), (0.7, 0.3, 0), (0.3, 0.6, 0.1)]
+    votes, is_good = drawn(good, bad, 0.8, n)
+    patterns = sorted(Counter(map(tuple, votes.tolist())).items())
+    share, table = quality.fit(patterns)
+    assert abs(share - 0.8) < 0.02
+    for g, b, rule in zip(good, bad, table, strict=True):
+        assert np.allclose([x for x, _ in rule], g, atol=0.02) and np.allclose([x for _, x in rule], b, atol=0.04)
+    odds = {v: quality.posterior(v, share, table) for v, _ in patterns}
+    right = np.mean([(odds[tuple(v)] >= 0.5) == y for v, y in zip(votes.tolist(), is_good.tolist(), strict=True)])
+
+    def likelihood(v, p):
+        return math.prod(x[i + 1] for x, i in zip(p, v, strict=True))
+
+    best = np.mean([(0.8 * likelihood(v, good) >= 0.2 * likelihood(v, bad)) == y for v, y in zip(votes.tolist(), is_good.tolist(), strict=True)])
+    assert right > best - 0.005
+
+
+def test_the_prior_does_not_grow_and_rules_that_agree_gain_weight():
+    patterns = [((-1, -1, 0), 60), ((-1, -1, -1), 30), ((0, 0, 0), 900), ((0, 0, -1), 10)]
+    few, many = quality.fit(patterns), quality.fit([(v, 1000 * n) for v, n in patterns])
+    for share, table in (few, many):
+        assert quality.posterior((-1, -1, 0), share, table) < 0.1 and quality.posterior((0, 0, 0), share, table) > 0.9
+    # of many documents, almost all of what is estimated comes from them
+    _, table = many
+    p = {v: quality.posterior(v, *many) for v, _ in patterns}
+    of = sum((1 - p[v]) * n for v, n in patterns)
+    assert table[0][0][1] == pytest.approx(sum((1 - p[v]) * n for v, n in patterns if v[0] == -1) / of, abs=1e-3)
+    share, table = quality.fit([], 2)
+    assert share == quality.SHARE and len(table) == 2 and quality.posterior((-1, -1), share, table) < quality.posterior((0, 0), share, table)
 
 
 @pytest.fixture(scope="module")
@@ -104,8 +141,9 @@ def test_base_spans():
 
 
 @pytest.fixture(scope="module")
-def small_tagger():
-    return tagger.trained(rows=900, epochs=12, hidden=16)
+def tagged():
+    """The tagger that the operators use."""
+    return tagger.trained()
 
 
 def test_gradients():
@@ -134,10 +172,53 @@ def test_decode_is_the_best_path():
     assert tuple(t.decode(ids)[0][0]) == max(product(range(len(tagger.TAGS)), repeat=3), key=score)
 
 
+def brute_path(t, row):
+    """The best tags of one window by the plain recurrences of the LSTM and of the CRF, one character at a time."""
+    h_, p = t.hidden, {k: v.astype(float) for k, v in t.p.items()}
+    both = []
+    for way in "fr":
+        h, c, out = np.zeros(h_), np.zeros(h_), {}
+        for s in range(len(row)) if way == "f" else reversed(range(len(row))):
+            z = p["e"][row[s]] @ p[f"x{way}"] + h @ p[f"h{way}"] + p[f"c{way}"]
+            i, f, o = (1 / (1 + np.exp(-z[a * h_ : (a + 1) * h_])) for a in (0, 1, 3))
+            c = f * c + i * np.tanh(z[2 * h_ : 3 * h_])
+            h = out[s] = o * np.tanh(c)
+        both.append([out[s] for s in range(len(row))])
+    e = np.hstack(both) @ p["o"] + p["b"]
+    best = {k: (e[0, k] + t.first[k], [k]) for k in range(e.shape[1])}
+    for x in e[1:]:
+        best = {k: max(((v + p["t"][j, k] + t.allowed[j, k] + x[k], [*path, k]) for j, (v, path) in best.items()), key=lambda q: q[0]) for k in best}
+    return max(best.values(), key=lambda q: q[0])[1]
+
+
+def test_decoding_against_plain_recurrences(tagged):
+    writer = tagger.Writer(77)
+    ids = np.array([tagger.classes(writer.line(60)[0]) for _ in range(40)])
+    want = [brute_path(tagged, row) for row in ids]
+    assert tagged.decode(ids)[0].tolist() == want and sum(map(any, want)) > 10
+    whole = tagged.emissions(ids)
+    assert not (tagged.best_paths(whole)[0].any(1) & ~tagged.may_hold(whole)).any()
+    for seed in range(30):  # also with parameters that mean nothing
+        t = tagger.Tagger(3, 4, seed=seed)
+        t.p["t"] = np.random.default_rng(seed).standard_normal(t.p["t"].shape).astype(np.float32) * 3
+        e = t.emissions(ids[:, :12])
+        assert not (t.best_paths(e)[0].any(1) & ~t.may_hold(e)).any()
+
+
+def test_classes_of_all_characters():
+    for c in "aZé9٣ \u2003中\U0001f600\U00020000\n@":
+        assert tagger.classes(c).tolist() == [tagger._class(c)]
+    assert tagger.classes("a\U0001f600b").tolist() == [tagger._class(c) for c in "a\U0001f600b"] and len(tagger.classes("")) == 0
+
+
 def test_windows_cover_and_spans_are_reconciled():
-    text = "x" * 500 + " 1234 " + "y" * 300 + "5" * 400
-    where = pii.windows(text)
-    assert all(any(a <= m.start() and m.end() <= b for a, b in where) for m in pii.TRIGGER.finditer(text)) and all(b - a <= pii.WINDOW for a, b in where)
+    for n in (0, 1, 40, 216, 255, 256, 257, 472, 473, 5000):
+        where = pii.windows(n)
+        assert {x for a, b in where for x in range(a, b)} == set(range(n)) and all(b - a <= pii.WINDOW for a, b in where)
+        assert all(p[1] - q[0] == pii.WINDOW - pii.STRIDE for p, q in zip(where, where[1:], strict=False))
+    # a span over three windows, one that a window cuts off and the next has whole, and one that nothing confirms
+    pieces = [("ip", 5, 9, 1.0, False, False), ("card", 200, 256, 2.0, False, True), ("card", 216, 472, 3.0, True, True), ("card", 432, 500, 1.0, True, False), ("email", 470, 472, 1.0, False, True), ("email", 470, 490, 4.0, False, False), ("phone", 600, 688, 1.0, False, True)]
+    assert pii.whole_spans(pieces) == [(1.0, ("ip", 5, 9)), (6.0, ("card", 200, 500)), (4.0, ("email", 470, 490))]
     r = random.Random(0)
     for _ in range(50):
         found = [(float(r.randint(1, 9)), ("ip", a, a + r.randint(1, 6))) for a in (r.randint(0, 15) for _ in range(8))]
@@ -151,23 +232,38 @@ def test_windows_cover_and_spans_are_reconciled():
         assert sum(value[s] for s in got) == best
 
 
-def test_added_spans(small_tagger):
+def test_added_spans(tagged):
+    """Altered forms by another seed of the writer: most are found, and little else is."""
     writer, hit, missed, wrong = tagger.Writer(1234), 0, 0, 0
-    for _ in range(150):
-        text, spans = writer.line(300)
-        base, added = pii.spans_of_texts([text], small_tagger)[0]
+    for _ in range(200):
+        text, spans = writer.line(600)
+        base, added = pii.spans_of_texts([text], tagged)[0]
         rest = {x for x in spans if all(x[2] <= a or b <= x[1] for _, a, b in base)}
         hit, missed, wrong = hit + len(rest & set(added)), missed + len(rest - set(added)), wrong + len(set(added) - rest)
         assert sorted(base) == sorted(base_by_pattern(text))
-    assert hit / (hit + missed) > 0.4 and hit / (hit + wrong) > 0.75
+    assert hit / (hit + missed) > 0.5 and hit / (hit + wrong) > 0.9
+
+
+def test_altered_forms_in_prose(tagged):
+    """Planted in words of another kind than the writer's, far from any other sign."""
+    r = random.Random(8)
+    prose = lambda n: " ".join("".join(r.choice("etaoinshrdlu") for _ in range(r.randint(2, 9))) for _ in range(n))
+    planted = ["maria.lopez at example dot com", "j_smith (at) mail.example.org", "ana [at] box (dot) example (dot) net", "10[.]20[.]30[.]40", "(743) 555-3824", "4337.1665.9846.4399"]
+    texts = [f"{prose(120)} {x}, {prose(120)}" for x in planted for _ in range(10)]
+    found = pii.spans_of_texts(texts, tagged)
+    right = sum(any(t[a:b] == planted[k // 10] for _, a, b in x) for k, (t, (_, x)) in enumerate(zip(texts, found, strict=True)))
+    other = sum(t[a:b] not in planted[k // 10] for k, (t, (_, x)) in enumerate(zip(texts, found, strict=True)) for _, a, b in x)
+    assert right >= 30 and other <= 2
+    clean = pii.spans_of_texts([prose(300) for _ in range(40)], tagged)
+    assert not any(b or x for b, x in clean)
 
 
-def test_pii_operators(spark, docs_of, small_tagger):
+def test_pii_operators(spark, docs_of, tagged):
     text = "Mail jo.1@mail.example.com or +1 (988) 555-2485, card 4337166598464399, at 10.0.0.1. é"
     df = docs_of([text, None, "", "no such thing", "z" * 100_000 + " 10.0.0.1"], n_email="clash")
-    got = {r.doc_id: r for r in pii.find(df, small_tagger).collect()}
+    got = {r.doc_id: r for r in pii.find(df, tagged).collect()}
     assert (got[0].n_email, got[0].n_ip, got[0].n_card, got[0].n_phone) == (1, 1, 1, 1) and got[1].spans == got[3].spans == ""
     assert got[4].spans == "ip:100001:100009"
-    masked = {r.doc_id: r.text for r in pii.mask(df, small_tagger).collect()}
+    masked = {r.doc_id: r.text for r in pii.mask(df, tagged).collect()}
     assert masked[0] == "Mail [EMAIL] or [PHONE], card [CARD], at [IP]. é" and masked[1] == "" and masked[3] == "no such thing"
-    assert pii.mask(df, small_tagger).columns == df.columns and pii.find(df.limit(0), small_tagger).count() == 0
+    assert pii.mask(df, tagged).columns == df.columns and pii.find(df.limit(0), tagged).count() == 0

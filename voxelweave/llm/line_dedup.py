@@ -31,6 +31,20 @@ def line_keys(docs: DataFrame, min_chars: int) -> DataFrame:
     return keys.select("__id", h1.alias("__h1"), h2.alias("__h2"))
 
 
+#: Keys to drop, for each row that a broadcast side may have otherwise: a key is 16 bytes.
+KEYS = 4
+#: Ways in which the rows of one key are dealt where both sides of a join are shuffled.
+SALTS = 32
+
+
+def of_keys(lines: DataFrame, keys: DataFrame, rows: int, broadcast_rows: int) -> DataFrame:
+    """lines with these keys, which are sent to all tasks if they are few; if not, a common key is dealt by documents."""
+    if rows <= broadcast_rows:
+        return lines.join(F.broadcast(keys), ["__h1", "__h2"])
+    salted = keys.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return lines.withColumn("__salt", F.pmod(F.xxhash64("__id"), F.lit(SALTS)).cast("int")).join(salted, ["__h1", "__h2", "__salt"]).drop("__salt")
+
+
 def shared_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """__id, __h1, __h2 of the lines to drop, once for each document and key."""
     plain_reads(docs.sparkSession)
@@ -38,11 +52,11 @@ def shared_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, broadc
     # Rows are counted first, for that can be summed before the shuffle; it can't miss a key in many documents.
     often = keys.groupBy("__h1", "__h2").agg(F.count(F.lit(1)).alias("n"), F.min("__id").alias("a"), F.max("__id").alias("b"))
     often = cut(often.filter((F.col("n") >= min_docs) & (F.col("a") < F.col("b"))).select("__h1", "__h2"))
-    held = keys.join(bounded(often, often.count(), broadcast_rows), ["__h1", "__h2"]).groupBy("__h1", "__h2", "__id").agg(F.count(F.lit(1)).alias("n"))
+    held = of_keys(keys, often, often.count(), broadcast_rows).groupBy("__h1", "__h2", "__id").agg(F.count(F.lit(1)).alias("n"))
     held = cut(held.drop("n"))
     drop = held.groupBy("__h1", "__h2").agg(F.count(F.lit(1)).alias("n"), F.max("__id").alias("__keep")).filter(F.col("n") >= min_docs).drop("n")
     drop = cut(drop)
-    return held.join(bounded(drop, drop.count(), broadcast_rows), ["__h1", "__h2"]).filter(F.col("__id") != F.col("__keep")).select("__id", "__h1", "__h2")
+    return of_keys(held, drop, drop.count(), broadcast_rows).filter(F.col("__id") != F.col("__keep")).select("__id", "__h1", "__h2")
 
 
 def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -55,9 +69,10 @@ def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, broadcas
     """
     drops = shared_lines(docs, min_chars, min_docs, broadcast_rows).groupBy("__id").agg(F.collect_list(F.struct("__h1", "__h2")).alias("__drop"))
     drops = cut(drops)
+    keys = drops.agg(F.sum(F.size("__drop"))).first()[0] or 0  # their bytes are bounded by this, not by the rows
     lines = F.split(text_of(docs), "\n")
     out = docs.withColumns({"__text": text_of(docs), "__lines": lines})
-    out = out.join(bounded(drops, drops.count(), broadcast_rows), out["doc_id"] == drops["__id"], "left")
+    out = out.join(bounded(drops, keys, broadcast_rows * KEYS), out["doc_id"] == drops["__id"], "left")
 
     def stays(line: Column) -> Column:
         h1, h2 = fingerprint(line_key(line))

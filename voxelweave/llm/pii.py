@@ -1,19 +1,20 @@
 """Personal data: base patterns, and spans that a character-level BiLSTM-CRF adds to them.
 
-The tagger reads overlapping windows around everything that personal data can't do without (digits, at signs and their
-written forms), over the whole text. Spans of all windows of a text are reconciled at once: those of best total score
-that don't overlap. A span is added where it touches no base span and its digits or parts are those of its kind.
+The tagger reads overlapping windows over the whole text. Pieces that windows cut off are joined, and spans of all
+windows of a text are reconciled at once: those of best total score that don't overlap. A span is added where it
+touches no base span and its digits or parts are those of its kind.
 """
 
 from __future__ import annotations
 
 import hashlib
+import pickle
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from .common import groups_of_texts, short_batches, strings, text_of
 from .tagger import KINDS, TAGS, Tagger, classes, luhn, trained
@@ -23,11 +24,13 @@ LOCAL, HOST = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-TRIGGER = re.compile(r"[0-9@]|[\[({<] ?(?:at|dot) ?[\])}>]", re.IGNORECASE)
-AT, DOT = re.compile(r"@|[\[({<] ?at ?[\])}>]", re.IGNORECASE), re.compile(r"\.|[\[({<] ?(?:dot|\.) ?[\])}>]", re.IGNORECASE)
+#: What stands for an at sign and for a dot in altered addresses.
+_AT = r"(?:\s*(?:@|[\[({<] ?at ?[\])}>])\s*|\s+at\s+)"
+_DOT = r"(?:\s*(?:\.|[\[({<] ?(?:dot|\.) ?[\])}>])\s*|\s+dot\s+)"
+ADDRESS = re.compile(rf"[a-z0-9_%+-]+(?:{_DOT}[a-z0-9_%+-]+)*{_AT}[a-z0-9-]+(?:{_DOT}[a-z0-9-]+)*{_DOT}[a-z]{{2,}}", re.IGNORECASE)
 Span = tuple[str, int, int]
-#: Characters around a trigger that are read, characters of a window, and how far windows are apart.
-AROUND, WINDOW, STRIDE = 40, 96, 48
+#: Characters of a window, and how far windows are apart.
+WINDOW, STRIDE = 256, 216
 
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
@@ -56,27 +59,15 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
-def windows(text: str) -> list[tuple[int, int]]:
-    """Ranges to read: around each trigger, joined where they meet, and cut into overlapping windows."""
-    merged: list[list[int]] = []
-    for m in TRIGGER.finditer(text):
-        a, b = max(0, m.start() - AROUND), min(len(text), m.end() + AROUND)
-        if merged and a <= merged[-1][1]:
-            merged[-1][1] = b
-        else:
-            merged.append([a, b])
-    out = []
-    for a, b in merged:
-        starts = range(a, max(a + 1, b - WINDOW + STRIDE), STRIDE)
-        out += [(s, min(b, s + WINDOW)) for s in starts]
-    return out
+def windows(n: int) -> list[tuple[int, int]]:
+    """Overlapping ranges over a whole text of n characters."""
+    return [(a, min(n, a + WINDOW)) for a in range(0, max(n - WINDOW + STRIDE, 1) if n else 0, STRIDE)]
 
 
 def plausible(kind: str, text: str) -> bool:
     n = len(digits := digits_of(text))
     if kind == "email":
-        parts = AT.split(text)
-        return len(parts) == 2 and bool(re.search(r"\w *$", parts[0])) and bool(DOT.search(parts[1])) and len(text) <= 80
+        return bool(ADDRESS.fullmatch(text))
     if kind == "ip":
         return len(found := re.findall(r"[0-9]+", text)) == 4 and all(len(x) < 4 and int(x) <= 255 for x in found)
     if kind == "card":
@@ -104,30 +95,58 @@ def best_together(found: list[tuple[float, Span]]) -> list[Span]:
     return out[::-1]
 
 
-def tagged_spans(texts: list[str], tagger: Tagger, rows: int = 512) -> list[list[Span]]:
-    """Spans that the tagger finds in each text, reconciled over its windows."""
-    where = [(k, a, b) for k, text in enumerate(texts) for a, b in windows(text)]
-    found: list[list[tuple[float, Span]]] = [[] for _ in texts]
+Piece = tuple[str, int, int, float, bool, bool]
+
+
+def whole_spans(pieces: list[Piece]) -> list[tuple[float, Span]]:
+    """Scored spans from pieces (kind, start, end, score, cut off at the left, at the right) of windows in their order.
+
+    A piece that its window cuts off goes on in the next one, where a piece of its kind overlaps it: these are one
+    span, however long. What stays cut off is none: the window that has all of it says so.
+    """
+    out, open_ = [], []
+    for kind, a, b, score, left, right in pieces:
+        if left:
+            before = [p for p in open_ if p[0] == kind and p[1] < a <= p[2]]
+            if not before:
+                continue
+            a, score = before[-1][1], before[-1][3] + score
+        if right:
+            open_ = [*(p for p in open_ if p[2] > a - WINDOW), (kind, a, b, score)]
+        else:
+            out.append((round(score, 4), (kind, a, b)))
+    return out
+
+
+def tagged_spans(texts: list[str], tagger: Tagger, rows: int = 1024) -> list[list[Span]]:
+    """Spans that the tagger finds in each whole text, reconciled over its windows; equal texts are read once."""
+    some = list(dict.fromkeys(texts))
+    where = [(k, a, b) for k, text in enumerate(some) for a, b in windows(len(text))]
+    encoded = [classes(text) for text in some]
+    found: list[list[Piece]] = [[] for _ in some]
     space = classes(" ")[0]
-    for at in range(0, len(where), rows):
-        part = where[at : at + rows]
-        ids = np.full((len(part), WINDOW), space)
+    order = sorted(where, key=lambda x: x[2] - x[1])  # the last windows of texts are shorter, and so are batches of them
+    for at in range(0, len(order), rows):
+        part = order[at : at + rows]
+        wide = part[-1][2] - part[-1][1]
+        ids = np.full((len(part), wide), space, np.uint8)
         for i, (k, a, b) in enumerate(part):
-            ids[i, : b - a] = classes(texts[k][a:b])
+            ids[i, : b - a] = encoded[k][a:b]
         tags, margin = tagger.decode(ids)
-        for i, j in zip(*np.nonzero(tags % 2 == 1), strict=True):  # odd tags begin a span
+        for i in np.flatnonzero(tags.any(1)).tolist():
             k, a, b = part[i]
-            inside = int(tags[i, j]) + 1
-            end = int(j) + 1
-            while end < WINDOW and tags[i, end] == inside:
-                end += 1
-            start, stop = a + int(j), min(a + end, b)
-            cut_off = (j == 0 and a > 0) or (stop == b and b < len(texts[k]) and end >= WINDOW)
-            raw = texts[k][start:stop]
-            stop -= len(raw) - len(raw.rstrip(" \n\t.,;:"))
-            if not cut_off and stop > start:
-                found[k].append((round(float(margin[i, j:end].sum()), 4), (TAGS[int(tags[i, j])][2:], start, stop)))
-    return [best_together([x for x in spans if x[0] > 0]) if spans else [] for spans in found]
+            for j in np.flatnonzero(tags[i] % 2 == 1).tolist():  # odd tags begin a span
+                inside, end = int(tags[i, j]) + 1, j + 1
+                while end < b - a and tags[i, end] == inside:
+                    end += 1
+                stop = a + end
+                left, right = j == 0 and a > 0, stop >= b and b < len(some[k])
+                raw = some[k][a + j : stop]
+                stop -= 0 if right else len(raw) - len(raw.rstrip(" \n\t.,;:"))
+                if j < b - a and stop > a + j:
+                    found[k].append((TAGS[int(tags[i, j])][2:], a + j, stop, float(margin[i, j:end].sum()), left, right))
+    spans = {text: best_together([x for x in whole_spans(sorted(p, key=lambda x: x[1:3])) if x[0] > 0]) if p else [] for text, p in zip(some, found, strict=True)}
+    return [spans[text] for text in texts]
 
 
 def added_spans(text: str, base: list[Span], tagged: list[Span]) -> list[Span]:
@@ -149,13 +168,24 @@ def masked(text: str, spans: list[Span]) -> str:
 
 
 def spans_of_texts(texts: list[str], tagger: Tagger) -> list[tuple[list[Span], list[Span]]]:
-    """Base spans and added spans of each text; texts without a trigger have none and aren't read further."""
-    some = [k for k, text in enumerate(texts) if TRIGGER.search(text)]
-    base = [base_spans(texts[k]) for k in some]
-    out: list[tuple[list[Span], list[Span]]] = [([], []) for _ in texts]
-    for k, b, tagged in zip(some, base, tagged_spans([texts[k] for k in some], tagger), strict=True):
-        out[k] = b, added_spans(texts[k], b, tagged)
-    return out
+    """Base spans and added spans of each whole text."""
+    base = [base_spans(text) for text in texts]
+    return [(b, added_spans(text, b, tagged)) for text, b, tagged in zip(texts, base, tagged_spans(texts, tagger), strict=True)]
+
+
+_trained: dict[str, Tagger] = {}
+
+
+def trained_in_a_task(spark: SparkSession) -> Tagger:
+    """The tagger that `trained` makes, made by one task so that the driver holds its few parameters only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(trained())])], names=["tagger"])
+
+    if "tagger" not in _trained:
+        _trained["tagger"] = pickle.loads(spark.range(1).coalesce(1).mapInArrow(run, "tagger binary").first()[0])
+    return _trained["tagger"]
 
 
 def find(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
@@ -165,7 +195,7 @@ def find(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
     looked at; no rows give no rows. n_email to n_phone count base spans, as base_sha256 covers them.
     """
     short_batches(docs.sparkSession)
-    tagger = tagger or trained()
+    tagger = tagger or trained_in_a_task(docs.sparkSession)
     schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
     names = [x.split(" ")[0] for x in schema.split(", ")]
 
@@ -184,14 +214,16 @@ def find(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
 def mask(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
     """docs with all its columns, its text with each span as [KIND]. A null text becomes empty."""
     short_batches(docs.sparkSession)
-    tagger = tagger or trained()
+    tagger = tagger or trained_in_a_task(docs.sparkSession)
     at = docs.columns.index("text")
     docs = docs.withColumn("text", text_of(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = strings(batch.column(at))
-            new = [masked(text, b + x) if b or x else text for text, (b, x) in zip(texts, spans_of_texts(texts, tagger), strict=True)]
+            texts, new = strings(batch.column(at)), []
+            for begin, end in groups_of_texts(texts):
+                some = texts[begin:end]
+                new += [masked(text, b + x) if b or x else text for text, (b, x) in zip(some, spans_of_texts(some, tagger), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(new, batch.schema.field(at).type) if k == at else batch.column(k) for k in range(batch.num_columns)], schema=batch.schema)
 
     return docs.mapInArrow(run, docs.schema)

@@ -1,8 +1,10 @@
 """Quality rules as weak supervision, with DataFrame functions only.
 
 Each rule votes good (1), bad (-1) or abstains (0). The votes of all documents are counted by pattern (at most
-3 ** rules patterns, whatever the number of documents), expectation-maximisation over these counts estimates how each
-rule votes on good and on bad documents, and the posterior probability of good decides.
+3 ** rules patterns, whatever the number of documents), expectation-maximisation over these counts estimates how often
+each rule votes or abstains on good and on bad documents, and the posterior probability of good decides. What is bad in
+one way is seen by more than one rule (symbols: their share, the words and the runs that have them), so that the data
+say how right a rule is; only a prior of a fixed number of documents stands beside them.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ WINDOW = 5
 #: Rule, expression, and its votes: bad if the value is over the first bound, good if at most the second (None: never).
 RULES = {
     "symbols": ("n_symbols / greatest(n_words, 1)", 0.10, None),
+    "marked_words": ("n_marked / greatest(n_words, 1)", 0.10, None),
+    "symbol_runs": ("n_runs / greatest(n_words, 1)", 0.05, None),
     "repeats": ("n_repeat_words / greatest(n_words, 1)", 0.20, None),
     "duplicate_lines": ("n_dup_lines / greatest(n_lines, 1)", 0.30, None),
     "capitals": ("n_capitals / greatest(word_chars, 1)", 0.30, None),
@@ -27,7 +31,7 @@ RULES = {
     "word_length": ("abs(word_chars / greatest(n_words, 1) - 6.0)", 5.0, 2.5),
 }
 COLUMNS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-EXTRA = ["n_lines", "n_capitals", "n_marks", "n_digits"]
+EXTRA = ["n_lines", "n_capitals", "n_marks", "n_digits", "n_marked", "n_runs"]
 
 
 def _count(text: Column, characters: str) -> Column:
@@ -58,6 +62,8 @@ def features(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         _count(F.col("t"), "[A-Z]").alias("n_capitals"),
         _count(F.col("t"), "[!?]").alias("n_marks"),
         _count(F.col("t"), "[0-9]").alias("n_digits"),
+        _count(F.col("t"), f"[#*$%&|<>][^{SPACES}]*").alias("n_marked"),
+        _count(F.col("t"), "[#*$%&|<>]{2,}").alias("n_runs"),
         F.transform("ws", lambda w: F.xxhash64(w)).alias("h"),
     )
     kept = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", *EXTRA]
@@ -86,45 +92,53 @@ def votes(counted: DataFrame, rules: dict = RULES) -> DataFrame:
     return counted.withColumns(columns)
 
 
-#: What EM starts from: the share of good documents, and how often a vote for good or bad is right.
-PRIOR, RIGHT = 0.85, {1: 0.87, -1: 0.9}
+VOTES = (-1, 0, 1)
+#: What EM starts from and what the prior says: the share of good documents, and how often a rule votes bad on good and
+#: on bad documents. The prior counts as this many documents of each kind.
+SHARE, BAD_ON_GOOD, BAD_ON_BAD, PRIOR_DOCUMENTS = 0.85, 0.02, 0.3, 20.0
+Table = list[list[tuple[float, float]]]
 
 
-def fit(patterns: list[tuple[tuple[int, ...], int]], rules: int = 0, weight: float = 0.5, steps: int = 50) -> tuple[float, list[dict[int, float]]]:
-    """The share of good documents and, for each rule and vote, P(good | vote), from counted patterns of votes.
+def fit(patterns: list[tuple[tuple[int, ...], int]], rules: int = 0, steps: int = 300) -> tuple[float, Table]:
+    """The share of good documents, and for each rule and vote (bad, none, good) its probability on good and on bad ones.
 
-    The expectation step gives each pattern its posterior; the maximisation step sets P(good | vote) to the mean
-    posterior of the documents with that vote, drawn towards its start by `weight` times as many documents. A vote
-    multiplies the odds by its own odds over those of the prior; abstaining says nothing.
+    The expectation step gives each pattern its posterior; the maximisation step counts votes by it, with the prior's
+    documents added. Other votes than bad begin as often as they occur.
     """
     k = len(patterns[0][0]) if patterns else rules
-    start = {1: RIGHT[1], -1: 1 - RIGHT[-1]}
-    prior, table = PRIOR, [dict(start) for _ in range(k)]
-    total = sum(n for _, n in patterns)
-    for _ in range(steps if total else 0):
-        sums = [{v: [0.0, 0.0] for v in start} for _ in range(k)]
-        good = 0.0
+    begin: Table = []
+    for r in range(k):
+        rest = [1 + sum(n for votes_, n in patterns if votes_[r] == v) for v in (0, 1)]
+        begin.append([(BAD_ON_GOOD, BAD_ON_BAD), *(((1 - BAD_ON_GOOD) * x / sum(rest), (1 - BAD_ON_BAD) * x / sum(rest)) for x in rest)])
+    share, table = SHARE, begin
+    for _ in range(steps if patterns else 0):
+        sums = [[[PRIOR_DOCUMENTS * x for x in pair] for pair in rule] for rule in begin]
+        good, total = PRIOR_DOCUMENTS * SHARE, PRIOR_DOCUMENTS
         for votes_, n in patterns:
-            p = posterior(votes_, prior, table)
-            good += n * p
+            p = posterior(votes_, share, table)
+            good, total = good + n * p, total + n
             for r, v in enumerate(votes_):
-                if v:
-                    sums[r][v][0] += n * p
-                    sums[r][v][1] += n
-        prior = min(max((good + weight * total * PRIOR) / (total + weight * total), 0.01), 0.99)
-        table = [{v: min(max((x + weight * n * start[v]) / (n + weight * n) if n else start[v], 0.001), 0.999) for v, (x, n) in s.items()} for s in sums]
-    return prior, table
+                sums[r][v + 1][0] += n * p
+                sums[r][v + 1][1] += n * (1 - p)
+        new: Table = []
+        for rule in sums:
+            of = [sum(pair[c] for pair in rule) for c in (0, 1)]
+            new.append([(pair[0] / of[0], pair[1] / of[1]) for pair in rule])
+        moved = max((abs(x - y) for a, b in zip(new, table, strict=True) for p, q in zip(a, b, strict=True) for x, y in zip(p, q, strict=True)), default=0.0)
+        share, table = good / total, new
+        if moved < 1e-9:
+            break
+    return share, table
 
 
-def weights(prior: float, table: list[dict[int, float]]) -> tuple[float, list[dict[int, float]]]:
-    """Log odds of the prior, and what each vote adds to them."""
-    base = math.log(prior / (1 - prior))
-    return base, [{v: math.log(p / (1 - p)) - base for v, p in t.items()} for t in table]
+def weights(share: float, table: Table) -> tuple[float, list[list[float]]]:
+    """Log odds of the share, and what each vote of each rule (bad, none, good) adds to them."""
+    return math.log(share / (1 - share)), [[math.log(g / b) for g, b in rule] for rule in table]
 
 
-def posterior(votes_: tuple[int, ...], prior: float, table: list[dict[int, float]]) -> float:
-    base, w = weights(prior, table)
-    return 1 / (1 + math.exp(-base - sum(t[v] for t, v in zip(w, votes_, strict=True) if v)))
+def posterior(votes_: tuple[int, ...], share: float, table: Table) -> float:
+    base, w = weights(share, table)
+    return 1 / (1 + math.exp(-min(max(base + sum(t[v + 1] for t, v in zip(w, votes_, strict=True)), -700), 700)))
 
 
 def quality(docs: DataFrame, rules: dict = RULES, least: float = 0.5) -> DataFrame:
@@ -138,11 +152,10 @@ def quality(docs: DataFrame, rules: dict = RULES, least: float = 0.5) -> DataFra
     voted = cut(votes(features(docs), rules))
     names = [f"v_{name}" for name in rules]
     counts = voted.groupBy(*names).count().collect()  # 3 ** len(rules) rows at most
-    prior, table = fit(sorted((tuple(r[:-1]), r[-1]) for r in counts), len(rules))
-    base, table = weights(prior, table)
+    base, added = weights(*fit(sorted((tuple(r[:-1]), r[-1]) for r in counts), len(rules)))
     logit = F.lit(base)
-    for name, w in zip(names, table, strict=True):
-        logit = logit + F.when(F.col(name) == 1, w[1]).when(F.col(name) == -1, w[-1]).otherwise(0.0)
+    for name, w in zip(names, added, strict=True):
+        logit = logit + F.when(F.col(name) == 1, w[2]).when(F.col(name) == -1, w[0]).otherwise(w[1])
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     chance = 1 / (1 + F.exp(-logit))
     return voted.select("doc_id", *COLUMNS, failed.alias("base_failed"), (~failed & (chance >= least)).alias("kept"), chance.alias("quality"))

@@ -2,22 +2,37 @@
 
 from __future__ import annotations
 
+import functools
 import random
 
 import numpy as np
 
 KINDS = ("email", "ip", "card", "phone")
 TAGS = ["O", *(f"{p}-{k}" for k in KINDS for p in "BI")]
-#: Characters with an embedding of their own; letters share one for each case, other characters one for each class.
-OWN = "0123456789@.,:;+-()[]{}<>_%/\\ \n\t'\"=#*|"
-CLASSES = len(OWN) + 6
+#: Characters with an embedding of their own, capitals with that of their small letter; others share one for each class.
+OWN = "0123456789@.,:;+-()[]{}<>_%/\\ \n\t'\"=#*|abcdefghijklmnopqrstuvwxyz"
+CLASSES = len(OWN) + 4
 BANNED = -1e4
+PLANE = 1 << 16
+
+
+def _class(c: str) -> int:
+    at = OWN.find(c.lower() if c.isascii() else c)
+    return at if at >= 0 else len(OWN) + (0 if c.isalpha() else 1 if c.isdigit() else 2 if c.isspace() else 3)
+
+
+@functools.cache
+def _table() -> np.ndarray:
+    return np.array([_class(chr(k)) for k in range(PLANE)], np.uint8)
 
 
 def classes(text: str) -> np.ndarray:
-    own, n = {c: k for k, c in enumerate(OWN)}, len(OWN)
-    out = [own[c] if c in own else n + (0 if "a" <= c <= "z" else 1 if "A" <= c <= "Z" else 2 if c.isalpha() else 3 if c.isdigit() else 4 if c.isspace() else 5) for c in text]
-    return np.array(out, np.int64)
+    """The class of each character; those beyond the first plane are looked up one by one."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    out = _table()[np.minimum(codes, PLANE - 1)]
+    for k in np.flatnonzero(codes >= PLANE).tolist():
+        out[k] = _class(text[k])
+    return out
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -32,7 +47,7 @@ def logsumexp(x: np.ndarray, axis: int) -> np.ndarray:
 class Tagger:
     """Parameters by name; `hidden` units each way."""
 
-    def __init__(self, hidden: int = 16, width: int = 12, seed: int = 0) -> None:
+    def __init__(self, hidden: int = 8, width: int = 24, seed: int = 0) -> None:
         rng = np.random.default_rng(seed)
         draw = lambda *s: (rng.standard_normal(s) / np.sqrt(s[0])).astype(np.float32)
         self.hidden = hidden
@@ -69,24 +84,89 @@ class Tagger:
                 saved.append((s, i, f, o, new, t, before, was))
         return out, saved
 
+    def states(self, ids: np.ndarray, way: str, out: np.ndarray) -> None:
+        """Hidden states (steps, rows, hidden) into out: as lstm, with one exp for all gates and no copies.
+
+        Gates are 1 / (1 + exp(-x)), and tanh(x) is twice that of 2 x, less 1; the factors are in the weights.
+        """
+        h_, p, n = self.hidden, self.p, len(ids)
+        turn = np.r_[0 : 2 * h_, 3 * h_ : 4 * h_, 2 * h_ : 3 * h_]  # input, forget, output, new
+        factor = np.where(np.arange(4 * h_) < 3 * h_, -1, -2).astype(np.float32)
+        table = ((p["e"] @ p[f"x{way}"] + p[f"c{way}"])[:, turn] * factor).astype(np.float32)
+        inner = (p[f"h{way}"][:, turn] * factor).astype(np.float32)
+        order, at = np.ascontiguousarray(ids.T), np.empty((n, 4 * h_), np.float32)
+        z, h, c, t = np.empty_like(at), np.zeros((n, h_), np.float32), np.zeros((n, h_), np.float32), np.empty((n, h_), np.float32)
+        new = z[:, 3 * h_ :]
+        with np.errstate(over="ignore"):
+            for s in range(len(order)) if way == "f" else range(len(order) - 1, -1, -1):
+                np.matmul(h, inner, out=z)
+                np.take(table, order[s], axis=0, out=at, mode="clip")
+                z += at
+                np.exp(z, out=z)
+                z += 1
+                np.reciprocal(z, out=z)
+                new *= 2
+                new -= 1
+                c *= z[:, h_ : 2 * h_]
+                np.multiply(new, z[:, :h_], out=t)
+                c += t
+                np.multiply(c, -2, out=t)
+                np.exp(t, out=t)
+                t += 1
+                np.divide(2, t, out=t)
+                t -= 1
+                np.multiply(t, z[:, 2 * h_ : 3 * h_], out=h)
+                out[s] = h
+
     def emissions(self, ids: np.ndarray) -> np.ndarray:
-        both = np.concatenate([self.lstm(ids, w)[0] for w in "fr"], 2)
+        both = np.empty((ids.shape[1], len(ids), 2 * self.hidden), np.float32)
+        for way, part in (("f", both[:, :, : self.hidden]), ("r", both[:, :, self.hidden :])):
+            self.states(ids, way, part)
         return both @ self.p["o"] + self.p["b"]
 
+    def may_hold(self, e: np.ndarray) -> np.ndarray:
+        """Rows whose best path may have a span, by a bound that never misses one.
+
+        Gains over the path without spans are followed with one state for each kind, its begin and inside taken for
+        whichever gains more; where no such path gains, none does.
+        """
+        trans = self.p["t"] + self.allowed - self.p["t"][0, 0]
+        over = e[:, :, 1:] - e[:, :, :1]
+        begin, inside = over[:, :, ::2], over[:, :, 1::2]
+        start = begin + trans[0, 1::2]
+        kinds = range(len(KINDS))
+        stay = np.array([max(trans[2 * k + 1, 2 * k + 2], trans[2 * k + 2, 2 * k + 2]) for k in kinds])
+        turn = np.array([trans[1:, 2 * k + 1].max() for k in kinds])
+        leave = np.array([max(trans[2 * k + 1, 0], trans[2 * k + 2, 0]) for k in kinds])
+        out, held = np.full(e.shape[1], -1e-2, np.float32), begin[0]  # rounding mustn't hide a gain
+        for s in range(1, len(e)):
+            new = np.maximum(out[:, None] + start[s], held + stay + inside[s])
+            new = np.maximum(new, held.max(1)[:, None] + turn + begin[s])
+            out = np.maximum(out, (held + leave).max(1))
+            held = new
+        return np.maximum(out, held.max(1)) > -1e-3
+
     def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Best tags (rows, steps), and by how much each tag's emission is above that of O."""
-        e = self.emissions(ids)
+        whole = self.emissions(ids)
+        rows = np.flatnonzero(self.may_hold(whole))
+        tags, margin = np.zeros((len(ids), ids.shape[1]), np.int64), np.zeros(ids.shape, np.float32)
+        if len(rows):
+            tags[rows], margin[rows] = self.best_paths(np.ascontiguousarray(whole[:, rows]))
+        return tags, margin
+
+    def best_paths(self, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         trans = self.p["t"] + self.allowed
         score, back = e[0] + self.first, []
         for s in range(1, len(e)):
             all_ = score[:, :, None] + trans
             back.append(all_.argmax(1))
             score = all_.max(1) + e[s]
-        tags = np.empty((len(e), len(ids)), np.int64)
+        rows = np.arange(e.shape[1])
+        tags = np.empty(e.shape[:2], np.int64)
         tags[-1] = score.argmax(1)
         for s in range(len(e) - 2, -1, -1):
-            tags[s] = back[s][np.arange(len(ids)), tags[s + 1]]
-        rows = np.arange(len(ids))
+            tags[s] = back[s][rows, tags[s + 1]]
         margin = np.stack([e[s][rows, tags[s]] - e[s][:, 0] for s in range(len(e))])
         return tags.T, margin.T
 
@@ -169,8 +249,14 @@ class Writer:
         self.r = random.Random(seed)
 
     def word(self) -> str:
-        w = "".join(self.r.choice("aeioué") + self.r.choice("nrstldmhç") for _ in range(self.r.randint(1, 4)))
-        return w.capitalize() if self.r.random() < 0.15 else w
+        r = self.r
+        if (x := r.random()) < 0.2:
+            return r.choice(["the", "at", "dot", "in", "is", "of", "a", "de", "la", "que", "und", "der", "et", "les", "en", "to", "on", "com", "net", "mail", "see", "call", "or"])
+        if x < 0.6:
+            w = "".join(r.choice("aeioué") + r.choice("nrstldmhç") for _ in range(r.randint(1, 4)))
+        else:
+            w = self.name(4) if x < 0.9 else self.name(2) + r.choice(["ing", "tion", "ß", "ñó", "euè", "'s", "-x"])
+        return w.capitalize() if r.random() < 0.15 else w.upper() if r.random() < 0.05 else w
 
     def words(self, n: int) -> str:
         return " ".join(self.word() + self.r.choice(["", "", "", "", ",", ".", ".\n"]) for _ in range(n))
@@ -178,13 +264,21 @@ class Writer:
     def digits(self, n: int) -> str:
         return "".join(self.r.choice("0123456789") for _ in range(n))
 
+    def name(self, most: int = 3) -> str:
+        """A made-up name, in letters of any kind."""
+        if self.r.random() < 0.3:
+            return "".join(self.r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(self.r.randint(2, 9)))
+        return "".join(self.r.choice("bcdfghjklmnprstvwz") + self.r.choice("aeiouy") for _ in range(self.r.randint(1, most))) + self.r.choice(["", "n", "s", "r"])
+
     def email(self) -> str:
         r = self.r
-        user = "".join(r.choice("abcdefghkmoprst") for _ in range(r.randint(2, 9))) + r.choice(["", "." + self.digits(2), "_x", "-" + self.digits(1)])
-        host = [r.choice(["mail", "post", "box"]) + r.choice(["", self.digits(1)]), "example", r.choice(["com", "org", "net"])]
-        at = r.choice(["@", "@", "@", " @ ", " [at] ", "(at)", " (at) ", "[at]", " {at} "])
-        dot = r.choice([".", ".", "."] + ([" [dot] ", "(dot)", " . ", "[.]", " (dot) "] if at != "@" else ["[.]"]))
-        return user + at + dot.join(host[r.randint(0, 1) :])
+        at = r.choice(["@", "@", " @ ", " [at] ", "(at)", " (at) ", "[at]", " {at} ", " at ", " at ", " AT "])
+        spelled = {" at ": " dot ", " AT ": " DOT "}.get(at)
+        dot = spelled or r.choice([".", ".", "."] + ([" [dot] ", "(dot)", " . ", "[.]", " (dot) ", "[dot]"] if at != "@" else ["[.]", "(dot)", "[dot]"]))
+        user = self.name(4) + r.choice(["", "", "." + self.digits(2), "_" + self.name(2), "-" + self.digits(1), "." + self.name(), self.digits(2), (dot if spelled else ".") + self.name()])
+        host = [r.choice([self.name(), "mail", "post"]) + r.choice(["", "", self.digits(1)]), r.choice(["example", self.name(4), self.name(2) + "-" + self.name(2)]), r.choice(["com", "org", "net", "de", "fr", "es", "io", "edu", "co", "info"])]
+        made = user + at + dot.join(host[r.randint(0, 1) :])
+        return made.upper() if r.random() < 0.03 else made
 
     def ip(self) -> str:
         dot = self.r.choice([".", ".", ".", "[.]", " . ", "(.)"])
@@ -205,21 +299,24 @@ class Writer:
         hexes = "".join(r.choice("0123456789abcdef") for _ in range(r.choice([16, 18, 32, 40])))
         return r.choice(
             [self.digits(r.randint(1, 7)), f"{r.randint(1990, 2030)}-{r.randint(1, 12):02}-{r.randint(1, 28):02}", f"{r.randint(0, 23)}:{self.digits(2)}", f"version {r.randint(1, 9)}.{r.randint(0, 9)}", f"{r.randint(1, 9)}.{r.randint(0, 30)}.{r.randint(0, 9)}", f'token = "{hexes}"', f"password={hexes}"]
-            + [f"AKIA{''.join(r.choice('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') for _ in range(16))}", f"{self.digits(2)}%", f"{r.randint(1, 9)},{self.digits(3)},{self.digits(3)}", f"@{self.word()}", f"({self.digits(1)})", f"License, Version {r.randint(1, 3)}.0", f"a = [{self.digits(1)}, {self.digits(2)}]", f"{self.digits(25)}", f"$ {self.digits(3)}.{self.digits(2)}", f"{self.digits(3)} * {self.digits(4)}"]
+            + [f"AKIA{''.join(r.choice('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') for _ in range(16))}", f"{self.digits(2)}%", f"{r.randint(1, 9)},{self.digits(3)},{self.digits(3)}", f"@{self.word()}", f"{self.word()} at {self.word()}.", f"at {self.word()} dot {self.word()}", f"({self.digits(1)})", f"{r.randint(1, 12)}:{self.digits(2)} at {self.word()}", f"{self.digits(4)}-{self.digits(4)}", f"License, Version {r.randint(1, 3)}.0", f"a = [{self.digits(1)}, {self.digits(2)}]", f"{self.digits(25)}", f"$ {self.digits(3)}.{self.digits(2)}", f"{self.digits(3)} * {self.digits(4)}"]
         )
 
     def line(self, length: int) -> tuple[str, list[tuple[str, int, int]]]:
-        """Exactly so many characters, with the spans that lie wholly inside."""
+        """Exactly so many characters, with the spans that lie wholly inside; one line in four is words alone."""
         text, spans = self.words(self.r.randint(0, 5)), []
+        plain = self.r.random() < 0.25
         while len(text) < length:
             text += self.r.choice([" ", " ", " ", "\n", ": ", " ("])
-            if self.r.random() < 0.55:
-                kind = self.r.choice(KINDS)
+            if plain:
+                made = self.word()
+            elif self.r.random() < 0.55:
+                kind = self.r.choice([*KINDS, "email"])
                 made = getattr(self, kind)()
                 spans.append((kind, len(text), len(text) + len(made)))
             else:
                 made = self.other()
-            text += made + self.r.choice([" ", " ", ". ", ", ", ") ", "\n"]) + self.words(self.r.randint(1, 6))
+            text += made + self.r.choice([" ", " ", ". ", ", ", ") ", "\n", "### ", "&&& "]) + self.words(self.r.randint(1, 6))
         return text[:length], [x for x in spans if x[2] <= length]
 
 
@@ -239,10 +336,25 @@ def labelled(rows: int, length: int, seed: int) -> tuple[np.ndarray, np.ndarray]
 _trained: dict[tuple, Tagger] = {}
 
 
-def trained(rows: int = 2400, length: int = 96, epochs: int = 14, hidden: int = 16, seed: int = 7) -> Tagger:
-    """A tagger trained from invented labelled spans; one for each process and setting."""
+def right_rows(tagger: Tagger, rows: int, length: int, seed: int) -> float:
+    """Of invented lines the share whose tags are all right."""
+    ids, gold = labelled(rows, length, seed)
+    return float((tagger.decode(ids)[0] == gold).all(1).mean())
+
+
+def trained(rows: int = 3000, length: int = 96, epochs: int = 14, hidden: int = 8, seed: int = 7, least: float = 0.6) -> Tagger:
+    """A tagger trained from invented labelled spans; one for each process and setting.
+
+    Rounding differs between machines, and training with it. So each start is tried on other invented lines; where
+    fewer than `least` of them come out right, up to two more are made and the best is taken.
+    """
     if (key := (rows, length, epochs, hidden, seed)) not in _trained:
-        tagger = Tagger(hidden, seed=seed)
-        tagger.train(*labelled(rows, length, seed), epochs, batch=24, rate=0.03, seed=seed)
-        _trained[key] = tagger
+        best: tuple[float, Tagger | None] = (-1.0, None)
+        for k in range(seed, seed + 3):
+            tagger = Tagger(hidden, seed=k)
+            tagger.train(*labelled(rows, length, k), epochs, batch=24, rate=0.03, seed=k)
+            best = max(best, (right_rows(tagger, 400, length, k + 1000), tagger), key=lambda x: x[0])
+            if best[0] >= least:
+                break
+        _trained[key] = best[1]
     return _trained[key]
