@@ -42,7 +42,7 @@ def test_tails():
 
 
 def test_kernels_sum_to_one():
-    for name in hrf.MODELS:
+    for name in hrf.RESPONSES:
         assert hrf.kernels(name, 0.5)[0].sum() == pytest.approx(1)
     assert len(hrf.kernels("fir", 1.0, 10, [0, 1, 2])) == 3
     with pytest.raises(ValueError):

@@ -38,17 +38,17 @@ def test_thresholds_of_all_parts(spark, tmp_path):
     z = {(k // 20, k % 20): round((s - 25) / 5, 3) for k, s in zip(key.tolist(), size.tolist(), strict=True)}
     run = lambda name: registry.queries()[name](spark, d).toPandas()
     cells = lambda p: {(y, x): v for y, x, v in zip(p.y_idx, p.x_idx, p.z, strict=True)}
-    assert cells(run("threshold_fixed")) == {c: v if abs(v) > 2.5 else 0 for c, v in z.items()}
+    assert cells(run("threshold_fixed")) == {c: v if abs(v) >= 2.5 else 0 for c, v in z.items()}
     got = cells(run("threshold_slices"))
     assert got.keys() == z.keys() and all(got[c] == v if abs(v) <= 2 else np.isnan(got[c]) for c, v in z.items())
     large = {}
     for c in z:
-        if c not in large and abs(z[c]) > 1:
+        if c not in large and abs(z[c]) >= 1:
             seen, todo = {c}, [c]
             while todo:
                 y, x = todo.pop()
                 for n in ((y - 1, x), (y + 1, x), (y, x - 1), (y, x + 1)):
-                    if n not in seen and abs(z.get(n, 0)) > 1 and z[n] * z[c] > 0:
+                    if n not in seen and abs(z.get(n, 0)) >= 1 and z[n] * z[c] > 0:
                         seen.add(n)
                         todo.append(n)
             large |= dict.fromkeys(seen, len(seen) >= 4)

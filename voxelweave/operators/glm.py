@@ -240,23 +240,72 @@ def contrast(fitted: DataFrame, c: np.ndarray) -> DataFrame:
     return fitted.select(VOXEL, effect.alias("effect"), (variance * F.col("dispersion")).alias("variance"), "dof")
 
 
-def f_contrast(fitted: DataFrame, c: np.ndarray) -> DataFrame:
-    """voxel_id, statistic, p of a contrast of several rows."""
+def f_effects(fitted: DataFrame, c: np.ndarray) -> DataFrame:
+    """voxel_id, effects (one for each row of the contrast), variance, dof: effects whitened so that the sum of their
+    squares over their number and the variance is F. Runs are independent, so these can be summed over runs."""
     c = np.atleast_2d(np.asarray(c, float))
     q, k = c.shape
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            theta, cov, s2, dof = matrix_of(batch.column(1)), matrix_of(batch.column(2)), batch.column(3).to_numpy(), batch.column(4).to_numpy()
-            f, p = [], []
-            for t, v, s, d in zip(theta, cov, s2, dof, strict=True):
-                e = c @ t
-                f.append(float(e @ np.linalg.pinv(c @ v.reshape(k, k) @ c.T) @ e / (q * s)) if s > 0 else np.nan)
-                p.append(tails.f_sf(f[-1], q, d))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(f, pa.float64()), pa.array(p, pa.float64())], names=[VOXEL, "statistic", "p"])
+            if not batch.num_rows:
+                continue
+            theta, cov = matrix_of(batch.column(1)), matrix_of(batch.column(2)).reshape(-1, k, k)
+            lower = np.linalg.cholesky(np.linalg.pinv(c @ cov @ c.T))
+            white = np.einsum("vpq,vp->vq", lower, theta @ c.T)
+            yield pa.RecordBatch.from_arrays([batch.column(0), rows_of(white), batch.column(3), batch.column(4)], names=[VOXEL, "effects", "variance", "dof"])
 
     kind = fitted.schema[VOXEL].dataType.simpleString()
-    return fitted.select(VOXEL, "theta", "covariance", "dispersion", "dof").mapInArrow(run, f"{VOXEL} {kind}, statistic double, p double")
+    return fitted.select(VOXEL, "theta", "covariance", "dispersion", "dof").mapInArrow(run, f"{VOXEL} {kind}, effects array<double>, variance double, dof double")
+
+
+def f_fixed_effects(runs: list[DataFrame]) -> DataFrame:
+    """f_effects of several runs: effects, variances and degrees of freedom summed, then effects over n."""
+    n, both = len(runs), runs[0]
+    for r in runs[1:]:
+        both = both.unionByName(r)
+    each = both.select(VOXEL, "variance", "dof", F.posexplode("effects").alias("row", "e"))
+    rows = each.groupBy(VOXEL, "row").agg(F.sum("e").alias("e"), F.sum("variance").alias("v"), F.sum("dof").alias("dof"), F.count(F.lit(1)).alias("k")).filter(F.col("k") == n)
+    effects = F.transform(F.array_sort(F.collect_list(F.struct("row", "e"))), lambda x: x["e"] / n)
+    return rows.groupBy(VOXEL).agg(effects.alias("effects"), (F.first("v") / (n * n)).alias("variance"), F.first("dof").alias("dof"))
+
+
+def f_statistic(effects: DataFrame, baseline: float = 0.0, tiny: float = 1e-50) -> DataFrame:
+    """effects with statistic, its upper tail p, 1 - p and the normal score z."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                e, v, d = matrix_of(batch.column(1)), batch.column(2).to_numpy(), batch.column(3).to_numpy()
+                q = e.shape[1]
+                f = ((e - baseline) ** 2).sum(1) / q / np.maximum(v, tiny)
+                p, rest = tails.f_sf(f, q, d), tails.beta_cdf(q / 2, d / 2, q * f / (q * f + d))
+                yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x) for x in (f, p, rest, tails.zscore(p, rest)))], names=[VOXEL, "effects", "variance", "dof", "statistic", "p", "one_minus_p", "z"])
+
+    kind = effects.schema[VOXEL].dataType.simpleString()
+    return effects.select(VOXEL, "effects", "variance", "dof").mapInArrow(run, f"{VOXEL} {kind}, effects array<double>, variance double, dof double, statistic double, p double, one_minus_p double, z double")
+
+
+def f_contrast(fitted: DataFrame, c: np.ndarray) -> DataFrame:
+    """voxel_id, statistic, p of a contrast of several rows."""
+    return f_statistic(f_effects(fitted, c)).select(VOXEL, "statistic", "p")
+
+
+OUTPUTS = {"zscore": "z", "statistic": "statistic", "pvalue": "p", "effect": "effect", "variance": "variance"}
+
+
+def contrast_map(found: DataFrame, output: str = "zscore") -> DataFrame:
+    """voxel_id, value: one map of a contrast by name; an F contrast's effects are one array for each voxel."""
+    if output not in OUTPUTS:
+        raise ValueError(f"unknown output {output!r}; known: {', '.join(OUTPUTS)}")
+    name = "effects" if output == "effect" and "effects" in found.columns else OUTPUTS[output]
+    return found.select(VOXEL, F.col(name).alias("value"))
+
+
+def scaled(contrasts: DataFrame, by: float) -> DataFrame:
+    """A contrast times a number: its effect times it, its variance times its square."""
+    effect = {"effects": F.transform("effects", lambda x: x * by)} if "effects" in contrasts.columns else {"effect": F.col("effect") * by}
+    return contrasts.withColumns(effect | {"variance": F.col("variance") * (by * by)})
 
 
 def statistic(contrasts: DataFrame, baseline: float = 0.0, tiny: float = 1e-50) -> DataFrame:
@@ -272,8 +321,7 @@ def with_tails(contrasts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             t, d = batch.column(names.index("statistic")).to_numpy(), batch.column(names.index("dof")).to_numpy()
-            p = np.array([tails.t_sf(a, b) for a, b in zip(t, d, strict=True)])
-            q = np.array([tails.t_sf(-a, b) for a, b in zip(t, d, strict=True)])
+            p, q = tails.t_sf(t, d), tails.t_sf(-t, d)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array(q), pa.array(tails.zscore(p, q))], names=[*names, "p", "one_minus_p", "z"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in contrasts.schema)
@@ -318,11 +366,17 @@ class FirstLevelModel:
         self.results = [fit(r, d, self.noise) for r, d in zip(runs, self.designs, strict=True)]
         return self
 
-    def contrast(self, definition) -> DataFrame:
-        c = contrast_vector(definition, list(self.designs[0].columns))
-        if np.ndim(c) == 2:
-            return f_contrast(self.results[0], c)
-        return with_tails(statistic(fixed_effects([contrast(r, c) for r in self.results])))
+    def contrast(self, definition, kind: str | None = None, baseline: float = 0.0) -> DataFrame:
+        """effect (F: effects), variance, dof, statistic, p, one_minus_p and z over all runs; kind: t or F."""
+        vectors = [contrast_vector(definition, list(d.columns)) for d in self.designs]
+        if kind == "F" or np.ndim(vectors[0]) == 2 and len(vectors[0]) > 1:
+            return f_statistic(f_fixed_effects([f_effects(r, c) for r, c in zip(self.results, vectors, strict=True)]), baseline)
+        runs = [contrast(r, np.ravel(c)) for r, c in zip(self.results, vectors, strict=True)]
+        return with_tails(statistic(fixed_effects(runs), baseline))
+
+    def compute_contrast(self, definition, kind: str | None = None, output: str = "zscore", baseline: float = 0.0) -> DataFrame:
+        """voxel_id, value: the named map of a contrast."""
+        return contrast_map(self.contrast(definition, kind, baseline), output)
 
 
 class SecondLevelModel:
@@ -337,5 +391,12 @@ class SecondLevelModel:
         self.results = fit(to_series(maps, time="subject"), self.design)
         return self
 
-    def contrast(self, definition="intercept") -> DataFrame:
-        return with_tails(statistic(contrast(self.results, contrast_vector(definition, list(self.design.columns)))))
+    def contrast(self, definition="intercept", kind: str | None = None, baseline: float = 0.0) -> DataFrame:
+        c = contrast_vector(definition, list(self.design.columns))
+        if kind == "F" or np.ndim(c) == 2 and len(c) > 1:
+            return f_statistic(f_effects(self.results, c), baseline)
+        return with_tails(statistic(contrast(self.results, np.ravel(c)), baseline))
+
+    def compute_contrast(self, definition="intercept", kind: str | None = None, output: str = "zscore", baseline: float = 0.0) -> DataFrame:
+        """voxel_id, value: the named map of a contrast."""
+        return contrast_map(self.contrast(definition, kind, baseline), output)

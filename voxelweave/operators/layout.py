@@ -143,10 +143,50 @@ def weighted_sum(series: DataFrame, mean: np.ndarray, weights: np.ndarray, block
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the shared checkpoint folder that the session names; a private folder only where it names none."""
+    """df written to the checkpoint folder that the session names; a private one only in local mode, where it names none."""
     import tempfile
 
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        place = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if place is None and context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(place or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint()
+
+
+class Ranks:
+    """Rows dealt by ranges of an order: __range, __at (place in it) and __r (rank from 1), total rows in all."""
+
+    def __init__(self, rows: DataFrame, counts: list[tuple[int, int]]) -> None:
+        self.spark, self.ranges = rows.sparkSession, [k for k, _ in counts]
+        self.total = sum(n for _, n in counts)
+        before = np.concatenate([[0], np.cumsum([n for _, n in counts])[:-1]]).astype(int).tolist() if counts else []
+        self.rows = self.carried(rows, "__before", before, "long").withColumn("__r", F.col("__before") + F.col("__at") + 1).drop("__before")
+
+    def carried(self, rows: DataFrame, name: str, values: list, kind: str) -> DataFrame:
+        """rows with one value for each range; there are as many ranges as partitions."""
+        small = self.spark.createDataFrame(list(zip(self.ranges, values, strict=True)), f"__range int, {name} {kind}")
+        return rows.join(F.broadcast(small), "__range", "left")
+
+    def running(self, x, out: str, upward: bool) -> DataFrame:
+        """The largest x so far in rising order, or the least so far in falling order."""
+        rows = self.rows.withColumn("__x", x)
+        best = F.max if upward else F.min
+        each = dict(rows.groupBy("__range").agg(best("__x")).collect())  # a row for each range
+        carried, so_far = {}, None
+        for k in self.ranges if upward else self.ranges[::-1]:
+            carried[k] = so_far
+            so_far = each[k] if so_far is None else max(so_far, each[k]) if upward else min(so_far, each[k])
+        rows = self.carried(rows, "__carried", [carried[k] for k in self.ranges], "double")
+        inside = Window.partitionBy("__range").orderBy(F.col("__at") if upward else F.col("__at").desc())
+        here = best("__x").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+        return rows.withColumn(out, (F.greatest if upward else F.least)(here, "__carried")).drop("__x", "__carried")
+
+
+def ranked(df: DataFrame, *order: str) -> Ranks:
+    """df in a global order without a single partition: sorted by ranges, whose sizes say where each one begins."""
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    place = F.monotonically_increasing_id()  # the partition above bit 33, the place in it below
+    rows = checkpointed(rows.withColumns({"__range": F.shiftright(place, 33).cast("int"), "__at": place.bitwiseAND((1 << 33) - 1)}))
+    return Ranks(rows, sorted((r[0], r[1]) for r in rows.groupBy("__range").count().collect()))

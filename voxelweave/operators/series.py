@@ -159,8 +159,9 @@ def residual_matrix(confounds: np.ndarray, standardize_: bool = True) -> np.ndar
     """time x time: what is left of a series after projection on the confounds, by a rank-revealing QR."""
     c = np.array(confounds, float).reshape(len(confounds), -1)
     if standardize_:
+        c = c - c.mean(0)  # a constant becomes 0 and takes nothing off
         sd = c.std(0, ddof=1)
-        c = np.where(sd > EPSILON, (c - c.mean(0)) / np.where(sd > EPSILON, sd, 1), c)
+        c = c / np.where(sd > EPSILON, sd, 1)
     else:
         top = np.abs(c).max(0)
         c = c / np.where(top > 0, top, 1)

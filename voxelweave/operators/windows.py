@@ -47,13 +47,50 @@ def bmode(windows: DataFrame) -> DataFrame:
     return windows.groupBy("window_id", VOXEL).agg(F.avg(F.sqrt(z["re"] * z["re"] + z["im"] * z["im"])).alias("value"))
 
 
-def axial_velocity(windows: DataFrame, rate: float, frequency: float, lag: int = 1, sound: float = 1540.0, time: str = TIME) -> DataFrame:
-    """Velocity from the phase of the lag autocorrelation: phase * rate * c / (4 pi f lag)."""
+def axial_velocity(windows: DataFrame, rate: float, frequency: float, lag: int = 1, sound: float = 1540.0, time: str = TIME, grid: DataFrame | None = None, kernel: int | tuple[int, int, int] = 3) -> DataFrame:
+    """Velocity from the phase of the lag autocorrelation: phase * rate * c / (4 pi f lag).
+
+    The phase is smoothed by a median over the kernel's neighbours in space. grid has voxel_id and the places z_idx,
+    y_idx, x_idx; only a kernel of 1 does without it.
+    """
     w = Window.partitionBy("window_id", VOXEL).orderBy(time)
     z, b = F.col("value"), F.lag("value", lag).over(w)
     steps = windows.select("window_id", VOXEL, (z["re"] * b["re"] + z["im"] * b["im"]).alias("re"), (z["im"] * b["re"] - z["re"] * b["im"]).alias("im"))
-    factor = rate * sound / (4 * math.pi * frequency * lag)
-    return steps.groupBy("window_id", VOXEL).agg((F.atan2(F.sum("im"), F.sum("re")) * F.lit(factor)).alias("value"))
+    phase = steps.groupBy("window_id", VOXEL).agg(F.atan2(F.sum("im"), F.sum("re")).alias("value"))
+    if kernel not in (1, (1, 1, 1)):
+        if grid is None:
+            raise ValueError("a median over neighbours needs the grid of the voxels")
+        phase = median_filter(phase, grid, kernel)
+    return phase.withColumn("value", F.col("value") * F.lit(rate * sound / (4 * math.pi * frequency * lag)))
+
+
+def kernel_sizes(kernel: int | tuple[int, int, int], shape: tuple[int, int, int]) -> tuple[int, ...]:
+    """Odd sizes along z, y, x: at most the volume's, and one more where that is even."""
+    sizes = (kernel,) * 3 if isinstance(kernel, int) else tuple(kernel)
+    if len(sizes) != 3 or any(k < 1 for k in sizes):
+        raise ValueError(f"a kernel is a positive number or three of them, not {kernel!r}")
+    return tuple(k + (k + 1) % 2 for k in map(min, sizes, shape))
+
+
+def median_filter(volumes: DataFrame, grid: DataFrame, kernel: int | tuple[int, int, int] = 3) -> DataFrame:
+    """window_id, voxel_id, value: the median over each voxel's neighbours; beyond the volume all is 0.
+
+    A value goes to the places that have it in their kernel, as many rows as the kernel has cells. Places are dealt by
+    window and place, so no task gets a volume.
+    """
+    dims = ["z_idx", "y_idx", "x_idx"]
+    low = [F.min(d).alias(f"a{k}") for k, d in enumerate(dims)]
+    ends = grid.agg(*low, *[F.max(d).alias(f"b{k}") for k, d in enumerate(dims)]).first()
+    sizes = kernel_sizes(kernel, tuple(ends[k + 3] - ends[k] + 1 for k in range(3)))
+    cells = math.prod(sizes)
+    out = volumes.filter("value IS NOT NULL").join(grid.select(VOXEL, *dims), VOXEL).select("window_id", "value", F.col(VOXEL).alias("__own"), *dims)
+    for d, size in zip(dims, sizes, strict=True):
+        if size > 1:
+            out = out.withColumn("__d", F.explode(F.sequence(F.lit(-(size // 2)), F.lit(size // 2))))
+            out = out.withColumns({d: F.col(d) + F.col("__d"), "__own": F.when(F.col("__d") == 0, F.col("__own"))}).drop("__d")
+    near = out.groupBy("window_id", *dims).agg(F.collect_list("value").alias("near"), F.max("__own").alias(VOXEL))
+    padded = F.array_sort(F.concat("near", F.array_repeat(F.lit(0.0), F.lit(cells) - F.size("near"))))
+    return near.filter(F.col(VOXEL).isNotNull()).select("window_id", VOXEL, F.element_at(padded, cells // 2 + 1).alias("value"))
 
 
 def window_timings(times: DataFrame, n: int, width: int, stride: int, duration: float, from_reference: str = "start", to_reference: str = "start", inner_width: int | None = None, inner_stride: int | None = None) -> DataFrame:
@@ -124,7 +161,10 @@ METHODS = {"svd_indices": svd_from_indices, "svd_energy": svd_from_energy, "svd_
 
 
 def process_blocks(windows: DataFrame, function, schema: str = "window_id int, voxel_id long, value double", time: str = TIME) -> DataFrame:
-    """function(frames x voxels, voxel ids) -> a value for each voxel, on each window's block."""
+    """function(frames x voxels, voxel ids) -> a value for each voxel, or one volume of them for each inner window.
+
+    Volumes of inner windows are numbered through: window_id times their number, plus their place.
+    """
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         z = frame["re"].to_numpy() + 1j * frame["im"].to_numpy()
@@ -132,14 +172,17 @@ def process_blocks(windows: DataFrame, function, schema: str = "window_id int, v
         voxels, x = np.unique(frame[VOXEL].to_numpy(), return_inverse=True)
         block = np.zeros((len(rows), len(voxels)), complex)
         block[t, x] = z
-        return pd.DataFrame({"window_id": frame["window_id"].iloc[0], VOXEL: voxels, "value": function(block, voxels)})
+        volumes = function(block, voxels)
+        k = len(volumes) if np.ndim(volumes) == 2 else 1
+        ids = int(frame["window_id"].iloc[0]) * k + np.repeat(np.arange(k), len(voxels))
+        return pd.DataFrame({"window_id": ids, VOXEL: np.tile(voxels, k), "value": np.ravel(volumes)})
 
     flat = windows.select("window_id", VOXEL, time, F.col("value.re").alias("re"), F.col("value.im").alias("im"))
     return flat.groupBy("window_id").applyInPandas(run, schema)
 
 
 def filtered(kernel, method: str | None, rate: float | None, low, high, mask: np.ndarray | None, inner_width: int | None, inner_stride: int | None):
-    """A function on blocks: clutter filter, then the kernel (mean over inner windows)."""
+    """A function on blocks: clutter filter, then the kernel on the block or on each inner window of it."""
 
     def run(block: np.ndarray, voxels: np.ndarray) -> np.ndarray:
         inside = None if mask is None else np.isin(voxels, mask)
@@ -150,7 +193,7 @@ def filtered(kernel, method: str | None, rate: float | None, low, high, mask: np
         if inner_width is None:
             return kernel(block)
         step = inner_stride or inner_width
-        return np.mean([kernel(block[a : a + inner_width]) for a in range(0, len(block) - inner_width + 1, step)], 0)
+        return np.stack([kernel(block[a : a + inner_width]) for a in range(0, len(block) - inner_width + 1, step)])
 
     return run
 
@@ -159,9 +202,18 @@ def filtered_power_doppler(windows: DataFrame, method: str = "svd_indices", rate
     return process_blocks(windows, filtered(lambda b: (np.abs(b) ** 2).mean(0), method, rate, low, high, mask, inner_width, inner_stride))
 
 
-def filtered_axial_velocity(windows: DataFrame, rate: float, frequency: float, lag: int = 1, sound: float = 1540.0, method: str = "svd_indices", low=None, high=None, mask: np.ndarray | None = None) -> DataFrame:
-    factor = rate * sound / (4 * np.pi * frequency * lag)
-    return process_blocks(windows, filtered(lambda b: np.angle((b[lag:] * b[:-lag].conj()).sum(0)) * factor, method, rate, low, high, mask, None, None))
+def filtered_bmode(windows: DataFrame, method: str = "svd_indices", rate: float | None = None, low=None, high=None, mask: np.ndarray | None = None, inner_width: int | None = None, inner_stride: int | None = None) -> DataFrame:
+    return process_blocks(windows, filtered(lambda b: np.abs(b).mean(0), method, rate, low, high, mask, inner_width, inner_stride))
+
+
+def filtered_axial_velocity(windows: DataFrame, rate: float, frequency: float, lag: int = 1, sound: float = 1540.0, method: str = "svd_indices", low=None, high=None, mask: np.ndarray | None = None, inner_width: int | None = None, inner_stride: int | None = None, grid: DataFrame | None = None, kernel: int | tuple[int, int, int] = 3) -> DataFrame:
+    """Axial velocity after a clutter filter, with the phase's median over neighbours as in `axial_velocity`."""
+    phase = process_blocks(windows, filtered(lambda b: np.angle((b[lag:] * b[:-lag].conj()).sum(0)), method, rate, low, high, mask, inner_width, inner_stride))
+    if kernel not in (1, (1, 1, 1)):
+        if grid is None:
+            raise ValueError("a median over neighbours needs the grid of the voxels")
+        phase = median_filter(phase, grid, kernel)
+    return phase.withColumn("value", F.col("value") * F.lit(rate * sound / (4 * np.pi * frequency * lag)))
 
 
 def cumulative_energy_threshold(windows: DataFrame, index: int, time: str = TIME) -> float:

@@ -98,7 +98,7 @@ def dvars_raw(spark, d):
     return reductions.compute_dvars(_m(spark, d), standardize=False).select("t_idx", r("dvars", 2))
 
 
-@query("dvars_standardized", f"WITH {E}, {D}, {AR}, Q AS (SELECT voxel_id, list_sort(list(value)) AS l FROM E GROUP BY voxel_id), K AS (SELECT avg(sqrt(2 * (1 - ar1)) * (l[floor(0.75 * (len(l) - 1))::INT + 1] - l[floor(0.25 * (len(l) - 1))::INT + 1]) / 1.349) AS k FROM Q JOIN A USING (voxel_id)) SELECT t_idx, round(coalesce(w, (SELECT min(w) FROM W)) / (SELECT k FROM K), 6) AS dvars FROM W")
+@query("dvars_standardized", f"WITH {E}, {D}, {AR}, Q AS (SELECT voxel_id, list_sort(list(value)) AS l FROM E GROUP BY voxel_id), K AS (SELECT avg(sqrt(2 * (1 - ar1)) * (l[floor(0.75 * (len(l) - 1))::INT + 1] - l[floor(0.25 * (len(l) - 1))::INT + 1]) / 1.3489795003921634) AS k FROM Q JOIN A USING (voxel_id)) SELECT t_idx, round(coalesce(w, (SELECT min(w) FROM W)) / (SELECT k FROM K), 6) AS dvars FROM W")
 def dvars_standardized(spark, d):
     return reductions.compute_dvars(_m(spark, d)).select("t_idx", r("dvars"))
 
@@ -278,9 +278,14 @@ def bmode(spark, d):
     return windows.bmode(_windowed(spark, d)).select("window_id", "voxel_id", r("value", 4))
 
 
-@query("axial_velocity", f"WITH {WIN}, Y AS (SELECT *, lag(re) OVER w AS r0, lag(im) OVER w AS i0 FROM X WINDOW w AS (PARTITION BY window_id, voxel_id ORDER BY t_idx)) SELECT window_id, voxel_id, round(atan2(sum(im * r0 - re * i0), sum(re * r0 + im * i0)) * 500 * 1540 / (4 * pi() * 15625), 6) + 0.0 AS value FROM Y GROUP BY ALL HAVING count(r0) > 0")
+@query("axial_velocity", f"""WITH {WIN}, Y AS (SELECT *, lag(re) OVER w AS r0, lag(im) OVER w AS i0 FROM X WINDOW w AS (PARTITION BY window_id, voxel_id ORDER BY t_idx)),
+  A AS (SELECT window_id, voxel_id, atan2(sum(im * r0 - re * i0), sum(re * r0 + im * i0)) AS phase FROM Y GROUP BY ALL HAVING count(r0) > 0),
+  M AS (SELECT window_id, quantile_disc(phase, 0.5) AS phase FROM (SELECT window_id, phase FROM A UNION ALL SELECT window_id, 0 FROM (SELECT window_id, count(*) AS c FROM A GROUP BY 1), range(2) t(k) WHERE k < 3 - c) GROUP BY 1)
+  SELECT window_id, voxel_id, round(M.phase * 500 * 1540 / (4 * pi() * 15625), 6) + 0.0 AS value FROM A JOIN M USING (window_id)""")
 def axial_velocity(spark, d):
-    out = windows.axial_velocity(_windowed(spark, d), 500.0, 15625.0).filter("value IS NOT NULL")
+    """Two voxels side by side: a kernel of three has both of them and one place beyond the volume, which is 0."""
+    grid = spark.range(2).select(F.col("id").alias("voxel_id"), F.lit(0).alias("z_idx"), F.lit(0).alias("y_idx"), F.col("id").cast("int").alias("x_idx"))
+    out = windows.axial_velocity(_windowed(spark, d), 500.0, 15625.0, grid=grid).filter("value IS NOT NULL")
     return out.select("window_id", "voxel_id", (F.round("value", 6) + 0.0).alias("value"))
 
 
@@ -316,7 +321,7 @@ def boxcar_regressor(spark, d):
     return glm.boxcar(glm.dedup_events(e.filter("duration > 0")), grid)
 
 
-@query("active_events", f"WITH {X}, L AS (SELECT min(onset) AS lo FROM X) SELECT k AS frame_id, event_id FROM L, range(300) t(k), X WHERE CASE WHEN duration > 0 THEN onset < lo + k * 7200 + 7200 AND lo + k * 7200 < onset + duration ELSE lo + k * 7200 <= onset AND onset < lo + k * 7200 + 7200 END")
+@query("active_events", f"WITH {X}, L AS (SELECT min(onset) AS lo, floor((max(onset + greatest(duration, 0)) - min(onset)) / 7200)::BIGINT AS last FROM X) SELECT k AS frame_id, event_id FROM L, range(10000000) t(k), X WHERE k <= last AND CASE WHEN duration > 0 THEN onset < lo + k * 7200 + 7200 AND lo + k * 7200 < onset + duration ELSE lo + k * 7200 <= onset AND onset < lo + k * 7200 + 7200 END")
 def active_events(spark, d):
     e = _events(spark, d)
     lo, hi = e.agg(F.min("onset"), F.max(F.col("onset") + F.greatest("duration", F.lit(0.0)))).first()
@@ -383,27 +388,37 @@ for _method, _expr in {
         return thresholds.adjust_pvalues(views.pvalues(spark, d), method).select("voxel_id", r("p_adjusted"))
 
 
-@query("pvalue_hommel")
+@query("pvalue_hommel", f"""WITH {P}, S AS (SELECT voxel_id, p, row_number() OVER (ORDER BY p, voxel_id) AS i, count(*) OVER () AS n FROM P),
+  M AS (SELECT m, coalesce(min(CASE WHEN i > n - m + 1 THEN m * p / (i - n + m) END), 1e300) AS others, min(CASE WHEN i = n - m + 1 THEN m * p END) AS own
+    FROM (SELECT i AS m FROM S) JOIN S ON i >= n - m + 1 GROUP BY m)
+  SELECT voxel_id, round(least(max(CASE WHEN m >= n - i + 1 THEN least(others, own) ELSE least(m * p, others) END), 1), 6) AS p_adjusted FROM S, M GROUP BY voxel_id""")
 def pvalue_hommel(spark, d):
     return thresholds.adjust_pvalues(views.pvalues(spark, d), "hommel").select("voxel_id", r("p_adjusted"))
 
 
-@query("threshold_fixed", f"WITH {G} SELECT y_idx, x_idx, CASE WHEN abs(z) > 2.5 THEN z ELSE 0 END AS z FROM G")
+@query("threshold_fixed", f"WITH {G} SELECT y_idx, x_idx, CASE WHEN abs(z) >= 2.5 THEN z ELSE 0 END AS z FROM G")
 def threshold_fixed(spark, d):
     return thresholds.apply_threshold(views.grid(spark, d), 2.5).select("y_idx", "x_idx", "z")
 
 
-@query("threshold_fdr")
+#: Two-sided tails of scores by the series of the error function.
+ERF = "1 - 2 / sqrt(pi()) * list_sum(list_transform(range(80), lambda k: (CASE WHEN k % 2 = 0 THEN 1 ELSE -1 END) * exp((2 * k + 1) * ln(abs(z) / sqrt(2)) - lgamma(k + 1) - ln(2 * k + 1))))"
+
+
+@query("threshold_fdr", f"""WITH {G}, T AS (SELECT y_idx * 20 + x_idx AS voxel_id, z, CASE WHEN z = 0 THEN 1 ELSE {ERF} END AS p FROM G),
+  Q AS (SELECT voxel_id, z, p, min(p * m / r) OVER (ORDER BY r DESC) AS q FROM (SELECT *, row_number() OVER (ORDER BY p, voxel_id) AS r, count(*) OVER () AS m FROM T)),
+  K AS (SELECT voxel_id, CASE WHEN q <= 0.05 THEN z ELSE 0 END AS z FROM Q)
+  SELECT voxel_id, z, coalesce((SELECT min(abs(z)) FROM K WHERE z <> 0), 'Infinity'::DOUBLE) AS threshold FROM K""")
 def threshold_fdr(spark, d):
     g = views.grid(spark, d).withColumn("voxel_id", F.col("y_idx") * 20 + F.col("x_idx"))
     out, least = thresholds.apply_statistical_threshold(g)
     return out.select("voxel_id", "z", F.lit(least).alias("threshold"))
 
 
-@query("cluster_filter", f"""WITH RECURSIVE {G}, C AS (SELECT y_idx AS y, x_idx AS x, z, CASE WHEN z > 0 THEN 1 ELSE -1 END AS s FROM (SELECT y_idx, x_idx, CASE WHEN abs(z) > 1 THEN z ELSE 0 END AS z FROM G) WHERE z <> 0),
+@query("cluster_filter", f"""WITH RECURSIVE {G}, C AS (SELECT y_idx AS y, x_idx AS x, z, CASE WHEN z > 0 THEN 1 ELSE -1 END AS s FROM (SELECT y_idx, x_idx, CASE WHEN abs(z) >= 1 THEN z ELSE 0 END AS z FROM G) WHERE z <> 0),
   J AS (SELECT y, x, y AS ry, x AS rx, s FROM C UNION SELECT C.y, C.x, J.ry, J.rx, J.s FROM J JOIN C ON C.s = J.s AND abs(C.y - J.y) + abs(C.x - J.x) = 1),
   K AS (SELECT y, x, count(*) AS n FROM J GROUP BY ALL)
-  SELECT G.y_idx, G.x_idx, CASE WHEN abs(G.z) > 1 AND K.n >= 4 THEN G.z ELSE 0 END AS z FROM G LEFT JOIN K ON K.y = G.y_idx AND K.x = G.x_idx""")
+  SELECT G.y_idx, G.x_idx, CASE WHEN abs(G.z) >= 1 AND K.n >= 4 THEN G.z ELSE 0 END AS z FROM G LEFT JOIN K ON K.y = G.y_idx AND K.x = G.x_idx""")
 def cluster_filter(spark, d):
     return thresholds.cluster_filter(thresholds.apply_threshold(views.grid(spark, d), 1.0), 4).select("y_idx", "x_idx", "z")
 
@@ -483,9 +498,15 @@ def glm_ar1(spark, d):
     return glm.with_tails(glm.statistic(glm.contrast(f, np.array([1.0, 0.0, 0.0])))).select("voxel_id", r("effect"), r("statistic", 5), r("p"), r("z", 4))
 
 
-@query("svd_clutter_power_doppler")
+#: Two voxels: what is left without the strongest component is the other one of their 2 x 2 covariance, in closed form.
+@query("svd_clutter_power_doppler", f"""WITH {WIN}, J AS (SELECT window_id, t_idx, max(CASE WHEN voxel_id = 0 THEN re END) AS p, max(CASE WHEN voxel_id = 0 THEN im END) AS q, max(CASE WHEN voxel_id = 1 THEN re END) AS r, max(CASE WHEN voxel_id = 1 THEN im END) AS s FROM X GROUP BY ALL),
+  C AS (SELECT window_id, count(*) AS n, count(p) AS n0, count(r) AS n1, sum(coalesce(p * p + q * q, 0)) AS a, sum(coalesce(r * r + s * s, 0)) AS b, sum(coalesce(p * r + q * s, 0)) AS x, sum(coalesce(p * s - q * r, 0)) AS y FROM J GROUP BY 1),
+  L AS (SELECT *, (a + b - sqrt((a - b) ** 2 + 4 * (x * x + y * y))) / 2 AS least FROM C),
+  U AS (SELECT *, x * x + y * y + (least - a) ** 2 AS size FROM L)
+  SELECT window_id, 0 AS voxel_id, round(CASE WHEN size = 0 THEN 0 ELSE least * (x * x + y * y) / size / n END, 3) + 0.0 AS value FROM U WHERE n0 > 0
+  UNION ALL SELECT window_id, 1, round(CASE WHEN size = 0 THEN 0 ELSE least * (least - a) ** 2 / size / n END, 3) + 0.0 FROM U WHERE n1 > 0""")
 def svd_clutter(spark, d):
-    return windows.filtered_power_doppler(_windowed(spark, d), low=1).select("window_id", "voxel_id", r("value", 3))
+    return windows.filtered_power_doppler(_windowed(spark, d), low=1).select("window_id", "voxel_id", (F.round("value", 3) + 0.0).alias("value"))
 
 
 @query("searchlight")

@@ -77,4 +77,4 @@ H = """H AS (SELECT 1::BIGINT AS id, NULL::BIGINT AS parent_id, 'root' AS acrony
 P = """P AS (SELECT voxel_id, x * x * x AS p FROM (SELECT c_custkey AS voxel_id,
   (c_acctbal - min(c_acctbal) OVER () + 1) / (max(c_acctbal) OVER () - min(c_acctbal) OVER () + 2) AS x FROM customer))"""
 G = """G AS (SELECT 0 AS z_idx, (p_partkey // 20)::INT AS y_idx, (p_partkey % 20)::INT AS x_idx, round((p_size - 25) / 5.0, 3) AS z
-  FROM part WHERE p_partkey < 400)"""
+  FROM part)"""

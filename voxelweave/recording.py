@@ -109,10 +109,10 @@ class Recording:
         out = windows.bmode(windows.sliding_windows(self.samples, self._length(), width, stride))
         return self._with(out.withColumnRenamed("window_id", "t_idx"))
 
-    def axial_velocity(self, width: int, stride: int | None, rate: float, lag: int = 1) -> Recording:
+    def axial_velocity(self, width: int, stride: int | None, rate: float, lag: int = 1, kernel: int | tuple[int, int, int] = 3) -> Recording:
         validate.validate_iq(self.samples, self.meta, velocity=True)
         w = windows.sliding_windows(self.samples, self._length(), width, stride)
-        out = windows.axial_velocity(w, rate, self.meta["transmit_frequency"], lag, self.meta["sound_velocity"])
+        out = windows.axial_velocity(w, rate, self.meta["transmit_frequency"], lag, self.meta["sound_velocity"], grid=self.samples.select("voxel_id", "z_idx", "y_idx", "x_idx").distinct(), kernel=kernel)
         return self._with(out.withColumnRenamed("window_id", "t_idx"))
 
     # space and models

@@ -1,7 +1,8 @@
 """Volumes in scientific file formats, read in parallel by block or frame, and written back.
 
-Files come through Spark's binary file source, so that any store that Spark reaches will do. A reader turns each file
-(or chunk) into rows of the long encoding inside the task that read it.
+Images and chunks come through Spark's binary file source, one row each, so that any store that Spark reaches will do.
+Files of many blocks are far larger than a row may be: Spark lists them, and each task opens its ranges of bytes itself.
+A reader turns what it reads into rows of the long encoding inside the task that read it.
 """
 
 from __future__ import annotations
@@ -11,11 +12,14 @@ import json
 import struct
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..operators.layout import ranked
+
 LONG = "path string, t_idx int, z_idx int, y_idx int, x_idx int, value double"
 COMPLEX = "path string, t_idx long, z_idx int, y_idx int, x_idx int, value struct<re:double,im:double>"
 
@@ -98,19 +102,26 @@ def binary_files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
 
 
-def load_nifti(spark: SparkSession, path: str, pattern: str = "*.nii*") -> DataFrame:
-    """path, t_idx, z_idx, y_idx, x_idx, value of all images below a path, a frame at a time."""
+def load_nifti(spark: SparkSession, path: str, pattern: str = "*.nii*", complex_as: str | None = None) -> DataFrame:
+    """path, t_idx, z_idx, y_idx, x_idx, value of all images below a path; an image is one row of at most 2 GB.
+
+    Complex images need complex_as: "parts" gives value {re, im} for all images, "magnitude" their magnitudes.
+    """
+    if complex_as not in (None, "parts", "magnitude"):
+        raise ValueError(f"complex_as is parts or magnitude, not {complex_as!r}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 _, data = parse_nifti(raw)
-                data = np.abs(data) if np.iscomplexobj(data) else data
+                if np.iscomplexobj(data) and complex_as is None:
+                    raise ValueError(f"{name} is complex: say whether its parts or its magnitude are wanted")
+                data = np.abs(data) if complex_as == "magnitude" else data
                 data = data.reshape(*data.shape, *[1] * (4 - data.ndim)).transpose(3, 2, 1, 0)
                 for t in range(len(data)):
-                    yield _rows(name, data[t : t + 1], t)
+                    yield _complex_rows(name, data[t : t + 1], t) if complex_as == "parts" else _rows(name, data[t : t + 1], t)
 
-    return binary_files(spark, path, pattern).select("path", "content").mapInArrow(run, LONG)
+    return binary_files(spark, path, pattern).select("path", "content").mapInArrow(run, COMPLEX if complex_as == "parts" else LONG)
 
 
 def nifti_meta(spark: SparkSession, path: str, pattern: str = "*.nii*") -> DataFrame:
@@ -127,31 +138,69 @@ def nifti_meta(spark: SparkSession, path: str, pattern: str = "*.nii*") -> DataF
     return binary_files(spark, path, pattern).select("path", "content").mapInArrow(run, "path string, meta string")
 
 
+def _complex_rows(path: str, data: np.ndarray, first: int = 0) -> pa.RecordBatch:
+    """Rows of a complex (t, z, y, x) array."""
+    t, z, y, x = (i.ravel() for i in np.indices(data.shape, dtype=np.int32))
+    flat = data.ravel()
+    value = pa.StructArray.from_arrays([pa.array(flat.real.astype(float)), pa.array(flat.imag.astype(float))], ["re", "im"])
+    return pa.RecordBatch.from_arrays([pa.array([path] * len(t)), pa.array(t.astype(np.int64) + first), pa.array(z), pa.array(y), pa.array(x), value], names=["path", "t_idx", "z_idx", "y_idx", "x_idx", "value"])
+
+
+def read_range(path: str, start: int, length: int) -> bytes:
+    """Some bytes of a file, by the file systems that Arrow knows (local, HDFS, S3, GCS)."""
+    if path.startswith("file:") or "://" not in path:
+        with open("/" + path.removeprefix("file:").lstrip("/"), "rb") as file:
+            file.seek(start)
+            return file.read(length)
+    from pyarrow import fs
+
+    system, place = fs.FileSystem.from_uri(quote(path, safe=":/"))
+    with system.open_input_file(place) as file:
+        return file.read_at(length, start)
+
+
+def block_places(spark: SparkSession, path: str, pattern: str, unit: int, header_items: int, header_type: str, number_at: int | None) -> DataFrame:
+    """path, at (byte), block (place in the order of all blocks from 0, or in its file without number_at).
+
+    Files are listed without being read. Of each block only its header is read for its number; numbers may have gaps,
+    and blocks are counted through in the order of their numbers.
+    """
+    files = binary_files(spark, path, pattern).select("path", "length").filter(F.col("length") >= unit)
+    k = F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("length") / unit) - 1))
+    places = files.select("path", k.alias("k")).select("path", "k", (F.col("k") * unit).alias("at"))
+    if number_at is None:
+        return places.select("path", "at", F.col("k").alias("block"))
+    item = np.dtype(header_type).itemsize
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            numbers = [int(np.frombuffer(read_range(p, at + number_at * item, item), header_type)[0]) for p, at in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers, pa.int64())], names=["path", "k", "at", "number"])
+
+    numbered = places.mapInArrow(run, "path string, k long, at long, number long")
+    return ranked(numbered, "number", "path", "k").rows.select("path", "at", (F.col("__r") - 1).alias("block"))
+
+
 def load_blocks(spark: SparkSession, path: str, pattern: str, header_items: int, header_type: str, shape: tuple[int, ...], axes: tuple[int, int, int, int], padding: int = 0, number_at: int | None = None) -> DataFrame:
     """Rows of .dat files of complex64 blocks behind headers.
 
     shape: of a block as stored; axes: which of its axes are t, z, y, x (-1: there is none). Blocks are in order of the
-    number in their header (number_at), or of their place in the file; empty files have no rows.
+    number in their header (number_at), whatever its gaps, or of their place in the file; empty files have no rows.
     """
     head = header_items * np.dtype(header_type).itemsize
-    body = int(np.prod(shape)) * 8
+    count = int(np.prod(shape))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for k in range(len(raw) // (head + body + padding)):
-                    at = k * (head + body + padding)
-                    number = k if number_at is None else int(np.frombuffer(raw, header_type, header_items, at)[number_at]) - 1
-                    data = np.frombuffer(raw, np.complex64, int(np.prod(shape)), at + head).reshape(shape)
-                    data = data.transpose([a for a in axes if a >= 0])
-                    for k_, a in enumerate(axes):
-                        data = np.expand_dims(data, k_) if a < 0 else data
-                    t, z, y, x = (i.ravel() for i in np.indices(data.shape, dtype=np.int32))
-                    flat = data.ravel()
-                    value = pa.StructArray.from_arrays([pa.array(flat.real.astype(float)), pa.array(flat.imag.astype(float))], ["re", "im"])
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(t)), pa.array(t.astype(np.int64) + number * data.shape[0]), pa.array(z), pa.array(y), pa.array(x), value], names=["path", "t_idx", "z_idx", "y_idx", "x_idx", "value"])
+            for name, at, block in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                data = np.frombuffer(read_range(name, at + head, count * 8), np.complex64).reshape(shape)
+                data = data.transpose([a for a in axes if a >= 0])
+                for k, a in enumerate(axes):
+                    data = np.expand_dims(data, k) if a < 0 else data
+                yield _complex_rows(name, data, block * data.shape[0])
 
-    return binary_files(spark, path, pattern).select("path", "content").mapInArrow(run, COMPLEX)
+    places = block_places(spark, path, pattern, head + count * 8 + padding, header_items, header_type, number_at)
+    return places.repartitionByRange("path", "at").mapInArrow(run, COMPLEX)
 
 
 def load_autc(spark: SparkSession, root: str, n_x: int, n_z: int, n_frames: int, pattern: str = "bf*part*.dat") -> DataFrame:
@@ -206,7 +255,9 @@ def load_zarr(spark: SparkSession, path: str, name: str) -> DataFrame:
 
 
 def save_recording(samples: DataFrame, path: str, meta: dict | None = None) -> None:
-    """Samples as Parquet, dealt by recording and sorted by time within a file, with the metadata beside them."""
+    """Samples as Parquet, dealt and sorted by ranges of time so that files can be passed over, with the metadata beside."""
+    order = [c for c in ("recording_id", "t_idx", "voxel_id") if c in samples.columns]
+    samples = samples.repartitionByRange(*order).sortWithinPartitions(*order) if order else samples
     samples.write.parquet(f"{path}/samples", mode="overwrite")
     samples.sparkSession.createDataFrame([(json.dumps(meta or {}),)], "meta string").write.parquet(f"{path}/meta", mode="overwrite")
 
@@ -233,13 +284,18 @@ def load(spark: SparkSession, path: str, variable: str | None = None) -> DataFra
 
 
 def create_recording(spark: SparkSession, data: np.ndarray, dt: float = 1.0, spacing=(1.0, 1.0, 1.0), origin=(0.0, 0.0, 0.0)) -> tuple[DataFrame, DataFrame]:
-    """Samples and coordinates of an array (t, z, y, x); fewer dimensions get single slices in front."""
+    """Samples and coordinates of an array (t, z, y, x); fewer dimensions get single slices in front.
+
+    A complex array's samples have value {re, im}.
+    """
     data = np.asarray(data)
     data = data.reshape((1,) * (4 - data.ndim) + data.shape)
     t, z, y, x = (i.ravel() for i in np.indices(data.shape))
     voxel = (z * data.shape[2] + y) * data.shape[3] + x
     columns = {"t_idx": t, "z_idx": z, "y_idx": y, "x_idx": x, "voxel_id": voxel}
-    table = pa.table({k: pa.array(v.astype(np.int64)) for k, v in columns.items()} | {"value": pa.array(data.ravel().astype(float))})
+    flat = data.ravel()
+    value = pa.StructArray.from_arrays([pa.array(flat.real.astype(float)), pa.array(flat.imag.astype(float))], ["re", "im"]) if np.iscomplexobj(flat) else pa.array(flat.astype(float))
+    table = pa.table({k: pa.array(v.astype(np.int64)) for k, v in columns.items()} | {"value": value})
     coords = [(d, i, float(o + s * i), "s" if d == "time" else "mm", float(s)) for d, n, s, o in zip(("time", "z", "y", "x"), data.shape, (dt, *spacing), (0.0, *origin), strict=True) for i in range(n)]
     samples = spark.createDataFrame(table).withColumns({c: F.col(c).cast("int") for c in ("t_idx", "z_idx", "y_idx", "x_idx")})
     return samples, spark.createDataFrame(coords, "dim string, idx int, coord double, units string, voxdim double")
