@@ -84,3 +84,17 @@ def group_spans(df: DataFrame, order: str, group: str) -> DataFrame:
     w = Window.orderBy(order)
     marked = df.withColumn("__n", (~F.col(group).eqNullSafe(F.lag(group).over(w))).cast("int")).withColumn("__r", F.sum("__n").over(w))
     return marked.groupBy("__r", group).agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count(F.lit(1)).alias("n")).drop("__r")
+
+
+def filter_files(files: DataFrame, **entities: str | list[str] | None) -> DataFrame:
+    """Files (path) whose entities, as in sub-01_ses-02, are among those asked for.
+
+    A file without an entity isn't left out by it, and files at the top level always stay.
+    """
+    name = F.element_at(F.split("path", "/"), -1)
+    keep = F.lit(True)
+    for entity, wanted in entities.items():
+        if wanted is not None:
+            found = F.regexp_extract("path", rf"(?:^|[/_]){entity}-([A-Za-z0-9]+)", 1)
+            keep = keep & ((found == "") | found.isin([wanted] if isinstance(wanted, str) else list(wanted)))
+    return files.filter(keep | (name == F.col("path")))

@@ -266,3 +266,69 @@ def argmax_location(samples: DataFrame, dims: tuple[str, ...], value: str = VALU
 def voxel_key(x: Column, origin: float, spacing: float) -> Column:
     """Index of the voxel nearest to a coordinate."""
     return F.floor((x - origin) / spacing + 0.5).cast("long")
+
+
+# Pull transforms: an affine (4 x 4) or a dense field of displacements (3, z, y, x) on a grid (shape, spacing, origin)
+
+
+def validate_bspline(meta: dict, control: np.ndarray) -> None:
+    """Control points (3, z, y, x) with the attributes of a B-spline transform."""
+    if meta.get("transform_type") != "bspline_transform":
+        raise ValueError(f"transform_type must be bspline_transform, not {meta.get('transform_type')!r}")
+    missing = [k for k in ("order", "direction") if k not in meta]
+    if missing:
+        raise ValueError(f"attributes are missing: {missing}")
+    if np.ndim(control) != 4 or len(control) != 3:
+        raise ValueError("control points have three components and three dimensions")
+
+
+def field_on(transform, grid: tuple, source: tuple | None = None) -> np.ndarray:
+    """Displacements (3, z, y, x) of a transform on a grid: an affine, or a field on its own grid (source)."""
+    shape, spacing, origin = grid
+    points = grid_points(shape, spacing, origin)
+    moved = pulled(points, transform, source)
+    return (moved - points).T.reshape(3, *shape)
+
+
+def pulled(points: np.ndarray, transform, source: tuple | None = None) -> np.ndarray:
+    transform = np.asarray(transform, float)
+    if transform.shape == (4, 4):
+        return points @ transform[:3, :3].T + transform[:3, 3]
+    if source is None:
+        raise ValueError("a field needs the grid that it is on")
+    return displaced(points, transform, source[1], source[2])
+
+
+def composed(old, new, grid: tuple, old_grid: tuple | None = None, new_grid: tuple | None = None):
+    """One pull transform for `new` and then `old`: an affine if both are, else displacements on the grid.
+
+    None stands for the identity.
+    """
+    if new is None or old is None:
+        return old if new is None else new
+    if np.shape(old) == np.shape(new) == (4, 4):
+        return np.asarray(old, float) @ np.asarray(new, float)
+    points = grid_points(*grid)
+    return (pulled(pulled(points, new, new_grid), old, old_grid) - points).T.reshape(3, *grid[0])
+
+
+def linked_affines(poses: dict[str, np.ndarray], key: str, consolidated: np.ndarray, tolerance: float = 1e-6) -> dict[str, np.ndarray]:
+    """One affine for each name from affines by pose (pose, 4, 4), of those that go rigidly with the main one (key).
+
+    The main affine of all poses is `consolidated`; another name's is the one that keeps its place to it. Names whose
+    place to the main affine differs between poses are left out.
+    """
+    main = np.asarray(poses[key], float)
+    out = {}
+    for name, each in poses.items():
+        if name != key:
+            link = np.array([a @ np.linalg.inv(m) for a, m in zip(np.asarray(each, float), main, strict=True)])
+            if np.abs(link - link[0]).max() <= tolerance:
+                out[name] = link[0] @ consolidated
+    return out
+
+
+def with_affines_of(meta: dict, reference: dict) -> dict:
+    """A result's attributes with the affines of the recording that it is now on; without any there, it has none."""
+    rest = {k: v for k, v in meta.items() if k != "affines"}
+    return rest | ({"affines": reference["affines"]} if "affines" in reference else {})

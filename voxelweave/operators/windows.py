@@ -93,6 +93,51 @@ def median_filter(volumes: DataFrame, grid: DataFrame, kernel: int | tuple[int,
     return near.filter(F.col(VOXEL).isNotNull()).select("window_id", VOXEL, F.element_at(padded, cells // 2 + 1).alias("value"))
 
 
+def acquisition_duration(meta: dict, times: list[float] | None = None) -> float:
+    """Seconds that one volume takes: the attribute, else one over the compound rate, else the typical step of times."""
+    import warnings
+
+    if meta.get("volume_acquisition_duration") is not None:
+        return float(meta["volume_acquisition_duration"])
+    if meta.get("compound_sampling_frequency"):
+        warnings.warn("the volume's duration is taken from the compound rate", stacklevel=2)
+        return 1 / float(meta["compound_sampling_frequency"])
+    if times is not None and len(times) > 1:
+        warnings.warn("the volume's duration is taken from the typical step of times", stacklevel=2)
+        return float(np.median(np.diff(times)))
+    raise ValueError("nothing says how long a volume takes")
+
+
+def filter_rate(times: list[float], method: str = "butterworth", unit: float = 1.0, tolerance: float = 0.01) -> float:
+    """Volumes in a second from their times in units of so many seconds; a Butterworth filter needs even steps."""
+    steps = np.diff(np.asarray(times, float)) * unit
+    if not len(steps):
+        raise ValueError("two times or more are needed")
+    typical = float(np.median(steps))
+    if method == "butterworth" and (np.abs(steps - typical) > tolerance * abs(typical)).any():
+        raise ValueError("a Butterworth filter needs uniform times")
+    return 1 / typical
+
+
+def typical_duration(durations: DataFrame, tolerance: float = 0.01, column: str = "duration") -> float:
+    """The median duration of windows, with a warning where some are off by more than the tolerance."""
+    import warnings
+
+    row = durations.agg(F.median(column).alias("m")).first()
+    off = durations.filter(F.abs(F.col(column) - F.lit(row.m)) > tolerance * abs(row.m)).limit(1).count()
+    if off:
+        warnings.warn(f"durations of windows differ by more than {tolerance:.0%}", stacklevel=2)
+    return float(row.m)
+
+
+def filter_label(method: str | None, low=None, high=None) -> str:
+    """A filter in words for a recording's history; indices are a half-open range, other cutoffs are both kept."""
+    if method is None or low is None and high is None:
+        return method or "none"
+    a, b = ("" if x is None else f"{x:g}" for x in (low, high))
+    return f"{method}[{a}, {b})" if method == "svd_indices" else f"{method}[{a}, {b}]"
+
+
 def window_timings(times: DataFrame, n: int, width: int, stride: int, duration: float, from_reference: str = "start", to_reference: str = "start", inner_width: int | None = None, inner_stride: int | None = None) -> DataFrame:
     """window_id, time, duration of each output volume: from its first sample's onset to the end of its last one.
 

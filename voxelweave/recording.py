@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .functions import affine as affines, scale
-from .operators import glm, layout, masks, reductions, series, spatial, validate, windows
+from .operators import glm, layout, masks, quality_control, reductions, series, spatial, validate, windows
 from .sources import volumes
 
 
@@ -123,6 +123,17 @@ class Recording:
     def register_volumewise(self, shape: tuple[int, int, int], **options) -> DataFrame:
         return spatial.register_volumewise(self.samples, shape, **options)
 
+    def register_to(self, fixed: np.ndarray, spacing=(1.0, 1.0, 1.0), frame: int = 0, **options) -> tuple[np.ndarray, dict]:
+        """The affine from points of a fixed volume to those of one of this recording's frames, and how it was found."""
+        moving = spatial.volume_of(self.samples.filter(F.col("t_idx") == frame).toPandas(), fixed.shape)  # one frame
+        return spatial.register(moving, fixed, spacing, **options)
+
+    def quality(self, **wanted) -> dict[str, DataFrame]:
+        return quality_control.metrics(self.samples, **wanted)
+
+    def carpet(self, **options) -> tuple[DataFrame, tuple[float, float]]:
+        return quality_control.carpet(self.samples, **options)
+
     def series(self) -> DataFrame:
         return layout.to_series(self.samples)
 

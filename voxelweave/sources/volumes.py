@@ -299,3 +299,20 @@ def create_recording(spark: SparkSession, data: np.ndarray, dt: float = 1.0, spa
     coords = [(d, i, float(o + s * i), "s" if d == "time" else "mm", float(s)) for d, n, s, o in zip(("time", "z", "y", "x"), data.shape, (dt, *spacing), (0.0, *origin), strict=True) for i in range(n)]
     samples = spark.createDataFrame(table).withColumns({c: F.col(c).cast("int") for c in ("t_idx", "z_idx", "y_idx", "x_idx")})
     return samples, spark.createDataFrame(coords, "dim string, idx int, coord double, units string, voxdim double")
+
+
+def create_iq(spark: SparkSession, data: np.ndarray, dt: float = 1.0, spacing=(1.0, 1.0, 1.0), origin=(0.0, 0.0, 0.0), transmit_frequency: float | None = None, sound_velocity: float | None = None, duration: float | None = None, reference: str = "start") -> tuple[DataFrame, DataFrame, dict]:
+    """Complex samples, coordinates and attributes of an array (t, z, y, x) of demodulated echoes."""
+    if not np.iscomplexobj(data):
+        raise ValueError("echoes must be complex")
+    samples, coords = create_recording(spark, data, dt, spacing, origin)
+    given = {"transmit_frequency": transmit_frequency, "sound_velocity": sound_velocity, "volume_acquisition_duration": duration, "volume_acquisition_reference": reference}
+    return samples, coords, {k: v for k, v in given.items() if v is not None}
+
+
+def to_array(values: DataFrame, grid: DataFrame, shape: tuple[int, int, int], value: str = "value", fill: float = 0.0) -> np.ndarray:
+    """One map (voxel_id, value) as an array (z, y, x) on the driver; voxels without a value have the fill."""
+    rows = values.join(grid.select("voxel_id", "z_idx", "y_idx", "x_idx"), "voxel_id").select("z_idx", "y_idx", "x_idx", value).toPandas()  # one volume
+    out = np.full(shape, fill)
+    out[rows["z_idx"], rows["y_idx"], rows["x_idx"]] = rows[value]
+    return out
