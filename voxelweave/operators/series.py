@@ -84,11 +84,11 @@ def repair_non_finite(samples: DataFrame, value: str = VALUE, time: str = TIME)
 def resample_time(samples: DataFrame, targets: DataFrame, method: str = "linear", extrapolate: bool = True, value: str = VALUE, time: str = "time", key: str = VOXEL) -> DataFrame:
     """key, time, value of each voxel at the target times (time), from its own samples at (time).
 
-    linear: the line through the neighbours, or through the two outermost samples beyond them; nearest (earlier one on
-    a tie), previous, next: the neighbour's value. Samples and targets are sorted together once, so no sample meets any
+    linear (slinear): the line through the neighbours, or through the two outermost samples beyond them; nearest (the
+    earlier one on a tie; nearest-up the later one), previous (zero), next: the neighbour's value. Samples and targets are sorted together once, so no sample meets any
     target but its neighbours.
     """
-    t = F.col(time)
+    t, method = F.col(time), {"slinear": "linear", "zero": "previous"}.get(method, method)
     grid = samples.select(key).distinct().crossJoin(F.broadcast(targets.select(t.cast("double").alias(time)).distinct()))
     both = samples.select(key, t.cast("double").alias(time), F.col(value).cast("double").alias("v"), F.lit(False).alias("asked"))
     both = both.unionByName(grid.select(key, time, F.lit(None).cast("double").alias("v"), F.lit(True).alias("asked")))
@@ -96,7 +96,6 @@ def resample_time(samples: DataFrame, targets: DataFrame, method: str = "linear"
     later = Window.partitionBy(key).orderBy(F.col(time).desc(), "asked")
     back, ahead = order.rowsBetween(Window.unboundedPreceding, 0), later.rowsBetween(Window.unboundedPreceding, 0)
     known = F.when(~F.col("asked"), F.struct(time, "v"))
-    one = F.when(~F.col("asked"), F.lag(F.struct(time, "v")).over(order))  # the sample before a sample, where rows are samples
     a, b = F.last(known, True).over(back), F.last(known, True).over(ahead)
     line = lambda p, q: p["v"] + (q["v"] - p["v"]) * (t - p[time]) / (q[time] - p[time])
     if method == "linear":
@@ -109,11 +108,74 @@ def resample_time(samples: DataFrame, targets: DataFrame, method: str = "linear"
             beyond = F.when(t < F.col("f0")[time], line(F.col("f0"), F.col("f1"))).when(t > F.col("l1")[time], line(F.col("l0"), F.col("l1")))
             out = out.join(two, key).select(key, time, F.coalesce("out", beyond).alias("out"))
         return out.select(key, time, F.col("out").alias(value))
-    del one
-    value_of = {"previous": a["v"], "next": b["v"], "nearest": F.when(b["v"].isNull() | (a["v"].isNotNull() & (t - a[time] <= b[time] - t)), a["v"]).otherwise(b["v"])}[method]
+    earlier = {"nearest": t - a[time] <= b[time] - t, "nearest-up": t - a[time] < b[time] - t}
+    if method not in ("previous", "next", *earlier):
+        raise ValueError(f"unknown method {method!r}; quadratic and cubic take the series encoding: resample_series")
+    value_of = {"previous": a["v"], "next": b["v"]} | {k: F.when(b["v"].isNull() | (a["v"].isNotNull() & closer), a["v"]).otherwise(b["v"]) for k, closer in earlier.items()}
+    value_of = value_of[method]
     return both.withColumn("out", value_of).filter("asked").select(key, time, F.col("out").alias(value))
 
 
+def spline_basis(knots: np.ndarray, degree: int, x: np.ndarray) -> np.ndarray:
+    """Values of all B-splines of a degree at x, by the recurrence over degrees; the outer pieces go on beyond the ends."""
+    count = len(knots) - degree - 1
+    piece = np.clip(np.searchsorted(knots, x, "right") - 1, degree, count - 1)
+    out = np.zeros((len(x), len(knots) - 1))
+    out[np.arange(len(x)), piece] = 1
+    for d in range(1, degree + 1):
+        new = np.zeros((len(x), len(knots) - 1 - d))
+        for i in range(new.shape[1]):
+            for j, (a, b) in ((i, (knots[i], knots[i + d])), (i + 1, (knots[i + d + 1], knots[i + 1]))):
+                if a != b:
+                    new[:, i] += (x - a) / (b - a) * out[:, j]
+        out = new
+    return out
+
+
+def resample_weights(times: np.ndarray, targets: np.ndarray, method: str = "linear", fill: float | tuple[float, float] | str = "extrapolate") -> tuple[np.ndarray, np.ndarray]:
+    """targets x times, and a constant for each target: weights by which a series gives its values at other times.
+
+    Splines of degree 2 and 3 go through all samples, without a knot next to the ends (3) or with knots between the
+    samples (2). Beyond the ends: extrapolate (neighbours: the nearest sample where there is one on that side), nan, a
+    number, or one for each side.
+    """
+    t, x = np.asarray(times, float), np.asarray(targets, float)
+    n, kinds = len(t), {"linear": 1, "slinear": 1, "quadratic": 2, "cubic": 3}
+    w, rest = np.zeros((len(x), n)), np.zeros(len(x))
+    if method in kinds:
+        k = kinds[method]
+        if n <= k:
+            raise ValueError(f"{method} needs {k + 1} times or more")
+        inner = t if k % 2 else (t[1:] + t[:-1]) / 2
+        cut = (k + 1) // 2
+        knots = np.concatenate([np.full(k + 1, t[0]), inner[cut : len(inner) - cut], np.full(k + 1, t[-1])])
+        w = spline_basis(knots, k, x) @ np.linalg.inv(spline_basis(knots, k, t))
+    else:
+        after = np.searchsorted(t, x, "left")
+        before = np.searchsorted(t, x, "right") - 1
+        low, high = np.maximum(before, 0), np.minimum(after, n - 1)
+        near, up = (np.where((x - t[low] <= t[high] - x) if tie else (x - t[low] < t[high] - x), low, high) for tie in (True, False))
+        outside = (x < t[0]) | (x > t[-1])
+        end = np.where(x < t[0], 0, n - 1)
+        found = {"previous": before, "zero": before, "next": np.where(after < n, after, -1), "nearest": np.where(outside, end, near), "nearest-up": np.where(outside, end, up)}
+        if method not in found:
+            raise ValueError(f"unknown method {method!r}")
+        at = found[method]
+        w[np.flatnonzero(at >= 0), at[at >= 0]] = 1
+        rest[at < 0] = np.nan
+    if fill != "extrapolate":
+        left, right = fill if isinstance(fill, tuple) else (np.nan, np.nan) if fill == "nan" else (fill, fill)
+        for side, value in ((x < t[0], left), (x > t[-1], right)):
+            w[side], rest[side] = 0, value
+    return w, rest
+
+
+def resample_series(series: DataFrame, times: np.ndarray, targets: np.ndarray, method: str = "linear", fill: float | tuple[float, float] | str = "extrapolate") -> DataFrame:
+    """Series whose times all voxels share at other times: one small matrix for all, sent to the tasks."""
+    w, rest = resample_weights(times, targets, method, fill)
+    return map_series(series, lambda x: x @ w.T + rest)
+
+
 def uniform_times(samples: DataFrame, start: float | None = None, stop: float | None = None, step: float | None = None, time: str = "time") -> DataFrame:
     """time: start + k step up to stop; by default from the first to the last sample with the median step."""
     times = samples.select(F.col(time).cast("double").alias(time)).distinct()
@@ -281,6 +343,22 @@ def smooth_axis(samples: DataFrame, axis: str, size: int, fwhm: float, spacing:
     return out.withColumnRenamed("to", axis)
 
 
+def smooth_volume(samples: DataFrame, shape: tuple[int, int, int], fwhm: float | tuple[float, float, float], spacing: tuple[float, float, float] = (1.0, 1.0, 1.0), ensure_finite: bool = False, keys: tuple[str, ...] = (TIME,), value: str = VALUE) -> DataFrame:
+    """Gaussian smoothing along z, y and x, one axis after the other, edges mirrored; a width of 0 leaves an axis as it is.
+
+    With ensure_finite what isn't finite counts as 0; without it, it spreads.
+    """
+    dims = ("z_idx", "y_idx", "x_idx")
+    out = samples.select(*keys, *dims, F.col(value).cast("double").alias(value))
+    if ensure_finite:
+        x = F.col(value)
+        out = out.withColumn(value, F.when(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")), 0.0).otherwise(x))
+    for d, n, width, step in zip(dims, shape, (fwhm,) * 3 if np.ndim(fwhm) == 0 else fwhm, spacing, strict=True):
+        if width:
+            out = smooth_axis(out, d, n, width, step, (*keys, *(x for x in dims if x != d)), value)
+    return out
+
+
 def rolling_mean(samples: DataFrame, before: int, after: int, least: int = 1, keys: tuple[str, ...] = (VOXEL,), time: str = TIME, value: str = VALUE) -> DataFrame:
     """Mean over a frame of rows; null where it has fewer than `least` of them."""
     w = over_time(keys, time).rowsBetween(-before, after)
