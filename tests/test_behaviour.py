@@ -191,12 +191,12 @@ def test_median_over_neighbours(spark, kernel):
 def test_blocks_are_counted_through_gaps(spark, tmp_path):
     """Numbers 1, 5, 9 in two files, out of order, as one recording of three blocks."""
     def block(number):
-        return np.array([number] + [0] * 9, "<i4").tobytes() + np.full((4, 6, 3), number + 0.5j, np.complex64).tobytes()
+        return np.array([number, 144, 6, 4, 3] + [0] * 5, "<i4").tobytes() + np.full((4, 6, 3), number + 0.5j, np.complex64).tobytes()
 
     (tmp_path / "bf_part_2.dat").write_bytes(block(9))
     (tmp_path / "bf part_1.dat").write_bytes(block(5) + block(1))
     (tmp_path / "bf_part_3.dat").write_bytes(b"")
-    got = volumes.load_autc(spark, str(tmp_path), 4, 6, 3).groupBy("t_idx").agg(F.count("value").alias("n"), F.max("value.re").alias("re"), F.min("value.im").alias("im")).orderBy("t_idx").collect()
+    got = volumes.load_autc(spark, str(tmp_path)).groupBy("t_idx").agg(F.count("value").alias("n"), F.max("value.re").alias("re"), F.min("value.im").alias("im")).orderBy("t_idx").collect()
     assert [tuple(r) for r in got] == [(t, 24, re, 0.5) for t, re in enumerate([1] * 3 + [5] * 3 + [9] * 3)]
 
 
@@ -211,3 +211,16 @@ def test_complex_values_are_kept(spark, tmp_path):
     assert volumes.load_nifti(spark, str(tmp_path), complex_as="magnitude").agg(F.sum("value")).first()[0] == pytest.approx(np.abs(z).sum(), rel=1e-6)
     with pytest.raises(Exception, match="complex"):
         volumes.load_nifti(spark, str(tmp_path)).count()
+
+
+def test_one_header_stands_before_all_blocks_of_a_file(spark, tmp_path):
+    blocks = (np.arange(2 * 3 * 4 * 6).reshape(2, 3, 4, 1, 6) * (1 - 2j)).astype(np.complex64)  # block, volume, x, 1, z
+    for padding in (0, 16):
+        body = b"".join(b.tobytes() + b"\xff" * padding for b in blocks)
+        (tmp_path / f"p{padding}.dat").write_bytes(np.array([1, 48, 2, 0, padding], "<u8").tobytes() + b"\0" * 8 + body)
+        rows = volumes.load_echoframe(spark, str(tmp_path), 3, 4, 6, f"p{padding}.dat").orderBy("t_idx", "y_idx", "x_idx").select("t_idx", "z_idx", "value.re", "value.im").collect()
+        want = blocks.reshape(6, 4, 6).transpose(0, 2, 1)
+        assert [complex(r.re, r.im) for r in rows] == want.ravel().tolist() and rows[-1].t_idx == 5 and rows[-1].z_idx == 0
+    (tmp_path / "short.dat").write_bytes(np.array([1, 40, 3, 0, 0], "<u8").tobytes() + blocks[0].tobytes())
+    with pytest.raises(Exception, match="missing"):
+        volumes.load_echoframe(spark, str(tmp_path), 3, 4, 6, "short.dat").count()

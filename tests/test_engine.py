@@ -181,11 +181,11 @@ def test_files(spark, tmp_path, x):
     out[rows.t_idx, rows.z_idx, rows.y_idx, rows.x_idx] = rows.value
     assert np.array_equal(out, v)
     assert json.loads(volumes.nifti_meta(spark, str(tmp_path)).first().meta)["step"] == 0.5
-    head = lambda n: np.array([n] + [0] * 9, "<i4").tobytes()
+    head = lambda n: np.array([n, 144, 6, 4, 3] + [0] * 5, "<i4").tobytes()
     blocks = [np.full((4, 6, 3), n * 100 + 1 + 1j, np.complex64) for n in (1, 2)]
     (tmp_path / "bf0part0.dat").write_bytes(b"".join(head(n + 1) + b.tobytes() for n, b in enumerate(blocks)))
     (tmp_path / "bf0part1.dat").write_bytes(b"")
-    d = volumes.load_autc(spark, str(tmp_path), 4, 6, 3)
+    d = volumes.load_autc(spark, str(tmp_path))
     assert d.count() == 2 * 4 * 6 * 3 and d.filter("t_idx >= 3 AND value.re <> 201").count() == 0
     (tmp_path / "s.zarr/v").mkdir(parents=True)
     (tmp_path / "s.zarr/v/.zarray").write_text(json.dumps({"shape": [3, 5], "chunks": [2, 4], "dtype": "<f8", "compressor": None, "order": "C", "filters": None}))

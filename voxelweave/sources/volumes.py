@@ -181,36 +181,73 @@ def block_places(spark: SparkSession, path: str, pattern: str, unit: int, header
     return ranked(numbered, "number", "path", "k").rows.select("path", "at", (F.col("__r") - 1).alias("block"))
 
 
-def load_blocks(spark: SparkSession, path: str, pattern: str, header_items: int, header_type: str, shape: tuple[int, ...], axes: tuple[int, int, int, int], padding: int = 0, number_at: int | None = None) -> DataFrame:
-    """Rows of .dat files of complex64 blocks behind headers.
-
-    shape: of a block as stored; axes: which of its axes are t, z, y, x (-1: there is none). Blocks are in order of the
-    number in their header (number_at), whatever its gaps, or of their place in the file; empty files have no rows.
-    """
-    head = header_items * np.dtype(header_type).itemsize
+def read_blocks(places: DataFrame, shape: tuple[int, ...], axes: tuple[int, int, int, int]) -> DataFrame:
+    """Rows of complex64 blocks from where they begin (path, at, block), each read by its own range of bytes."""
     count = int(np.prod(shape))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, at, block in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                data = np.frombuffer(read_range(name, at + head, count * 8), np.complex64).reshape(shape)
+                data = np.frombuffer(read_range(name, at, count * 8), np.complex64).reshape(shape)
                 data = data.transpose([a for a in axes if a >= 0])
                 for k, a in enumerate(axes):
                     data = np.expand_dims(data, k) if a < 0 else data
                 yield _complex_rows(name, data, block * data.shape[0])
 
-    places = block_places(spark, path, pattern, head + count * 8 + padding, header_items, header_type, number_at)
-    return places.repartitionByRange("path", "at").mapInArrow(run, COMPLEX)
+    return places.select("path", "at", "block").repartitionByRange("path", "at").mapInArrow(run, COMPLEX)
+
+
+def load_blocks(spark: SparkSession, path: str, pattern: str, header_items: int, header_type: str, shape: tuple[int, ...], axes: tuple[int, int, int, int], padding: int = 0, number_at: int | None = None) -> DataFrame:
+    """Rows of .dat files of complex64 blocks, each behind a header of its own.
+
+    shape: of a block as stored; axes: which of its axes are t, z, y, x (-1: there is none). Blocks are in order of the
+    number in their header (number_at), whatever its gaps, or of their place in the file; empty files have no rows.
+    """
+    head = header_items * np.dtype(header_type).itemsize
+    places = block_places(spark, path, pattern, head + int(np.prod(shape)) * 8 + padding, header_items, header_type, number_at)
+    return read_blocks(places.withColumn("at", F.col("at") + head), shape, axes)
+
+
+def headers(spark: SparkSession, path: str, pattern: str, kind: str, names: list[str], at_least: int = 1) -> DataFrame:
+    """path, length and the first numbers of each file, by name; files that are shorter than these have no row."""
+    item = np.dtype(kind).itemsize
+    files = binary_files(spark, path, pattern).select("path", "length").filter(F.col("length") >= max(at_least, item * len(names)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.frombuffer(read_range(p, 0, item * len(names)), kind).astype(np.int64) for p in batch.column(0).to_pylist()]
+            columns = [pa.array([int(f[k]) for f in found], pa.int64()) for k in range(len(names))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=["path", "length", *names])
+
+    return files.mapInArrow(run, "path string, length long, " + ", ".join(f"{n} long" for n in names))
+
 
+def load_autc(spark: SparkSession, root: str, pattern: str = "bf*part*.dat") -> DataFrame:
+    """Part files of blocks (x, z, frame), each behind ten int32: its number from 1, items, n_z, n_x, frames, and five more.
+
+    Sizes come from the headers and must be the same in all files; without any block there are no rows.
+    """
+    found = headers(spark, root, pattern, "<i4", ["number", "items", "n_z", "n_x", "n_frames"], 40).select("n_x", "n_z", "n_frames").distinct().limit(2).collect()
+    if len(found) > 1:
+        raise ValueError(f"files have blocks of different sizes: {found}")
+    if not found:
+        return spark.createDataFrame([], COMPLEX)
+    return load_blocks(spark, root, pattern, 10, "<i4", tuple(found[0]), (2, -1, 1, 0), number_at=0)
 
-def load_autc(spark: SparkSession, root: str, n_x: int, n_z: int, n_frames: int, pattern: str = "bf*part*.dat") -> DataFrame:
-    """Part files of blocks (x, z, frame) behind ten int32, the first of which numbers the block from 1."""
-    return load_blocks(spark, root, pattern, 10, "<i4", (n_x, n_z, n_frames), (2, -1, 1, 0), number_at=0)
 
+def load_echoframe(spark: SparkSession, path: str, n_volumes: int, n_x: int, n_z: int, pattern: str = "*.dat") -> DataFrame:
+    """Files of blocks (volume, x, 1, z) behind one header of five uint64: its size, the number of blocks, the padding.
 
-def load_echoframe(spark: SparkSession, path: str, n_volumes: int, n_x: int, n_z: int, pattern: str = "*.dat", padding: int = 0) -> DataFrame:
-    """Blocks (volume, x, 1, z) behind five uint64, sometimes with padding after them."""
-    return load_blocks(spark, path, pattern, 5, "<u8", (n_volumes, n_x, 1, n_z), (0, 2, 3, 1), padding)
+    n_volumes, n_x and n_z are in the acquisition's own metadata. Padding stands after each block. Blocks that a file
+    promises but lacks are an error.
+    """
+    size = n_volumes * n_x * n_z * 8
+    files = headers(spark, path, pattern, "<u8", ["version", "header_size", "n_blocks", "data_size", "padding"]).filter("n_blocks > 0")
+    step = F.lit(size) + F.col("padding")
+    whole = F.col("length") >= F.col("header_size") + F.col("n_blocks") * step - F.col("padding")
+    ok = F.when(whole, F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)).otherwise(F.raise_error(F.concat(F.lit("blocks are missing in "), "path")).cast("array<bigint>"))
+    places = files.withColumn("block", F.explode(ok)).select("path", (F.col("header_size") + F.col("block") * step).alias("at"), "block")
+    return read_blocks(places, (n_volumes, n_x, 1, n_z), (0, 2, 3, 1))
 
 
 def small_file(spark: SparkSession, path: str) -> str:
