@@ -118,7 +118,7 @@ def whole_spans(pieces: list[Piece]) -> list[tuple[float, Span]]:
     return out
 
 
-def tagged_spans(texts: list[str], tagger: Tagger, rows: int = 1024) -> list[list[Span]]:
+def tagged_spans(texts: list[str], tagger: Tagger, rows: int = 2048) -> list[list[Span]]:
     """Spans that the tagger finds in each whole text, reconciled over its windows; equal texts are read once."""
     some = list(dict.fromkeys(texts))
     where = [(k, a, b) for k, text in enumerate(some) for a, b in windows(len(text))]

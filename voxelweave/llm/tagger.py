@@ -84,18 +84,20 @@ class Tagger:
                 saved.append((s, i, f, o, new, t, before, was))
         return out, saved
 
-    def states(self, ids: np.ndarray, way: str, out: np.ndarray) -> None:
-        """Hidden states (steps, rows, hidden) into out: as lstm, with one exp for all gates and no copies.
+    def states(self, ids: np.ndarray, way: str) -> np.ndarray:
+        """Half of the hidden states (steps, rows, hidden): as lstm, with one exp for all gates and no copies.
 
-        Gates are 1 / (1 + exp(-x)), and tanh(x) is twice that of 2 x, less 1; the factors are in the weights.
+        Gates are 1 / (1 + exp(-x)). With halves of the cells and of the states, tanh(x) / 2 is such a gate of 2 x less
+        a half; the factors are in the weights.
         """
         h_, p, n = self.hidden, self.p, len(ids)
         turn = np.r_[0 : 2 * h_, 3 * h_ : 4 * h_, 2 * h_ : 3 * h_]  # input, forget, output, new
         factor = np.where(np.arange(4 * h_) < 3 * h_, -1, -2).astype(np.float32)
         table = ((p["e"] @ p[f"x{way}"] + p[f"c{way}"])[:, turn] * factor).astype(np.float32)
-        inner = (p[f"h{way}"][:, turn] * factor).astype(np.float32)
+        inner = (p[f"h{way}"][:, turn] * factor * 2).astype(np.float32)
         order, at = np.ascontiguousarray(ids.T), np.empty((n, 4 * h_), np.float32)
-        z, h, c, t = np.empty_like(at), np.zeros((n, h_), np.float32), np.zeros((n, h_), np.float32), np.empty((n, h_), np.float32)
+        z, c, t, h = np.empty_like(at), np.zeros((n, h_), np.float32), np.empty((n, h_), np.float32), np.zeros((n, h_), np.float32)
+        out = np.empty((len(order), n, h_), np.float32)
         new = z[:, 3 * h_ :]
         with np.errstate(over="ignore"):
             for s in range(len(order)) if way == "f" else range(len(order) - 1, -1, -1):
@@ -105,46 +107,47 @@ class Tagger:
                 np.exp(z, out=z)
                 z += 1
                 np.reciprocal(z, out=z)
-                new *= 2
-                new -= 1
+                new -= 0.5
                 c *= z[:, h_ : 2 * h_]
                 np.multiply(new, z[:, :h_], out=t)
                 c += t
-                np.multiply(c, -2, out=t)
+                np.multiply(c, -4, out=t)
                 np.exp(t, out=t)
                 t += 1
-                np.divide(2, t, out=t)
-                t -= 1
-                np.multiply(t, z[:, 2 * h_ : 3 * h_], out=h)
-                out[s] = h
+                np.reciprocal(t, out=t)
+                t -= 0.5
+                h = np.multiply(t, z[:, 2 * h_ : 3 * h_], out=out[s])
+        return out
 
     def emissions(self, ids: np.ndarray) -> np.ndarray:
-        both = np.empty((ids.shape[1], len(ids), 2 * self.hidden), np.float32)
-        for way, part in (("f", both[:, :, : self.hidden]), ("r", both[:, :, self.hidden :])):
-            self.states(ids, way, part)
-        return both @ self.p["o"] + self.p["b"]
+        """(steps, rows, tags), a plane for each tag in memory."""
+        o = 2 * self.p["o"].astype(np.float32)
+        planes = sum(part.T @ self.states(ids, way).reshape(-1, self.hidden).T for way, part in (("f", o[: self.hidden]), ("r", o[self.hidden :])))
+        planes += self.p["b"].astype(np.float32)[:, None]
+        return planes.reshape(len(TAGS), ids.shape[1], len(ids)).transpose(1, 2, 0)
 
     def may_hold(self, e: np.ndarray) -> np.ndarray:
         """Rows whose best path may have a span, by a bound that never misses one.
 
-        Gains over the path without spans are followed with one state for each kind, its begin and inside taken for
-        whichever gains more; where no such path gains, none does.
+        Where the best path has spans, one of them gains over having none. It gains by its begin, at most by its end,
+        and by each character between at most what any kind gains there: sums of these up to each place give the best
+        one from any begin on.
         """
         trans = self.p["t"] + self.allowed - self.p["t"][0, 0]
-        over = e[:, :, 1:] - e[:, :, :1]
-        begin, inside = over[:, :, ::2], over[:, :, 1::2]
-        start = begin + trans[0, 1::2]
-        kinds = range(len(KINDS))
-        stay = np.array([max(trans[2 * k + 1, 2 * k + 2], trans[2 * k + 2, 2 * k + 2]) for k in kinds])
-        turn = np.array([trans[1:, 2 * k + 1].max() for k in kinds])
-        leave = np.array([max(trans[2 * k + 1, 0], trans[2 * k + 2, 0]) for k in kinds])
-        out, held = np.full(e.shape[1], -1e-2, np.float32), begin[0]  # rounding mustn't hide a gain
-        for s in range(1, len(e)):
-            new = np.maximum(out[:, None] + start[s], held + stay + inside[s])
-            new = np.maximum(new, held.max(1)[:, None] + turn + begin[s])
-            out = np.maximum(out, (held + leave).max(1))
-            held = new
-        return np.maximum(out, held.max(1)) > -1e-3
+        planes, kinds = e.transpose(2, 0, 1), range(1, len(TAGS), 2)
+        begin, inside = np.full(e.shape[:2], -np.inf, np.float32), np.full(e.shape[:2], -np.inf, np.float32)
+        for k in kinds:
+            np.maximum(begin, planes[k] + np.float32(trans[0, k]), out=begin)
+            np.maximum(inside, planes[k] + np.float32(trans[1:, k].max()), out=inside)
+            np.maximum(inside, planes[k + 1] + np.float32(max(trans[k, k + 1], trans[k + 1, k + 1])), out=inside)
+        begin[0] = planes[1::2, 0].max(0)  # the first character has no transition before it
+        begin -= planes[0]
+        inside -= planes[0]
+        total = np.cumsum(inside, axis=0, dtype=np.float64)
+        best = np.maximum.accumulate(total[::-1], axis=0)[::-1]
+        best -= total
+        best += begin
+        return best.max(0) + max(trans[1:, 0].max(), 0) > -1e-2  # rounding mustn't hide a gain
 
     def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Best tags (rows, steps), and by how much each tag's emission is above that of O."""
