@@ -114,6 +114,12 @@ def test_toxicity(spark, docs_of, toxic_corpus):
     assert toxicity.toxicity(df.limit(0), labels).count() == 0
 
 
+def test_short_words_are_entries_as_a_whole():
+    assert toxicity.beginnings("An ass is assured") == {"an ", "ass ", "is ", "assu", "assur", "assure", "assured"}
+    votes = toxicity.Voters(["ass ", "assur", "mor"])
+    assert votes.hits(["ass", "assurance", "asset", "as", "moron", "mor"]) == [0, 1, 2]
+
+
 def test_label_model_finds_accuracies_and_correlations():
     rng = np.random.default_rng(0)
     y = rng.random(60_000) < 0.2

@@ -18,9 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import cut, short_batches, strings, text_hash, text_of
+from .common import bounded, cut, short_batches, strings, text_hash, text_of
 
-SHORTEST, LONGEST = 4, 8
+SHORTEST, LONGEST = 4, 8  #: Characters of an entry; whole words of two or three are entries too, with a space at the end.
 WORD = re.compile(r"[^\W\d_]+")
 #: Look-alikes of letters inside words.
 LOOKS = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"})
@@ -34,7 +34,8 @@ def is_training(doc_id: Column) -> Column:
 
 
 def beginnings(text: str) -> set[str]:
-    return {w[:k] for w in set(WORD.findall(text.lower())) for k in range(SHORTEST, min(len(w), LONGEST) + 1)}
+    words = set(WORD.findall(text.lower()))
+    return {w[:k] for w in words for k in range(SHORTEST, min(len(w), LONGEST) + 1)} | {f"{w} " for w in words if 1 < len(w) < SHORTEST}
 
 
 def count_beginnings(texts: DataFrame, known: set[str] | None) -> DataFrame:
@@ -81,12 +82,12 @@ class Voters:
         self.lexicon = lexicon
         self.short: dict[str, list[int]] = {}
         for k, w in enumerate(lexicon):
-            self.short.setdefault(w[:SHORTEST], []).append(k)
+            self.short.setdefault(w.rstrip(" ")[:SHORTEST], []).append(k)  # a word of three can't begin like one of four
         self.size = len(lexicon) + len(PATTERNS)
 
     def hits(self, words: list[str]) -> list[int]:
         short, lexicon = self.short, self.lexicon
-        return [k for w in words if w[:SHORTEST] in short for k in short[w[:SHORTEST]] if w.startswith(lexicon[k])]
+        return [k for w in words if w[:SHORTEST] in short for k in short[w[:SHORTEST]] if f"{w} ".startswith(lexicon[k])]
 
     def __call__(self, text: str) -> tuple[list[int], list[float]]:
         low = text.lower()
@@ -154,21 +155,22 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 25)
 def toxicity(docs: DataFrame, labels: DataFrame, label_rows: int = 40_000, entries: int = 128, threshold: float = 0.7) -> DataFrame:
     """doc_id, held_out, score (0 to 1), predicted (1 from the threshold on) and text_hash of each row of docs.
 
-    At most about `label_rows` labelled training rows, drawn by a hash of doc_id, give the lexicon and the share of
-    toxic documents and are what the classifier is fitted on; labels of held-out rows are never read into anything.
-    The label model's moments cover all documents. A null text counts as empty and is scored as one; without labelled
+    All labelled training rows give the lexicon and the share of toxic documents; the classifier is fitted on at most
+    about `label_rows` of them, drawn by a hash of doc_id. Labels of held-out rows are never read into anything. The
+    label model's moments cover all documents. A null text counts as empty and is scored as one; without labelled
     toxic rows every score is 0. Rows with a null label or doc_id teach nothing; rows with equal doc_ids each get
     their own score. Other columns aren't looked at; no rows give no rows.
     """
     spark = docs.sparkSession
     short_batches(spark)
     usable = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & is_training(F.col("doc_id"))).select("doc_id", F.col("toxic").cast("int").alias("toxic")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    part = min(1.0, label_rows / max(usable.count(), 1))
-    drawn = cut(usable.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < part * (1 << 20)))  # bounded by label_rows
-    slim = docs.select("doc_id", text_of(docs).alias("text"), text_hash(docs).alias("text_hash"))
-    sizes = {r[0]: r[1] for r in drawn.groupBy("toxic").count().collect()}
+    usable = cut(usable)
+    sizes = {r[0]: r[1] for r in usable.groupBy("toxic").count().collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
-    of = lambda value: slim.join(F.broadcast(drawn.filter(F.col("toxic") == value).select("doc_id")), "doc_id")
+    part = min(1.0, label_rows / max(toxic + clean, 1))
+    drawn = usable.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < part * (1 << 20))  # bounded by label_rows
+    slim = docs.select("doc_id", text_of(docs).alias("text"), text_hash(docs).alias("text_hash"))
+    of = lambda value: slim.join(bounded(usable.filter(F.col("toxic") == value).select("doc_id"), sizes[value]), "doc_id")
     lexicon: list[str] = []
     if toxic and clean:
         least = max(3, math.ceil(toxic / 200))  # so that there are few beginnings, whatever the number of documents
