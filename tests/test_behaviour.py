@@ -224,3 +224,32 @@ def test_one_header_stands_before_all_blocks_of_a_file(spark, tmp_path):
     (tmp_path / "short.dat").write_bytes(np.array([1, 40, 3, 0, 0], "<u8").tobytes() + blocks[0].tobytes())
     with pytest.raises(Exception, match="missing"):
         volumes.load_echoframe(spark, str(tmp_path), 3, 4, 6, "short.dat").count()
+
+
+@pytest.mark.parametrize("few", [0, 40, 10**6])
+def test_order_statistics_by_rounds(spark, few):
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.standard_normal(300) ** 5, np.full(200, 0.25), rng.integers(0, 3, 100)])
+    df = maps(spark, [*x, float("nan"), float("inf")]).union(maps(spark, [None]))
+    s = np.sort(x)
+    assert layout.order_statistics(df, "z", [0, 17, 350, 599], few) == [s[k] for k in (0, 17, 350, 599)]
+    for q in (0.0, 0.13, 0.5, 1.0):
+        assert layout.exact_quantile(df, "z", q, few) == pytest.approx(np.quantile(x, q), rel=1e-12)
+    assert layout.exact_quantile(df.limit(0), "z", 0.5, few) is None
+    with pytest.raises(ValueError):
+        layout.order_statistics(df, "z", [600], few)
+
+
+def test_spans_across_ranges(spark):
+    groups = [str(k) for k in np.random.default_rng(7).integers(0, 2, 300)]
+    groups[40:120], groups[200:205] = ["0"] * 80, [None] * 5
+    df = spark.createDataFrame(list(enumerate(groups)), "t long, g string").repartition(7)
+    want, begin = [], 0
+    for k in range(1, 301):
+        if k == 300 or groups[k] != groups[begin]:
+            want.append((groups[begin], begin, k - 1, k - begin))
+            begin = k
+    from voxelweave.operators import masks
+
+    got = [tuple(r) for r in masks.group_spans(df, "t", "g").orderBy("first").select("g", "first", "last", "n").collect()]
+    assert got == want and masks.group_spans(df.limit(0), "t", "g").count() == 0

@@ -190,3 +190,47 @@ def ranked(df: DataFrame, *order: str) -> Ranks:
     place = F.monotonically_increasing_id()  # the partition above bit 33, the place in it below
     rows = checkpointed(rows.withColumns({"__range": F.shiftright(place, 33).cast("int"), "__at": place.bitwiseAND((1 << 33) - 1)}))
     return Ranks(rows, sorted((r[0], r[1]) for r in rows.groupBy("__range").count().collect()))
+
+
+def order_statistics(df: DataFrame, column: str, ranks: list[int], few: int = 200_000, bins: int = 1024) -> list[float]:
+    """Values of these ranks (from 0) among the finite values of a column, in rising order.
+
+    Each round counts the values by bins of the range that is left and goes on with the bin that holds the rank, until
+    few are left or all are equal; only those are sorted. A pass needs no more room than its bins.
+    """
+    x = F.col(column).cast("double")
+    values = df.select(x.alias("x")).filter(x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    out = []
+    for rank in ranks:
+        part, left = values, rank
+        while True:
+            low, high, n = part.agg(F.min("x"), F.max("x"), F.count("x")).first()
+            if not 0 <= left < n:
+                raise ValueError(f"rank {rank} is beyond the values")
+            if low == high:
+                out.append(low)
+                break
+            if n <= few:
+                out.append(part.agg(F.sort_array(F.collect_list("x")).alias("s")).select(F.element_at("s", left + 1)).first()[0])
+                break
+            width = (high - low) / bins
+            place = F.least(F.floor((F.col("x") - F.lit(low)) / F.lit(width)), F.lit(bins - 1)).cast("int") if width > 0 else (F.col("x") == F.lit(high)).cast("int")
+            counts = sorted(part.groupBy(place.alias("k")).count().collect())  # `bins` rows at most
+            for k, m in counts:
+                if left < m:
+                    break
+                left -= m
+            part = part.filter(place == F.lit(k))
+    return out
+
+
+def exact_quantile(df: DataFrame, column: str, q: float, few: int = 200_000) -> float | None:
+    """The q-quantile of a column's finite values, on the line between neighbours; None without any."""
+    x = F.col(column).cast("double")
+    n = df.filter(x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))).count()
+    if not n:
+        return None
+    at = q * (n - 1)
+    low = int(np.floor(at))
+    values = order_statistics(df, column, [low] if at == low else [low, low + 1], few)
+    return values[0] + (values[-1] - values[0]) * (at - low)

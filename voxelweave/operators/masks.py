@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import numpy as np
+from pyspark.sql import DataFrame, Window, functions as F
 
-from .layout import TIME, VALUE, VOXEL
+from .layout import TIME, VALUE, VOXEL, checkpointed, exact_quantile, ranked
 
 
 def extract_with_mask(samples: DataFrame, mask: DataFrame) -> DataFrame:
@@ -39,8 +40,8 @@ def where(df: DataFrame, condition, value: str = VALUE) -> DataFrame:
 
 def quantile_cut(df: DataFrame, q: float, value: str = VALUE) -> DataFrame:
     """Rows at or above an exact quantile."""
-    cut = df.agg(F.percentile(value, F.lit(q)).alias("__q"))
-    return df.crossJoin(F.broadcast(cut)).filter(F.col(value) >= F.col("__q")).drop("__q")
+    cut = exact_quantile(df, value, q)
+    return df.filter(F.col(value) >= F.lit(cut))
 
 
 def concat_mean(frames: list[DataFrame], keys: list[str], value: str = VALUE) -> DataFrame:
@@ -78,12 +79,22 @@ def sync_plan(remote: DataFrame, local: DataFrame, refresh: bool = False) -> Dat
 
 
 def group_spans(df: DataFrame, order: str, group: str) -> DataFrame:
-    """group, first, last, n of each run of equal groups in order; one ordered sequence."""
-    from pyspark.sql import Window
+    """group, first, last, n of each run of equal groups in order.
 
-    w = Window.orderBy(order)
-    marked = df.withColumn("__n", (~F.col(group).eqNullSafe(F.lag(group).over(w))).cast("int")).withColumn("__r", F.sum("__n").over(w))
-    return marked.groupBy("__r", group).agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count(F.lit(1)).alias("n")).drop("__r")
+    Rows are dealt by ranges of the order; what a range ends with and how many runs begin before it go on to the next.
+    """
+    ranks = ranked(df.select(order, group), order)
+    inside = Window.partitionBy("__range").orderBy("__at")
+    last = dict(ranks.rows.groupBy("__range").agg(F.max_by(F.struct(F.col(group).alias("g")), "__at")).collect())  # a row for each range
+    before = [None, *(last[k].g for k in ranks.ranges)][: len(ranks.ranges)]
+    rows = ranks.carried(ranks.rows, "__g", before, df.schema[group].dataType.simpleString())
+    earlier = F.when(F.col("__at") == 0, F.col("__g")).otherwise(F.lag(group).over(inside))
+    begins = (F.col("__r") == 1) | ~F.col(group).eqNullSafe(earlier)
+    rows = checkpointed(rows.withColumn("__n", F.sum(begins.cast("long")).over(inside)))
+    most = dict(rows.groupBy("__range").agg(F.max("__n")).collect())
+    shift = np.concatenate([[0], np.cumsum([most[k] for k in ranks.ranges])])[: len(ranks.ranges)].astype(int).tolist()
+    marked = ranks.carried(rows, "__s", shift, "long").withColumn("__run", F.col("__n") + F.col("__s"))
+    return marked.groupBy("__run", group).agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count(F.lit(1)).alias("n")).drop("__run")
 
 
 def filter_files(files: DataFrame, **entities: str | list[str] | None) -> DataFrame:

@@ -9,7 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .layout import TIME, VALUE, VOXEL, checkpointed, matrix_of, over_time, to_series, whole
+from .layout import TIME, VALUE, VOXEL, checkpointed, exact_quantile, matrix_of, over_time, to_series, whole
 
 #: Region reductions by name; spreads have the number of voxels as divisor.
 REDUCTIONS = {"mean": F.avg, "sum": F.sum, "median": F.median, "min": F.min, "max": F.max, "var": F.var_pop, "std": F.stddev_pop}
@@ -93,9 +93,13 @@ def compute_dvars(samples: DataFrame, standardize: bool = True, normalization: f
     if standardize:
         factor = spread.join(ar1_coefficients(data, "v", time), VOXEL).agg((1 / F.avg(F.sqrt(2 * (1 - F.col("ar1"))) * F.col("sd"))).alias("f"))
     else:
-        factor = data.agg((F.lit(normalization) / F.median("v")).alias("f"))
+        factor = None
     least = raw.agg(F.min("dvars").alias("least"))  # null at the first time is left out
-    out = raw.crossJoin(F.broadcast(least)).crossJoin(F.broadcast(factor))
+    out = raw.crossJoin(F.broadcast(least))
+    if factor is None:
+        out = out.withColumn("f", F.lit(normalization / exact_quantile(data, "v", 0.5)))
+    else:
+        out = out.crossJoin(F.broadcast(factor))
     return out.select(time, (F.coalesce("dvars", "least") * F.col("f")).alias("dvars"))
 
 

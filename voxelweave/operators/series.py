@@ -259,9 +259,8 @@ def regress_one(samples: DataFrame, confound: DataFrame, value: str = VALUE, tim
 
 def compcor_voxels(samples: DataFrame, fraction: float, value: str = VALUE) -> DataFrame:
     """voxel_id, variance of the voxels whose variance is at the (1 - fraction) quantile or above, zero left out."""
-    spread = samples.groupBy(VOXEL).agg(F.var_samp(value).alias("variance")).filter("variance > 0")
-    cut = spread.agg(F.percentile("variance", F.lit(1 - fraction)).alias("cut"))
-    return spread.crossJoin(F.broadcast(cut)).filter("variance >= cut").select(VOXEL, "variance")
+    spread = checkpointed(samples.groupBy(VOXEL).agg(F.var_samp(value).alias("variance")).filter("variance > 0"))
+    return spread.filter(F.col("variance") >= F.lit(exact_quantile(spread, "variance", 1 - fraction)))
 
 
 def compcor_confounds(series: DataFrame, n_components: int = 5) -> tuple[np.ndarray, np.ndarray]:

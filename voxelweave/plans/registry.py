@@ -709,10 +709,6 @@ def register_translation(spark, d):
     return spatial.motion_table(found.select("t_idx", "m")).select("t_idx", *[F.round(f"trans_{a}", 1).alias(f"trans_{a}") for a in "xyz"])
 
 
-def entry(spark: SparkSession) -> DataFrame:
-    return seed_correlation(spark, "/root/testdata/sf0.001")
-
-
 def queries() -> dict[str, Query]:
     return dict(_queries)
 
