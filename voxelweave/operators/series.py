@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import filters
-from .layout import SERIES, TIME, VALUE, VOXEL, apply_projection, map_series, over_time, temporal_gram, whole
+from .layout import SERIES, TIME, VALUE, VOXEL, apply_projection, checkpointed, exact_quantile, map_series, over_time, temporal_gram, whole
 
 EPSILON = float(np.finfo(float).eps)
 
