@@ -73,8 +73,9 @@ def quoting(messages: DataFrame) -> DataFrame:
 
 
 def chat_quoted_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op3's operator over messages that quote: who replies to whom, the reply order, and messages without quotes."""
-    return chat.digests(quoting(table(spark, sf_dir, "conversations"))).select("conv_id", "turn", "role", "parent_turn", "reply_path", "n_quoted", "chat_sha256")
+    """op3's operator over messages that quote: who replies to whom (-1: nobody), the reply order, and own words."""
+    out = chat.digests(quoting(table(spark, sf_dir, "conversations")))
+    return out.select("conv_id", "turn", "role", F.coalesce("parent_turn", F.lit(-1)).cast("long").alias("parent_turn"), "reply_path", "n_quoted", "chat_sha256")
 
 
 def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,7 +147,7 @@ m AS (
 r AS (
   SELECT conv_id, turn, turn::VARCHAR AS path FROM m WHERE parent IS NULL
   UNION ALL SELECT m.conv_id, m.turn, r.path || '/' || m.turn FROM m JOIN r ON m.conv_id = r.conv_id AND m.parent = r.turn)
-SELECT m.conv_id, m.turn, m.role, m.parent AS parent_turn, r.path AS reply_path, (coalesce(n1, 0) + coalesce(n2, 0))::BIGINT AS n_quoted,
+SELECT m.conv_id, m.turn, m.role, coalesce(m.parent, -1)::BIGINT AS parent_turn, r.path AS reply_path, (coalesce(n1, 0) + coalesce(n2, 0))::BIGINT AS n_quoted,
   sha256('<|' || m.role || '|>' || chr(10) || m.text || chr(10)) AS chat_sha256
 FROM m JOIN r USING (conv_id, turn)
 """
