@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, html_text, line_dedup, ngram_join, packing, pii, quality, tokens, toxicity, transport
+from . import centroids, chat, html_text, importance, line_dedup, ngram_join, packing, passages, pii, quality, tokens, toxicity, transport
 from .common import table
 
 
@@ -57,6 +57,18 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.digests(table(spark, sf_dir, "pages"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def quoting(messages: DataFrame) -> DataFrame:
     """messages with quotes: each but the first quotes one up to three turns before it, and what that one quotes.
 
@@ -191,5 +203,57 @@ SELECT doc_id, n AS n_bytes, m AS payload_bytes, sha256(b || encode(repeat(chr(0
 """
 
 
+
+
+def _rounds(n: int = 10) -> str:
+    """One common table for each round's assignment and one for the centroids that it leaves."""
+    near = """a{k} AS MATERIALIZED (SELECT r, vec_id, x, arg_min(c, d * 64 + c) AS c, min(d) AS d FROM (
+  SELECT v.r, v.vec_id, v.x, m.c, list_sum(list_transform(range(1, 65), lambda i: (v.x[i] - m.x[i]) * (v.x[i] - m.x[i]))) AS d FROM v, m{k} m) GROUP BY ALL)"""
+    near = near.replace("GROUP BY ALL", "GROUP BY r, vec_id, x")
+    mean = """m{j} AS MATERIALIZED (SELECT m.c, coalesce(n.x, m.x) AS x FROM m{k} m LEFT JOIN (
+  SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS x FROM (
+    SELECT c, i, sum(x[i])::HUGEINT AS s, count(*) AS n FROM a{k}, range(1, 65) t(i) GROUP BY c, i) GROUP BY c) n USING (c))"""
+    return ",\n".join(near.format(k=k) + ",\n" + mean.format(k=k, j=k + 1) for k in range(n)) + ",\n" + near.format(k=n)
+
+
+CLUSTERS = f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda e: floor(1024 * e::DOUBLE)::HUGEINT) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64),
+m0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS c, x FROM (SELECT sha256('3:' || vec_id) AS h, x FROM v ORDER BY h LIMIT 8)),
+{_rounds()}
+SELECT vec_id, a.c::INT AS cluster, d::BIGINT AS distance, (sum(d) OVER (PARTITION BY a.c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(m.x, ',')) AS centroid_sha256 FROM a10 a JOIN m10 m ON a.c = m.c
+"""
+
+#: CRC32 of each distinct word by the 256 remainders of its polynomial, a step for each byte.
+RESAMPLED = f"""
+WITH RECURSIVE bits AS (
+  SELECT i, 0 AS k, i::BIGINT AS v FROM range(256) t(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM bits WHERE k < 8),
+remainders AS MATERIALIZED (SELECT list(v ORDER BY i) AS r FROM bits WHERE k = 8),
+words AS MATERIALIZED (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS w
+  FROM (SELECT doc_id, text FROM documents UNION ALL SELECT NULL, text FROM benchmark)),
+once AS (SELECT DISTINCT w, hex(encode(w)) AS x FROM words),
+hashed AS MATERIALIZED (
+  SELECT w, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(x), 2), lambda i: ('0x' || x[i:i + 1])::BIGINT)),
+    lambda crc, b: xor(crc >> 8, r[xor(crc & 255, b) + 1])), 4294967295) % 10000 AS b FROM once, remainders),
+f AS MATERIALIZED (SELECT doc_id, b FROM words JOIN hashed USING (w)),
+sizes AS (SELECT count(*) FILTER (WHERE doc_id IS NOT NULL) AS s, count(*) FILTER (WHERE doc_id IS NULL) AS t FROM f),
+gains AS (
+  SELECT b, floor(1000 * ln((f.t + 1)::DOUBLE * (sizes.s + 10000)::DOUBLE / ((f.s + 1)::DOUBLE * (sizes.t + 10000)::DOUBLE)))::BIGINT AS g
+  FROM (SELECT b, count(*) FILTER (WHERE doc_id IS NOT NULL) AS s, count(*) FILTER (WHERE doc_id IS NULL) AS t FROM f GROUP BY b) f, sizes),
+means AS (SELECT doc_id, count(*) AS n, sum(g)::BIGINT AS total FROM f JOIN gains USING (b) WHERE doc_id IS NOT NULL GROUP BY doc_id),
+scored AS (
+  SELECT d.doc_id, coalesce(n, 0) AS n_features, coalesce((total - ((total % n) + n) % n) // n, 0)::BIGINT AS weight,
+    floor(-1000 * ln(-ln((('0x' || sha256('2024:' || d.doc_id)[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS noise
+  FROM documents d LEFT JOIN means USING (doc_id)),
+ranked AS (
+  SELECT doc_id, row_number() OVER (ORDER BY weight + noise DESC, doc_id) AS r, 10 * count(*) OVER () // 100 AS take FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, weight + noise AS score, CASE WHEN r <= take THEN r END AS rank FROM scored LEFT JOIN ranked USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1, "op7_ngram_jaccard_join": OP7, "chat_quoted_replies": CHAT, "quality_counts": QUALITY, "pii_base_spans": PII, "transport_payloads": TRANSPORT}
+    return {"op1_line_dedup": OP1, "op7_ngram_jaccard_join": OP7, "chat_quoted_replies": CHAT, "quality_counts": QUALITY, "pii_base_spans": PII, "transport_payloads": TRANSPORT, "op11_centroid_clustering": CLUSTERS, "op12_importance_resampling": RESAMPLED}
