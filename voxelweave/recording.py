@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .functions import affine as affines, scale
 from .operators import glm, layout, masks, quality_control, reductions, series, spatial, validate, windows
-from .sources import volumes
+from .sources import files, volumes
 
 
 @dataclass(frozen=True)
@@ -32,8 +32,9 @@ class Recording:
         samples, meta = volumes.load_recording(spark, path)
         return cls(samples, None, meta)
 
-    def save(self, path: str) -> None:
-        volumes.save_recording(self.samples, path, self.meta)
+    def save(self, path: str, **how) -> None:
+        """By suffix: .nii, .nii.gz, .zarr, or a Parquet recording."""
+        files.save(self.samples, path, self.coords, self.meta, **how)
 
     def _with(self, samples: DataFrame) -> Recording:
         return replace(self, samples=samples)

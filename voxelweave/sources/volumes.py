@@ -27,9 +27,10 @@ COMPLEX = "path string, t_idx long, z_idx int, y_idx int, x_idx int, value struc
 NIFTI_TYPES = {2: "u1", 4: "i2", 8: "i4", 16: "f4", 64: "f8", 256: "i1", 512: "u2", 768: "u4", 1024: "i8", 1280: "u8", 32: "c8", 1792: "c16"}
 
 
-def parse_nifti(raw: bytes) -> tuple[dict, np.ndarray]:
-    """Header and data (axes as in the file: x, y, z, t) of a NIfTI-1 or -2 image, gzipped or not."""
-    raw = gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw
+def nifti_header(raw: bytes) -> dict:
+    """What the first 544 bytes of an unpacked NIfTI-1 or -2 image say: shape, spacing, affines and codes, and where data stand."""
+    if len(raw) < 348:
+        raise ValueError("this isn't a NIfTI image")
     order = "<" if struct.unpack("<i", raw[:4])[0] in (348, 540) else ">"
     size = struct.unpack(order + "i", raw[:4])[0]
     if size == 348:
@@ -41,7 +42,7 @@ def parse_nifti(raw: bytes) -> tuple[dict, np.ndarray]:
         qform, sform = struct.unpack(order + "2h", raw[252:256])
         quatern = struct.unpack(order + "6f", raw[256:280])
         srow = np.array(struct.unpack(order + "12f", raw[280:328])).reshape(3, 4)
-    elif size == 540:
+    elif size == 540 and len(raw) >= 540:
         code = struct.unpack(order + "h", raw[12:14])[0]
         dim = struct.unpack(order + "8q", raw[16:80])
         pixdim = struct.unpack(order + "8d", raw[104:168])
@@ -54,9 +55,6 @@ def parse_nifti(raw: bytes) -> tuple[dict, np.ndarray]:
     else:
         raise ValueError("this isn't a NIfTI image")
     shape = tuple(int(n) for n in dim[1 : dim[0] + 1])
-    data = np.frombuffer(raw, np.dtype(order + NIFTI_TYPES[code]), int(np.prod(shape)), int(offset)).reshape(shape, order="F")
-    if slope not in (0, 1) or (slope and inter):
-        data = data * slope + inter
     affines = {}
     if sform > 0:
         affines["sform"] = np.vstack([srow, [0, 0, 0, 1]])
@@ -69,7 +67,23 @@ def parse_nifti(raw: bytes) -> tuple[dict, np.ndarray]:
         q[:3, 3] = quatern[3:]
         affines["qform"] = q
     time_factor = {8: 1.0, 16: 1e-3, 24: 1e-6}.get(units & 56, 1.0)
-    return {"shape": shape, "pixdim": [float(p) for p in pixdim[1:5]], "step": float(pixdim[4]) * time_factor if len(shape) > 3 else 0.0, "affines": affines}, data
+    meta = {"shape": shape, "pixdim": [float(p) for p in pixdim[1:5]], "step": float(pixdim[4]) * time_factor if len(shape) > 3 else 0.0, "affines": affines}
+    meta |= {"qform_code": int(qform), "sform_code": int(sform), "space_units": {1: "m", 2: "mm", 3: "um"}.get(units & 7)}
+    return meta | {"dtype": np.dtype(order + NIFTI_TYPES[code]), "offset": int(offset), "slope": float(slope), "inter": float(inter)}
+
+
+def _scaled(data: np.ndarray, head: dict) -> np.ndarray:
+    slope, inter = head["slope"], head["inter"]
+    return data * slope + inter if slope not in (0, 1) or (slope and inter) else data
+
+
+def parse_nifti(raw: bytes) -> tuple[dict, np.ndarray]:
+    """Header and data (axes as in the file: x, y, z, t) of a NIfTI-1 or -2 image, gzipped or not."""
+    raw = gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw
+    head = nifti_header(raw)
+    shape = head["shape"]
+    data = np.frombuffer(raw, head["dtype"], int(np.prod(shape)), head["offset"]).reshape(shape, order="F")
+    return {k: v for k, v in head.items() if k in ("shape", "pixdim", "step", "affines")}, _scaled(data, head)
 
 
 def write_nifti(volume: np.ndarray, spacing=(1.0, 1.0, 1.0), step: float = 0.0, affine: np.ndarray | None = None) -> bytes:
@@ -102,40 +116,79 @@ def binary_files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
 
 
-def load_nifti(spark: SparkSession, path: str, pattern: str = "*.nii*", complex_as: str | None = None) -> DataFrame:
-    """path, t_idx, z_idx, y_idx, x_idx, value of all images below a path; an image is one row of at most 2 GB.
+def _image_rows(name: str, data: np.ndarray, first: int, complex_as: str | None) -> Iterator[pa.RecordBatch]:
+    """Rows of an image's frames, axes x, y, z and perhaps t."""
+    if np.iscomplexobj(data) and complex_as is None:
+        raise ValueError(f"{name} is complex: say whether its parts or its magnitude are wanted")
+    data = np.abs(data) if complex_as == "magnitude" else data
+    data = data.reshape(*data.shape, *[1] * (4 - data.ndim)).transpose(3, 2, 1, 0)
+    for t in range(len(data)):
+        yield _complex_rows(name, data[t : t + 1], first + t) if complex_as == "parts" else _rows(name, data[t : t + 1], first + t)
 
-    Complex images need complex_as: "parts" gives value {re, im} for all images, "magnitude" their magnitudes.
+
+def image_head(path: str) -> dict:
+    """The header of an image, from its first bytes alone, packed or not."""
+    raw = read_range(path, 0, 1 << 16)
+    return nifti_header(zlib.decompressobj(31).decompress(raw, 1024) if raw[:2] == b"\x1f\x8b" else raw[:1024])
+
+
+def load_nifti(spark: SparkSession, path: str, pattern: str = "*.nii*", complex_as: str | None = None, task_bytes: int = 64 << 20) -> DataFrame:
+    """path, t_idx, z_idx, y_idx, x_idx, value of all images below a path.
+
+    Images are read by ranges of frames, of any size; a packed one can't be entered in the middle, so it is one row of
+    at most 2 GB. Complex images need complex_as: "parts" gives value {re, im} for all images, "magnitude" their
+    magnitudes.
     """
     if complex_as not in (None, "parts", "magnitude"):
         raise ValueError(f"complex_as is parts or magnitude, not {complex_as!r}")
+    out = COMPLEX if complex_as == "parts" else LONG
+    files = binary_files(spark, path, pattern)
+    packed = F.col("path").endswith(".gz")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                _, data = parse_nifti(raw)
-                if np.iscomplexobj(data) and complex_as is None:
-                    raise ValueError(f"{name} is complex: say whether its parts or its magnitude are wanted")
-                data = np.abs(data) if complex_as == "magnitude" else data
-                data = data.reshape(*data.shape, *[1] * (4 - data.ndim)).transpose(3, 2, 1, 0)
-                for t in range(len(data)):
-                    yield _complex_rows(name, data[t : t + 1], t) if complex_as == "parts" else _rows(name, data[t : t + 1], t)
+                yield from _image_rows(name, parse_nifti(raw)[1], 0, complex_as)
 
-    return binary_files(spark, path, pattern).select("path", "content").mapInArrow(run, COMPLEX if complex_as == "parts" else LONG)
+    def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[tuple[str, int, int]] = []
+            for name in batch.column(0).to_pylist():
+                head = image_head(name)
+                frames = int(np.prod(head["shape"][3:], dtype=int))
+                step = max(1, task_bytes // max(1, int(np.prod(head["shape"][:3])) * head["dtype"].itemsize))
+                found += [(name, k, min(step, frames - k)) for k in range(0, frames, step)]
+            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.string()), *[pa.array([f[k] for f in found], pa.int64()) for k in (1, 2)]], names=["path", "first", "frames"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, first, frames in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                head = image_head(name)
+                space = tuple(head["shape"][:3]) + (1,) * (3 - len(head["shape"]))
+                size = int(np.prod(space)) * head["dtype"].itemsize
+                for k in range(first, first + frames):
+                    raw = read_range(name, head["offset"] + k * size, size)
+                    if len(raw) < size:
+                        raise ValueError(f"{name} ends inside a frame")
+                    yield from _image_rows(name, _scaled(np.frombuffer(raw, head["dtype"]).reshape(space, order="F"), head), k, complex_as)
+
+    places = files.filter(~packed).select("path").mapInArrow(ranges, "path string, first long, frames long")
+    plain = places.repartitionByRange("path", "first").mapInArrow(read, out)
+    return plain.unionByName(files.filter(packed).select("path", "content").mapInArrow(whole, out))
 
 
 def nifti_meta(spark: SparkSession, path: str, pattern: str = "*.nii*") -> DataFrame:
-    """path, meta: the header of each image as JSON."""
+    """path, meta: the header of each image as JSON, from its first bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             metas = []
-            for raw in batch.column(1).to_pylist():
-                m, _ = parse_nifti(raw)
+            for name in batch.column(0).to_pylist():
+                m = {k: v for k, v in image_head(name).items() if k not in ("dtype", "offset", "slope", "inter")}
                 metas.append(json.dumps(m | {"affines": {k: v.tolist() for k, v in m["affines"].items()}}))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(metas, pa.string())], names=["path", "meta"])
 
-    return binary_files(spark, path, pattern).select("path", "content").mapInArrow(run, "path string, meta string")
+    return binary_files(spark, path, pattern).select("path").mapInArrow(run, "path string, meta string")
 
 
 def _complex_rows(path: str, data: np.ndarray, first: int = 0) -> pa.RecordBatch:
@@ -261,15 +314,18 @@ def small_file(spark: SparkSession, path: str) -> str:
         stream.close()
 
 
-def load_zarr(spark: SparkSession, path: str, name: str) -> DataFrame:
+def load_zarr(spark: SparkSession, path: str, name: str, complex_as: str | None = None) -> DataFrame:
     """Rows of a version-2 array with up to four dimensions (t, z, y, x, the last ones if fewer), a task for each chunk.
 
     Chunks may be raw, zlib or gzip; other codecs raise. A chunk that isn't there has no rows, as for a fill value.
+    Complex arrays need complex_as: "parts" gives value {re, im}, "magnitude" the magnitude.
     """
     meta = json.loads(small_file(spark, f"{path}/{name}/.zarray"))
     codec = (meta.get("compressor") or {}).get("id")
     if codec not in (None, "zlib", "gzip") or meta.get("filters"):
         raise ValueError(f"codec {codec!r} and filters {meta.get('filters')!r} aren't read")
+    if np.dtype(meta["dtype"]).kind == "c" and complex_as not in ("parts", "magnitude"):
+        raise ValueError(f"{name} is complex: say whether its parts or its magnitude are wanted")
     shape, chunks, separator = meta["shape"], meta["chunks"], meta.get("dimension_separator", ".")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,12 +339,13 @@ def load_zarr(spark: SparkSession, path: str, name: str) -> DataFrame:
                 data = np.frombuffer(raw, meta["dtype"]).reshape(chunks, order=meta.get("order", "C"))
                 data = data[tuple(slice(0, max(0, n - s)) for n, s in zip(shape, start, strict=True))]
                 lead = 4 - data.ndim
-                out = _rows(file, data.reshape((1,) * lead + data.shape))
+                data = np.abs(data) if complex_as == "magnitude" else data
+                out = (_complex_rows if complex_as == "parts" else _rows)(file, data.reshape((1,) * lead + data.shape))
                 shift = [0] * lead + start
-                yield pa.RecordBatch.from_arrays([out.column(0), *[pa.array(out.column(k + 1).to_numpy() + np.int32(shift[k])) for k in range(4)], out.column(5)], names=out.schema.names)
+                yield pa.RecordBatch.from_arrays([out.column(0), *[pa.array(out.column(k + 1).to_numpy() + out.column(k + 1).to_numpy().dtype.type(shift[k])) for k in range(4)], out.column(5)], names=out.schema.names)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{path}/{name}")
-    return files.select("path", "content").mapInArrow(run, LONG)
+    return files.select("path", "content").mapInArrow(run, COMPLEX if complex_as == "parts" else LONG)
 
 
 def save_recording(samples: DataFrame, path: str, meta: dict | None = None) -> None:
