@@ -132,9 +132,11 @@ def test_transforms_compose(spark):
         with pytest.raises(ValueError):
             spatial.validate_bspline(meta, control)
     main = np.array([a, b])
-    poses = {"main": main, "tied": np.array([b @ m for m in main]), "loose": np.array([a, a])}
-    got = spatial.linked_affines(poses, "main", np.eye(4))
-    assert set(got) == {"tied"} and np.allclose(got["tied"], b)
+    poses = {"main": main, "tied": np.array([b @ m for m in main]), "still": 2 * np.eye(4)}
+    got = spatial.linked_affines(poses, "main", a)
+    assert list(got) == ["main", "tied", "still"] and np.allclose(got["main"], a) and np.allclose(got["tied"], b @ a) and np.array_equal(got["still"], 2 * np.eye(4))
+    with pytest.raises(ValueError, match="loose"):
+        spatial.linked_affines(poses | {"loose": np.array([a, a])}, "main", np.eye(4))
     assert spatial.with_affines_of({"a": 1, "affines": 2}, {"affines": 3}) == {"a": 1, "affines": 3} and spatial.with_affines_of({"affines": 2}, {}) == {}
 
 

@@ -24,15 +24,16 @@ from .series import cosine_drift
 # Events
 
 
-def dedup_events(events: DataFrame) -> DataFrame:
-    """onset, duration, trial_type, modulation: defaults filled in, equal events with their modulation summed."""
+def dedup_events(events: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """onset, duration, trial_type, modulation: defaults filled in, equal events (of equal keys `by`) with their modulation summed."""
     typed = events.select(
+        *by,
         F.col("onset").cast("double").alias("onset"),
         F.col("duration").cast("double").alias("duration"),
         (normalize_trial_type(F.col("trial_type")) if "trial_type" in events.columns else F.lit("dummy")).alias("trial_type"),
         (F.coalesce(F.col("modulation").cast("double"), F.lit(1.0)) if "modulation" in events.columns else F.lit(1.0)).alias("modulation"),
     )
-    return typed.groupBy("trial_type", "onset", "duration").agg(F.sum("modulation").alias("modulation"))
+    return typed.groupBy(*by, "trial_type", "onset", "duration").agg(F.sum("modulation").alias("modulation"))
 
 
 def boxcar(events: DataFrame, grid: DataFrame, time: str = "time") -> DataFrame:
@@ -181,51 +182,79 @@ def yule_walker(residuals: np.ndarray, order: int) -> np.ndarray:
     n = r.shape[1]
     c = np.stack([(r[:, : n - k] * r[:, k:]).sum(1) / n for k in range(order + 1)], 1)
     out = np.zeros((len(r), order))
-    for k in np.flatnonzero(c[:, 0] > 0):
-        out[k] = np.linalg.pinv(np.array([[c[k, abs(i - j)] for j in range(order)] for i in range(order)])) @ c[k, 1:]
+    some = c[:, 0] > 0
+    lags = np.abs(np.arange(order)[:, None] - np.arange(order))
+    out[some] = (np.linalg.pinv(c[some][:, lags], hermitian=True) @ c[some, 1:, None])[..., 0]
     return out
 
 
 def whitened(x: np.ndarray, rho: np.ndarray) -> np.ndarray:
-    """Rows (or columns of a design as rows) minus their own past times rho."""
-    out = x.copy()
-    for k, r in enumerate(rho, 1):
-        out[..., k:] -= r * x[..., :-k]
+    """Rows (or columns of a design as rows) minus their own past times rho: one for all, or one row for each."""
+    out = np.array(x, float)
+    for k in range(1, rho.shape[-1] + 1):
+        out[..., k:] -= rho[..., k - 1 : k] * x[..., :-k]
     return out
 
 
+class Design:
+    """A design's part of all fits on it: its pseudo-inverse, and the products of its columns with their own past.
+
+    A voxel with AR coefficients r has the normal matrix sum of a_i a_j G_ij over lags i and j, with a = (1, -r) and
+    G_ij the products of the columns i and j steps late; so each voxel has its own exact whitened fit, and no design is
+    whitened more than once.
+    """
+
+    def __init__(self, x: np.ndarray, order: int = 0) -> None:
+        self.x, self.order = np.asarray(x, float), order
+        n, k = self.x.shape
+        if order >= n:
+            raise ValueError(f"order {order} needs more than {n} times")
+        self.pinv = np.linalg.pinv(self.x)
+        self.dof = n - int(np.linalg.matrix_rank(self.x))
+        self.late = np.stack([np.vstack([np.zeros((i, k)), self.x[: n - i]]) for i in range(order + 1)])  # lags x times x columns
+        self.gram = np.einsum("itk,jtl->ijkl", self.late, self.late)
+
+    def fit(self, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """theta, covariance (voxels x columns x columns) and dispersion of rows; nan dispersion without degrees of freedom."""
+        theta = y @ self.pinv.T
+        left = y - theta @ self.x.T
+        cov = np.broadcast_to(self.pinv @ self.pinv.T, (len(y), *self.gram.shape[2:]))
+        if self.order:
+            rho = yule_walker(left, self.order)
+            a = np.hstack([np.ones((len(y), 1)), -rho])
+            white = whitened(y, rho)
+            normal = np.einsum("vi,vj,ijkl->vkl", a, a, self.gram)
+            right = np.einsum("vi,vik->vk", a, np.einsum("vt,itk->vik", white, self.late))
+            cov = np.linalg.pinv(normal, hermitian=True)
+            theta = np.einsum("vkl,vl->vk", cov, right)
+            left = white - whitened(theta @ self.x.T, rho)
+        rss = (left**2).sum(1)
+        return theta, cov, rss / self.dof if self.dof > 0 else np.full(len(y), np.nan)
+
+
+def noise_order(noise: str) -> int:
+    """0 for ols, N for arN."""
+    if noise == "ols":
+        return 0
+    if noise[:2] != "ar" or not noise[2:].isdigit() or int(noise[2:]) < 1:
+        raise ValueError(f"noise is ols or arN, not {noise!r}")
+    return int(noise[2:])
+
+
 def fit(series: DataFrame, design: pd.DataFrame | np.ndarray, noise: str = "ols") -> DataFrame:
     """voxel_id, theta, covariance (flat), dispersion, dof for each voxel; noise: ols or arN.
 
-    OLS has one pseudo-inverse for all voxels. For arN, residuals of OLS give each voxel's coefficients, rounded to a
-    hundredth so that voxels of one class share a whitened design, and the voxel is fitted again.
+    OLS has one pseudo-inverse for all voxels. For arN, residuals of OLS give each voxel's own coefficients, and the voxel
+    is fitted again with its design and its samples whitened by them.
     """
-    x = np.asarray(design, float)
-    order = 0 if noise == "ols" else int(noise[2:])
-    inverse, rank = np.linalg.pinv(x), int(np.linalg.matrix_rank(x))
-    dof = x.shape[0] - rank
-
-    def estimate(y: np.ndarray, x_: np.ndarray, pinv: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        theta = y @ pinv.T
-        rss = ((y - theta @ x_.T) ** 2).sum(1)
-        return theta, rss / dof if dof > 0 else np.full(len(y), np.nan)
+    d = Design(np.asarray(design, float), noise_order(noise))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            y = matrix_of(batch.column(1))
-            theta, dispersion = estimate(y, x, inverse)
-            cov = np.repeat((inverse @ inverse.T).ravel()[None], len(y), 0)
-            if order:
-                rho = np.round(yule_walker(y - theta @ x.T, order), 2)
-                for r in np.unique(rho, axis=0):
-                    rows = (rho == r).all(1)
-                    wx = whitened(x.T, r).T
-                    pinv = np.linalg.pinv(wx)
-                    theta[rows], dispersion[rows] = estimate(whitened(y[rows], r), wx, pinv)
-                    cov[rows] = (pinv @ pinv.T).ravel()
-            yield pa.RecordBatch.from_arrays([batch.column(0), rows_of(theta), rows_of(cov), pa.array(dispersion), pa.array(np.full(len(y), float(dof)))], names=[VOXEL, "theta", "covariance", "dispersion", "dof"])
+            theta, cov, dispersion = d.fit(matrix_of(batch.column(1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), rows_of(theta), rows_of(cov.reshape(len(theta), -1)), pa.array(dispersion), pa.array(np.full(len(theta), float(d.dof)))], names=[VOXEL, "theta", "covariance", "dispersion", "dof"])
 
     kind = series.schema[VOXEL].dataType.simpleString()
     return series.select(VOXEL, SERIES).mapInArrow(run, f"{VOXEL} {kind}, theta array<double>, covariance array<double>, dispersion double, dof double")

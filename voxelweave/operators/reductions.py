@@ -151,19 +151,6 @@ def _seed_products(series: DataFrame, table: pd.DataFrame) -> DataFrame:
     return series.mapInArrow(run, f"region {kinds}, {VOXEL} {series.schema[VOXEL].dataType.simpleString()}, r double")
 
 
-def seed_correlation(samples: DataFrame, seeds: DataFrame, value: str = VALUE, time: str = TIME) -> DataFrame:
-    """region, voxel_id, r: correlation in time of every voxel with every seed signal (t_idx, region, value).
-
-    Both sides are centred; a signal without variance has correlation 0. Each voxel's sample meets each seed's value of
-    the same time, and products are summed before the shuffle.
-    """
-    x = samples.select(VOXEL, time, (F.col(value) - F.avg(value).over(whole())).alias("x"))
-    s = seeds.select("region", time, (F.col(value) - F.avg(value).over(Window.partitionBy("region"))).alias("s"))
-    sums = x.join(s, time).groupBy("region", VOXEL).agg(F.sum(F.col("x") * F.col("s")).alias("xs"), F.sum(F.col("x") * F.col("x")).alias("xx"), F.sum(F.col("s") * F.col("s")).alias("ss"))
-    norm = F.sqrt(F.col("xx") * F.col("ss"))
-    return sums.select("region", VOXEL, F.when(norm == 0, 0.0).otherwise(F.col("xs") / norm).alias("r"))
-
-
 def seed_based_maps(samples: DataFrame, seed_masks: DataFrame, reduction: str = "mean", mask: DataFrame | None = None) -> DataFrame:
     """seed_correlation with the signals of labelled regions; voxels outside of the mask have 0."""
     seeds = extract_with_labels(samples, seed_masks, reduction)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import filters
-from .layout import SERIES, TIME, VALUE, VOXEL, apply_projection, checkpointed, exact_quantile, map_series, over_time, temporal_gram, whole
+from .layout import SERIES, TIME, VALUE, VOXEL, checkpointed, exact_quantile, map_series, matrix_of, over_time, temporal_gram, whole
 
 EPSILON = float(np.finfo(float).eps)
 
@@ -22,13 +25,25 @@ def detrend(samples: DataFrame, order: int = 1, value: str = VALUE, time: str =
     return samples.withColumn(value, v - F.avg(v).over(w) - F.coalesce(slope, F.lit(0.0)) * (t - F.avg(t).over(w)))
 
 
+def polynomial_factor(n: int, order: int) -> np.ndarray:
+    """times x (order + 1): an orthonormal basis of polynomials."""
+    return np.linalg.qr(np.vander(np.linspace(-1, 1, n), order + 1, increasing=True))[0]
+
+
 def polynomial_residual(n: int, order: int) -> np.ndarray:
-    q, _ = np.linalg.qr(np.vander(np.linspace(-1, 1, n), order + 1, increasing=True))
+    """The projector as a whole matrix, for short series."""
+    q = polynomial_factor(n, order)
     return np.eye(n) - q @ q.T
 
 
+def without(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Rows less what they have of an orthonormal basis (times x few): two thin products, no times x times matrix."""
+    return x - (x @ q) @ q.T
+
+
 def detrend_series(series: DataFrame, n: int, order: int) -> DataFrame:
-    return apply_projection(series, polynomial_residual(n, order))
+    q = polynomial_factor(n, order)
+    return map_series(series, lambda x: without(x, q))
 
 
 def standardize(samples: DataFrame, method: str = "zscore", value: str = VALUE) -> DataFrame:
@@ -116,64 +131,122 @@ def resample_time(samples: DataFrame, targets: DataFrame, method: str = "linear"
     return both.withColumn("out", value_of).filter("asked").select(key, time, F.col("out").alias(value))
 
 
-def spline_basis(knots: np.ndarray, degree: int, x: np.ndarray) -> np.ndarray:
-    """Values of all B-splines of a degree at x, by the recurrence over degrees; the outer pieces go on beyond the ends."""
+def spline_basis(knots: np.ndarray, degree: int, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first of the degree + 1 B-splines that aren't 0 at each x, and their values; the outer pieces go on beyond the ends.
+
+    By the recurrence over degrees on these splines alone: a row has as many numbers as a piece has splines.
+    """
     count = len(knots) - degree - 1
     piece = np.clip(np.searchsorted(knots, x, "right") - 1, degree, count - 1)
-    out = np.zeros((len(x), len(knots) - 1))
-    out[np.arange(len(x)), piece] = 1
+    values = np.ones((len(x), 1))
     for d in range(1, degree + 1):
-        new = np.zeros((len(x), len(knots) - 1 - d))
-        for i in range(new.shape[1]):
-            for j, (a, b) in ((i, (knots[i], knots[i + d])), (i + 1, (knots[i + d + 1], knots[i + 1]))):
-                if a != b:
-                    new[:, i] += (x - a) / (b - a) * out[:, j]
-        out = new
-    return out
-
-
-def resample_weights(times: np.ndarray, targets: np.ndarray, method: str = "linear", fill: float | tuple[float, float] | str = "extrapolate") -> tuple[np.ndarray, np.ndarray]:
-    """targets x times, and a constant for each target: weights by which a series gives its values at other times.
+        new = np.zeros((len(x), d + 1))
+        for j in range(d):  # the j-th spline of degree d - 1 on the piece gives to two of degree d
+            low, high = knots[piece - d + 1 + j], knots[piece + 1 + j]
+            share = values[:, j] / (high - low)
+            new[:, j] += (high - x) * share
+            new[:, j + 1] += (x - low) * share
+        values = new
+    return piece - degree, values
+
+
+class Banded:
+    """LU factors of a matrix that is 0 beyond `width` places from its diagonal, without pivoting: collocation matrices of
+    splines are totally positive, so that none is needed. Rows of right-hand sides are solved at once."""
+
+    def __init__(self, first: np.ndarray, values: np.ndarray) -> None:
+        """Row i has values[i] from column first[i] on."""
+        n, k = values.shape
+        self.width = w = max(k - 1, int(np.abs(first - np.arange(n)).max(initial=0)), int((first + k - 1 - np.arange(n)).max(initial=0)))
+        band = np.zeros((n, 2 * w + 1))  # column c of row i stands at c - i + w
+        for j in range(k):
+            at = first + j - np.arange(n) + w
+            inside = (at >= 0) & (at < 2 * w + 1)
+            band[np.flatnonzero(inside), at[inside]] += values[inside, j]
+        for i in range(n):
+            for r in range(i + 1, min(n, i + w + 1)):
+                low = band[r, i - r + w]
+                if low:
+                    low = low / band[i, w]
+                    band[r, i - r + w] = low
+                    band[r, i - r + w + 1 : i - r + 2 * w + 1] -= low * band[i, w + 1 :]
+        self.band = band
+
+    def solve(self, y: np.ndarray) -> np.ndarray:
+        """Rows x with matrix @ x = y, for each row y."""
+        x, w, n = np.array(y, float).T.copy(), self.width, len(self.band)
+        for i in range(n):
+            for c in range(max(0, i - w), i):
+                if low := self.band[i, c - i + w]:
+                    x[i] -= low * x[c]
+        for i in range(n - 1, -1, -1):
+            for c in range(i + 1, min(n, i + w + 1)):
+                if high := self.band[i, c - i + w]:
+                    x[i] -= high * x[c]
+            x[i] /= self.band[i, w]
+        return x.T
+
+
+class Resampler:
+    """How a series gives its values at other times: a few weights for each target, of the samples or of spline
+    coefficients that a banded system gives. Nothing is times x times or targets x times large.
 
     Splines of degree 2 and 3 go through all samples, without a knot next to the ends (3) or with knots between the
     samples (2). Beyond the ends: extrapolate (neighbours: the nearest sample where there is one on that side), nan, a
     number, or one for each side.
     """
-    t, x = np.asarray(times, float), np.asarray(targets, float)
-    n, kinds = len(t), {"linear": 1, "slinear": 1, "quadratic": 2, "cubic": 3}
-    w, rest = np.zeros((len(x), n)), np.zeros(len(x))
-    if method in kinds:
-        k = kinds[method]
-        if n <= k:
-            raise ValueError(f"{method} needs {k + 1} times or more")
-        inner = t if k % 2 else (t[1:] + t[:-1]) / 2
-        cut = (k + 1) // 2
-        knots = np.concatenate([np.full(k + 1, t[0]), inner[cut : len(inner) - cut], np.full(k + 1, t[-1])])
-        w = spline_basis(knots, k, x) @ np.linalg.inv(spline_basis(knots, k, t))
-    else:
-        after = np.searchsorted(t, x, "left")
-        before = np.searchsorted(t, x, "right") - 1
-        low, high = np.maximum(before, 0), np.minimum(after, n - 1)
-        near, up = (np.where((x - t[low] <= t[high] - x) if tie else (x - t[low] < t[high] - x), low, high) for tie in (True, False))
-        outside = (x < t[0]) | (x > t[-1])
-        end = np.where(x < t[0], 0, n - 1)
-        found = {"previous": before, "zero": before, "next": np.where(after < n, after, -1), "nearest": np.where(outside, end, near), "nearest-up": np.where(outside, end, up)}
-        if method not in found:
-            raise ValueError(f"unknown method {method!r}")
-        at = found[method]
-        w[np.flatnonzero(at >= 0), at[at >= 0]] = 1
-        rest[at < 0] = np.nan
-    if fill != "extrapolate":
-        left, right = fill if isinstance(fill, tuple) else (np.nan, np.nan) if fill == "nan" else (fill, fill)
-        for side, value in ((x < t[0], left), (x > t[-1], right)):
-            w[side], rest[side] = 0, value
-    return w, rest
+
+    def __init__(self, times: np.ndarray, targets: np.ndarray, method: str = "linear", fill: float | tuple[float, float] | str = "extrapolate") -> None:
+        t, x = np.asarray(times, float), np.asarray(targets, float)
+        n, kinds = len(t), {"linear": 1, "slinear": 1, "quadratic": 2, "cubic": 3}
+        self.system, self.rest = None, np.zeros(len(x))
+        if method in kinds:
+            k = kinds[method]
+            if n <= k:
+                raise ValueError(f"{method} needs {k + 1} times or more")
+            inner = t if k % 2 else (t[1:] + t[:-1]) / 2
+            cut = (k + 1) // 2
+            knots = np.concatenate([np.full(k + 1, t[0]), inner[cut : len(inner) - cut], np.full(k + 1, t[-1])])
+            self.system = Banded(*spline_basis(knots, k, t)) if k > 1 else None
+            self.first, self.weights = spline_basis(knots, k, x)
+        else:
+            after = np.searchsorted(t, x, "left")
+            before = np.searchsorted(t, x, "right") - 1
+            low, high = np.maximum(before, 0), np.minimum(after, n - 1)
+            near, up = (np.where((x - t[low] <= t[high] - x) if tie else (x - t[low] < t[high] - x), low, high) for tie in (True, False))
+            outside = (x < t[0]) | (x > t[-1])
+            end = np.where(x < t[0], 0, n - 1)
+            found = {"previous": before, "zero": before, "next": np.where(after < n, after, -1), "nearest": np.where(outside, end, near), "nearest-up": np.where(outside, end, up)}
+            if method not in found:
+                raise ValueError(f"unknown method {method!r}")
+            at = found[method]
+            self.first, self.weights = np.maximum(at, 0), (at >= 0).astype(float)[:, None]
+            self.rest[at < 0] = np.nan
+        if fill != "extrapolate":
+            left, right = fill if isinstance(fill, tuple) else (np.nan, np.nan) if fill == "nan" else (fill, fill)
+            for side, value in ((x < t[0], left), (x > t[-1], right)):
+                self.weights[side], self.rest[side] = 0, value
+
+    def __call__(self, y: np.ndarray) -> np.ndarray:
+        """Each row at the targets."""
+        c = self.system.solve(y) if self.system else y
+        out = np.tile(self.rest, (len(y), 1))
+        for j in range(self.weights.shape[1]):
+            used = self.weights[:, j] != 0
+            out[:, used] += c[:, self.first[used] + j] * self.weights[used, j]
+        return out
+
+
+def resample_weights(times: np.ndarray, targets: np.ndarray, method: str = "linear", fill: float | tuple[float, float] | str = "extrapolate") -> tuple[np.ndarray, np.ndarray]:
+    """targets x times, and a constant for each target: the same as whole matrices, for short series."""
+    r = Resampler(times, targets, method, fill)
+    rest, r.rest = r.rest, np.zeros(len(r.rest))
+    return r(np.eye(len(times))).T, rest
 
 
 def resample_series(series: DataFrame, times: np.ndarray, targets: np.ndarray, method: str = "linear", fill: float | tuple[float, float] | str = "extrapolate") -> DataFrame:
-    """Series whose times all voxels share at other times: one small matrix for all, sent to the tasks."""
-    w, rest = resample_weights(times, targets, method, fill)
-    return map_series(series, lambda x: x @ w.T + rest)
+    """Series whose times all voxels share at other times: a few weights for each target, sent to the tasks."""
+    return map_series(series, Resampler(times, targets, method, fill))
 
 
 def uniform_times(samples: DataFrame, start: float | None = None, stop: float | None = None, step: float | None = None, time: str = "time") -> DataFrame:
@@ -217,8 +290,8 @@ def cosine_drift_rows(spark, n: int, low_cutoff: float, interval: float) -> Data
     return rows.withColumn(VALUE, F.when(F.col("k") == 0, 1.0).otherwise(wave))
 
 
-def residual_matrix(confounds: np.ndarray, standardize_: bool = True) -> np.ndarray:
-    """time x time: what is left of a series after projection on the confounds, by a rank-revealing QR."""
+def confound_factor(confounds: np.ndarray, standardize_: bool = True) -> np.ndarray:
+    """times x rank: an orthonormal basis of the confounds."""
     c = np.array(confounds, float).reshape(len(confounds), -1)
     if standardize_:
         c = c - c.mean(0)  # a constant becomes 0 and takes nothing off
@@ -228,16 +301,23 @@ def residual_matrix(confounds: np.ndarray, standardize_: bool = True) -> np.ndar
         top = np.abs(c).max(0)
         c = c / np.where(top > 0, top, 1)
     u, s, _ = np.linalg.svd(c, full_matrices=False)
-    q = u[:, s > s[0] * 100 * EPSILON] if len(s) and s[0] > 0 else u[:, :0]
-    return np.eye(len(c)) - q @ q.T
+    return u[:, s > s[0] * 100 * EPSILON] if len(s) and s[0] > 0 else u[:, :0]
+
+
+def residual_matrix(confounds: np.ndarray, standardize_: bool = True) -> np.ndarray:
+    """time x time: what is left of a series after projection on the confounds, as a whole matrix, for short series."""
+    q = confound_factor(confounds, standardize_)
+    return np.eye(len(q)) - q @ q.T
 
 
 def regress_confounds(series: DataFrame, confounds: np.ndarray, standardize_confounds: bool = True) -> DataFrame:
-    return apply_projection(series, residual_matrix(confounds, standardize_confounds))
+    q = confound_factor(confounds, standardize_confounds)
+    return map_series(series, lambda x: without(x, q))
 
 
 def filter_cosine(series: DataFrame, n: int, low_cutoff: float, interval: float) -> DataFrame:
-    return apply_projection(series, residual_matrix(cosine_drift(n, low_cutoff, interval), False))
+    q = confound_factor(cosine_drift(n, low_cutoff, interval), False)
+    return map_series(series, lambda x: without(x, q))
 
 
 def filter_butterworth(series: DataFrame, rate: float, low_cutoff: float | None = None, high_cutoff: float | None = None, order: int = 5) -> DataFrame:
@@ -275,53 +355,113 @@ def compcor_confounds(series: DataFrame, n_components: int = 5) -> tuple[np.ndar
     return vectors[:, order], values[order] / max(values.sum(), EPSILON)
 
 
-def clean(series: DataFrame, n: int, *, interval: float = 1.0, detrend_order: int | None = None, standardize_method: str | None = None, low_cutoff: float | None = None, high_cutoff: float | None = None, filter_method: str = "butterworth", confounds: np.ndarray | None = None, sample_mask: np.ndarray | None = None) -> DataFrame:
-    """In this order: repair, fill of censored samples, detrend, filter, censor, regress, standardise.
-
-    All voxels of a batch take each step at once; confounds take the same steps as the voxels before they are regressed.
+def finite(x: np.ndarray, what: str = "series") -> np.ndarray:
+    """Rows whose non-finite samples lie on the line between their finite neighbours, at the ends on the nearest one."""
+    x, t = np.array(x, float), np.arange(x.shape[1])
+    for row in x:
+        ok = np.isfinite(row)
+        if not ok.any():
+            raise ValueError(f"{what}: one has no finite value along time")
+        if not ok.all():
+            row[~ok] = np.interp(t[~ok], t[ok], row[ok])
+    return x
+
+
+def filled(x: np.ndarray, keep: np.ndarray, times: np.ndarray, method: str = "linear", fill: float | tuple[float, float] | str = "nan") -> np.ndarray:
+    """Rows whose censored samples come from the kept ones; where these give none at an end, from the nearest kept one."""
+    x = np.array(x, float)
+    x[:, ~keep] = Resampler(times[keep], times[~keep], method, fill)(x[:, keep])
+    ends = np.flatnonzero(keep)[[0, -1]]
+    for side, end in ((slice(0, ends[0]), ends[0]), (slice(ends[1] + 1, None), ends[1])):
+        x[:, side] = np.where(np.isfinite(x[:, side]), x[:, side], x[:, [end]])
+    return x
+
+
+def clean(
+    series: DataFrame,
+    n: int,
+    *,
+    interval: float = 1.0,
+    detrend_order: int | None = None,
+    standardize_method: str | None = None,
+    low_cutoff: float | None = None,
+    high_cutoff: float | None = None,
+    filter_method: str = "butterworth",
+    order: int = 5,
+    confounds: np.ndarray | None = None,
+    standardize_confounds: bool = True,
+    sample_mask: np.ndarray | None = None,
+    ensure_finite: bool = False,
+    interpolate_method: str = "linear",
+    interpolate_fill: float | tuple[float, float] | str = "nan",
+) -> DataFrame:
+    """In this order: repair of non-finite samples (ensure_finite), interpolation of censored ones, detrending, Butterworth
+    filter, censoring, regression of confounds, standardisation. Confounds take the same steps before they are regressed.
+
+    Censored samples are interpolated only where detrending or a Butterworth filter needs even times. A cosine filter is
+    part of the regression: its drifts join the confounds, all as they are, after censoring. For psc, signals that lost
+    their mean (over all of them, less than a tenth of it is left) get it back. Without ensure_finite, what isn't finite
+    spreads as far as the steps carry it.
     """
+    if filter_method not in ("butterworth", "cosine"):
+        raise ValueError(f"unknown filter {filter_method!r}; known: butterworth, cosine")
+    cosine = filter_method == "cosine"
+    if cosine and high_cutoff is not None:
+        raise ValueError("a cosine filter has a low cutoff only")
+    if standardize_method not in (None, "zscore", "psc"):
+        raise ValueError(f"unknown method {standardize_method!r}; known: zscore, psc")
     keep = np.ones(n, bool) if sample_mask is None else np.asarray(sample_mask, bool)
-    t = np.arange(n)
-
-    def prepared(x: np.ndarray) -> np.ndarray:
-        x = np.array(x, float)
-        for row in x:
-            ok = np.isfinite(row)
-            if not ok.any():
-                raise ValueError("a series has no finite sample")
-            row[~ok] = np.interp(t[~ok], t[ok], row[ok])
-        if not keep.all():
-            for row in x:
-                row[~keep] = np.interp(t[~keep], t[keep], row[keep])
-        before = x.mean(1, keepdims=True)
-        if detrend_order is not None:
-            x = x @ polynomial_residual(n, detrend_order)
-        if low_cutoff is not None or high_cutoff is not None:
-            if filter_method == "cosine":
-                x = x @ residual_matrix(cosine_drift(n, low_cutoff, interval), False)
-            else:
-                x = filters.forward_backward(filters.butterworth(5, 1 / interval, low_cutoff, high_cutoff), x)
-        if standardize_method == "psc":
-            mean = x.mean(1, keepdims=True)
-            x = np.where(np.abs(mean) < 0.1 * np.abs(before), x - mean + before, x)
-        return x[:, keep]
-
-    hat = None
-    if confounds is not None:
-        hat = residual_matrix(prepared(np.asarray(confounds, float).reshape(n, -1).T).T, True)
-
-    def run(x: np.ndarray) -> np.ndarray:
-        x = prepared(x)
-        if hat is not None:
-            mean = x.mean(1, keepdims=True) if standardize_method == "psc" else 0
-            x = (x - mean) @ hat + mean
-        if standardize_method is None:
-            return x
+    if not keep.any():
+        raise ValueError("the sample mask drops every time")
+    sections = None if cosine or (low_cutoff is None and high_cutoff is None) else filters.butterworth(order, 1 / interval, low_cutoff, high_cutoff)
+    trend = None if detrend_order is None else polynomial_factor(n, detrend_order)
+    times = np.arange(n) * interval
+
+    def prepared(x: np.ndarray, what: str) -> tuple[np.ndarray, np.ndarray]:
+        """Rows up to censoring, and their means before."""
+        x = finite(x, what) if ensure_finite else np.array(x, float)
         mean = x.mean(1, keepdims=True)
-        scale = x.std(1, ddof=1, keepdims=True) if standardize_method == "zscore" else np.abs(mean)
-        return np.where(scale < EPSILON, np.nan, (x - mean) / np.where(scale < EPSILON, 1, scale) * (1 if standardize_method == "zscore" else 100))
+        if not keep.all() and (trend is not None or sections is not None):
+            x = filled(x, keep, times, interpolate_method, interpolate_fill)
+        x = x if trend is None else without(x, trend)
+        x = x if sections is None else filters.forward_backward(sections, x)
+        return x[:, keep], mean
+
+    basis = None
+    columns = None if confounds is None else prepared(np.asarray(confounds, float).reshape(n, -1).T, "confounds")[0].T
+    if cosine and low_cutoff is not None:
+        drift = cosine_drift(n, low_cutoff, interval)[keep]
+        columns = drift if columns is None else np.hstack([columns, drift])
+    if columns is not None:
+        basis = confound_factor(columns, standardize_confounds and not cosine)
+
+    def regressed(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        x, mean = prepared(x, "signals")
+        return (x if basis is None else without(x, basis)), mean
+
+    def scaled(x: np.ndarray, method: str) -> np.ndarray:
+        mean = x.mean(1, keepdims=True)
+        scale = x.std(1, ddof=1, keepdims=True) if method == "zscore" else np.abs(mean)
+        return np.where(scale < EPSILON, np.nan, (x - mean) / np.where(scale < EPSILON, 1, scale) * (1 if method == "zscore" else 100))
+
+    if standardize_method != "psc":
+        return map_series(series, lambda x: regressed(x)[0] if standardize_method is None else scaled(regressed(x)[0], "zscore"), SERIES)
+
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, mean = regressed(matrix_of(batch.column(0)))
+                after, before = (np.abs(v) for v in (x.mean(1), mean[:, 0]))
+                yield pa.RecordBatch.from_arrays([pa.array([float(np.nansum(after))]), pa.array([int(np.isfinite(after).sum())]), pa.array([float(np.nansum(before))]), pa.array([int(np.isfinite(before).sum())])], names=["a", "na", "b", "nb"])
+
+    a, na, b, nb = (v or 0 for v in series.select(SERIES).mapInArrow(sizes, "a double, na long, b double, nb long").agg(*[F.sum(c) for c in ("a", "na", "b", "nb")]).first())
+    lost = bool(na and nb and b) and (a / na) / (b / nb) < 0.1
+
+    def percent(x: np.ndarray) -> np.ndarray:
+        x, mean = regressed(x)
+        return scaled(x + mean if lost else x, "psc")
 
-    return map_series(series, run, SERIES)
+    return map_series(series, percent, SERIES)
 
 
 def gaussian_weights(sigma: float, truncate: float = 4.0) -> np.ndarray:

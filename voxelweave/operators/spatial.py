@@ -312,19 +312,26 @@ def composed(old, new, grid: tuple, old_grid: tuple | None = None, new_grid: tup
     return (pulled(pulled(points, new, new_grid), old, old_grid) - points).T.reshape(3, *grid[0])
 
 
-def linked_affines(poses: dict[str, np.ndarray], key: str, consolidated: np.ndarray, tolerance: float = 1e-6) -> dict[str, np.ndarray]:
-    """One affine for each name from affines by pose (pose, 4, 4), of those that go rigidly with the main one (key).
+def linked_affines(poses: dict[str, np.ndarray], key: str, consolidated: np.ndarray) -> dict[str, np.ndarray]:
+    """One affine for each name, where some are given by pose (pose, 4, 4): the main one (key) becomes `consolidated`.
 
-    The main affine of all poses is `consolidated`; another name's is the one that keeps its place to it. Names whose
-    place to the main affine differs between poses are left out.
+    Another one by pose must keep one place to the main affine in all poses, and keeps it to `consolidated`; one that
+    doesn't is an error. An affine that has no poses stays as it is.
     """
     main = np.asarray(poses[key], float)
-    out = {}
+    first = np.linalg.inv(main[0])
+    out = {key: np.asarray(consolidated, float)}
     for name, each in poses.items():
-        if name != key:
-            link = np.array([a @ np.linalg.inv(m) for a, m in zip(np.asarray(each, float), main, strict=True)])
-            if np.abs(link - link[0]).max() <= tolerance:
-                out[name] = link[0] @ consolidated
+        each = np.asarray(each, float)
+        if name == key:
+            continue
+        if each.shape != main.shape:
+            out[name] = each
+            continue
+        link = each[0] @ first
+        if not np.allclose(each, link @ main, rtol=1e-6, atol=1e-12):
+            raise ValueError(f"{name!r} doesn't keep one place to {key!r} in all poses")
+        out[name] = link @ out[key]
     return out
 
 
