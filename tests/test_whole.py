@@ -125,9 +125,22 @@ def test_factors_of_all_times(spark, tmp_path, n):
     x, _, d = embeddings(spark, tmp_path, n)
     x = np.abs(x).T
     got = by_voxel(registry.queries()["nmf"](spark, d).toPandas(), 3)
-    assert np.allclose(got, factors(x, 3, 10), atol=2e-3, rtol=1e-3)
-    got = by_voxel(registry.queries()["fast_ica"](spark, d).toPandas(), 3)
-    assert np.allclose(got, components(x, 3, 10), atol=2e-3)
+    assert np.allclose(got, factors(x, 3, 200), atol=2e-3, rtol=1e-3)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "voxel_id long, series array<double>")
+    rows = decompose.fast_ica(df, 3, steps=10)[0].orderBy("voxel_id").collect()
+    assert np.allclose([r.series for r in rows], components(x, 3, 10), atol=2e-3)
+
+
+def test_sources_of_all_parts(spark, tmp_path):
+    rng = np.random.default_rng(7)
+    size, price = rng.integers(1, 51, 300), rng.uniform(900, 1100, 300)
+    d = put(spark, tmp_path, "part", {"p_partkey": np.arange(1, 301), "p_size": size, "p_retailprice": price})
+    got = registry.queries()["fast_ica"](spark, d).toPandas().pivot(index="voxel_id", columns="component", values="value").to_numpy()
+    sources = np.column_stack([size / 14, price / 100, np.arange(1, 301) % 7])
+    x = np.stack([sum(sources[:, j] * (np.cos(1.0 + 2 * t * (j + 1)) + (j == t)) for j in range(3)) for t in range(6)], 1)
+    assert np.allclose(got, components(x, 3, 500), atol=2e-3)
+    z = (sources - sources.mean(0)) / sources.std(0)
+    assert (np.abs(got.T @ z / 300).max(1) > 0.97).all()  # each one is a source
 
 
 def test_spatial_gram_of_blocks(spark):

@@ -142,6 +142,99 @@ def weighted_sum(series: DataFrame, mean: np.ndarray, weights: np.ndarray, block
     return out
 
 
+#: Times or voxels up to which their own square matrix is small enough for the driver.
+DIRECT = 1024
+
+
+def gram_product(series: DataFrame, q: np.ndarray) -> np.ndarray:
+    """Sum over voxels of x (x . q) for q of times x few: as large as q, whatever the numbers of voxels and times.
+
+    Each task adds up its voxels, and the sums are added by time.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                x = matrix_of(batch.column(0))
+                part = x.T @ (x @ q)
+                total = part if total is None else total + part
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int64()), rows_of(total)], names=["t", "row"])
+
+    parts = series.select(SERIES).mapInArrow(run, "t long, row array<double>")
+    sums = parts.groupBy("t").agg(*[F.sum(F.col("row")[j]).alias(f"c{j}") for j in range(q.shape[1])])
+    found = sums.toArrow()
+    out = np.zeros(q.shape)
+    out[found.column("t").to_numpy()] = np.column_stack([found.column(f"c{j}").to_numpy() for j in range(q.shape[1])])
+    return out
+
+
+def top_eigenvectors(apply: Callable[[np.ndarray], np.ndarray], t: int, n: int, tolerance: float = 1e-10, passes: int = 200, blocks: int = 6, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The n largest eigenvalues and their vectors of a positive matrix that is known by its products alone.
+
+    A block Krylov space with full orthogonalisation, restarted from its best vectors: 2 * blocks * (n + 4) columns at
+    most. It ends when the residuals are below the tolerance times the largest eigenvalue, and raises if they stay above.
+    """
+    width = min(n + 4, t)
+    q = np.linalg.qr(np.random.default_rng(seed).standard_normal((t, width)))[0]
+    basis, images = np.zeros((t, 0)), np.zeros((t, 0))
+    for _ in range(passes):
+        basis, images = np.hstack([basis, q]), np.hstack([images, apply(q)])
+        small = basis.T @ images
+        values, mix = np.linalg.eigh((small + small.T) / 2)
+        order = np.argsort(-values)[:width]
+        values, mix = values[order], mix[:, order]
+        best, moved = basis @ mix, images @ mix
+        left = moved - best * values
+        if basis.shape[1] >= t or np.linalg.norm(left[:, :n], axis=0).max() <= tolerance * max(abs(values[0]), 1e-300):
+            return np.maximum(values[:n], 0), best[:, :n]
+        if basis.shape[1] + width > blocks * width:
+            basis, images = best, moved
+        new = left
+        for _ in range(2):
+            new = new - basis @ (basis.T @ new)
+        size = np.linalg.norm(new, axis=0)
+        new = new[:, size > 1e-14 * max(abs(values[0]), 1e-300)]
+        if not new.shape[1]:
+            return np.maximum(values[:n], 0), best[:, :n]
+        q = np.linalg.qr(new)[0]
+        q = np.linalg.qr(q - basis @ (basis.T @ q))[0]
+    raise ValueError(f"components didn't settle in {passes} passes")
+
+
+def time_components(series: DataFrame, n: int, center: str | np.ndarray | None = None, direct: int = DIRECT) -> tuple[np.ndarray, np.ndarray, float]:
+    """The n largest eigenvalues and vectors (times x n) of the sum over voxels of series outer series, and its trace.
+
+    center: voxel takes off each voxel's mean in time, an array takes off a mean for each time. The smaller one of times
+    and voxels has its square matrix on the driver while it is at most `direct`; beyond it, products with few columns
+    are summed over voxels, and what the driver holds grows with the times alone.
+    """
+    mean = center if isinstance(center, np.ndarray) else None
+    ready = series
+    if center is not None:
+        ready = map_series(series, (lambda x: x - mean) if mean is not None else (lambda x: x - x.mean(1, keepdims=True)))
+    squares = F.aggregate(SERIES, F.lit(0.0), lambda a, x: a + x * x)
+    voxels, t, trace = ready.agg(F.count(F.lit(1)), F.max(F.size(SERIES)), F.sum(squares)).first()
+    if not voxels:
+        raise ValueError("there are no voxels")
+    n = min(n, t)
+    if t <= direct:
+        values, vectors = np.linalg.eigh(temporal_gram(ready))
+        order = np.argsort(-values)[:n]
+        return np.maximum(values[order], 0), vectors[:, order], float(trace)
+    if voxels <= direct and n <= voxels:
+        zero = np.zeros(t)
+        values, weights = np.linalg.eigh(spatial_gram(ready, zero))
+        order = np.argsort(-values)[:n]
+        scale = np.sqrt(np.maximum(values[order], 0))
+        vectors = weighted_sum(ready, zero, weights[:, order] / np.where(scale > 0, scale, 1)).T
+        return np.maximum(values[order], 0), vectors, float(trace)
+    kept = checkpointed(ready)
+    values, vectors = top_eigenvectors(lambda q: gram_product(kept, q), t, n)
+    return values, vectors, float(trace)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df written to the checkpoint folder that the session names; a private one only in local mode, where it names none."""
     import tempfile

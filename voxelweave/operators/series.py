@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import filters
-from .layout import SERIES, TIME, VALUE, VOXEL, checkpointed, exact_quantile, map_series, matrix_of, over_time, temporal_gram, whole
+from .layout import SERIES, TIME, VALUE, VOXEL, checkpointed, exact_quantile, map_series, matrix_of, over_time, time_components, whole
 
 EPSILON = float(np.finfo(float).eps)
 
@@ -350,9 +350,8 @@ def compcor_confounds(series: DataFrame, n_components: int = 5) -> tuple[np.ndar
         sd = x.std(1, ddof=1, keepdims=True)
         return np.where(sd > 0, (x - x.mean(1, keepdims=True)) / np.where(sd > 0, sd, 1), 0)
 
-    values, vectors = np.linalg.eigh(temporal_gram(map_series(series, zscored)))
-    order = np.argsort(-values)[:n_components]
-    return vectors[:, order], values[order] / max(values.sum(), EPSILON)
+    values, vectors, total = time_components(map_series(series, zscored), n_components)
+    return vectors, values / max(total, EPSILON)
 
 
 def finite(x: np.ndarray, what: str = "series") -> np.ndarray:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import scale
-from ..operators import atlas, decompose, glm, masks, reductions, series, spatial, thresholds, validate, windows
+from ..operators import atlas, decompose, glm, masks, reductions, runs, series, spatial, thresholds, validate, windows
 from ..operators.layout import checkpointed, to_long, to_series
 from . import views
 from .views import B, E, G, H, P, R, V
@@ -184,9 +184,10 @@ def regress_one_confound(spark, d):
     return series.regress_one(m, c).select("voxel_id", "t_idx", r("value"))
 
 
-@query("cosine_basis", "SELECT t_idx, k, round(CASE WHEN k = 0 THEN 1 ELSE sqrt(2 / 200.0) * cos(pi() / 200 * (t_idx + 0.5) * k) END, 6) + 0.0 AS value FROM range(200) a(t_idx), range(5) b(k)")
+@query("cosine_basis", "SELECT t_idx, k, round(CASE WHEN k = 0 THEN 1 ELSE sqrt(2.0 / n) * cos(pi() / n * (t_idx + 0.5) * k) END, 6) + 0.0 AS value FROM (SELECT vec_id AS t_idx, count(*) OVER () AS n FROM embeddings), range(5) b(k)")
 def cosine_basis(spark, d):
-    return series.cosine_drift_rows(spark, 200, 0.02, 0.5).select("t_idx", F.col("k").cast("long").alias("k"), (F.round("value", 6) + 0.0).alias("value"))
+    n = views.table(spark, d, "embeddings").count()
+    return series.cosine_drift_rows(spark, n, 4.01 / n, 0.5).select("t_idx", F.col("k").cast("long").alias("k"), (F.round("value", 6) + 0.0).alias("value"))
 
 
 @query("cosine_filter", f"""WITH {E}, N AS (SELECT count(DISTINCT t_idx) AS n FROM E), C AS (SELECT t_idx, k, CASE WHEN k = 0 THEN 1 / sqrt(n) ELSE sqrt(2.0 / n) * cos(pi() / n * (t_idx + 0.5) * k) END AS c FROM N, (SELECT DISTINCT t_idx FROM E), range(4) b(k)),
@@ -458,10 +459,31 @@ for _kind in ("partial correlation", "precision", "tangent"):
         return _matrices(spark, decompose.ConnectivityMatrix(kind).fit_transform(_subjects(spark, d)))
 
 
-@query("pca_scores")
+def _eigen(n: int = 3, squarings: int = 12) -> str:
+    """SQL for the n leading eigenvectors of the symmetric matrix A0 (i, j, v): powers by squaring, then deflation."""
+    out = []
+    for k in range(n):
+        out.append(f"P{k}_0 AS MATERIALIZED (SELECT i, j, v / (SELECT sum(abs(v)) FROM A{k}) AS v FROM A{k})")
+        for s_ in range(squarings):
+            out.append(f"Q{k}_{s_} AS MATERIALIZED (SELECT a.i, b.j, sum(a.v * b.v) AS v FROM P{k}_{s_} a JOIN P{k}_{s_} b ON a.j = b.i GROUP BY ALL)")
+            out.append(f"P{k}_{s_ + 1} AS MATERIALIZED (SELECT i, j, v / (SELECT sum(abs(v)) FROM Q{k}_{s_}) AS v FROM Q{k}_{s_})")
+        best = f"(SELECT i FROM P{k}_{squarings} WHERE i = j ORDER BY v DESC, i LIMIT 1)"
+        out.append(f"U{k} AS MATERIALIZED (SELECT i, v / sqrt(sum(v * v) OVER ()) AS u FROM P{k}_{squarings} WHERE j = {best})")
+        out.append(f"L{k} AS MATERIALIZED (SELECT sum(a.u * v * b.u) AS l FROM A{k} JOIN U{k} a USING (i) JOIN U{k} b ON A{k}.j = b.i)")
+        out.append(f"A{k + 1} AS MATERIALIZED (SELECT A{k}.i, A{k}.j, v - l * a.u * b.u AS v FROM A{k} JOIN U{k} a USING (i) JOIN U{k} b ON A{k}.j = b.i, L{k})")
+    return ",\n  ".join(out)
+
+
+#: A voxel's weight is its entry in the voxels' eigenvector; the sign makes the largest entry in time positive.
+@query("pca_scores", f"""WITH {E}, C AS MATERIALIZED (SELECT voxel_id, t_idx, value - avg(value) OVER (PARTITION BY voxel_id) AS v FROM E),
+  A0 AS MATERIALIZED (SELECT a.voxel_id AS i, b.voxel_id AS j, sum(a.v * b.v) AS v FROM C a JOIN C b USING (t_idx) GROUP BY ALL),
+  {_eigen()},
+  W AS ({" UNION ALL ".join(f"SELECT i AS voxel_id, {k} AS component, u FROM U{k}" for k in range(3))}),
+  T AS (SELECT component, t_idx, sum(u * v) AS s FROM W JOIN C USING (voxel_id) GROUP BY ALL), G AS (SELECT component, arg_max(s, abs(s)) AS top FROM T GROUP BY 1)
+  SELECT voxel_id, component, round(u * sign(top), 5) + 0.0 AS value FROM W JOIN G USING (component)""")
 def pca_scores(spark, d):
     s = to_series(_m(spark, d))
-    return to_long(decompose.PCA(3).fit(s).maps(s), time="component").select("voxel_id", "component", r("value"))
+    return to_long(decompose.PCA(3).fit(s).maps(s), time="component").select("voxel_id", "component", (F.round("value", 5) + 0.0).alias("value"))
 
 
 def _positive(spark, d):
@@ -470,17 +492,97 @@ def _positive(spark, d):
 
 @query("nmf")
 def nmf(spark, d):
-    return to_long(decompose.nmf(_positive(spark, d), 3, steps=10)[0], time="component").select("voxel_id", "component", r("value", 3))
+    return to_long(decompose.nmf(_positive(spark, d), 3)[0], time="component").select("voxel_id", "component", r("value", 3))
 
 
-@query("fast_ica")
-def fast_ica(spark, d):
-    return to_long(decompose.fast_ica(_positive(spark, d), 3, steps=10)[0], time="component").select("voxel_id", "component", r("value", 3))
+def _mixed(spark, d):
+    """Parts as voxels of six times: six mixtures of size, price and a remainder, which are independent and not normal."""
+    sources = F.array((F.col("p_size") / 14).alias("a"), F.col("p_retailprice") / 100, (F.col("p_partkey") % 7).cast("double"))
+    mix = lambda t: sum((sources[j] * float(np.cos(1.0 + 2 * t * (j + 1)) + (j == t)) for j in range(3)), F.lit(0.0))
+    return checkpointed(views.table(spark, d, "part").select(F.col("p_partkey").cast("long").alias("voxel_id"), F.array(*[mix(t) for t in range(6)]).alias("series")))
 
 
-@query("butterworth_filter")
+@query("fast_ica")
+def fast_ica(spark, d):
+    return to_long(decompose.fast_ica(_mixed(spark, d), 3)[0], time="component").select("voxel_id", "component", r("value", 3))
+
+
+def _sections(rate: float, low: float, high: float, order: int = 5) -> str:
+    """SQL that filters Y (voxel_id, k, x) forwards and backwards by second-order sections, from the state of its first value.
+
+    A pass goes along k with the states of all sections in a list; one section's output is the next one's input.
+    """
+    from ..functions import filters
+
+    sections = filters.butterworth(order, rate, low, high)
+    states, gain = [], 1.0
+    for sec in sections:
+        states.append(filters.steady_state(sec) * gain)
+        gain *= sec[:3].sum() / sec[3:].sum()
+    flat = "[" + ", ".join(repr(float(v)) for st in states for v in st) + "]"
+
+    def one(name: str, source: str) -> str:
+        steps, value = [], "x"
+        for q, (b0, b1, b2, _, a1, a2) in enumerate(np.asarray(sections, float).tolist()):
+            y = f"y{q}"
+            steps.append((y, f"{b0!r} * {value} + z[{2 * q + 1}]", f"{b1!r} * {value} - {a1!r} * {y} + z[{2 * q + 2}]", f"{b2!r} * {value} - {a2!r} * {y}"))
+            value = y
+        inner = "s"
+        for y, expression, _, _ in steps:
+            inner = f"(SELECT *, {expression} AS {y} FROM {inner})"
+        z = ", ".join(f"{p}, {r_}" for _, _, p, r_ in steps)
+        first = f"SELECT voxel_id, 0::BIGINT AS k, NULL::DOUBLE AS y, list_transform({flat}, lambda c: c * x) AS z FROM {source} WHERE k = 1"
+        inner = inner.replace("FROM s)", f"FROM (SELECT w.voxel_id, n.k, n.x, w.z FROM {name} w JOIN {source} n ON n.voxel_id = w.voxel_id AND n.k = w.k + 1))")
+        return f"{name}(voxel_id, k, y, z) AS ({first} UNION ALL SELECT voxel_id, k, {value}, [{z}] FROM {inner})"
+
+    taps = 2 * len(sections) + 1 - min(int((sections[:, 2] == 0).sum()), int((sections[:, 5] == 0).sum()))
+    pad = 3 * taps
+    return f"""N AS (SELECT max(t_idx) + 1 AS n FROM E),
+  Y AS MATERIALIZED (SELECT voxel_id, t_idx + 1 + {pad} AS k, value AS x FROM E
+    UNION ALL SELECT voxel_id, {pad} + 1 - t_idx, 2 * first_value(value) OVER w - value FROM E WINDOW w AS (PARTITION BY voxel_id ORDER BY t_idx) QUALIFY t_idx BETWEEN 1 AND {pad}
+    UNION ALL SELECT voxel_id, {pad} + 2 * n - 1 - t_idx, 2 * last_value(value) OVER w - value FROM E, N WINDOW w AS (PARTITION BY voxel_id ORDER BY t_idx ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) QUALIFY t_idx BETWEEN n - 1 - {pad} AND n - 2),
+  {one("F1", "Y")},
+  Y2 AS MATERIALIZED (SELECT voxel_id, n + {2 * pad} + 1 - k AS k, y AS x FROM F1, N WHERE k > 0),
+  {one("F2", "Y2")},
+  BW AS (SELECT voxel_id, n + {2 * pad} + 1 - k - 1 - {pad} AS t_idx, y AS value FROM F2, N WHERE k > 0 AND n + {2 * pad} + 1 - k BETWEEN {pad} + 1 AND {pad} + n)"""
+
+
+@query("butterworth_filter", f"WITH RECURSIVE {E}, {_sections(2.0, 0.05, 0.4)} SELECT voxel_id, t_idx, round(value, 5) + 0.0 AS value FROM BW")
 def butterworth_filter(spark, d):
-    return to_long(series.filter_butterworth(to_series(_m(spark, d)), 2.0, 0.05, 0.4)).select("voxel_id", "t_idx", r("value"))
+    return to_long(series.filter_butterworth(to_series(_m(spark, d)), 2.0, 0.05, 0.4)).select("voxel_id", F.col("t_idx").cast("long").alias("t_idx"), (F.round("value", 5) + 0.0).alias("value"))
+
+
+#: Censored at once; then what is left of each voxel beside a confound, two drifts and the constant, taken off one after
+#: the other as orthogonal columns; then z-scores.
+_C = "sum({a} * {b}) OVER () / sum({b} * {b}) OVER ()"
+@query("clean_cosine", f"""WITH {E}, N AS (SELECT count(DISTINCT t_idx) AS n FROM E),
+  C0 AS (SELECT t_idx, 1.0 AS a, sin(t_idx / 9.0) AS b, sqrt(2.0 / n) * cos(pi() / n * (t_idx + 0.5)) AS c, sqrt(2.0 / n) * cos(pi() / n * (t_idx + 0.5) * 2) AS d FROM (SELECT DISTINCT t_idx FROM E), N WHERE t_idx % 17 <> 3),
+  C1 AS (SELECT t_idx, a, b - a * {_C.format(a="b", b="a")} AS b, c - a * {_C.format(a="c", b="a")} AS c, d - a * {_C.format(a="d", b="a")} AS d FROM C0),
+  C2 AS (SELECT t_idx, a, b, c - b * {_C.format(a="c", b="b")} AS c, d - b * {_C.format(a="d", b="b")} AS d FROM C1),
+  C3 AS (SELECT t_idx, a, b, c, d - c * {_C.format(a="d", b="c")} AS d FROM C2),
+  K AS (SELECT voxel_id, sum(value * a) / sum(a * a) AS ka, sum(value * b) / sum(b * b) AS kb, sum(value * c) / sum(c * c) AS kc, sum(value * d) / sum(d * d) AS kd FROM E JOIN C3 USING (t_idx) GROUP BY 1),
+  X AS (SELECT voxel_id, t_idx, value - ka * a - kb * b - kc * c - kd * d AS x FROM E JOIN C3 USING (t_idx) JOIN K USING (voxel_id))
+  SELECT voxel_id, row_number() OVER (PARTITION BY voxel_id ORDER BY t_idx) - 1 AS t_idx, round((x - avg(x) OVER w) / stddev_samp(x) OVER w, 6) + 0.0 AS value FROM X WINDOW w AS (PARTITION BY voxel_id)""")
+def clean_cosine(spark, d):
+    n = views.table(spark, d, "embeddings").count()
+    t = np.arange(n)
+    out = series.clean(to_series(_m(spark, d)), n, standardize_method="zscore", low_cutoff=1.01 / n, filter_method="cosine", confounds=np.sin(t / 9.0)[:, None], sample_mask=t % 17 != 3)
+    return to_long(out).select("voxel_id", F.col("t_idx").cast("long").alias("t_idx"), (F.round("value", 6) + 0.0).alias("value"))
+
+
+#: Censored samples lie between their neighbours, or are the last kept one; the line goes, censoring follows, and signals
+#: without their mean get it back before the percentages.
+@query("clean_percent", f"""WITH {E}, L AS (SELECT voxel_id, t_idx, value + 3 AS value, avg(value + 3) OVER (PARTITION BY voxel_id) AS mean FROM E),
+  I AS (SELECT voxel_id, t_idx, mean, CASE WHEN t_idx % 17 <> 3 THEN value ELSE (lag(value) OVER w + coalesce(lead(value) OVER w, lag(value) OVER w)) / 2 END AS x FROM L WINDOW w AS (PARTITION BY voxel_id ORDER BY t_idx)),
+  D AS (SELECT voxel_id, t_idx, mean, x - avg(x) OVER v - covar_pop(x, t_idx) OVER v / var_pop(t_idx) OVER v * (t_idx - avg(t_idx) OVER v) AS x FROM I WINDOW v AS (PARTITION BY voxel_id)),
+  K AS (SELECT voxel_id, t_idx, mean, x, avg(x) OVER v AS after FROM D WHERE t_idx % 17 <> 3 WINDOW v AS (PARTITION BY voxel_id)),
+  R AS (SELECT avg(abs(after)) / avg(abs(mean)) < 0.1 AS lost FROM (SELECT DISTINCT voxel_id, after, mean FROM K)),
+  Y AS (SELECT voxel_id, t_idx, x + CASE WHEN lost THEN mean ELSE 0 END AS y FROM K, R)
+  SELECT voxel_id, row_number() OVER (PARTITION BY voxel_id ORDER BY t_idx) - 1 AS t_idx, round((y - avg(y) OVER v) / abs(avg(y) OVER v) * 100, 4) + 0.0 AS value FROM Y WINDOW v AS (PARTITION BY voxel_id)""")
+def clean_percent(spark, d):
+    n = views.table(spark, d, "embeddings").count()
+    out = series.clean(to_series(_m(spark, d).withColumn("value", F.col("value") + 3)), n, detrend_order=1, standardize_method="psc", sample_mask=np.arange(n) % 17 != 3)
+    return to_long(out).select("voxel_id", F.col("t_idx").cast("long").alias("t_idx"), (F.round("value", 4) + 0.0).alias("value"))
 
 
 @query("clean_pipeline")
@@ -491,11 +593,44 @@ def clean_pipeline(spark, d):
     return to_long(out).select("voxel_id", "t_idx", r("value"))
 
 
-@query("glm_ar1")
+#: The upper tail of t by Simpson's rule over 2,000 steps, and the normal score of it by Newton's method on the series of
+#: the normal distribution.
+TAIL = "0.5 - exp(lgamma((dof + 1) / 2) - lgamma(dof / 2)) / sqrt(dof * pi()) * t / 6000 * list_sum(list_transform(range(2001), lambda i: (CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(-(dof + 1) / 2 * ln(1 + (t * i / 2000) ** 2 / dof))))"
+SCORE = "list_reduce(list_prepend(0.0::DOUBLE, list_transform(range(40), lambda i: i::DOUBLE)), lambda z, i: z + greatest(-1, least(1, (0.5 - p) * sqrt(2 * pi()) * exp(z * z / 2) - list_sum(list_transform(range(120), lambda k: CASE WHEN z = 0 THEN 0 ELSE sign(z) * exp((2 * k + 1) * ln(abs(z)) - (k + 1) * ln(2) - lgamma(k + 1.5) + 0.5 * ln(pi())) END)))))"
+
+
+@query("glm_ar1", f"""WITH {OLS}, R0 AS (SELECT voxel_id, t_idx, value AS y, (t_idx % 10)::DOUBLE AS a, label::DOUBLE AS b, 1.0 AS c FROM E),
+  R1 AS (SELECT r.*, y - my - ca * (a - ma) - cb * (b - mb) AS e FROM R0 r JOIN C USING (voxel_id)),
+  R2 AS (SELECT *, lag(e) OVER w AS e1, coalesce(lag(y) OVER w, 0) AS y1, coalesce(lag(a) OVER w, 0) AS a1, coalesce(lag(b) OVER w, 0) AS b1, coalesce(lag(c) OVER w, 0) AS c1 FROM R1 WINDOW w AS (PARTITION BY voxel_id ORDER BY t_idx)),
+  RHO AS (SELECT voxel_id, coalesce(sum(e * e1), 0) / sum(e * e) AS rho FROM R2 GROUP BY 1),
+  W AS (SELECT voxel_id, y - rho * y1 AS y, a - rho * a1 AS a, b - rho * b1 AS b, c - rho * c1 AS c FROM R2 JOIN RHO USING (voxel_id)),
+  M AS (SELECT voxel_id, count(*) AS n, sum(a * a) AS aa, sum(a * b) AS ab, sum(a * c) AS ac, sum(b * b) AS bb, sum(b * c) AS bc, sum(c * c) AS cc, sum(a * y) AS ay, sum(b * y) AS yb, sum(c * y) AS cy FROM W GROUP BY 1),
+  I AS (SELECT *, aa * (bb * cc - bc * bc) - ab * (ab * cc - bc * ac) + ac * (ab * bc - bb * ac) AS det FROM M),
+  T AS (SELECT *, (bb * cc - bc * bc) / det AS iaa, ((bb * cc - bc * bc) * ay + (ac * bc - ab * cc) * yb + (ab * bc - ac * bb) * cy) / det AS ta,
+    ((ac * bc - ab * cc) * ay + (aa * cc - ac * ac) * yb + (ab * ac - aa * bc) * cy) / det AS tb, ((ab * bc - ac * bb) * ay + (ab * ac - aa * bc) * yb + (aa * bb - ab * ab) * cy) / det AS tc FROM I),
+  S2 AS (SELECT voxel_id, any_value(ta) AS effect, any_value(n - 3)::DOUBLE AS dof, any_value(iaa) * sum((y - ta * a - tb * b - tc * c) ** 2) / any_value(n - 3) AS variance FROM W JOIN T USING (voxel_id) GROUP BY 1),
+  Q AS (SELECT voxel_id, effect, dof, effect / sqrt(variance) AS t FROM S2), PV AS (SELECT *, {TAIL} AS p FROM Q)
+  SELECT voxel_id, round(effect, 6) + 0.0 AS effect, round(t, 5) + 0.0 AS statistic, round(p, 6) AS p, round({SCORE}, 4) + 0.0 AS z FROM PV""")
 def glm_ar1(spark, d):
     x = _two(spark, d).orderBy("t_idx").toPandas()
     f = glm.fit(to_series(_m(spark, d)), np.column_stack([x["a"], x["b"], np.ones(len(x))]), "ar1")
-    return glm.with_tails(glm.statistic(glm.contrast(f, np.array([1.0, 0.0, 0.0])))).select("voxel_id", r("effect"), r("statistic", 5), r("p"), r("z", 4))
+    out = glm.with_tails(glm.statistic(glm.contrast(f, np.array([1.0, 0.0, 0.0]))))
+    return out.select("voxel_id", (F.round("effect", 6) + 0.0).alias("effect"), (F.round("statistic", 5) + 0.0).alias("statistic"), r("p"), (F.round("z", 4) + 0.0).alias("z"))
+
+
+#: Five runs, dealt by the time's remainder, each with its own design; t of the difference of two effects, pooled.
+@query("glm_runs", f"""WITH {E}, Y AS (SELECT t_idx % 5 AS run, voxel_id, value AS y, (t_idx % 7)::DOUBLE AS a, label::DOUBLE AS b FROM E),
+  S AS (SELECT run, voxel_id, count(*) AS n, var_pop(a) AS saa, var_pop(b) AS sbb, covar_pop(a, b) AS sab, covar_pop(y, a) AS say, covar_pop(y, b) AS sby, var_pop(y) AS syy FROM Y GROUP BY ALL),
+  C AS (SELECT *, saa * sbb - sab * sab AS det, (say * sbb - sby * sab) / det AS ca, (sby * saa - say * sab) / det AS cb FROM S),
+  K AS (SELECT voxel_id, ca - cb AS e, (syy - ca * say - cb * sby) * n / (n - 3) * (sbb + saa + 2 * sab) / det / n AS v, (n - 3)::DOUBLE AS dof FROM C)
+  SELECT voxel_id, round(sum(e) / count(*), 6) + 0.0 AS effect, round(sum(v) / count(*) ** 2, 9) AS variance, sum(dof) AS dof, round(sum(e) / sqrt(sum(v)), 5) + 0.0 AS statistic FROM K GROUP BY 1""")
+def glm_runs(spark, d):
+    run, t = (F.col("t_idx") % 5).cast("int").alias("run"), F.floor(F.col("t_idx") / 5).cast("int").alias("t_idx")
+    samples = _m(spark, d).select(run, t, "voxel_id", "value")
+    e = views.table(spark, d, "embeddings").withColumnRenamed("vec_id", "t_idx")
+    given = e.select(run, t, (F.col("t_idx") % 7).cast("double").alias("a"), F.col("label").cast("double").alias("b"), F.lit(1.0).alias("constant"))
+    out = runs.RunsModel(noise="ols").fit(samples, given=given).contrast("a - b")
+    return out.select("voxel_id", (F.round("effect", 6) + 0.0).alias("effect"), r("variance", 9), "dof", (F.round("statistic", 5) + 0.0).alias("statistic"))
 
 
 #: Two voxels: what is left without the strongest component is the other one of their 2 x 2 covariance, in closed form.
@@ -517,9 +652,9 @@ def searchlight(spark, d):
     return decompose.searchlight(to_series(_m(spark, d)), v, y, 1.0).select("voxel_id", r("score"))
 
 
-@query("searchlight_neighbourhoods", "WITH C AS (SELECT v AS voxel_id, (v % 8)::DOUBLE AS x, (v // 8)::DOUBLE AS y FROM range(64) t(v)) SELECT a.voxel_id AS center, b.voxel_id FROM C a JOIN C b ON (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 2.25")
+@query("searchlight_neighbourhoods", "WITH C AS (SELECT p_partkey AS voxel_id, p_size / 5.0 AS x, (p_retailprice - 900) / 50 AS y, (p_partkey % 7)::DOUBLE AS z FROM part) SELECT a.voxel_id AS center, b.voxel_id FROM C a JOIN C b ON (a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2 <= 2.25")
 def searchlight_neighbourhoods(spark, d):
-    v = spark.range(64).select(F.col("id").alias("voxel_id"), (F.col("id") % 8).cast("double").alias("x"), F.floor(F.col("id") / 8).cast("double").alias("y"), F.lit(0.0).alias("z"))
+    v = views.table(spark, d, "part").select(F.col("p_partkey").alias("voxel_id"), (F.col("p_size") / 5.0).alias("x"), ((F.col("p_retailprice") - 900) / 50).alias("y"), (F.col("p_partkey") % 7).cast("double").alias("z"))
     return decompose.neighbourhoods(v, v, 1.5)
 
 
