@@ -1,8 +1,8 @@
 """Personal data: base patterns, and spans that a character-level BiLSTM-CRF adds to them.
 
-The tagger reads overlapping windows over the whole text. Pieces that windows cut off are joined, and spans of all
-windows of a text are reconciled at once: those of best total score that don't overlap. A span is added where it
-touches no base span and its digits or parts are those of its kind.
+The tagger reads overlapping windows over the whole text. Where two windows overlap, what they say of a character fades
+from one into the other, and one best path over the whole text reconciles all windows, so a span may lie anywhere and be
+of any length. A span is added where it touches no base span and its digits or parts are those of its kind.
 """
 
 from __future__ import annotations
@@ -30,7 +30,9 @@ _DOT = r"(?:\s*(?:\.|[\[({<] ?(?:dot|\.) ?[\])}>])\s*|\s+dot\s+)"
 ADDRESS = re.compile(rf"[a-z0-9_%+-]+(?:{_DOT}[a-z0-9_%+-]+)*{_AT}[a-z0-9-]+(?:{_DOT}[a-z0-9-]+)*{_DOT}[a-z]{{2,}}", re.IGNORECASE)
 Span = tuple[str, int, int]
 #: Characters of a window, and how far windows are apart.
-WINDOW, STRIDE = 256, 216
+WINDOW, STRIDE = 320, 256
+#: Windows of a text that are merged at once; a longer text goes on from where certainly no span is.
+STRETCH = 8192
 
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
@@ -64,6 +66,41 @@ def windows(n: int) -> list[tuple[int, int]]:
     return [(a, min(n, a + WINDOW)) for a in range(0, max(n - WINDOW + STRIDE, 1) if n else 0, STRIDE)]
 
 
+#: A later window's share of what is said of each character that it has in common with the one before.
+FADE = ((np.arange(WINDOW - STRIDE) + 0.5) / (WINDOW - STRIDE)).astype(np.float32)
+
+
+def merged_emissions(parts: list[tuple[np.ndarray, int, int]], tagger: Tagger, rows: int = 2048) -> list[np.ndarray]:
+    """Emissions (steps, tags) of parts (classes of a text, first window, window after the last): from where the first
+    window begins to where the one after the last would. A window before the first is read too, for what it shares."""
+    where, out = [], []
+    for k, (ids, first, stop) in enumerate(parts):
+        all_ = windows(len(ids))
+        begin = all_[first][0]
+        end = all_[stop][0] if stop < len(all_) else len(ids)
+        out.append(np.zeros((end - begin, len(TAGS)), np.float32))
+        where += [(k, a, b, begin, end) for a, b in all_[max(first - 1, 0) : stop]]
+    space = classes(" ")[0]
+    order = sorted(where, key=lambda x: x[2] - x[1])  # the last windows of texts are shorter, and so are batches of them
+    for at in range(0, len(order), rows):
+        some = order[at : at + rows]
+        wide = some[-1][2] - some[-1][1]
+        ids = np.full((len(some), wide), space, np.uint8)
+        for i, (k, a, b, _, _) in enumerate(some):
+            ids[i, : b - a] = parts[k][0][a:b]
+        e = np.ascontiguousarray(tagger.emissions(ids).transpose(1, 0, 2))
+        for i, (k, a, b, begin, end) in enumerate(some):
+            one = e[i, : b - a]
+            if a > 0:
+                m = min(WINDOW - STRIDE, b - a)
+                one[:m] *= FADE[:m, None]
+            if b < len(parts[k][0]):  # another window begins a stride after this one
+                one[STRIDE:] *= 1 - FADE[: b - a - STRIDE, None]
+            lo, hi = max(a, begin), min(b, end)
+            out[k][lo - begin : hi - begin] += one[lo - a : hi - a]
+    return out
+
+
 def plausible(kind: str, text: str) -> bool:
     n = len(digits := digits_of(text))
     if kind == "email":
@@ -75,78 +112,49 @@ def plausible(kind: str, text: str) -> bool:
     return 9 <= n <= 15 and not re.search(r"[^\W\d_]", text) and bool(re.search(r"[^0-9]", text))
 
 
-def best_together(found: list[tuple[float, Span]]) -> list[Span]:
-    """Of scored spans, those of highest total score that don't overlap."""
-    found = sorted(set(found), key=lambda x: (x[1][2], x[1][1], x[0], x[1][0]))
-    ends = [x[1][2] for x in found]
-    best: list[float] = [0.0]
-    took: list[int | None] = []
-    for k, (score, (_, a, _b)) in enumerate(found):
-        before = int(np.searchsorted(ends[:k], a, "right"))
-        took.append(before if best[before] + score > best[k] else None)
-        best.append(max(best[k], best[before] + score))
-    out, k = [], len(found)
-    while k:
-        if took[k - 1] is None:
-            k -= 1
-        else:
-            out.append(found[k - 1][1])
-            k = took[k - 1]
-    return out[::-1]
-
-
-Piece = tuple[str, int, int, float, bool, bool]
+def _spans(text: str, tags: np.ndarray, begin: int) -> list[Span]:
+    """Spans of a path over text[begin:], without white space and stops at their ends."""
+    out = []
+    for j in np.flatnonzero(tags % 2 == 1).tolist():  # odd tags begin a span
+        inside, end = int(tags[j]) + 1, j + 1
+        while end < len(tags) and tags[end] == inside:
+            end += 1
+        raw = text[begin + j : begin + end]
+        stop = begin + j + len(raw.rstrip(" \n\t.,;:"))
+        if stop > begin + j:
+            out.append((TAGS[int(tags[j])][2:], begin + j, stop))
+    return out
 
 
-def whole_spans(pieces: list[Piece]) -> list[tuple[float, Span]]:
-    """Scored spans from pieces (kind, start, end, score, cut off at the left, at the right) of windows in their order.
+def long_text_spans(text: str, tagger: Tagger) -> list[Span]:
+    """Spans of the best path over a text of any length, a stretch of windows after the other.
 
-    A piece that its window cuts off goes on in the next one, where a piece of its kind overlaps it: these are one
-    span, however long. What stays cut off is none: the window that has all of it says so.
+    A stretch ends where certainly no span is; what lies after that place waits for the next stretch.
     """
-    out, open_ = [], []
-    for kind, a, b, score, left, right in pieces:
-        if left:
-            before = [p for p in open_ if p[0] == kind and p[1] < a <= p[2]]
-            if not before:
-                continue
-            a, score = before[-1][1], before[-1][3] + score
-        if right:
-            open_ = [*(p for p in open_ if p[2] > a - WINDOW), (kind, a, b, score)]
-        else:
-            out.append((round(score, 4), (kind, a, b)))
+    ids = classes(text)
+    n, begin, held, out = len(windows(len(ids))), 0, np.zeros((0, len(TAGS)), np.float32), []
+    for first in range(0, n, STRETCH):
+        held = np.concatenate([held, merged_emissions([(ids, first, min(n, first + STRETCH))], tagger)[0]])
+        last = first + STRETCH >= n
+        found = tagger.candidates(held, begin == 0)
+        done = len(held) if last else found[-1][0] if found and found[-1][1] >= len(held) - 1 else max(len(held) - 1, 0)
+        some = [(a, b) for a, b in found if b <= done]
+        if some:
+            opens, closes = np.array([begin + a == 0 for a, _ in some]), np.array([begin + b == len(ids) for _, b in some])
+            for (a, _), tags in zip(some, tagger.best_paths([held[a:b] for a, b in some], opens, closes)):
+                out += _spans(text, tags, begin + a)
+        held, begin = held[done:], begin + done
     return out
 
 
-def tagged_spans(texts: list[str], tagger: Tagger, rows: int = 2048) -> list[list[Span]]:
-    """Spans that the tagger finds in each whole text, reconciled over its windows; equal texts are read once."""
-    some = list(dict.fromkeys(texts))
-    where = [(k, a, b) for k, text in enumerate(some) for a, b in windows(len(text))]
-    encoded = [classes(text) for text in some]
-    found: list[list[Piece]] = [[] for _ in some]
-    space = classes(" ")[0]
-    order = sorted(where, key=lambda x: x[2] - x[1])  # the last windows of texts are shorter, and so are batches of them
-    for at in range(0, len(order), rows):
-        part = order[at : at + rows]
-        wide = part[-1][2] - part[-1][1]
-        ids = np.full((len(part), wide), space, np.uint8)
-        for i, (k, a, b) in enumerate(part):
-            ids[i, : b - a] = encoded[k][a:b]
-        tags, margin = tagger.decode(ids)
-        for i in np.flatnonzero(tags.any(1)).tolist():
-            k, a, b = part[i]
-            for j in np.flatnonzero(tags[i] % 2 == 1).tolist():  # odd tags begin a span
-                inside, end = int(tags[i, j]) + 1, j + 1
-                while end < b - a and tags[i, end] == inside:
-                    end += 1
-                stop = a + end
-                left, right = j == 0 and a > 0, stop >= b and b < len(some[k])
-                raw = some[k][a + j : stop]
-                stop -= 0 if right else len(raw) - len(raw.rstrip(" \n\t.,;:"))
-                if j < b - a and stop > a + j:
-                    found[k].append((TAGS[int(tags[i, j])][2:], a + j, stop, float(margin[i, j:end].sum()), left, right))
-    spans = {text: best_together([x for x in whole_spans(sorted(p, key=lambda x: x[1:3])) if x[0] > 0]) if p else [] for text, p in zip(some, found, strict=True)}
-    return [spans[text] for text in texts]
+def tagged_spans(texts: list[str], tagger: Tagger) -> list[list[Span]]:
+    """Spans on the best path over each whole text; equal texts are read once."""
+    some = [t for t in dict.fromkeys(texts) if len(t) <= STRETCH * STRIDE]
+    encoded = [classes(t) for t in some]
+    paths = tagger.tags_of(merged_emissions([(ids, 0, len(windows(len(ids)))) for ids in encoded if len(ids)], tagger))
+    spans = {t: _spans(t, tags, 0) for t, tags in zip([t for t in some if t], paths, strict=True)}
+    spans |= {t: long_text_spans(t, tagger) for t in dict.fromkeys(texts) if len(t) > STRETCH * STRIDE}
+    return [spans.get(t, []) for t in texts]
 
 
 def added_spans(text: str, base: list[Span], tagged: list[Span]) -> list[Span]:

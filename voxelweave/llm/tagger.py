@@ -68,8 +68,8 @@ class Tagger:
         h_, p = self.hidden, self.p
         steps = range(ids.shape[1]) if way == "f" else range(ids.shape[1] - 1, -1, -1)
         table = p["e"] @ p[f"x{way}"] + p[f"c{way}"]
-        h = c = np.zeros((len(ids), h_), np.float32)
-        out, saved = np.empty((ids.shape[1], len(ids), h_), np.float32), []
+        h = c = np.zeros((len(ids), h_), table.dtype)
+        out, saved = np.empty((ids.shape[1], len(ids), h_), table.dtype), []
         for s in steps:
             z = table[ids[:, s]] + h @ p[f"h{way}"]
             g = sigmoid(z)
@@ -126,52 +126,87 @@ class Tagger:
         planes += self.p["b"].astype(np.float32)[:, None]
         return planes.reshape(len(TAGS), ids.shape[1], len(ids)).transpose(1, 2, 0)
 
-    def may_hold(self, e: np.ndarray) -> np.ndarray:
-        """Rows whose best path may have a span, by a bound that never misses one.
+    def candidates(self, e: np.ndarray, at_start: bool = True) -> list[tuple[int, int]]:
+        """Ranges of a text's emissions (steps, tags) outside of which the best path has O for certain.
 
-        Where the best path has spans, one of them gains over having none. It gains by its begin, at most by its end,
-        and by each character between at most what any kind gains there: sums of these up to each place give the best
-        one from any begin on.
+        Spans that follow each other without a gap gain over having O instead of them, or the best path had O there. They
+        gain by their begin, at most by their end, and by each character between at most what any kind gains there. So
+        from each begin, sums of these bounds say up to where such spans can go, if anywhere.
         """
+        if not len(e):
+            return []
         trans = self.p["t"] + self.allowed - self.p["t"][0, 0]
-        planes, kinds = e.transpose(2, 0, 1), range(1, len(TAGS), 2)
-        begin, inside = np.full(e.shape[:2], -np.inf, np.float32), np.full(e.shape[:2], -np.inf, np.float32)
+        kinds = range(1, len(TAGS), 2)
+        begin, inside = np.full(len(e), -np.inf, np.float32), np.full(len(e), -np.inf, np.float32)
         for k in kinds:
-            np.maximum(begin, planes[k] + np.float32(trans[0, k]), out=begin)
-            np.maximum(inside, planes[k] + np.float32(trans[1:, k].max()), out=inside)
-            np.maximum(inside, planes[k + 1] + np.float32(max(trans[k, k + 1], trans[k + 1, k + 1])), out=inside)
-        begin[0] = planes[1::2, 0].max(0)  # the first character has no transition before it
-        begin -= planes[0]
-        inside -= planes[0]
-        total = np.cumsum(inside, axis=0, dtype=np.float64)
-        best = np.maximum.accumulate(total[::-1], axis=0)[::-1]
-        best -= total
-        best += begin
-        return best.max(0) + max(trans[1:, 0].max(), 0) > -1e-2  # rounding mustn't hide a gain
-
-    def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Best tags (rows, steps), and by how much each tag's emission is above that of O."""
-        whole = self.emissions(ids)
-        rows = np.flatnonzero(self.may_hold(whole))
-        tags, margin = np.zeros((len(ids), ids.shape[1]), np.int64), np.zeros(ids.shape, np.float32)
-        if len(rows):
-            tags[rows], margin[rows] = self.best_paths(np.ascontiguousarray(whole[:, rows]))
-        return tags, margin
-
-    def best_paths(self, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        trans = self.p["t"] + self.allowed
-        score, back = e[0] + self.first, []
+            np.maximum(begin, e[:, k] + np.float32(trans[0, k]), out=begin)
+            np.maximum(inside, e[:, k] + np.float32(trans[1:, k].max()), out=inside)
+            np.maximum(inside, e[:, k + 1] + np.float32(max(trans[k, k + 1], trans[k + 1, k + 1])), out=inside)
+        if at_start:
+            begin[0] = e[0, 1::2].max()  # the first character has no transition before it
+        begin -= e[:, 0]
+        inside -= e[:, 0]
+        total = np.cumsum(inside, dtype=np.float64)
+        best = np.maximum.accumulate(total[::-1])  # of all later places, from the last place back
+        least = -1e-2 - max(float(trans[1:, 0].max()), 0.0)  # rounding mustn't hide a gain
+        starts = np.flatnonzero(begin + best[::-1] - total > least)
+        if not len(starts):
+            return []
+        reach = len(e) - 1 - np.searchsorted(best, least - begin[starts] + total[starts], "right")
+        out: list[tuple[int, int]] = []
+        for s, end in zip(starts.tolist(), reach.tolist()):
+            if out and s <= out[-1][1] + 1:
+                out[-1] = (out[-1][0], max(out[-1][1], end))
+            else:
+                out.append((s, max(s, end)))
+        return [(s, end + 1) for s, end in out]
+
+    def best_paths(self, parts: list[np.ndarray], opens: np.ndarray, closes: np.ndarray) -> list[np.ndarray]:
+        """Best tags of each part's emissions (steps, tags); opens: nothing stands before it, closes: nothing after it,
+        else there is an O. Parts of all lengths go together, and a short one keeps its scores when it is over."""
+        trans = (self.p["t"] + self.allowed).astype(np.float32)
+        sizes = np.array([len(x) for x in parts])
+        e = np.zeros((sizes.max(), len(parts), len(TAGS)), np.float32)
+        for k, x in enumerate(parts):
+            e[: len(x), k] = x
+        score = e[0] + np.where(opens[:, None], self.first, trans[0])
+        back = np.empty(e.shape, np.int8)
+        stay = np.arange(len(TAGS), dtype=np.int8)
         for s in range(1, len(e)):
             all_ = score[:, :, None] + trans
-            back.append(all_.argmax(1))
-            score = all_.max(1) + e[s]
-        rows = np.arange(e.shape[1])
+            on = (s < sizes)[:, None]
+            back[s] = np.where(on, all_.argmax(1), stay)
+            score = np.where(on, all_.max(1) + e[s], score)
+        score = score + np.where(closes[:, None], 0, trans[:, 0])
+        rows = np.arange(len(parts))
         tags = np.empty(e.shape[:2], np.int64)
         tags[-1] = score.argmax(1)
         for s in range(len(e) - 2, -1, -1):
-            tags[s] = back[s][rows, tags[s + 1]]
-        margin = np.stack([e[s][rows, tags[s]] - e[s][:, 0] for s in range(len(e))])
-        return tags.T, margin.T
+            tags[s] = back[s + 1][rows, tags[s + 1]]
+        return [tags[:n, k] for k, n in enumerate(sizes)]
+
+    def decode(self, ids: np.ndarray) -> np.ndarray:
+        """Best tags (rows, steps) of rows that are whole texts."""
+        return self.tags_of(list(self.emissions(ids).transpose(1, 0, 2)))
+
+    def tags_of(self, emissions: list[np.ndarray]) -> np.ndarray | list[np.ndarray]:
+        """Best tags of whole texts by their emissions (steps, tags)."""
+        out = [np.zeros(len(e), np.int64) for e in emissions]
+        found = sorted(((k, a, b) for k, e in enumerate(emissions) for a, b in self.candidates(e)), key=lambda x: x[2] - x[1])
+        at = 0
+        while at < len(found):
+            longest = found[at][2] - found[at][1]
+            stop = at
+            while stop < len(found) and (stop - at) < max(1, min(4096, 400_000 // max(longest, 1))):  # a bounded block of scores
+                longest = found[stop][2] - found[stop][1]
+                stop += 1
+            some = found[at:stop]
+            opens = np.array([a == 0 for _, a, _ in some])
+            closes = np.array([b == len(emissions[k]) for k, _, b in some])
+            for (k, a, b), tags in zip(some, self.best_paths([emissions[k][a:b] for k, a, b in some], opens, closes)):
+                out[k][a:b] = tags
+            at = stop
+        return out
 
     def gradients(self, ids: np.ndarray, gold: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Negative log-likelihood of the CRF and its gradients, through both LSTMs."""
@@ -204,8 +239,8 @@ class Tagger:
         g["b"] = de.sum((0, 1))
         dboth = de @ p["o"].T
         for way, saved, part in (("f", fs, dboth[:, :, :h_]), ("r", rs, dboth[:, :, h_:])):
-            dh = dc = np.zeros((n, h_), np.float32)
-            dtable = np.zeros((CLASSES, 4 * h_), np.float32)
+            dh = dc = np.zeros((n, h_), e.dtype)
+            dtable = np.zeros((CLASSES, 4 * h_), e.dtype)
             for s, i, fg, o, new, t, before, was in reversed(saved):
                 dh = dh + part[s]
                 dc = dc + dh * o * (1 - t * t)
@@ -219,7 +254,8 @@ class Tagger:
         return float(z.sum() - right) / n, {k: v / n for k, v in g.items()}
 
     def train(self, ids: np.ndarray, gold: np.ndarray, epochs: int, batch: int = 64, rate: float = 0.01, seed: int = 0) -> list[float]:
-        """Adam over shuffled batches; the mean loss of each epoch."""
+        """Adam over shuffled batches in float64, so that machines hardly differ; the mean loss of each epoch."""
+        self.p = {n: v.astype(np.float64) for n, v in self.p.items()}
         rng, m, v, losses, k = np.random.default_rng(seed), {n: 0 for n in self.p}, {n: 0 for n in self.p}, [], 0
         for epoch in range(epochs):
             order, total = rng.permutation(len(ids)), []
@@ -231,9 +267,10 @@ class Tagger:
                 step = rate * (1 - epoch / epochs * 0.8) * min(1, 5 / max(size, 1e-9)) if size > 5 else rate * (1 - epoch / epochs * 0.8)
                 for n in self.p:
                     m[n], v[n] = 0.9 * m[n] + 0.1 * g[n], 0.999 * v[n] + 0.001 * g[n] ** 2
-                    self.p[n] = (self.p[n] - step * (m[n] / (1 - 0.9**k)) / (np.sqrt(v[n] / (1 - 0.999**k)) + 1e-8)).astype(np.float32)
+                    self.p[n] = (self.p[n] - step * (m[n] / (1 - 0.9**k)) / (np.sqrt(v[n] / (1 - 0.999**k)) + 1e-8))
                 total.append(loss)
             losses.append(float(np.mean(total)))
+        self.p = {n: v.astype(np.float32) for n, v in self.p.items()}
         return losses
 
 
@@ -342,14 +379,15 @@ _trained: dict[tuple, Tagger] = {}
 def right_rows(tagger: Tagger, rows: int, length: int, seed: int) -> float:
     """Of invented lines the share whose tags are all right."""
     ids, gold = labelled(rows, length, seed)
-    return float((tagger.decode(ids)[0] == gold).all(1).mean())
+    return float((np.array(tagger.decode(ids)) == gold).all(1).mean())
 
 
 def trained(rows: int = 3000, length: int = 96, epochs: int = 14, hidden: int = 8, seed: int = 7, least: float = 0.6) -> Tagger:
     """A tagger trained from invented labelled spans; one for each process and setting.
 
-    Rounding differs between machines, and training with it. So each start is tried on other invented lines; where
-    fewer than `least` of them come out right, up to two more are made and the best is taken.
+    Training is in float64 with fixed seeds and orders, so that machines' products differ by little. Each start is tried
+    on other invented lines; where fewer than `least` of them come out right, up to two more are made and the best is
+    taken.
     """
     if (key := (rows, length, epochs, hidden, seed)) not in _trained:
         best: tuple[float, Tagger | None] = (-1.0, None)
