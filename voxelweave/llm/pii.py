@@ -30,9 +30,9 @@ _DOT = r"(?:\s*(?:\.|[\[({<] ?(?:dot|\.) ?[\])}>])\s*|\s+dot\s+)"
 ADDRESS = re.compile(rf"[a-z0-9_%+-]+(?:{_DOT}[a-z0-9_%+-]+)*{_AT}[a-z0-9-]+(?:{_DOT}[a-z0-9-]+)*{_DOT}[a-z]{{2,}}", re.IGNORECASE)
 Span = tuple[str, int, int]
 #: Characters of a window, and how far windows are apart.
-WINDOW, STRIDE = 320, 256
+WINDOW, STRIDE = 512, 456
 #: Windows of a text that are merged at once; a longer text goes on from where certainly no span is.
-STRETCH = 8192
+STRETCH = 4096
 
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
@@ -147,12 +147,101 @@ def long_text_spans(text: str, tagger: Tagger) -> list[Span]:
     return out
 
 
+class Windows:
+    """Windows of texts behind each other, with what the tagger says of each: `emissions` (tags, steps, windows) by batch."""
+
+    def __init__(self, encoded: list[np.ndarray], tagger: Tagger, rows: int = 2048) -> None:
+        self.encoded, self.tagger = encoded, tagger
+        self.where = [(k, a, b) for k, ids in enumerate(encoded) for a, b in windows(len(ids))]
+        self.first = np.concatenate([[0], np.cumsum([len(windows(len(ids))) for ids in encoded])])  # of each text
+        self.place: list[tuple[int, int]] = [(0, 0)] * len(self.where)
+        self.emissions: list[np.ndarray] = []
+        space = classes(" ")[0]
+        order = sorted(range(len(self.where)), key=lambda i: self.where[i][2] - self.where[i][1])  # short ones together
+        for at in range(0, len(order), rows):
+            some = order[at : at + rows]
+            wide = self.where[some[-1]][2] - self.where[some[-1]][1]
+            ids = np.full((len(some), wide), space, np.uint8)
+            for i, w in enumerate(some):
+                k, a, b = self.where[w]
+                ids[i, : b - a] = encoded[k][a:b]
+                self.place[w] = (len(self.emissions), i)
+            self.emissions.append(tagger.emissions(ids).transpose(2, 0, 1))
+
+    def possible_parts(self) -> list[tuple[int, int, int]]:
+        """Text, begin and end of each part of texts outside of which certainly no span is.
+
+        Bounds of what a span can gain are taken window by window and fade like the emissions: they are maxima of sums of
+        these, so a faded bound is a bound of the faded emissions. Between texts is a step that no span gets over.
+        """
+        if not self.where:
+            return []
+        begin, inside = np.zeros((len(self.where), WINDOW), np.float32), np.zeros((len(self.where), WINDOW), np.float32)
+        of_batch: list[list[int]] = [[] for _ in self.emissions]
+        for w, (batch, _) in enumerate(self.place):
+            of_batch[batch].append(w)
+        for some, e in zip(of_batch, self.emissions):
+            some.sort(key=lambda w: self.place[w][1])
+            x, y, opening = self.tagger.bounds(e)
+            starts = np.array([self.where[w][1] == 0 for w in some])
+            x[0] = np.where(starts, opening[0], x[0])
+            y[0] = np.where(starts, -1e6, y[0])
+            begin[some, : len(x)], inside[some, : len(y)] = x.T, y.T
+        later = np.flatnonzero([a > 0 for _, a, _ in self.where])
+        shared = WINDOW - STRIDE
+        for x in (begin, inside):
+            x[later, :shared] = FADE * x[later, :shared] + (1 - FADE) * x[later - 1, STRIDE:]
+        own = np.array([STRIDE if b < len(self.encoded[k]) else b - a for k, a, b in self.where])
+        kept = np.arange(WINDOW) < own[:, None]
+        ends = np.cumsum([len(ids) for ids in self.encoded])
+        out = []
+        for a, b in self.tagger.ranges(begin[kept], inside[kept]):
+            k = int(np.searchsorted(ends, a, "right"))
+            while a < b:  # parts of two texts may touch
+                start, stop = int(ends[k]) - len(self.encoded[k]), min(b, int(ends[k]))
+                if stop > a:
+                    out.append((k, a - start, stop - start))
+                a, k = max(a, stop), k + 1
+        return out
+
+    def merged(self, k: int, a: int, b: int) -> np.ndarray:
+        """Faded emissions (steps, tags) of text k from a to b."""
+        out, n = np.zeros((b - a, len(TAGS)), np.float32), len(self.encoded[k])
+        for w in range(int(self.first[k]) + max(0, a - WINDOW + STRIDE) // STRIDE, int(self.first[k + 1])):
+            _, begin, end = self.where[w]
+            lo, hi = max(a, begin), min(b, end)
+            if begin >= b:
+                break
+            if lo >= hi:
+                continue
+            batch, row = self.place[w]
+            weight = np.ones(end - begin, np.float32)
+            if begin > 0:
+                weight[: WINDOW - STRIDE] *= FADE[: end - begin]
+            if end < n:
+                weight[STRIDE:] *= 1 - FADE
+            out[lo - a : hi - a] += self.emissions[batch][:, lo - begin : hi - begin, row].T * weight[lo - begin : hi - begin, None]
+        return out
+
+
 def tagged_spans(texts: list[str], tagger: Tagger) -> list[list[Span]]:
     """Spans on the best path over each whole text; equal texts are read once."""
-    some = [t for t in dict.fromkeys(texts) if len(t) <= STRETCH * STRIDE]
+    some = [t for t in dict.fromkeys(texts) if 0 < len(t) <= STRETCH * STRIDE]
     encoded = [classes(t) for t in some]
-    paths = tagger.tags_of(merged_emissions([(ids, 0, len(windows(len(ids)))) for ids in encoded if len(ids)], tagger))
-    spans = {t: _spans(t, tags, 0) for t, tags in zip([t for t in some if t], paths, strict=True)}
+    spans: dict[str, list[Span]] = {t: [] for t in some}
+    read = Windows(encoded, tagger)
+    found = read.possible_parts()
+    at = 0
+    while at < len(found):
+        stop, size = at, 0
+        while stop < len(found) and (stop == at or size + found[stop][2] - found[stop][1] <= 200_000):  # a bounded block of scores
+            size += found[stop][2] - found[stop][1]
+            stop += 1
+        block = found[at:stop]
+        opens, closes = np.array([a == 0 for _, a, _ in block]), np.array([b == len(encoded[k]) for k, _, b in block])
+        for (k, a, _), tags in zip(block, tagger.best_paths([read.merged(*x) for x in block], opens, closes)):
+            spans[some[k]] += _spans(some[k], tags, a)
+        at = stop
     spans |= {t: long_text_spans(t, tagger) for t in dict.fromkeys(texts) if len(t) > STRETCH * STRIDE}
     return [spans.get(t, []) for t in texts]
 

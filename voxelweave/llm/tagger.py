@@ -13,6 +13,8 @@ TAGS = ["O", *(f"{p}-{k}" for k in KINDS for p in "BI")]
 OWN = "0123456789@.,:;+-()[]{}<>_%/\\ \n\t'\"=#*|abcdefghijklmnopqrstuvwxyz"
 CLASSES = len(OWN) + 4
 BANNED = -1e4
+#: Steps of a piece of a long path.
+PIECE = 96
 PLANE = 1 << 16
 
 
@@ -126,64 +128,109 @@ class Tagger:
         planes += self.p["b"].astype(np.float32)[:, None]
         return planes.reshape(len(TAGS), ids.shape[1], len(ids)).transpose(1, 2, 0)
 
-    def candidates(self, e: np.ndarray, at_start: bool = True) -> list[tuple[int, int]]:
-        """Ranges of a text's emissions (steps, tags) outside of which the best path has O for certain.
+    def bounds(self, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """By how much a span can gain over O at most where it begins, where it goes on or follows another, and where it
+        begins a text, for each place of emissions (tags, ...)."""
+        trans = self.p["t"] + self.allowed - self.p["t"][0, 0]
+        begin, inside = np.full(e.shape[1:], -np.inf, np.float32), np.full(e.shape[1:], -np.inf, np.float32)
+        for k in range(1, len(TAGS), 2):
+            np.maximum(begin, e[k] + np.float32(trans[0, k]), out=begin)
+            np.maximum(inside, e[k] + np.float32(trans[1:, k].max()), out=inside)
+            np.maximum(inside, e[k + 1] + np.float32(max(trans[k, k + 1], trans[k + 1, k + 1])), out=inside)
+        begin -= e[0]
+        inside -= e[0]
+        return begin, inside, e[1::2].max(0) - e[0]  # at a text's first character there is no transition
+
+    def ranges(self, begin: np.ndarray, inside: np.ndarray) -> list[tuple[int, int]]:
+        """Ranges outside of which the best path has O for certain, from bounds of each place.
 
         Spans that follow each other without a gap gain over having O instead of them, or the best path had O there. They
-        gain by their begin, at most by their end, and by each character between at most what any kind gains there. So
-        from each begin, sums of these bounds say up to where such spans can go, if anywhere.
+        gain by their begin, at most by their end, and by each character between at most its bound. So from each begin,
+        sums of the bounds say up to where such spans can go, if anywhere.
         """
-        if not len(e):
+        if not len(begin):
             return []
-        trans = self.p["t"] + self.allowed - self.p["t"][0, 0]
-        kinds = range(1, len(TAGS), 2)
-        begin, inside = np.full(len(e), -np.inf, np.float32), np.full(len(e), -np.inf, np.float32)
-        for k in kinds:
-            np.maximum(begin, e[:, k] + np.float32(trans[0, k]), out=begin)
-            np.maximum(inside, e[:, k] + np.float32(trans[1:, k].max()), out=inside)
-            np.maximum(inside, e[:, k + 1] + np.float32(max(trans[k, k + 1], trans[k + 1, k + 1])), out=inside)
-        if at_start:
-            begin[0] = e[0, 1::2].max()  # the first character has no transition before it
-        begin -= e[:, 0]
-        inside -= e[:, 0]
         total = np.cumsum(inside, dtype=np.float64)
         best = np.maximum.accumulate(total[::-1])  # of all later places, from the last place back
-        least = -1e-2 - max(float(trans[1:, 0].max()), 0.0)  # rounding mustn't hide a gain
+        least = -1e-2 - max(float((self.p["t"][1:, 0] - self.p["t"][0, 0]).max()), 0.0)  # rounding mustn't hide a gain
         starts = np.flatnonzero(begin + best[::-1] - total > least)
         if not len(starts):
             return []
-        reach = len(e) - 1 - np.searchsorted(best, least - begin[starts] + total[starts], "right")
-        out: list[tuple[int, int]] = []
-        for s, end in zip(starts.tolist(), reach.tolist()):
-            if out and s <= out[-1][1] + 1:
-                out[-1] = (out[-1][0], max(out[-1][1], end))
-            else:
-                out.append((s, max(s, end)))
-        return [(s, end + 1) for s, end in out]
+        reach = len(begin) - np.searchsorted(best, least - begin[starts] + total[starts], "right")
+        reach = np.maximum.accumulate(np.maximum(reach, starts + 1))
+        first = np.concatenate([[True], starts[1:] > reach[:-1]])
+        last = np.concatenate([first[1:], [True]])
+        return list(zip(starts[first].tolist(), reach[last].tolist()))
+
+    def candidates(self, e: np.ndarray, at_start: bool = True) -> list[tuple[int, int]]:
+        """Ranges of one text's emissions (steps, tags) outside of which the best path has O for certain."""
+        begin, inside, opening = self.bounds(np.ascontiguousarray(e.T))
+        if at_start and len(begin):
+            begin[0] = opening[0]
+        return self.ranges(begin, inside)
 
     def best_paths(self, parts: list[np.ndarray], opens: np.ndarray, closes: np.ndarray) -> list[np.ndarray]:
         """Best tags of each part's emissions (steps, tags); opens: nothing stands before it, closes: nothing after it,
-        else there is an O. Parts of all lengths go together, and a short one keeps its scores when it is over."""
+        else there is an O.
+
+        A long part is cut into pieces, and each piece after the first is solved for every tag that may stand before it.
+        Pieces of all parts take their steps together; then each part's best way from piece to piece is found.
+        """
         trans = (self.p["t"] + self.allowed).astype(np.float32)
-        sizes = np.array([len(x) for x in parts])
-        e = np.zeros((sizes.max(), len(parts), len(TAGS)), np.float32)
-        for k, x in enumerate(parts):
+        pieces, before, of = [], [], []
+        for k, e in enumerate(parts):
+            for at in range(0, len(e), PIECE):
+                for tag in range(len(TAGS)) if at else [-1]:
+                    pieces.append(e[at : at + PIECE])
+                    before.append((self.first if opens[k] else trans[0]) if tag < 0 else trans[tag])
+                    of.append(k)
+        scores, paths = self._solved(pieces, np.array(before), trans)
+        out, i, n = [], 0, len(TAGS)
+        for k, e in enumerate(parts):
+            rows, score, ways = [i], scores[i], []
+            i += 1
+            for _ in range(PIECE, len(e), PIECE):
+                through = score[:, None] + scores[i : i + n]  # from the tag before to the piece's last tag
+                ways.append(through.argmax(0))
+                score = through.max(0)
+                rows.append(i)
+                i += n
+            tag = int((score + (0 if closes[k] else trans[:, 0])).argmax())
+            tags = []
+            for j in range(len(rows) - 1, -1, -1):
+                came = int(ways[j - 1][tag]) if j else 0
+                tags.append(paths(rows[j] + came, tag))
+                tag = came
+            out.append(np.concatenate(tags[::-1]))
+        return out
+
+    def _solved(self, pieces: list[np.ndarray], before: np.ndarray, trans: np.ndarray):
+        """Best score of each piece by its last tag, where `before` is added to its first tags; and a function of a piece
+        and its last tag that gives its best tags."""
+        sizes = np.array([len(x) for x in pieces])
+        e = np.zeros((sizes.max(), len(pieces), len(TAGS)), np.float32)
+        for k, x in enumerate(pieces):
             e[: len(x), k] = x
-        score = e[0] + np.where(opens[:, None], self.first, trans[0])
+        order = np.argsort(-sizes, kind="stable")  # the pieces that are still on are always the first ones
+        e, place = e[:, order], np.argsort(order)
+        score = e[0] + before[order]
         back = np.empty(e.shape, np.int8)
-        stay = np.arange(len(TAGS), dtype=np.int8)
         for s in range(1, len(e)):
-            all_ = score[:, :, None] + trans
-            on = (s < sizes)[:, None]
-            back[s] = np.where(on, all_.argmax(1), stay)
-            score = np.where(on, all_.max(1) + e[s], score)
-        score = score + np.where(closes[:, None], 0, trans[:, 0])
-        rows = np.arange(len(parts))
-        tags = np.empty(e.shape[:2], np.int64)
-        tags[-1] = score.argmax(1)
-        for s in range(len(e) - 2, -1, -1):
-            tags[s] = back[s + 1][rows, tags[s + 1]]
-        return [tags[:n, k] for k, n in enumerate(sizes)]
+            on = int((sizes > s).sum())
+            all_ = score[:on, None, :] + trans.T  # last tag before along the last axis
+            came = all_.argmax(2)
+            back[s, :on] = came
+            score[:on] = np.take_along_axis(all_, came[:, :, None], 2)[:, :, 0] + e[s, :on]
+
+        def path(k: int, tag: int) -> np.ndarray:
+            out, row = np.empty(sizes[k], np.int64), place[k]
+            for s in range(sizes[k] - 1, 0, -1):
+                out[s] = tag
+                tag = back[s, row, tag]
+            out[0] = tag
+            return out
+
+        return score[place], path
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
         """Best tags (rows, steps) of rows that are whole texts."""
@@ -192,20 +239,11 @@ class Tagger:
     def tags_of(self, emissions: list[np.ndarray]) -> np.ndarray | list[np.ndarray]:
         """Best tags of whole texts by their emissions (steps, tags)."""
         out = [np.zeros(len(e), np.int64) for e in emissions]
-        found = sorted(((k, a, b) for k, e in enumerate(emissions) for a, b in self.candidates(e)), key=lambda x: x[2] - x[1])
-        at = 0
-        while at < len(found):
-            longest = found[at][2] - found[at][1]
-            stop = at
-            while stop < len(found) and (stop - at) < max(1, min(4096, 400_000 // max(longest, 1))):  # a bounded block of scores
-                longest = found[stop][2] - found[stop][1]
-                stop += 1
-            some = found[at:stop]
-            opens = np.array([a == 0 for _, a, _ in some])
-            closes = np.array([b == len(emissions[k]) for k, _, b in some])
-            for (k, a, b), tags in zip(some, self.best_paths([emissions[k][a:b] for k, a, b in some], opens, closes)):
+        found = [(k, a, b) for k, e in enumerate(emissions) for a, b in self.candidates(e)]
+        if found:
+            opens, closes = np.array([a == 0 for _, a, _ in found]), np.array([b == len(emissions[k]) for k, _, b in found])
+            for (k, a, b), tags in zip(found, self.best_paths([emissions[k][a:b] for k, a, b in found], opens, closes)):
                 out[k][a:b] = tags
-            at = stop
         return out
 
     def gradients(self, ids: np.ndarray, gold: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
