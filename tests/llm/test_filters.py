@@ -278,11 +278,11 @@ def test_short_texts_are_one_whole_path(tagged):
 def test_long_spans_at_every_place(tagged):
     """An address of 64 characters is found as often across the ends of windows as inside of one."""
     r, planted, found = random.Random(3), " maria.lopez.fernandez at mail dot department dot example dot com ", {}
-    for at in range(350, 800):
-        prose = " ".join("".join(r.choice("etaoinshrdlu") for _ in range(r.randint(2, 9))) for _ in range(260))
-        text = prose[:at] + planted + prose[at:1100]
+    for at in range(500, 950):
+        prose = " ".join("".join(r.choice("etaoinshrdlu") for _ in range(r.randint(2, 9))) for _ in range(300))
+        text = prose[:at] + planted + prose[at:1300]
         found[at] = ("email", at + 1, at + len(planted) - 1) in pii.spans_of_texts([text], tagged)[0][1]
-    ends = [k for k in found if any(k < e < k + 64 for e in (456, 512))]
+    ends = [k for k in found if any(k < e < k + 64 for e in (712, 768))]
     inside = [k for k in found if k not in ends]
     share = lambda some: sum(found[k] for k in some) / len(some)
     assert share(inside) > 0.3 and share(ends) > share(inside) - 0.1

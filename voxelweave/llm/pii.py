@@ -30,9 +30,9 @@ _DOT = r"(?:\s*(?:\.|[\[({<] ?(?:dot|\.) ?[\])}>])\s*|\s+dot\s+)"
 ADDRESS = re.compile(rf"[a-z0-9_%+-]+(?:{_DOT}[a-z0-9_%+-]+)*{_AT}[a-z0-9-]+(?:{_DOT}[a-z0-9-]+)*{_DOT}[a-z]{{2,}}", re.IGNORECASE)
 Span = tuple[str, int, int]
 #: Characters of a window, and how far windows are apart.
-WINDOW, STRIDE = 512, 456
+WINDOW, STRIDE = 768, 712
 #: Windows of a text that are merged at once; a longer text goes on from where certainly no span is.
-STRETCH = 4096
+STRETCH = 2048
 
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
@@ -158,9 +158,14 @@ class Windows:
         self.emissions: list[np.ndarray] = []
         space = classes(" ")[0]
         order = sorted(range(len(self.where)), key=lambda i: self.where[i][2] - self.where[i][1])  # short ones together
-        for at in range(0, len(order), rows):
-            some = order[at : at + rows]
-            wide = self.where[some[-1]][2] - self.where[some[-1]][1]
+        sizes = [self.where[w][2] - self.where[w][1] for w in order]
+        at = 0
+        while at < len(order):
+            stop = at + 1
+            while stop < len(order) and stop - at < rows and (sizes[stop] <= 2 * sizes[at] or stop - at < 128):  # little is filled up
+                stop += 1
+            some = order[at:stop]
+            at, wide = stop, sizes[stop - 1]
             ids = np.full((len(some), wide), space, np.uint8)
             for i, w in enumerate(some):
                 k, a, b = self.where[w]
