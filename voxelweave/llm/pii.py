@@ -150,7 +150,7 @@ def long_text_spans(text: str, tagger: Tagger) -> list[Span]:
 class Windows:
     """Windows of texts behind each other, with what the tagger says of each: `emissions` (tags, steps, windows) by batch."""
 
-    def __init__(self, encoded: list[np.ndarray], tagger: Tagger, rows: int = 2048) -> None:
+    def __init__(self, encoded: list[np.ndarray], tagger: Tagger, rows: int = 1024) -> None:
         self.encoded, self.tagger = encoded, tagger
         self.where = [(k, a, b) for k, ids in enumerate(encoded) for a, b in windows(len(ids))]
         self.first = np.concatenate([[0], np.cumsum([len(windows(len(ids))) for ids in encoded])])  # of each text

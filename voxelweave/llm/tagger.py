@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import random
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -86,47 +87,53 @@ class Tagger:
                 saved.append((s, i, f, o, new, t, before, was))
         return out, saved
 
-    def states(self, ids: np.ndarray, way: str) -> np.ndarray:
-        """Half of the hidden states (steps, rows, hidden): as lstm, with one exp for all gates and no copies.
+    def states(self, ids: np.ndarray, way: str) -> Iterator[tuple[int, np.ndarray]]:
+        """Each step and half of its hidden states (rows, hidden): as lstm, with one exp for all gates and no copies.
 
         Gates are 1 / (1 + exp(-x)). With halves of the cells and of the states, tanh(x) / 2 is such a gate of 2 x less
-        a half; the factors are in the weights.
+        a half; the factors are in the weights. Each gate is a block of its own in memory. The states are good until the
+        next step.
         """
         h_, p, n = self.hidden, self.p, len(ids)
-        turn = np.r_[0 : 2 * h_, 3 * h_ : 4 * h_, 2 * h_ : 3 * h_]  # input, forget, output, new
-        factor = np.where(np.arange(4 * h_) < 3 * h_, -1, -2).astype(np.float32)
-        table = ((p["e"] @ p[f"x{way}"] + p[f"c{way}"])[:, turn] * factor).astype(np.float32)
-        inner = (p[f"h{way}"][:, turn] * factor * 2).astype(np.float32)
-        order, at = np.ascontiguousarray(ids.T), np.empty((n, 4 * h_), np.float32)
-        z, c, t, h = np.empty_like(at), np.zeros((n, h_), np.float32), np.empty((n, h_), np.float32), np.zeros((n, h_), np.float32)
-        out = np.empty((len(order), n, h_), np.float32)
-        new = z[:, 3 * h_ :]
+        turn, factor = [0, 1, 3, 2], np.array([-1, -1, -1, -2], np.float32)[:, None, None]  # input, forget, output, new
+        by_gate = lambda x: x.reshape(-1, 4, h_).transpose(1, 0, 2)[turn] * factor
+        table = np.ascontiguousarray(by_gate(p["e"] @ p[f"x{way}"] + p[f"c{way}"]), np.float32)
+        inner = np.ascontiguousarray(by_gate(p[f"h{way}"]) * 2, np.float32)
+        order = np.ascontiguousarray(ids.T)
+        at, z = np.empty((4, n, h_), np.float32), np.empty((4, n, h_), np.float32)
+        c, t, h = np.zeros((n, h_), np.float32), np.empty((n, h_), np.float32), np.zeros((n, h_), np.float32)
+        write, forget, show, new = z
         with np.errstate(over="ignore"):
             for s in range(len(order)) if way == "f" else range(len(order) - 1, -1, -1):
                 np.matmul(h, inner, out=z)
-                np.take(table, order[s], axis=0, out=at, mode="clip")
+                np.take(table, order[s], axis=1, out=at, mode="clip")
                 z += at
                 np.exp(z, out=z)
                 z += 1
                 np.reciprocal(z, out=z)
                 new -= 0.5
-                c *= z[:, h_ : 2 * h_]
-                np.multiply(new, z[:, :h_], out=t)
+                c *= forget
+                np.multiply(new, write, out=t)
                 c += t
                 np.multiply(c, -4, out=t)
                 np.exp(t, out=t)
                 t += 1
                 np.reciprocal(t, out=t)
                 t -= 0.5
-                h = np.multiply(t, z[:, 2 * h_ : 3 * h_], out=out[s])
-        return out
+                yield s, np.multiply(t, show, out=h)
 
     def emissions(self, ids: np.ndarray) -> np.ndarray:
-        """(steps, rows, tags), a plane for each tag in memory."""
-        o = 2 * self.p["o"].astype(np.float32)
-        planes = sum(part.T @ self.states(ids, way).reshape(-1, self.hidden).T for way, part in (("f", o[: self.hidden]), ("r", o[self.hidden :])))
-        planes += self.p["b"].astype(np.float32)[:, None]
-        return planes.reshape(len(TAGS), ids.shape[1], len(ids)).transpose(1, 2, 0)
+        """(steps, rows, tags), each step's rows of a tag behind each other in memory."""
+        o = np.ascontiguousarray(2 * self.p["o"].T, np.float32)
+        out = np.empty((ids.shape[1], len(TAGS), len(ids)), np.float32)
+        for s, h in self.states(ids, "f"):
+            np.matmul(o[:, : self.hidden], h.T, out=out[s])
+        more, b = np.empty(out.shape[1:], np.float32), self.p["b"].astype(np.float32)[:, None]
+        for s, h in self.states(ids, "r"):
+            np.matmul(o[:, self.hidden :], h.T, out=more)
+            more += b
+            out[s] += more
+        return out.transpose(0, 2, 1)
 
     def bounds(self, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """By how much a span can gain over O at most where it begins, where it goes on or follows another, and where it
@@ -208,29 +215,38 @@ class Tagger:
         """Best score of each piece by its last tag, where `before` is added to its first tags; and a function of a piece
         and its last tag that gives its best tags."""
         sizes = np.array([len(x) for x in pieces])
-        e = np.zeros((sizes.max(), len(pieces), len(TAGS)), np.float32)
-        for k, x in enumerate(pieces):
-            e[: len(x), k] = x
         order = np.argsort(-sizes, kind="stable")  # the pieces that are still on are always the first ones
-        e, place = e[:, order], np.argsort(order)
-        score = e[0] + before[order]
+        place = np.argsort(order)
+        e = np.zeros((sizes.max(), len(TAGS), len(pieces)), np.float32)
+        for k, x in enumerate(pieces):
+            e[: len(x), :, place[k]] = x
+        score = e[0] + before[order].T
         back = np.empty(e.shape, np.int8)
+        starts = [j for j, tag in enumerate(TAGS) if tag[0] != "I"]
         for s in range(1, len(e)):
             on = int((sizes > s).sum())
-            all_ = score[:on, None, :] + trans.T  # last tag before along the last axis
-            came = all_.argmax(2)
-            back[s, :on] = came
-            score[:on] = np.take_along_axis(all_, came[:, :, None], 2)[:, :, 0] + e[s, :on]
+            was = score[:, :on].copy()
+            now, came = np.empty_like(was), back[s, :, :on]
+            for j in range(len(TAGS)):  # tags before in order, so the first of equal ones is taken; I- has two
+                ways = range(len(TAGS)) if j in starts else (j - 1, j)
+                now[j] = was[ways[0]] + trans[ways[0], j]
+                came[j] = ways[0]
+                for i in ways[1:]:
+                    one = was[i] + trans[i, j]
+                    better = one > now[j]
+                    now[j][better] = one[better]
+                    came[j][better] = i
+            score[:, :on] = now + e[s, :, :on]
 
         def path(k: int, tag: int) -> np.ndarray:
             out, row = np.empty(sizes[k], np.int64), place[k]
             for s in range(sizes[k] - 1, 0, -1):
                 out[s] = tag
-                tag = back[s, row, tag]
+                tag = int(back[s, tag, row])
             out[0] = tag
             return out
 
-        return score[place], path
+        return np.ascontiguousarray(score.T[place]), path
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
         """Best tags (rows, steps) of rows that are whole texts."""
