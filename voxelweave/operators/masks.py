@@ -78,6 +78,35 @@ def sync_plan(remote: DataFrame, local: DataFrame, refresh: bool = False) -> Dat
     return new.union(remote.join(there, "path").filter(~F.col("hash").eqNullSafe(F.col("__h"))).select("path", F.lit("changed").alias("reason")))
 
 
+def merge_indexes(*indexes: DataFrame, key: str = "path") -> DataFrame:
+    """key, the columns of any index, and source (from 0): each key with its row of the last index that has it.
+
+    One aggregate over all rows, of which tasks send one row for each key that they have. Of rows of one index with
+    equal keys the largest one counts, column by column, nulls last; a null key is a key like others. A column that
+    an index lacks is null for its rows. Indexes without rows add nothing.
+    """
+    names = list(dict.fromkeys(c for x in indexes for c in x.columns if c != key))
+    rows = None
+    for k, x in enumerate(indexes):
+        x = x.withColumn("__source", F.lit(k))
+        rows = x if rows is None else rows.unionByName(x, allowMissingColumns=True)
+    best = rows.groupBy(key).agg(F.max(F.struct("__source", *names)).alias("__best"))
+    return best.select(key, *(F.col("__best")[c].alias(c) for c in names), F.col("__best")["__source"].alias("source"))
+
+
+def index_downloads(members: DataFrame, present: DataFrame, previous: DataFrame, refresh: bool = False) -> DataFrame:
+    """path, reason of the members (path, hash) to fetch: those that aren't among the present paths, and on refresh
+    present ones whose hash isn't the one they were fetched with, as the previous index (path, hash) has it.
+
+    A present member that the previous index doesn't have, or has without a hash, is fetched again on refresh. Present
+    paths may repeat; of repeated ones of the previous index the largest hash counts. Members without a path are missing.
+    """
+    there = present.select("path").distinct()
+    if refresh:
+        there = there.join(merge_indexes(previous.select("path", "hash")).drop("source"), "path", "left")
+    return sync_plan(members, there, refresh)
+
+
 def group_spans(df: DataFrame, order: str, group: str) -> DataFrame:
     """group, first, last, n of each run of equal groups in order.
 

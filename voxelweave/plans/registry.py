@@ -742,6 +742,22 @@ def download_sync(spark, d):
     return masks.sync_plan(remote, local, refresh=True)
 
 
+@query("index_merge", "SELECT path, crc, source FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY source DESC, crc DESC) AS n FROM (SELECT o_orderkey AS path, o_custkey AS crc, 0 AS source FROM orders UNION ALL SELECT l_partkey, l_suppkey, 1 FROM lineitem UNION ALL SELECT o_orderkey, o_custkey, 2 FROM orders WHERE o_orderstatus = 'F')) WHERE n = 1")
+def index_merge(spark, d):
+    orders = views.table(spark, d, "orders")
+    remote = orders.select(F.col("o_orderkey").alias("path"), F.col("o_custkey").alias("crc"))
+    previous = views.table(spark, d, "lineitem").select(F.col("l_partkey").alias("path"), F.col("l_suppkey").alias("crc"))
+    return masks.merge_indexes(remote, previous, remote.where(orders["o_orderstatus"] == "F"))
+
+
+@query("index_downloads", "WITH L AS (SELECT l_orderkey, max(l_linestatus) FILTER (WHERE l_returnflag = 'N') AS hash FROM lineitem GROUP BY ALL) SELECT o_orderkey AS path, CASE WHEN l_orderkey IS NULL THEN 'missing' ELSE 'changed' END AS reason FROM orders LEFT JOIN L ON l_orderkey = o_orderkey WHERE hash IS DISTINCT FROM o_orderstatus")
+def index_downloads(spark, d):
+    members = views.table(spark, d, "orders").select(F.col("o_orderkey").alias("path"), F.col("o_orderstatus").alias("hash"))
+    lines = views.table(spark, d, "lineitem")
+    previous = lines.filter("l_returnflag = 'N'").select(F.col("l_orderkey").alias("path"), F.col("l_linestatus").alias("hash"))
+    return masks.index_downloads(members, lines.select(F.col("l_orderkey").alias("path")), previous, refresh=True)
+
+
 @query("gaussian_smooth_1d", f"""WITH {E}, S AS (SELECT 2.0 / (2 * sqrt(2 * ln(2))) AS s), K AS (SELECT k, exp(-0.5 * (k / s) ** 2) AS w FROM S, range(-10, 11) t(k) WHERE abs(k) <= floor(4 * s + 0.5)), N AS (SELECT k, w / sum(w) OVER () AS w FROM K),
   Q AS (SELECT v AS o, CASE WHEN (v + k + 128) % 128 < 64 THEN (v + k + 128) % 128 ELSE 127 - (v + k + 128) % 128 END AS voxel_id, w FROM N, range(64) t(v))
   SELECT t_idx, o AS voxel_id, round(sum(value * w), 6) + 0.0 AS value FROM E JOIN Q USING (voxel_id) GROUP BY ALL""")
