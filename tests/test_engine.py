@@ -217,8 +217,6 @@ def test_event_files(spark, tmp_path):
     q.write_text("1.0\t2.0\n3.0\t4.0\n")
     f = tables.load_physio(spark, str(q), {"Columns": ["pulse", "resp"], "SamplingFrequency": 2.0, "StartTime": -0.5}).orderBy("i").collect()
     assert [r.time for r in f] == [-0.5, 0.0] and f[1].pulse == 3.0
-    assert tables.from_bids(tables.to_bids({"repetition_time": 1.0, "slice_timing": [0]})) == {"repetition_time": 1.0, "slice_timing": [0]}
-    assert tables.validate_metadata({}) and not tables.validate_metadata({"RepetitionTime": 1.0})
 
 
 def test_stream(spark, tmp_path):

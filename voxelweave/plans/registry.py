@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import scale
 from ..operators import atlas, decompose, glm, masks, reductions, runs, series, spatial, thresholds, validate, windows
 from ..operators.layout import checkpointed, to_long, to_series
+from ..sources import bids
 from . import views
 from .views import B, E, G, H, P, R, V
 
@@ -850,6 +851,29 @@ def stack_lags(spark, d):
     return out.groupBy("lag", "voxel_id").agg(F.avg("value").alias("v")).select("lag", "voxel_id", (F.round("v", 6) + 0.0).alias("value"))
 
 
+SIDECARS = """S AS (SELECT *, o_orderkey % 3 <> 0 AS rt, o_orderkey % 5 = 0 AS vt, o_custkey % 4 = 0 AS fad FROM orders)
+  SELECT o_orderkey, 'RepetitionTime' AS location, 'error' AS level, 'must be > 0' AS message FROM S WHERE rt AND o_custkey % 7 < 2
+  UNION ALL SELECT o_orderkey, 'VolumeTiming.1', 'error', 'must be a number' FROM S WHERE vt
+  UNION ALL SELECT o_orderkey, 'SliceEncodingDirection', 'error', 'must be one of i, j, k, i-, j-, k-' FROM S WHERE o_custkey % 2 = 1
+  UNION ALL SELECT o_orderkey, 'TaskName', 'error', 'must be text' FROM S WHERE o_orderkey % 11 = 0
+  UNION ALL SELECT o_orderkey, 'RepetitionTime', 'error', 'excludes VolumeTiming' FROM S WHERE rt AND vt
+  UNION ALL SELECT o_orderkey, 'FrameAcquisitionDuration', 'error', 'is needed with VolumeTiming when there is no SliceTiming' FROM S WHERE vt AND NOT fad
+  UNION ALL SELECT o_orderkey, 'FrameAcquisitionDuration', 'error', 'excludes RepetitionTime' FROM S WHERE rt AND fad
+  UNION ALL SELECT o_orderkey, 'RepetitionTime', 'warning', 'or VolumeTiming should be given with other fields of timing' FROM S WHERE NOT rt AND NOT vt"""
+
+
+@query("metadata_problems", f"WITH {SIDECARS}")
+def metadata_problems(spark, d):
+    o = views.table(spark, d, "orders")
+    period = F.when(F.col("o_orderkey") % 3 != 0, F.concat(F.lit('"RepetitionTime":'), (F.col("o_custkey") % 7 - 1).cast("string")))
+    onsets = F.when(F.col("o_orderkey") % 5 == 0, F.concat(F.lit('"VolumeTiming":[0,"'), "o_orderstatus", F.lit('",1.5]')))
+    lasts = F.when(F.col("o_custkey") % 4 == 0, F.lit('"FrameAcquisitionDuration":0.5'))
+    way = F.concat(F.lit('"SliceEncodingDirection":"'), F.when(F.col("o_custkey") % 2 == 0, "k").otherwise(F.substring("o_orderpriority", 1, 1)), F.lit('"'))
+    task = F.concat(F.lit('"TaskName":'), F.when(F.col("o_orderkey") % 11 == 0, F.col("o_orderkey").cast("string")).otherwise('"rest"'))
+    text = F.concat(F.lit("{"), F.concat_ws(",", period, onsets, lasts, way, task), F.lit("}"))
+    return bids.metadata_problems(o.select("o_orderkey", text.alias("text")))
+
+
 @query("register_translation")
 def register_translation(spark, d):
     t = spark.range(3).withColumnRenamed("id", "t_idx")

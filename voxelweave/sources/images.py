@@ -13,7 +13,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from .sinks import grid_shape, put, save_blocks_of_image, store_of
-from .tables import from_bids, json_safe, slice_times, to_bids
+from .bids import from_bids, to_bids
+from .tables import json_safe, slice_times
 from .volumes import NIFTI_TYPES, image_head, load_nifti
 
 #: Units of space and time by their codes in the header.

@@ -1,4 +1,4 @@
-"""Tables that describe recordings: events, physiological signals, metadata in BIDS names, slice times."""
+"""Tables that describe recordings: events, physiological signals, slice times."""
 
 from __future__ import annotations
 
@@ -9,11 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.scale import normalize_trial_type
-
-#: Names whose BIDS form isn't the plain one, and fields that stay internal.
-BIDS_NAMES = {"repetition_time": "RepetitionTime", "volume_timing": "VolumeTiming", "transmit_frequency": "ProbeCentralFrequency", "sound_velocity": "SpeedOfSound"}
-INTERNAL = {"affines", "cmap", "norm"}
-
+from .bids import load_sidecars
 
 def load_events(spark: SparkSession, path: str) -> DataFrame:
     """onset, duration, trial_type, extras of tab-separated files; onset and duration must be numbers, duration not negative."""
@@ -36,45 +32,49 @@ def save_events(events: DataFrame, path: str) -> None:
     events.select(*first, *[c for c in events.columns if c not in first]).orderBy("onset").write.csv(path, sep="\t", header=True, nullValue="n/a", mode="overwrite")
 
 
-def load_physio(spark: SparkSession, path: str, sidecar: dict) -> DataFrame:
-    """i, time and the sidecar's columns of a table without a header; time from StartTime and SamplingFrequency if absent."""
-    columns = sidecar["Columns"]
+def load_physio(spark: SparkSession, path: str, sidecar: dict | None = None) -> DataFrame:
+    """path, i, time and the sidecar's columns of tables without a header; time from StartTime and SamplingFrequency if absent.
+
+    Without `sidecar`, each file's own one lies beside it as .json; all of them name the same columns, while starts and
+    rates may differ. Rows are numbered within their file: block by block, from counts of the blocks before. A row of
+    another width, or with what isn't a number, raises when it is read.
+    """
+    plain = lambda c: F.regexp_replace(c, r"(\.tsv(\.gz)?|\.json)$", "")
+    files = None
+    if sidecar is None:
+        told = load_sidecars(spark, re.sub(r"\.tsv(\.gz)?$", ".json", path))
+        files = told.select(plain("path").alias("__file"), F.from_json("text", "Columns array<string>, StartTime double, SamplingFrequency double").alias("s")).select("__file", "s.*")
+        names = [list(r.Columns or []) for r in files.select("Columns").distinct().limit(2).collect()]
+        if len(names) != 1:
+            raise ValueError("the sidecars name different columns")
+        columns = names[0]
+    else:
+        columns = list(sidecar.get("Columns") or [])
     if not columns:
         raise ValueError("the sidecar names no columns")
     schema = ", ".join(f"`{c}` double" for c in columns)
-    rows = spark.read.csv(path, sep="\t", header=False, schema=schema, nullValue="n/a")
-    numbered = rows.withColumn("__m", F.monotonically_increasing_id())  # rows of one file are in order
-    numbered = numbered.withColumn("i", F.row_number().over(Window.orderBy("__m")) - 1).drop("__m")
+    rows = spark.read.csv(path, sep="\t", header=False, schema=schema, nullValue="n/a", mode="FAILFAST")
+    rows = rows.select("*", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__m"))
+    if files is not None and rows.select(plain("path").alias("__file")).distinct().join(files, "__file", "left_anti").limit(1).count():
+        raise FileNotFoundError("a table has no sidecar")
+    counts = rows.groupBy("path", "__block").agg(F.count(F.lit(1)).alias("n"))  # a row for each block, not for each sample
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    here = F.row_number().over(Window.partitionBy("path", "__block").orderBy("__m")) - 1
+    numbered = rows.withColumn("__here", here).join(counts.select("path", "__block", before.alias("__before")), ["path", "__block"])
+    numbered = numbered.withColumn("i", F.col("__before") + F.col("__here"))
     if "time" in columns:
-        return numbered
-    rate = float(sidecar["SamplingFrequency"])
-    return numbered.withColumn("time", F.lit(float(sidecar.get("StartTime", 0.0))) + F.col("i") / rate)
-
-
-def to_bids(attrs: dict) -> dict:
-    """snake_case names as BIDS has them; internal fields go."""
-    return {BIDS_NAMES.get(k) or "".join(x[:1].upper() + x[1:] for x in k.split("_")): v for k, v in attrs.items() if k not in INTERNAL}
-
-
-def from_bids(attrs: dict) -> dict:
-    back = {v: k for k, v in BIDS_NAMES.items()}
-    return {back.get(k) or re.sub(r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", "_", k).lower(): v for k, v in attrs.items()}
-
-
-def validate_metadata(attrs: dict) -> list[str]:
-    """What is wrong with BIDS metadata, in words."""
-    out = []
-    if ("RepetitionTime" in attrs) == ("VolumeTiming" in attrs):
-        out.append("exactly one of RepetitionTime and VolumeTiming is needed")
-    if "VolumeTiming" in attrs and not {"SliceTiming", "FrameAcquisitionDuration"} & set(attrs):
-        out.append("VolumeTiming needs SliceTiming or FrameAcquisitionDuration")
-    for k in ("RepetitionTime", "FrameAcquisitionDuration", "ProbeCentralFrequency", "SpeedOfSound"):
-        if k in attrs and not (isinstance(attrs[k], (int, float)) and attrs[k] > 0):
-            out.append(f"{k} must be a positive number")
-    timing = attrs.get("VolumeTiming")
-    if timing is not None and (np.diff(timing) <= 0).any():
-        out.append("VolumeTiming must increase")
-    return out
+        return numbered.select("path", "i", *[F.col(f"`{c}`") for c in columns])
+    if files is None:
+        rate, start = sidecar.get("SamplingFrequency"), sidecar.get("StartTime", 0.0)
+        if isinstance(rate, bool) or not isinstance(rate, (int, float)) or rate <= 0 or not isinstance(start, (int, float)):
+            raise ValueError("without a column of times, SamplingFrequency must be a positive number and StartTime a number")
+        time = F.lit(float(start)) + F.col("i") / float(rate)
+    else:
+        if files.filter("SamplingFrequency IS NULL OR SamplingFrequency <= 0").limit(1).count():
+            raise ValueError("without a column of times, SamplingFrequency must be a positive number")
+        numbered = numbered.withColumn("__file", plain("path")).join(files.drop("Columns"), "__file")
+        time = F.coalesce("StartTime", F.lit(0.0)) + F.col("i") / F.col("SamplingFrequency")
+    return numbered.select("path", "i", time.alias("time"), *[F.col(f"`{c}`") for c in columns])
 
 
 def json_safe(value):
