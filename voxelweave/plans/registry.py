@@ -645,7 +645,22 @@ def svd_clutter(spark, d):
     return windows.filtered_power_doppler(_windowed(spark, d), low=1).select("window_id", "voxel_id", (F.round("value", 3) + 0.0).alias("value"))
 
 
-@query("searchlight")
+SEARCHLIGHT = """Y AS (SELECT vec_id AS t_idx, label, embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS j FROM embeddings),
+  K AS (SELECT label, count(*) AS n, min(t_idx) AS f FROM Y GROUP BY label),
+  S AS (SELECT label, n, (sum(n) OVER (ORDER BY f) - n)::BIGINT AS s FROM K),
+  A AS (SELECT label, fold, (s + n - fold + 4) // 5 - (s - fold + 4) // 5 AS c FROM S, range(5) r(fold)),
+  C AS (SELECT label, fold, sum(c) OVER (PARTITION BY label ORDER BY fold) AS hi, c FROM A),
+  Z AS (SELECT t_idx, label, fold, embedding FROM Y JOIN C USING (label) WHERE j < hi AND j >= hi - c),
+  D AS (SELECT t_idx, label, fold, v - 1 AS voxel_id, embedding[v]::DOUBLE AS value FROM Z, range(1, 65) r(v)),
+  M AS (SELECT g.fold, voxel_id, label AS guess, avg(value) AS mean FROM D JOIN range(5) g(fold) ON D.fold <> g.fold GROUP BY ALL),
+  N AS (SELECT a AS center, b AS voxel_id FROM range(64) x(a), range(64) y(b) WHERE (a % 8 - b % 8) ** 2 + (a // 8 - b // 8) ** 2 <= 1),
+  Q AS (SELECT center, t_idx, fold, label, guess, sum((value - mean) ** 2) AS q FROM D JOIN M USING (fold, voxel_id) JOIN N USING (voxel_id) GROUP BY ALL),
+  P AS (SELECT center, t_idx, fold, label, arg_min(guess, q) AS guess FROM Q GROUP BY ALL),
+  F AS (SELECT center, fold, avg((guess = label)::INT) AS share FROM P GROUP BY ALL)
+  SELECT center AS voxel_id, round(avg(share), 6) AS score FROM F GROUP BY center"""
+
+
+@query("searchlight", f"WITH {SEARCHLIGHT}")
 def searchlight(spark, d):
     e = views.table(spark, d, "embeddings")
     y = np.array([x[0] for x in e.orderBy("vec_id").select("label").collect()])  # a target by time
