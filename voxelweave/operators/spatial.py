@@ -9,7 +9,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.affine import compose, motion_parameters, rotation
+from ..functions import splines
+from ..functions.affine import compose, decompose, motion_parameters, rotation
 from .layout import TIME, VALUE
 
 XYZ = ("x", "y", "z")
@@ -45,17 +46,41 @@ def nearest_slice(coords: DataFrame, wanted: DataFrame, coord: str = "coord", ta
     return coords.crossJoin(F.broadcast(wanted)).groupBy(target).agg(F.min_by(coord, F.struct(d, F.col(coord))).alias(coord))
 
 
-def motion_table(affines: DataFrame, time: str = TIME) -> DataFrame:
-    """t_idx, rot_x..z, trans_x..z of each frame's affine (m: rows)."""
+def motion_table(affines: DataFrame, time: str = TIME, dims: tuple[str, str, str] = ("z", "y", "x"), grid: tuple | None = None, mask: np.ndarray | None = None) -> DataFrame:
+    """t_idx, rot_x..z, trans_x..z of each frame's affine (m: rows), named by the axes that its rows stand for (dims).
+
+    Zooms and shears don't count for the angles. With a grid (shape, spacing, origin) also mean_fd, max_fd, rms_fd: how
+    far its points, or those of the mask, move from one frame to the next one; 0 without a next one. Frames are numbered
+    without gaps. A batch of frames is held with the points of one frame; the grid itself isn't sent to anyone.
+    """
+    names = [time, *(f"rot_{d}" for d in XYZ), *(f"trans_{d}" for d in XYZ), *(("mean_fd", "max_fd", "rms_fd") if grid is not None else ())]
+    order = [dims.index(d) for d in XYZ]
+    kind = affines.schema[time].dataType.simpleString()
+    rows = affines.select(time, "m")
+    if grid is not None:
+        following = rows.select((F.col(time) - 1).cast(kind).alias(time), F.col("m").alias("next"))
+        rows = rows.join(following, time, "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        points = None if grid is None else grid_points(*grid)[slice(None) if mask is None else np.asarray(mask, bool).ravel()]
         for batch in batches:
-            rows = np.array([motion_parameters(np.array(m)) for m in batch.column(1).to_pylist()]).reshape(-1, 6)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(rows[:, k]) for k in range(6))], names=names)
-
-    names = [time, *(f"rot_{d}" for d in XYZ), *(f"trans_{d}" for d in XYZ)]
-    kind = affines.schema[time].dataType.simpleString()
-    return affines.select(time, "m").mapInArrow(run, ", ".join([f"{time} {kind}", *(f"{n} double" for n in names[1:])]))
+            if not batch.num_rows:
+                continue
+            found = []
+            for k, m in enumerate(batch.column(1).to_pylist()):
+                m = np.array(m)
+                p = motion_parameters(compose(m[:3, 3], decompose(m)[1], np.ones(3)))
+                row = [*p[:3][order], *p[3:][order]]
+                if grid is not None:
+                    other = batch.column(2)[k].as_py()
+                    step = np.zeros((4, 4)) if other is None else np.array(other) - m
+                    d = np.linalg.norm(points @ step[:3, :3].T + step[:3, 3], axis=1)
+                    row += [d.mean(), d.max(), np.sqrt((d * d).mean())] if len(d) else [np.nan] * 3
+                found.append(row)
+            table = np.array(found)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(table[:, k]) for k in range(table.shape[1]))], names=names)
+
+    return rows.mapInArrow(run, ", ".join([f"{time} {kind}", *(f"{n} double" for n in names[1:])]))
 
 
 def slice_times(times: DataFrame, slices: int, duration: float, sweeps: DataFrame | None = None) -> DataFrame:
@@ -120,6 +145,18 @@ def sample_linear(volume: np.ndarray, index: np.ndarray, fill: float, nearest: b
     return np.where(inside, out, fill)
 
 
+def sample_bspline(volume: np.ndarray, index: np.ndarray, fill: float) -> np.ndarray:
+    """The same with cubic B-splines through all samples."""
+    shape = np.array(volume.shape)
+    inside = ((index >= -1e-9) & (index <= shape - 1 + 1e-9)).all(1)
+    out = np.full(len(index), fill, float)
+    out[inside] = splines.sample(splines.coefficients(volume), np.clip(index[inside], 0, shape - 1))
+    return out
+
+
+SAMPLERS = {"linear": sample_linear, "nearest": lambda volume, index, fill: sample_linear(volume, index, fill, True), "bspline": sample_bspline}
+
+
 def grid_points(shape: tuple[int, int, int], spacing, origin) -> np.ndarray:
     return np.stack(np.meshgrid(*(o + s * np.arange(n) for n, s, o in zip(shape, spacing, origin, strict=True)), indexing="ij"), -1).reshape(-1, 3)
 
@@ -178,8 +215,10 @@ def resample(samples: DataFrame, affine: np.ndarray, source: tuple, target: tupl
     """t_idx, z_idx, y_idx, x_idx, value on the target grid: each of its points is pulled from the source.
 
     source and target are (shape, spacing, origin); the affine takes target points to source points, after the field
-    (3 x target shape), if there is one. Outside of the source: fill, or each frame's least value.
+    (3 x target shape), if there is one. Outside of the source: fill, or each frame's least value. The interpolation is
+    linear, nearest or bspline (cubic, through all samples).
     """
+    sampler = SAMPLERS[interpolation]
     (shape, spacing, origin), (new_shape, new_spacing, new_origin) = source, target
     points = grid_points(new_shape, new_spacing, new_origin)
     if field is not None:
@@ -189,68 +228,174 @@ def resample(samples: DataFrame, affine: np.ndarray, source: tuple, target: tupl
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         volume = volume_of(frame, shape)
-        out = sample_linear(volume, index, float(volume.min()) if fill is None else fill, interpolation == "nearest")
+        out = sampler(volume, index, float(volume.min()) if fill is None else fill)
         return pd.DataFrame({time: frame[time].iloc[0], "z_idx": z, "y_idx": y, "x_idx": x, VALUE: out})
 
     kind = samples.schema[time].dataType.simpleString()
     return samples.groupBy(time).applyInPandas(run, f"{time} {kind}, z_idx int, y_idx int, x_idx int, {VALUE} double")
 
 
-def register(moving: np.ndarray, fixed: np.ndarray, spacing=(1.0, 1.0, 1.0), transform: str = "translation", steps: int = 100, mask: np.ndarray | None = None) -> tuple[np.ndarray, dict]:
-    """An affine from fixed to moving points by ascent of their correlation, from coarse to fine steps.
+def realign(samples: DataFrame, affines: DataFrame, grid: tuple, interpolation: str = "linear", fill: float | None = None, time: str = TIME) -> DataFrame:
+    """Each frame pulled through its own affine (t_idx, m: rows, as register_volumewise gives them) on the same grid.
+
+    A frame without an affine, or an affine without a frame, gives no rows.
+    """
+    shape, spacing, origin = grid
+    points, sampler = grid_points(shape, spacing, origin), SAMPLERS[interpolation]
+    z, y, x = (a.ravel() for a in np.meshgrid(*map(np.arange, shape), indexing="ij"))
+
+    def run(frame: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        if frame.empty or own.empty:
+            return pd.DataFrame({c: [] for c in (time, "z_idx", "y_idx", "x_idx", VALUE)})
+        volume, m = volume_of(frame, shape), np.array(own["m"].iloc[0].tolist())
+        index = (points @ m[:3, :3].T + m[:3, 3] - np.asarray(origin)) / np.asarray(spacing)
+        out = sampler(volume, index, float(volume.min()) if fill is None else fill)
+        return pd.DataFrame({time: frame[time].iloc[0], "z_idx": z, "y_idx": y, "x_idx": x, VALUE: out})
+
+    kind = samples.schema[time].dataType.simpleString()
+    return samples.groupBy(time).cogroup(affines.select(F.col(time).cast(kind).alias(time), "m").groupBy(time)).applyInPandas(run, f"{time} {kind}, z_idx int, y_idx int, x_idx int, {VALUE} double")
+
+
+def smoothed(volume: np.ndarray, sigma: float) -> np.ndarray:
+    """A volume under a Gaussian of sigma voxels along each axis; near an edge only what is there counts."""
+    out = np.asarray(volume, float)
+    for axis, n in enumerate(out.shape if sigma > 0 else ()):
+        at = np.arange(n)
+        w = np.exp(-((at[:, None] - at) ** 2) / (2 * sigma * sigma))
+        out = np.moveaxis(np.tensordot(w / w.sum(1, keepdims=True), out, (1, axis)), 0, axis)
+    return out
+
 
-    translation has three parameters, rigid three angles more, affine three zooms more. This is an own optimiser; its
-    paths aren't those of an image toolkit.
+def mutual_information(fixed: np.ndarray, moving: np.ndarray, ends: tuple[float, float], bins: int) -> float:
+    """Of two equally long lists of values, fixed ones as bins already, moving ones spread over four bins each.
+
+    Moving values are spread by a cubic B-spline (a Parzen window), so the measure changes smoothly with them. `ends`
+    are the least and the largest value that moving ones can have; two bins at each end stay free for the window.
+    """
+    low, high = ends
+    u = 2 + (moving - low) * ((bins - 5) / (high - low)) if high > low else np.full(len(moving), 2.0)
+    first = np.floor(u).astype(int) - 1
+    joint = np.zeros(bins * bins)
+    for k in range(4):
+        joint += np.bincount(fixed * bins + np.clip(first + k, 0, bins - 1), splines.kernel(u - first - k), bins * bins)
+    p = joint.reshape(bins, bins) / joint.sum()
+    alone = p.sum(1, keepdims=True) * p.sum(0, keepdims=True)
+    some = p > 0
+    return float((p[some] * np.log(p[some] / alone[some])).sum())
+
+
+def start_of(initial, moving: np.ndarray, fixed: np.ndarray, spacing) -> np.ndarray:
+    """A first affine: None (none), the images' centres or their centres of mass brought together, or a given one."""
+    out = np.eye(4)
+    if initial is None:
+        return out
+    if isinstance(initial, str):
+        middle = {
+            "geometry": lambda v: (np.array(v.shape) - 1) / 2,
+            "moments": lambda v: np.array([(v.sum(tuple(b for b in range(3) if b != a)) * np.arange(n)).sum() for a, n in enumerate(v.shape)]) / v.sum(),
+        }[initial]
+        out[:3, 3] = (middle(moving) - middle(fixed)) * spacing
+        return out
+    return np.asarray(initial, float)
+
+
+def register(moving: np.ndarray, fixed: np.ndarray, spacing=(1.0, 1.0, 1.0), transform: str = "translation", steps: int = 100, mask: np.ndarray | None = None, metric: str = "correlation", bins: int = 32, levels: tuple[int, ...] = (1,), initial=None, moving_mask: np.ndarray | None = None) -> tuple[np.ndarray, dict]:
+    """An affine from fixed to moving points by ascent of a measure, from coarse to fine steps.
+
+    translation has three parameters, rigid three angles more, affine three zooms more. The measure is the correlation,
+    which needs equal contrasts, or the mutual information, which doesn't; the latter counts points inside of the
+    moving volume (and of its mask) only, and a place with less than a quarter of them is never better. At each level
+    both volumes are smoothed by half the level's voxels and every so many points are taken; the next level goes on
+    from there. Values that aren't finite raise. This is an own optimiser; its paths aren't those of an image toolkit.
     """
+    if metric not in ("correlation", "mutual_information"):
+        raise ValueError(f"unknown measure {metric!r}")
+    if not (np.isfinite(moving).all() and np.isfinite(fixed).all()):
+        raise ValueError("volumes hold values that aren't finite")
+    if bins < 6:
+        raise ValueError("six bins at least: two at each end stay free")
+    spacing = np.asarray(spacing, float)
     centre = (np.array(fixed.shape) - 1) * spacing / 2
-    points = grid_points(fixed.shape, spacing, (0, 0, 0))
-    keep = np.ones(len(points), bool) if mask is None else mask.ravel()
-    target = fixed.ravel()[keep].astype(float)
-    target = target - target.mean()
+    first = start_of(initial, moving, fixed, spacing)
     n = {"translation": 3, "rigid": 6, "affine": 9}[transform]
+    p = np.zeros(9)
+    thick = np.array(fixed.shape) > 1
+    free = [k for k in range(n) if k >= 3 or thick[k]]
+    trace, status = [], "converged"
 
     def matrix(p: np.ndarray) -> np.ndarray:
         r = rotation(*p[3:6]) if n > 3 else np.eye(3)
         zooms = np.exp(p[6:9]) if n > 6 else np.ones(3)
         a = compose(np.zeros(3), r, zooms)
         a[:3, 3] = centre + p[:3] - a[:3, :3] @ centre
-        return a
-
-    def metric(p: np.ndarray) -> float:
-        a = matrix(p)
-        got = sample_linear(moving, (points[keep] @ a[:3, :3].T + a[:3, 3]) / np.asarray(spacing), float(moving.min()))
-        got = got - got.mean()
-        size = np.sqrt((got @ got) * (target @ target))
-        return float(got @ target / size) if size > 0 else 0.0
-
-    p = np.zeros(9)
-    thick = np.array(fixed.shape) > 1
-    free = [k for k in range(n) if k >= 3 or thick[k]]
-    reach = np.concatenate([np.asarray(spacing) * 4, np.full(3, 0.1), np.full(3, 0.1)])
-    best, trace = metric(p), []
-    for k in range(steps):
-        better = False
-        for d in free:
-            for sign in (1, -1):
-                q = p.copy()
-                q[d] += sign * reach[d]
-                if (m := metric(q)) > best + 1e-12:
-                    p, best, better = q, m, True
+        return first @ a
+
+    def measure(shrink: int):
+        here, there = (smoothed(v, shrink / 2 if shrink > 1 else 0) for v in (fixed, moving))
+        steps_of = tuple(slice(None, None, shrink if s >= 4 * shrink else 1) for s in fixed.shape)
+        chosen = np.zeros(fixed.shape, bool)
+        chosen[steps_of] = True
+        if mask is not None:
+            chosen &= np.asarray(mask, bool)
+        points = grid_points(fixed.shape, spacing, (0, 0, 0))[chosen.ravel()]
+        target = here[chosen]
+        least = float(there.min())
+        index_of = lambda a: (points @ a[:3, :3].T + a[:3, 3]) / spacing
+
+        def correlation(p: np.ndarray) -> float:
+            got = sample_linear(there, index_of(matrix(p)), least)
+            got, want = got - got.mean(), target - target.mean()
+            size = np.sqrt((got @ got) * (want @ want))
+            return float(got @ want / size) if size > 0 else 0.0
+
+        wide = target.max() - target.min()
+        binned = 2 + np.minimum((target - target.min()) * ((bins - 4) / wide if wide > 0 else 0), bins - 5).astype(int)
+
+        def information(p: np.ndarray) -> float:
+            index = index_of(matrix(p))
+            got = sample_linear(there, index, np.nan)
+            inside = np.isfinite(got)
+            if moving_mask is not None:
+                inside &= sample_linear(np.asarray(moving_mask, float), index, 0.0) >= 0.5
+            if inside.sum() * 4 < len(points):
+                return -np.inf
+            return mutual_information(binned[inside], got[inside], (least, float(there.max())), bins)
+
+        return correlation if metric == "correlation" else information
+
+    for number, shrink in enumerate(levels):
+        score = measure(shrink)
+        reach = np.concatenate([spacing * (max(4, shrink) if number == 0 else 2 * shrink), np.full(3, 0.1), np.full(3, 0.1)])
+        least = 1e-3 if number == len(levels) - 1 else 0.1 * shrink
+        best = score(p)
+        for k in range(steps):
+            better = False
+            for d in free:
+                for sign in (1, -1):
+                    q = p.copy()
+                    q[d] += sign * reach[d]
+                    if (m := score(q)) > best + 1e-12:
+                        p, best, better = q, m, True
+                        break
+            trace.append(best)
+            if not better:
+                reach = reach / 2
+                if (reach[:3] < least * spacing).all():
                     break
-        trace.append(best)
-        if not better:
-            reach = reach / 2
-            if (reach[:3] < 1e-3 * np.asarray(spacing)).all():
-                break
-    return matrix(p), {"metric": best, "trace": trace, "iterations": len(trace), "status": "converged" if len(trace) < steps else "stopped"}
+        else:
+            status = "stopped"
+    return matrix(p), {"metric": best, "trace": trace, "iterations": len(trace), "status": status}
 
 
-def register_volumewise(samples: DataFrame, shape: tuple[int, int, int], spacing=(1.0, 1.0, 1.0), reference: int = 0, transform: str = "rigid", time: str = TIME) -> DataFrame:
-    """t_idx, m (rows of the affine), metric, status: each frame against the reference frame, which goes to the tasks."""
+def register_volumewise(samples: DataFrame, shape: tuple[int, int, int], spacing=(1.0, 1.0, 1.0), reference: int = 0, transform: str = "rigid", time: str = TIME, **options) -> DataFrame:
+    """t_idx, m (rows of the affine), metric, status: each frame against the reference frame, which goes to the tasks.
+
+    The options are those of `register`: measure, levels, masks and the rest.
+    """
     fixed = volume_of(samples.filter(F.col(time) == reference).toPandas(), shape)  # one frame
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        a, found = register(volume_of(frame, shape), fixed, spacing, transform)
+        a, found = register(volume_of(frame, shape), fixed, spacing, transform, **options)
         return pd.DataFrame({time: [frame[time].iloc[0]], "m": [a.tolist()], "metric": [found["metric"]], "status": [found["status"]]})
 
     kind = samples.schema[time].dataType.simpleString()

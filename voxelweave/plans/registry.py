@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import scale
 from ..operators import atlas, decompose, glm, masks, reductions, runs, series, spatial, thresholds, validate, windows
@@ -841,8 +841,6 @@ COORDS = "C AS (SELECT l_linestatus AS dim, row_number() OVER (PARTITION BY l_li
 
 
 def _coords(spark, d):
-    from pyspark.sql import Window
-
     day = F.floor(F.unix_timestamp(F.col("l_shipdate").cast("timestamp")) / 86400).cast("double")
     c = views.table(spark, d, "lineitem").select(F.col("l_linestatus").alias("dim"), day.alias("coord")).distinct()
     return c.withColumn("idx", F.row_number().over(Window.partitionBy("dim").orderBy("coord")) - 1)
@@ -889,14 +887,42 @@ def metadata_problems(spark, d):
     return bids.metadata_problems(o.select("o_orderkey", text.alias("text")))
 
 
-@query("register_translation")
+SHIFTS = "F AS (SELECT DISTINCT CASE l_returnflag WHEN 'N' THEN 0 WHEN 'A' THEN 1 ELSE 2 END AS t_idx FROM lineitem)"
+
+
+def _shifted(spark, d, value) -> DataFrame:
+    """t_idx (return flag), z_idx, y_idx, x_idx, value: items by quantity and price, each frame shifted by its number."""
+    li = views.table(spark, d, "lineitem")
+    t = F.when(F.col("l_returnflag") == "N", 0).when(F.col("l_returnflag") == "A", 1).otherwise(2)
+    at = li.select(t.alias("t_idx"), (4 + t + F.floor(F.col("l_quantity") / 4)).cast("int").alias("y_idx"), (4 - t + F.floor(F.col("l_extendedprice") / 8000)).cast("int").alias("x_idx"))
+    counts = at.groupBy("t_idx", F.lit(0).alias("z_idx"), "y_idx", "x_idx").agg(F.count(F.lit(1)).alias("n"))
+    share = F.col("n") / F.sum("n").over(Window.partitionBy("t_idx"))  # a bounded number of cells in each frame
+    return counts.select("t_idx", "z_idx", "y_idx", "x_idx", value(share).alias("value"))
+
+
+def _moved(samples: DataFrame, **options) -> DataFrame:
+    found = spatial.register_volumewise(samples, (1, 24, 24), transform="translation", **options)
+    return spatial.motion_table(found.select("t_idx", "m")).select("t_idx", *[(F.round(f"trans_{a}", 0) + 0.0).alias(f"trans_{a}") for a in "xyz"])
+
+
+@query("register_translation", f"WITH {SHIFTS} SELECT t_idx, -t_idx::DOUBLE AS trans_x, t_idx::DOUBLE AS trans_y, 0.0::DOUBLE AS trans_z FROM F")
 def register_translation(spark, d):
-    t = spark.range(3).withColumnRenamed("id", "t_idx")
-    cells = spark.range(16 * 16).select(F.lit(0).alias("z_idx"), F.floor(F.col("id") / 16).cast("int").alias("y_idx"), (F.col("id") % 16).cast("int").alias("x_idx"))
-    v = F.when(F.col("x_idx").between(4 + F.col("t_idx"), 9 + F.col("t_idx")) & F.col("y_idx").between(5, 9), 100.0).otherwise(0.0)
-    s = cells.crossJoin(t).withColumn("value", v)
-    found = spatial.register_volumewise(s, (1, 16, 16), transform="translation")
-    return spatial.motion_table(found.select("t_idx", "m")).select("t_idx", *[F.round(f"trans_{a}", 1).alias(f"trans_{a}") for a in "xyz"])
+    return _moved(_shifted(spark, d, lambda share: share))
+
+
+@query("register_other_contrast", f"WITH {SHIFTS} SELECT t_idx, -t_idx::DOUBLE AS trans_x, t_idx::DOUBLE AS trans_y, 0.0::DOUBLE AS trans_z FROM F")
+def register_other_contrast(spark, d):
+    """Frames after the first have their contrast turned round, which correlation can't follow."""
+    turned = lambda share: F.when(F.col("t_idx") == 0, share).otherwise(-share)
+    return _moved(_shifted(spark, d, turned), metric="mutual_information", bins=16, levels=(2, 1))
+
+
+@query("resample_bspline", "WITH V AS (SELECT vec_id AS t_idx, i, embedding[i + 1]::DOUBLE AS v FROM embeddings, range(64) r(i)) SELECT t_idx, 0 AS z_idx, i // 16 AS y_idx, (i % 8) // 2 AS x_idx, round(v, 6) + 0.0 AS value FROM V WHERE (i // 8) % 2 = 0 AND i % 2 = 0")
+def resample_bspline(spark, d):
+    """Splines pass through all samples, so every second place has the sample that was there."""
+    m = _m(spark, d).select("t_idx", F.lit(0).alias("z_idx"), F.floor(F.col("voxel_id") / 8).cast("int").alias("y_idx"), (F.col("voxel_id") % 8).cast("int").alias("x_idx"), "value")
+    out = spatial.resample(m, np.eye(4), ((1, 8, 8), (1, 1, 1), (0, 0, 0)), ((1, 4, 4), (1, 2, 2), (0, 0, 0)), "bspline")
+    return out.withColumn("value", F.round("value", 6) + 0.0)
 
 
 def queries() -> dict[str, Query]:
