@@ -99,12 +99,14 @@ def test_connectivity_of_other_subjects(spark):
     frame = lambda ids, n=4: spark.createDataFrame([(s, r, data[s][:, r].tolist()) for s in ids for r in range(n)], "subject long, region int, series array<double>")
     for kind in ("covariance", "correlation", "precision", "partial correlation", "tangent"):
         model = decompose.ConnectivityMatrix(kind).fit(frame([0, 1, 2]))
-        own = model.fit_transform(frame([0, 1, 2])).set_index("subject")["matrix"]
+        own = {r.subject: np.reshape(r.matrix, (4, 4)) for r in model.fit_transform(frame([0, 1, 2])).collect()}
+        covs = np.array([decompose.shrunk_covariance(data[s]) for s in range(3)])
+        assert np.allclose(model.mean_, decompose.geometric_mean(covs) if kind == "tangent" else np.mean(list(own.values()), 0))
         again = {r.subject: np.reshape(r.matrix, (4, 4)) for r in model.transform(frame([1, 3])).collect()}
         assert set(again) == {1, 3} and np.allclose(again[1], own[1])
         if kind == "tangent":
             back = model.inverse_transform([again[3]])[0]
-            assert np.allclose(back, decompose.ConnectivityMatrix("covariance").fit_transform(frame([3]))["matrix"][0])
+            assert np.allclose(back, np.reshape(decompose.ConnectivityMatrix("covariance").fit_transform(frame([3])).first().matrix, (4, 4)))
         low = decompose.to_vector(own[0]) if hasattr(decompose, "to_vector") else None
         if low is not None and kind != "tangent":
             assert np.allclose(model.inverse_transform([low])[0], own[0])
@@ -112,6 +114,12 @@ def test_connectivity_of_other_subjects(spark):
             model.transform(frame([3], 3)).collect()
     with pytest.raises(ValueError, match="fit"):
         decompose.ConnectivityMatrix().transform(frame([0]))
+    with pytest.raises(ValueError, match="two subjects"):
+        decompose.ConnectivityMatrix("tangent").fit(frame([0]))
+    with pytest.raises(ValueError, match="different regions"):
+        decompose.ConnectivityMatrix().fit(frame([0]).union(frame([1], 3)))
+    with pytest.raises(ValueError, match="no subjects"):
+        decompose.ConnectivityMatrix().fit(frame([0]).limit(0))
 
 
 def test_transforms_compose(spark):

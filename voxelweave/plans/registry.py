@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import scale
@@ -448,16 +447,39 @@ def _subjects(spark, d):
     return to_series(m, ("subject", "region"))
 
 
-def _matrices(spark, found: pd.DataFrame) -> DataFrame:
-    rows = [(int(s), i, j, round(float(v), 6)) for s, m in zip(found["subject"], found["matrix"], strict=True) for (i, j), v in np.ndenumerate(m)]
-    return spark.createDataFrame(rows, "subject long, i int, j int, value double")
+def _matrices(found: DataFrame, n: int = 64) -> DataFrame:
+    cells = found.select("subject", F.posexplode("matrix").alias("k", "v"))
+    return cells.select("subject", F.floor(F.col("k") / n).cast("int").alias("i"), (F.col("k") % n).cast("int").alias("j"), (F.round("v", 4) + 0.0).alias("value"))
 
 
-for _kind in ("partial correlation", "precision", "tangent"):
+#: Shrunk covariances of each subject, and their inverses: one pivot a round, every cell from its row's and its column's.
+INVERSE = """C AS MATERIALIZED (SELECT vec_id % 5 AS subject, vec_id, i - 1 AS i, embedding[i]::DOUBLE - avg(embedding[i]::DOUBLE) OVER (PARTITION BY vec_id % 5, i) AS x FROM embeddings, range(1, 65) r(i)),
+  S AS MATERIALIZED (SELECT a.subject, a.i, b.i AS j, avg(a.x * b.x) AS s, count(*) AS n FROM C a JOIN C b USING (subject, vec_id) GROUP BY ALL),
+  O AS (SELECT subject, sum(q * q) AS four FROM (SELECT subject, vec_id, sum(x * x) AS q FROM C GROUP BY ALL) GROUP BY subject),
+  T AS (SELECT subject, n, sum(CASE WHEN i = j THEN s END) / 64 AS mu, sum(s * s) AS two FROM S GROUP BY ALL),
+  H AS (SELECT subject, mu, (two - 64 * mu * mu) / 64 AS spread, (four / n - two) / (n * 64) AS noise FROM T JOIN O USING (subject)),
+  W AS (SELECT subject, mu, CASE WHEN spread = 0 THEN 0 ELSE least(greatest(noise, 0), spread) / spread END AS w FROM H),
+  A AS (SELECT -1 AS k, subject, i, j, (1 - w) * s + CASE WHEN i = j THEN w * mu ELSE 0 END AS v FROM S JOIN W USING (subject)),
+  G AS (SELECT * FROM A UNION ALL
+    SELECT k + 1, subject, i, j, CASE WHEN i = k + 1 AND j = k + 1 THEN 1 / p WHEN i = k + 1 THEN v / p WHEN j = k + 1 THEN -v / p ELSE v - u * t / p END
+    FROM (SELECT *, max(CASE WHEN j = k + 1 THEN v END) OVER (PARTITION BY subject, i) AS u, max(CASE WHEN i = k + 1 THEN v END) OVER (PARTITION BY subject, j) AS t,
+      max(CASE WHEN i = k + 1 AND j = k + 1 THEN v END) OVER (PARTITION BY subject) AS p FROM G WHERE k < 63)),
+  P AS (SELECT subject, i::INT AS i, j::INT AS j, v FROM G WHERE k = 63)"""
 
-    @query(f"connectivity_{_kind.replace(' ', '_')}")
-    def _connectivity(spark, d, kind=_kind):
-        return _matrices(spark, decompose.ConnectivityMatrix(kind).fit_transform(_subjects(spark, d)))
+
+@query("connectivity_precision", f"WITH RECURSIVE {INVERSE} SELECT subject, i, j, round(v, 4) + 0.0 AS value FROM P")
+def connectivity_precision(spark, d):
+    return _matrices(decompose.ConnectivityMatrix("precision").fit_transform(_subjects(spark, d)))
+
+
+@query("connectivity_partial_correlation", f"WITH RECURSIVE {INVERSE}, D AS (SELECT subject, i AS k, v AS d FROM P WHERE i = j) SELECT P.subject, P.i, P.j, CASE WHEN P.i = P.j THEN 1 ELSE round(-P.v / sqrt(a.d * b.d), 4) + 0.0 END AS value FROM P JOIN D a ON a.subject = P.subject AND a.k = P.i JOIN D b ON b.subject = P.subject AND b.k = P.j")
+def connectivity_partial_correlation(spark, d):
+    return _matrices(decompose.ConnectivityMatrix("partial correlation").fit_transform(_subjects(spark, d)))
+
+
+@query("connectivity_tangent")
+def connectivity_tangent(spark, d):
+    return _matrices(decompose.ConnectivityMatrix("tangent").fit_transform(_subjects(spark, d)))
 
 
 def _eigen(n: int = 3, squarings: int = 12) -> str:
