@@ -616,6 +616,23 @@ def clean_pipeline(spark, d):
     return to_long(out).select("voxel_id", "t_idx", r("value"))
 
 
+SCRUBBED = """V AS (SELECT voxel_id, t_idx, value FROM E UNION ALL SELECT DISTINCT -1, t_idx, sin(t_idx / 9.0) FROM E),
+  F AS (SELECT voxel_id, t_idx, CASE WHEN t_idx % 17 = 3 THEN (lag(value) OVER w + lead(value) OVER w) / 2 ELSE value END AS v FROM V WINDOW w AS (PARTITION BY voxel_id ORDER BY t_idx)),
+  D AS (SELECT voxel_id, t_idx, v - avg(v) OVER p - regr_slope(v, t_idx) OVER p * (t_idx - avg(t_idx) OVER p) AS v FROM F WINDOW p AS (PARTITION BY voxel_id)),
+  K AS (SELECT * FROM D WHERE t_idx % 17 <> 3),
+  C AS (SELECT t_idx, v - avg(v) OVER () AS c FROM K WHERE voxel_id = -1),
+  G AS (SELECT voxel_id, t_idx, v - c * sum(c * v) OVER p / sum(c * c) OVER p AS v FROM K JOIN C USING (t_idx) WHERE voxel_id >= 0 WINDOW p AS (PARTITION BY voxel_id))
+  SELECT voxel_id, (row_number() OVER (PARTITION BY voxel_id ORDER BY t_idx) - 1)::INT AS t_idx, round((v - avg(v) OVER p) / stddev_samp(v) OVER p, 6) + 0.0 AS value FROM G WINDOW p AS (PARTITION BY voxel_id)"""
+
+
+@query("clean_scrubbed", f"WITH {E}, {SCRUBBED}")
+def clean_scrubbed(spark, d):
+    n = views.table(spark, d, "embeddings").count()
+    t = np.arange(n)
+    out = series.clean(to_series(_m(spark, d)), n, detrend_order=1, standardize_method="zscore", confounds=np.sin(t / 9.0)[:, None], sample_mask=t % 17 != 3)
+    return to_long(out).select("voxel_id", "t_idx", (F.round("value", 6) + 0.0).alias("value"))
+
+
 #: The upper tail of t by Simpson's rule over 2,000 steps, and the normal score of it by Newton's method on the series of
 #: the normal distribution.
 TAIL = "0.5 - exp(lgamma((dof + 1) / 2) - lgamma(dof / 2)) / sqrt(dof * pi()) * t / 6000 * list_sum(list_transform(range(2001), lambda i: (CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(-(dof + 1) / 2 * ln(1 + (t * i / 2000) ** 2 / dof))))"
