@@ -188,3 +188,24 @@ def test_connectivity_of_all_columns(spark, tmp_path):
             assert np.allclose(got, want, atol=1e-4, rtol=1e-5)
         else:  # the tangents of the subjects are around their mean
             assert np.abs(got.mean(0)).max() < 1e-3
+
+
+def test_factors_of_many_times_stay_on_the_cluster(spark, tmp_path, monkeypatch):
+    x, _, d = embeddings(spark, tmp_path, 2100)  # two blocks of times and a part
+    kind, sent = type(spark.range(1)), []
+    whole = kind.toPandas
+
+    def counted(df):
+        out = whole(df)
+        sent.append(len(out))
+        return out
+
+    monkeypatch.setattr(kind, "toPandas", counted)
+    rows = registry.queries()["nmf"](spark, d)
+    monkeypatch.undo()
+    assert sent and max(sent) <= 3 * 3 + 64 * 3 + 1  # sums of a round, whatever the times
+    x = np.abs(x).T
+    assert np.allclose(by_voxel(rows.toPandas(), 3), factors(x, 3, 200), atol=2e-3, rtol=1e-3)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x[:9])], "voxel_id long, series array<double>")
+    near, far = (decompose.nmf(df, 2, steps=4, direct=n) for n in (10, 5000))
+    assert np.allclose(near[1], far[1], rtol=1e-8, atol=1e-10) and np.allclose(near[2], far[2])
